@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliolens.llm import byte_bpe, license_scan, packing, quality_rules, toxicity, warc
+from foliolens.llm import byte_bpe, license_scan, packing, quality_rules, suffix_dedup, toxicity, warc
 from foliolens.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -40,5 +44,6 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_warc": op8_warc,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
