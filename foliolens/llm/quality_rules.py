@@ -131,3 +131,17 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     accuracies, good = estimate(kept.filter(~failed), list(named))
     out = kept.select(key, *base, failed.alias("base_failed"), posterior(accuracies, good).alias("p_good"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
+
+
+def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of df that judge() keeps, with their columns."""
+    fields = df.columns
+    named = rules()
+    votes = [F.col(f"_m.{n}") for n in named]
+    body = df.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"), F.col(f"`{text}`").alias("_body"))
+    measured = counts(body, "_body")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    voted = measured.filter(~failed).select("row", F.struct(*[v.alias(n) for n, v in named.items()]).alias("_m"))
+    kept = stored(voted, "voted", compression="zstd")
+    accuracies, good = estimate(kept.select(*votes), list(named))
+    return kept.select("row", *votes).filter(posterior(accuracies, good) >= 0.5).select("row.*")

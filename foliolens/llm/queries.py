@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliolens.llm import byte_bpe, license_scan, packing, quality_rules, suffix_dedup, toxicity, warc
+from foliolens.llm import bm25_search, byte_bpe, html_extract, license_scan, ngram_jaccard, packing, quality_rules, suffix_dedup, toxicity, warc
 from foliolens.llm.common import table
 
 
@@ -25,6 +25,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_search.search_own(table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
@@ -33,6 +41,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -42,8 +54,11 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_license_scan": op4_license_scan,
+    "op5_bm25_search": op5_bm25_search,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_warc": op8_warc,
+    "op9_html_extract": op9_html_extract,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
