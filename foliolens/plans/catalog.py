@@ -1,6 +1,7 @@
-"""Registry of the engine's own queries and their DuckDB equivalents, filled by the modules of this package."""
+"""Registry of the engine's own queries and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from foliolens.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
