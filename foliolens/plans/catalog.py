@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from foliolens.plans import audits, corpora, pages, publishing, queues
 from foliolens.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "audits", "corpora", "pages", "publishing", "queues"]

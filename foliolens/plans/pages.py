@@ -51,7 +51,7 @@ def page_serialized(spark, sf_dir):
     return P.serialize(_tokens(spark, sf_dir), "page_id").select("page_id", F.md5("html").alias("digest"))
 
 
-@query(_TOKENS + "SELECT page_id, pos, replace(replace(replace(replace(replace(raw, '&quot;', '"'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS decoded FROM tok WHERE kind = 'text' AND raw LIKE '%&%'")
+@query(_TOKENS + "SELECT page_id, pos, replace(replace(replace(replace(replace(raw, '&quot;', chr(34)), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS decoded FROM tok WHERE kind = 'text' AND raw LIKE '%&%'")
 def page_entities(spark, sf_dir):
     return _tokens(spark, sf_dir).filter("kind = 'text'").filter(F.col("text").contains("&")).select("page_id", "pos", T.decode_entities("text").alias("decoded"))
 
