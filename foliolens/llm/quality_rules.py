@@ -141,7 +141,8 @@ def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     body = df.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"), F.col(f"`{text}`").alias("_body"))
     measured = counts(body, "_body")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    voted = measured.filter(~failed).select("row", F.struct(*[v.alias(n) for n, v in named.items()]).alias("_m"))
-    kept = stored(voted, "voted", compression="zstd")
+    voted = measured.select("row", failed.alias("_failed"), F.struct(*[v.alias(n) for n, v in named.items()]).alias("_m"))
+    # Filtered once written: a filter above would be pushed below the arrays and compute them anew for each of their uses.
+    kept = stored(voted, "voted", compression="zstd").filter(~F.col("_failed"))
     accuracies, good = estimate(kept.select(*votes), list(named))
     return kept.select("row", *votes).filter(posterior(accuracies, good) >= 0.5).select("row.*")
