@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from foliolens.functions import text as T
+from foliolens.operators.lineage import cut
 from foliolens.operators.pages import scheme_of
 
 MOST_BYTES = 2 << 20
@@ -115,7 +116,8 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, budget: int = 250, round
     front = seen
     for depth in range(1, rounds + 1):
         found = front.join(links, front["url"] == links["src"]).select("chapter", F.col("dst").alias("url"), F.lit(depth).alias("depth")).distinct()
-        front = found.join(seen.select("chapter", "url"), ["chapter", "url"], "left_anti").checkpoint()
+        front = found.join(seen.select("chapter", "url"), ["chapter", "url"], "left_anti")
+        front = cut(front)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -277,3 +277,34 @@ def sanitize(tokens: DataFrame, key: str) -> DataFrame:
     out = shifted.join(written, [key, "pos"], "left")
     raw = F.when(F.col("kind") == "open", F.concat(F.lit("<"), F.col("tag"), F.coalesce("written", F.lit("")), F.lit(">"))).when(F.col("kind") == "close", F.concat(F.lit("</"), F.col("tag"), F.lit(">"))).otherwise(F.col("raw"))
     return serialize(out.withColumn("raw", raw), key)
+
+
+def assign_block_ids(blocks: DataFrame, key: str, order: str, own: str | None = None) -> DataFrame:
+    """blocks with stable ids: a hash of the section's id in base 36 and the block's ordinal, where they have none of their own."""
+    ordinal = (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("string")
+    made = F.concat(F.lit("b2c-blk-"), F.lower(F.conv(T.fnv1a(F.col(key).cast("string")).cast("string"), 10, 36)), F.lit("-"), ordinal)
+    return blocks.withColumn("block_id", F.coalesce(F.nullif(F.col(own), F.lit("")), made) if own else made)
+
+
+def preceding_reference(targets: DataFrame, tree: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """(key, el, reference): for target elements the text of the nearest paragraph or heading that closes before they open, deepest common parent first."""
+    candidates = tree.filter(F.col("tag").rlike("^(?:p|h[1-6])$")).join(blocks.select(key, "el", "text"), [key, "el"]).select(F.col(key).alias("k"), F.col("parent").alias("cp"), F.col("depth").alias("cd"), F.col("close_pos").alias("cc"), "text")
+    parents = tree.select(F.col(key).alias("pk"), F.col("el").alias("pe"), F.col("open_pos").alias("po"), F.col("close_pos").alias("pc"))
+    joined = targets.select(key, "el", "open_pos").join(candidates, (F.col("k") == F.col(key)) & (F.col("cc") < F.col("open_pos")))
+    # A candidate counts if its parent holds the target too.
+    held = joined.join(parents, (F.col("pk") == F.col(key)) & (F.col("pe") == F.col("cp")) & (F.col("po") < F.col("open_pos")) & (F.col("pc") > F.col("open_pos")))
+    return held.groupBy(key, "el").agg(F.max_by("text", F.struct("cd", "cc")).alias("reference"))
+
+
+def extract_tex(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, pos, tex, display): delimited TeX in texts."""
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"(?s)\\\(.*?\\\)|\\\[.*?\\\]|\$\$.*?\$\$"), F.lit(0))).alias("m")
+    rows = tokens.filter("kind = 'text'").select(key, "pos", found)
+    return rows.select(key, "pos", F.trim(F.regexp_replace("m", r"(?s)^(?:\\\(|\\\[|\$\$)|(?:\\\)|\\\]|\$\$)$", "")).alias("tex"), ~F.col("m").startswith("\\(")).toDF(key, "pos", "tex", "display")
+
+
+def anchor_ids(titles: DataFrame, group: str, title: str, order: list[str]) -> DataFrame:
+    """titles with anchors of letters, digits and _.:-, unique in their group."""
+    from foliolens.operators.publishing import unique_names
+
+    return unique_names(titles.withColumn("_anchor", T.anchor(title)), group, "_anchor", order, "anchor").drop("_anchor")

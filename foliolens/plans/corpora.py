@@ -186,3 +186,42 @@ def authors_enriched(spark, sf_dir):
     books = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("b"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("x"), F.col("p_partkey").cast("string"))).alias("slug"), F.col("p_type").alias("title"))
     authority = part.select(F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("slug"), F.upper("p_type").alias("title"), F.array("p_brand").alias("authors"))
     return K.enrich_authors(books, authority).select("p_partkey", "matched", F.array_join("authors", ",").alias("authors"))
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 300 AS src, l_suppkey * 3 AS dst FROM lineitem WHERE l_orderkey < 400), r AS (SELECT 0 AS chapter, 1::BIGINT AS url UNION SELECT r.chapter, e.dst FROM r JOIN e ON r.url = e.src) SELECT chapter, 'u' || url AS url FROM r")
+def crawl_frontier(spark, sf_dir):
+    name = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    links = table(spark, sf_dir, "lineitem").filter("l_orderkey < 400").select(name(F.col("l_partkey") % 300).alias("src"), name(F.col("l_suppkey") * 3).alias("dst")).distinct()
+    seeds = table(spark, sf_dir, "region").limit(1).select(F.lit(0).alias("chapter"), F.lit("u1").alias("url"))
+    return K.expand_frontier(seeds, links, budget=1_000_000, rounds=60).select("chapter", "url")
+
+
+@query("WITH b AS (SELECT p_partkey, p_brand, regexp_replace(p_type, '[^A-Za-z0-9_.:-]+', '-', 'g') AS a FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, a ORDER BY p_partkey) AS k FROM b) SELECT p_partkey, CASE WHEN k = 1 THEN a ELSE a || '-' || k END AS anchor FROM n")
+def heading_anchors(spark, sf_dir):
+    return P.anchor_ids(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_brand", "p_type", ["p_partkey"]).select("p_partkey", "anchor")
+
+
+@query()
+def block_ids(spark, sf_dir):
+    tokens = P.tokenize(table(spark, sf_dir, "pages"), "page_id")
+    return P.assign_block_ids(P.text_blocks(tokens, P.elements(tokens, "page_id"), "page_id"), "page_id", "el")
+
+
+@query()
+def link_references(spark, sf_dir):
+    tokens = P.tokenize(table(spark, sf_dir, "pages"), "page_id")
+    tree = P.elements(tokens, "page_id")
+    return P.preceding_reference(tree.filter("tag = 'br'"), tree, P.text_blocks(tokens, tree, "page_id"), "page_id")
+
+
+@query()
+def first_sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.first_sentence("text").alias("sentence"))
+
+
+@query("SELECT doc_id, 'x' || doc_id AS tex, doc_id % 2 = 0 AS display FROM documents")
+def tex_extracted(spark, sf_dir):
+    d = F.col("doc_id").cast("string")
+    made = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a $$ x"), d, F.lit(" $$ b"))).otherwise(F.concat(F.lit("a \\(x"), d, F.lit("\\) b")))
+    tokens = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("pos"), F.lit("text").alias("kind"), made.alias("text"))
+    return P.extract_tex(tokens, "doc_id").select("doc_id", "tex", "display")
