@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.functions import text as T
+from foliolens.operators import compiling
 from foliolens.operators import pages as P
 from foliolens.operators import rules
 from foliolens.plans.registry import query, table
@@ -171,3 +172,26 @@ def page_without_chrome(spark, sf_dir):
 @query()
 def page_sanitized(spark, sf_dir):
     return P.sanitize(_tokens(spark, sf_dir), "page_id")
+
+
+@query()
+def pages_compiled(spark, sf_dir):
+    done = compiling.compile_pages(table(spark, sf_dir, "pages"))
+    return done.sections.select("page_id", F.length("html").alias("n"), F.md5("html").alias("digest"), "error").join(done.gate, "page_id")
+
+
+@query(_TOKENS + "SELECT page_id, 'text-semantics' AS step, count(*) AS n FROM tok WHERE kind = 'open' AND tag IN ('b', 'i', 'u') AND page_id % 4 = 0 GROUP BY page_id")
+def pages_recompiled_notes(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return compiling.recompile(pages, pages.filter("page_id % 4 = 0")).notes.drop("message")
+
+
+@query(_TOKENS + "SELECT page_id, " + ", ".join(f"count(*) FILTER (kind = 'open' AND tag = 'h{i}') AS h{i}" for i in range(1, 7)) + ", count(*) FILTER (kind = 'open' AND tag IN ('ul', 'ol')) AS lists, count(*) FILTER (kind = 'open' AND tag = 'li') AS items, count(*) FILTER (kind = 'open' AND tag = 'table') AS tables, count(*) FILTER (kind = 'open' AND tag = 'img') AS images, count(*) FILTER (kind = 'open' AND tag = 'a') AS links, sum(CASE WHEN kind = 'text' THEN length(raw) ELSE 0 END)::BIGINT AS chars FROM tok GROUP BY page_id")
+def page_tallies(spark, sf_dir):
+    return compiling.tally_blocks(_tokens(spark, sf_dir), "page_id")
+
+
+@query()
+def page_declared_colors(spark, sf_dir):
+    tokens = _tokens(spark, sf_dir)
+    return compiling.declared_colors(tokens, P.elements(tokens, "page_id"), "page_id")

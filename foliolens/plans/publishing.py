@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliolens.functions import text as T
+from foliolens.operators import chapters as H
 from foliolens.operators import publishing as B
 from foliolens.plans.registry import query, table
 
@@ -149,3 +150,18 @@ def raster_headers(spark, sf_dir):
 @query("SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-')[1:60], ''), 'page') AS slug FROM part")
 def page_slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.slug("p_name").alias("slug"))
+
+
+def _planned(spark, sf_dir):
+    planned = B.propose_pages(blocks(spark, sf_dir), "doc_id")
+    return planned.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("block_idx")).alias("blocks"))
+
+
+@query(_BLOCKS + "SELECT doc_id, page, block_idx AS block FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY block_idx) AS k FROM planned) WHERE k > 1")
+def plan_split_points(spark, sf_dir):
+    return H.split_points(_planned(spark, sf_dir), "doc_id")
+
+
+@query(_BLOCKS + "SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page)::INT AS section FROM (SELECT DISTINCT doc_id, page FROM planned) WHERE page % 3 <> 1")
+def plan_confirmed(spark, sf_dir):
+    return H.confirm_plan(_planned(spark, sf_dir).withColumn("included", F.col("page") % 3 != 1), "doc_id").select("doc_id", "page", "section")
