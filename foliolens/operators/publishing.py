@@ -202,3 +202,49 @@ def sniff_raster(content) -> Column:
         F.when(head.startswith("89504E470D0A1A0A"), made("image/png", number(16, 4), number(20, 4))).when(head.rlike("^47494638(37|39)61"), made("image/gif", little(6), little(8)))
         .when(head.rlike("^52494646.{8}5745425056503858"), made("image/webp", 1 + little(24) + 65536 * number(26, 1), 1 + little(27) + 65536 * number(29, 1)))
     )
+
+
+def jpeg_sizes(files: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, media_type, width, height) of rasters. JPEG keeps its size in a segment found by walking, so this is an Arrow job over the bytes; other headers are read by sniff_raster."""
+    kind = dict(files.dtypes)[key]
+
+    def size(data: bytes) -> tuple[int, int] | None:
+        at = 2
+        while data[:2] == b"\xff\xd8" and at + 9 <= len(data) and data[at] == 0xFF:
+            marker, length = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+            at += 2 + length if length >= 2 else len(data)
+        return None
+
+    def run(batches):
+        for batch in batches:
+            found = [size(c or b"") for c in batch.column(1).to_pylist()]
+            columns = [pa.array(["image/jpeg" if f else None for f in found], pa.string()), *[pa.array([f[i] if f else None for f in found], pa.int64()) for i in (0, 1)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "media_type", "width", "height"])
+
+    walked = files.filter(F.hex(F.substring(content, 1, 2)) == "FFD8").select(key, content).mapInArrow(run, f"`{key}` {kind}, media_type string, width long, height long")
+    sniffed = files.filter(F.coalesce(F.hex(F.substring(content, 1, 2)), F.lit("")) != "FFD8").withColumn("_r", sniff_raster(content)).select(key, "_r.media_type", "_r.width", "_r.height")
+    return walked.unionByName(sniffed)
+
+
+def asset_refusals(assets: DataFrame, doc: str) -> DataFrame:
+    """(doc, refused, n): refused assets by cause."""
+    return assets.filter("refused IS NOT NULL").groupBy(doc, "refused").agg(F.count(F.lit(1)).alias("n"))
+
+
+def insert_images(blocks: DataFrame, edits: DataFrame, doc: str) -> DataFrame:
+    """blocks (doc, block_idx, html) with images (doc, target, src, html, mode) put after or in place of their target block, unless the document has them; lost targets add nothing."""
+    shown = blocks.select(F.col(doc).alias("_d"), F.col("html").alias("_h"))
+    new = edits.join(shown, (F.col("_d") == F.col(doc)) & F.col("_h").contains(F.concat(F.lit('src="'), F.col("src"), F.lit('"'))), "left_anti")
+    targets = blocks.select(doc, F.col("block_idx").alias("target"))
+    placed = new.join(targets, [doc, "target"], "left_semi").select(doc, "target", "mode", "html", "src")
+    rows = placed.select(doc, (F.col("target") + 0.5).alias("place"), "html", F.col("src").alias("_by"))
+    replaced = placed.filter("mode = 'replace'").select(doc, F.col("target").alias("block_idx")).distinct()
+    kept = blocks.join(replaced, [doc, "block_idx"], "left_anti").select(doc, F.col("block_idx").cast("double").alias("place"), "html", F.lit("").alias("_by"))
+    return kept.unionByName(rows).withColumn("block_idx", F.row_number().over(Window.partitionBy(doc).orderBy("place", "_by")) - 1).drop("place", "_by")
+
+
+def regroup(queue: DataFrame, sections: DataFrame, order: list[str]) -> DataFrame:
+    """A merged queue's items under their chapters, numbered in book order."""
+    return queue.join(sections.select("section_id", "chapter_id"), "section_id").withColumn("n", F.row_number().over(Window.partitionBy("chapter_id").orderBy(*order)))

@@ -165,3 +165,40 @@ def plan_split_points(spark, sf_dir):
 @query(_BLOCKS + "SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page)::INT AS section FROM (SELECT DISTINCT doc_id, page FROM planned) WHERE page % 3 <> 1")
 def plan_confirmed(spark, sf_dir):
     return H.confirm_plan(_planned(spark, sf_dir).withColumn("included", F.col("page") % 3 != 1), "doc_id").select("doc_id", "page", "section")
+
+
+@query("SELECT p_partkey, 'image/jpeg' AS media_type, p_size::BIGINT AS width, (p_partkey % 200)::BIGINT AS height FROM part WHERE p_partkey % 3 = 2 UNION ALL SELECT p_partkey, NULL, NULL, NULL FROM part WHERE p_partkey % 3 <> 2")
+def jpeg_headers(spark, sf_dir):
+    two = lambda c: F.lpad(F.hex(c.cast("long")), 4, "0")
+    body = F.concat(F.lit("FFD8FFE000044A46FFC0000B08"), two(F.col("p_partkey") % 200), two(F.col("p_size")), F.lit("010000"))
+    files = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.when(F.col("p_partkey") % 3 == 2, body).otherwise("0000")).alias("content"))
+    return B.jpeg_sizes(files, "p_partkey")
+
+
+@query(
+    """WITH a AS (SELECT p_brand AS doc, p_partkey AS idx, (p_partkey * 7919 % 500000)::BIGINT * (p_partkey % 9) AS size FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY idx) AS n FROM a),
+r AS (SELECT *, sum(CASE WHEN n <= 64 AND size > 0 AND size <= 4194304 THEN size ELSE 0 END) OVER (PARTITION BY doc ORDER BY idx) AS t FROM n),
+f AS (SELECT doc, CASE WHEN n > 64 THEN 'too-many' WHEN size <= 0 THEN 'empty' WHEN size > 4194304 THEN 'too-large' WHEN t > 8388608 THEN 'over-total' END AS refused FROM r)
+SELECT doc, refused, count(*) AS n FROM f WHERE refused IS NOT NULL GROUP BY 1, 2"""
+)
+def asset_refusals(spark, sf_dir):
+    size = (F.col("p_partkey") * 7919 % 500000).cast("long") * (F.col("p_partkey") % 9)
+    assets = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("idx"), size.alias("size"))
+    return B.asset_refusals(B.asset_budget(assets, "doc", "idx", "size"), "doc")
+
+
+@query(
+    _BLOCKS + """, e AS (SELECT doc_id, 2 AS target FROM documents WHERE doc_id % 3 < 2), k AS (SELECT doc_id, block_idx::DOUBLE AS place, html FROM lines l WHERE NOT (doc_id % 3 = 1 AND block_idx = 2)
+UNION ALL SELECT doc_id, 2.5, '<img src="i">' FROM e WHERE EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = e.doc_id AND l.block_idx = 2)) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS block_idx, md5(html) AS digest FROM k"""
+)
+def images_inserted(spark, sf_dir):
+    lines = blocks(spark, sf_dir).drop("level")
+    edits = table(spark, sf_dir, "documents").filter("doc_id % 3 < 2").select("doc_id", F.lit(2).alias("target"), F.lit("i").alias("src"), F.lit('<img src="i">').alias("html"), F.when(F.col("doc_id") % 3 == 1, "replace").otherwise("after").alias("mode"))
+    return B.insert_images(lines, edits, "doc_id").select("doc_id", "block_idx", F.md5("html").alias("digest"))
+
+
+@query("SELECT o_custkey AS chapter_id, l_orderkey AS section_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)::INT AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def queue_regrouped(spark, sf_dir):
+    queue = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section_id"), "l_linenumber", "l_partkey", "l_suppkey")
+    sections = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("section_id"), F.col("o_custkey").alias("chapter_id"))
+    return B.regroup(queue, sections, ["section_id", "l_linenumber", "l_partkey", "l_suppkey"]).select("chapter_id", "section_id", "n")
