@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliolens.plans import audits, chapters, corpora, pages, publishing, queues
+from foliolens.plans import audits, chapters, corpora, decks, pages, publishing, queues
 from foliolens.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "audits", "chapters", "corpora", "pages", "publishing", "queues"]
+__all__ = ["ORACLES", "QUERIES", "audits", "chapters", "corpora", "decks", "pages", "publishing", "queues"]
