@@ -16,10 +16,11 @@ MOST_BYTES = 2 << 20
 def ingest_text(files: DataFrame, content: str = "content", most: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
     """(works, rejects) of binary files: at most `most` bytes, valid UTF-8, not blank. The id comes from the bytes."""
     body = F.col(content)
-    reason = F.when(F.octet_length(body) > most, "too-large").when(~F.is_valid_utf8(F.decode(body, "UTF-8")) | (F.encode(F.decode(body, "UTF-8"), "UTF-8") != body), "not-utf8").when(F.trim(F.decode(body, "UTF-8")) == "", "blank")
+    text = body.cast("string")
+    reason = F.when(F.octet_length(body) > most, "too-large").when(~F.is_valid_utf8(text), "not-utf8").when(T.collapse(text) == "", "blank")
     marked = files.withColumn("reason", reason)
     work_id = F.concat(F.lit("document-"), F.substring(F.sha2(body, 256), 1, 24))
-    works = marked.filter("reason IS NULL").select("*", work_id.alias("work_id"), F.concat(work_id, F.lit("-page-1")).alias("section_id"), T.paragraphize(F.decode(body, "UTF-8")).alias("html")).drop("reason")
+    works = marked.filter("reason IS NULL").select("*", work_id.alias("work_id"), F.concat(work_id, F.lit("-page-1")).alias("section_id"), T.paragraphize(text).alias("html")).drop("reason")
     return works, marked.filter("reason IS NOT NULL")
 
 

@@ -279,10 +279,14 @@ def sanitize(tokens: DataFrame, key: str) -> DataFrame:
     return serialize(out.withColumn("raw", raw), key)
 
 
+#: Fixed value: what block ids begin with.
+BLOCK_ID = "b2c-blk-"
+
+
 def assign_block_ids(blocks: DataFrame, key: str, order: str, own: str | None = None) -> DataFrame:
     """blocks with stable ids: a hash of the section's id in base 36 and the block's ordinal, where they have none of their own."""
     ordinal = (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("string")
-    made = F.concat(F.lit("b2c-blk-"), F.lower(F.conv(T.fnv1a(F.col(key).cast("string")).cast("string"), 10, 36)), F.lit("-"), ordinal)
+    made = F.concat(F.lit(BLOCK_ID), F.lower(F.conv(T.fnv1a(F.col(key).cast("string")).cast("string"), 10, 36)), F.lit("-"), ordinal)
     return blocks.withColumn("block_id", F.coalesce(F.nullif(F.col(own), F.lit("")), made) if own else made)
 
 
