@@ -133,10 +133,11 @@ WORD = r"[A-Za-z0-9_]+(?:['’-][A-Za-z0-9_]+)*"
 
 def find_terms(blocks: DataFrame, rules: DataFrame, keys: list[str], text: str = "text", longest: int = 4) -> DataFrame:
     """Hits of phrases (rule_id, phrase, replacement): any case, whole words. Word n-grams meet the phrases in a hash join, so cost doesn't grow with phrases times blocks."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    listed = blocks.select(*keys, F.col(text).alias("_text"), words.alias("_w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - n + 1)), lambda i: F.struct(i.alias("at"), F.lower(F.array_join(F.slice("_w", i, n), " ")).alias("gram"), n.alias("n")))))
-    exploded = listed.filter(F.size("_w") > 0).select(*keys, F.explode(grams).alias("g")).select(*keys, "g.*").filter(F.size(F.split("gram", " ")) >= F.col("n"))
+    listed = blocks.select(*keys, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
+    shifted = F.arrays_zip(*[(F.col("_w") if i == 1 else F.slice("_w", i, F.size("_w"))).alias(f"w{i}") for i in range(1, longest + 1)])
+    rows = listed.filter(F.size("_w") > 0).select(*keys, F.posexplode(shifted).alias("_i", "_z")).select(*keys, (F.col("_i") + 1).alias("at"), "_z.*")
+    grams = [F.when(F.col(f"w{n}").isNotNull(), F.lower(F.concat_ws(" ", *[f"w{i}" for i in range(1, n + 1)]))) for n in range(1, longest + 1)]
+    exploded = rows.select(*keys, "at", F.explode(F.array_compact(F.array(*grams))).alias("gram"))
     phrases = rules.select("rule_id", F.lower(F.array_join(F.regexp_extract_all("phrase", F.lit(WORD), F.lit(0)), " ")).alias("gram"), "replacement")
     return exploded.join(phrases, "gram").select(*keys, F.col("at").alias("word"), "gram", "rule_id", "replacement").distinct()
 
