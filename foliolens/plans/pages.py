@@ -195,3 +195,21 @@ def page_tallies(spark, sf_dir):
 def page_declared_colors(spark, sf_dir):
     tokens = _tokens(spark, sf_dir)
     return compiling.declared_colors(tokens, P.elements(tokens, "page_id"), "page_id")
+
+
+@query(_TOKENS + """, r AS (SELECT page_id, 'active-removed' AS code, tag AS item FROM tok WHERE kind = 'raw' UNION ALL SELECT page_id, 'unsupported', tag FROM tok WHERE kind = 'open' AND tag IN ('html', 'head', 'meta', 'title', 'body')
+  UNION ALL SELECT page_id, 'relative-link', 'a.href' FROM lnk WHERE href LIKE '/%') SELECT page_id, code, string_agg(DISTINCT item, ',' ORDER BY item) AS items, count(*) AS n FROM r GROUP BY page_id, code""")
+def import_findings(spark, sf_dir):
+    from foliolens.operators import chapters, imports
+
+    tokens = _tokens(spark, sf_dir)
+    removals = imports.sanitize_import(tokens, P.elements(tokens, "page_id"), "page_id")[1]
+    return chapters.findings_rollup(removals, "page_id").withColumn("items", F.array_join("items", ","))
+
+
+@query()
+def import_sanitized(spark, sf_dir):
+    from foliolens.operators import imports
+
+    tokens = _tokens(spark, sf_dir)
+    return imports.sanitize_import(tokens, P.elements(tokens, "page_id"), "page_id", "https://h.example/a/")[0]

@@ -129,3 +129,14 @@ def test_stream_folds_equal_batch(spark, tmp_path):
     out.awaitTermination(120)
     got = {r["key"]: r for r in spark.sql("SELECT key, max_by(type, seq) AS type, max(seq) AS seq FROM folded GROUP BY key").collect()}
     assert {k: (r["type"], r["seq"]) for k, r in got.items()} == {r["key"]: (r["type"], r["seq"]) for r in Q.latest(batch, "key", "seq").collect()}
+
+
+def test_import_sanitizer(spark):
+    from foliolens.operators import imports
+
+    html = '<svg><p>gone</p></svg><form><p onclick="x" class="k" id="a">t</p></form><a href="data:x">d</a><a href="../r">r</a><img src="mailto:x" alt="y"><main>m</main>'
+    page = tokens(spark, html)
+    made, removals = imports.sanitize_import(page, pages.elements(page, "page_id"), "page_id", "https://h.example/a/b")
+    assert made.first()["html"] == '<p id="a">t</p><a>d</a><a href="https://h.example/r">r</a><img alt="y">m'
+    found = sorted((r["code"], r["item"]) for r in removals.collect())
+    assert found == [("active-removed", "form"), ("active-removed", "svg"), ("dangerous-url", "a.href"), ("dangerous-url", "img.src"), ("relative-link", "a.href"), ("unsafe-attribute", "onclick"), ("unsupported", "main")]
