@@ -2,19 +2,19 @@
 
 Templates are short licence texts with key phrases that must stand in full. One pass over the corpus
 counts in how many texts each template word occurs (a table as large as the templates' vocabulary).
-For a text, the templates whose key phrases' words it has are candidates; its occurrences of the
-candidates' highest-IDF words are looked up in the templates' postings, and each hit votes for the
-place where the template would begin. Places with enough votes are compared word by word with the
-template, and the key phrases are verified there. Fixed base phrases always give their label.
+For a text, the templates whose key phrases' words it has are candidates. Each candidate is looked up by
+its own rarest key-phrase word: a place where the template stands holds that word, so every occurrence of
+it in the text gives a place where the template would begin, and none is missed whatever else the text
+holds. There the key phrases are verified, then all words are compared with the template. Fixed base
+phrases always give their label.
 
 Rows: a null text counts as empty (no words, no labels, score 0). Texts are scanned one by one, so
-repeated rows, null keys and further columns need no rule; ties between words of equal IDF go by
-the word. An empty table gives an empty result.
+repeated rows, null keys and further columns need no rule; ties between words of equal frequency go by
+the word and don't change what is found. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from foliolens.llm.common import texts_of
 
-#: Rare words of a text that are looked up, and the share of a template's words that must match at their places.
-RARE_WORDS, LEAST_MATCH = 6, 0.8
+#: The share of a template's words that must match at their places.
+LEAST_MATCH = 0.8
 
 # Phrases and the labels they give wherever they stand.
 BASE_PHRASES = (
@@ -34,13 +34,21 @@ BASE_PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Label, template text, key phrases.
+# The header that GNU licences ask for in source files; label, template text, key phrases.
+GNU_HEADER = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {} public license as published by the free software foundation either version {} of the license or at your option any later version"
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
     ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     ("gpl-2", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
+    ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    ("gpl-3", GNU_HEADER.format("program", "general", "3"), ("gnu general public license", "version 3")),
+    ("gpl-2", GNU_HEADER.format("program", "general", "2"), ("gnu general public license", "version 2")),
+    ("lgpl", GNU_HEADER.format("library", "lesser general", "2 1"), ("gnu lesser general public license",)),
+    ("lgpl", GNU_HEADER.format("program", "lesser general", "3"), ("gnu lesser general public license",)),
+    ("agpl-3", GNU_HEADER.format("program", "affero general", "3"), ("gnu affero general public license", "version 3")),
     ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
@@ -80,39 +88,35 @@ def _templates() -> list[Template]:
 
 
 class Scanner:
-    """The templates' postings, with the corpus's document frequencies of their words."""
+    """The templates by the word they are looked up by: the rarest of their key phrases in the corpus."""
 
-    def __init__(self, frequency: dict[bytes, int], n_texts: int):
+    def __init__(self, frequency: dict[bytes, int]):
         self.templates = _templates()
-        self.idf = {w: math.log((n_texts + 1) / (frequency.get(w, 0) + 1)) for t in self.templates for w in t.words}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for number, template in enumerate(self.templates):
-            for place, word in enumerate(template.words):
-                self.postings[word].append((number, place))
+        self.anchors: list[tuple[bytes, int]] = []  # word, place in the template
+        for template in self.templates:
+            inside = [i for a, b in template.phrases for i in range(a, b)]
+            at = min(inside, key=lambda i: (frequency.get(template.words[i], 0), template.words[i], i))
+            self.anchors.append((template.words[at], at))
         self.base = [(b" " + p.encode() + b" ", label) for p, label in BASE_PHRASES]
 
     def labels(self, words: list[bytes]) -> dict[str, float]:
         """Labels of verified templates with the best share of words that match."""
         have = set(words)
-        candidates = {i for i, t in enumerate(self.templates) if t.needed <= have}
-        if not candidates:
-            return {}
-        known = {w for i in candidates for w in self.templates[i].words} & have
-        rare = set(sorted(known, key=lambda w: (-self.idf[w], w))[:RARE_WORDS])
-        votes: Counter[tuple[int, int]] = Counter()
-        for place, word in enumerate(words):
-            if word in rare:
-                votes.update((number, place - at) for number, at in self.postings[word] if number in candidates)
+        wanted: dict[bytes, list[int]] = defaultdict(list)
+        for number, template in enumerate(self.templates):
+            if template.needed <= have:
+                wanted[self.anchors[number][0]].append(number)
         found: dict[str, float] = {}
-        for (number, begin), n in votes.items():
-            template = self.templates[number]
-            rare_here = sum(w in rare for w in template.words)
-            if 2 * n < rare_here:
-                continue
-            fits = [0 <= begin + i < len(words) and words[begin + i] == w for i, w in enumerate(template.words)]
-            share = sum(fits) / len(fits)
-            if share >= LEAST_MATCH and all(all(fits[a:b]) for a, b in template.phrases):
-                found[template.label] = max(share, found.get(template.label, 0))
+        if not wanted:
+            return found
+        for place, word in enumerate(words):
+            for number in wanted.get(word, ()):
+                template, begin = self.templates[number], place - self.anchors[number][1]
+                if any(begin + a < 0 or tuple(words[begin + a : begin + b]) != template.words[a:b] for a, b in template.phrases):
+                    continue
+                share = sum(0 <= begin + i < len(words) and words[begin + i] == w for i, w in enumerate(template.words)) / len(template.words)
+                if share >= LEAST_MATCH:
+                    found[template.label] = max(share, found.get(template.label, 0))
         return found
 
     def scan(self, text: str) -> tuple:
@@ -130,32 +134,29 @@ class Scanner:
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), score
 
 
-def frequencies(df: DataFrame, text: str = "text") -> tuple[dict[bytes, int], int]:
-    """In how many texts each template word occurs, and the number of texts."""
+def frequencies(df: DataFrame, text: str = "text") -> dict[bytes, int]:
+    """In how many texts each template word occurs."""
     vocabulary = frozenset(w for t in _templates() for w in t.words)
 
     def run(batches):
         seen: Counter[bytes] = Counter()
-        n = 0
         for batch in batches:
             for value in texts_of(batch.column(0)):
                 seen.update(vocabulary.intersection(words_of(value)))
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*(w.decode() for w in seen), ""]), pa.array([*seen.values(), n], pa.int64())], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     rows = df.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    found = {r["word"].encode(): r["n"] for r in rows}
-    return found, found.pop(b"", 0)
+    return {r["word"].encode(): r["n"] for r in rows}
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of df: the key, word and base counts and places, labels and the score of the best match."""
-    frequency, n = frequencies(df, text)
+    frequency = frequencies(df, text)
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
     def run(batches):
-        scanner = Scanner(frequency, n)
+        scanner = Scanner(frequency)
         for batch in batches:
             found = [scanner.scan(t) for t in texts_of(batch.column(1))]
             columns = zip(*found, strict=True) if found else [[]] * len(names)

@@ -42,3 +42,44 @@ def test_templates(spark):
     assert rows[9]["labels"] == "mit" and rows[9]["base_labels"] == ""
     assert rows[10]["labels"] == "" and rows[8]["labels"] == ""
     assert license_scan.scan(df.limit(0)).collect() == []
+
+
+GPL = "This work is licensed under the GNU General Public License, version 3."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+
+
+def test_every_notice_of_a_text_counts(spark):
+    """A notice of rare words does not crowd out one of common words, and the order of notices is of no matter."""
+    everything = " ".join(t for _, t, _ in license_scan.TEMPLATES)
+    texts = [f"{BSD}. {GPL}", f"{GPL} {BSD}", everything, f"{BSD} licensed under the GNU General Public License, version 3"] + [GPL] * 40
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    rows = {r["doc_id"]: r["labels"] for r in license_scan.scan(df).collect()}
+    assert rows[0] == rows[1] == rows[3] == "bsd,gpl-3"
+    assert set(rows[2].split(",")) == {label for label, _, _ in license_scan.TEMPLATES}
+
+
+def test_equals_every_place():
+    """Labels and shares are those of comparing every template at every place."""
+    rng = random.Random(3)
+    vocabulary = sorted({w for t in license_scan._templates() for w in t.words})
+    scanner = license_scan.Scanner({w: rng.randrange(50) for w in vocabulary})
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 6)):
+            part = list(rng.choice(scanner.templates).words)
+            words += [rng.choice(vocabulary) if rng.random() < 0.05 else w for w in part] + [rng.choice(vocabulary) for _ in range(rng.randrange(4))]
+        expected = {}
+        for t in scanner.templates:
+            for begin in range(-len(t.words), len(words)):
+                fits = [0 <= begin + i < len(words) and words[begin + i] == w for i, w in enumerate(t.words)]
+                share = sum(fits) / len(fits)
+                if share >= license_scan.LEAST_MATCH and all(all(fits[a:b]) for a, b in t.phrases):
+                    expected[t.label] = max(share, expected.get(t.label, 0))
+        assert scanner.labels(words) == expected
+
+
+def test_gnu_headers(spark):
+    head = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    texts = [head.format("program", "General", "3"), head.format("program", "General", "2"), head.format("library", "Lesser General", "2.1"), head.format("program", "Affero General", "3")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    assert [r["labels"] for r in license_scan.scan(df).orderBy("doc_id").collect()] == ["gpl-3", "gpl-2", "lgpl", "agpl-3"]
