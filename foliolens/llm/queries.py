@@ -26,7 +26,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25_search.search_own(table(spark, sf_dir, "documents"))
+    return bm25_search.search_own(table(spark, sf_dir, "documents"), terms=None)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
