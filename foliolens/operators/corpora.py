@@ -131,8 +131,14 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, budget: int = 250, round
 WORD = r"[A-Za-z0-9_]+(?:['’-][A-Za-z0-9_]+)*"
 
 
-def find_terms(blocks: DataFrame, rules: DataFrame, keys: list[str], text: str = "text", longest: int = 4) -> DataFrame:
-    """Hits of phrases (rule_id, phrase, replacement): any case, whole words. Word n-grams meet the phrases in a hash join, so cost doesn't grow with phrases times blocks."""
+def find_terms(blocks: DataFrame, rules: DataFrame, keys: list[str], text: str = "text", longest: int | None = None) -> DataFrame:
+    """Hits of phrases (rule_id, phrase, replacement): any case, whole words. Word n-grams meet the phrases in a hash join, so cost doesn't grow with phrases times blocks.
+
+    N-grams are as long as the longest phrase; with `longest` given, a longer phrase is an error."""
+    words = rules.agg(F.max(F.size(F.regexp_extract_all("phrase", F.lit(WORD), F.lit(0))))).first()[0] or 1
+    if longest is not None and words > longest:
+        raise ValueError(f"a phrase has {words} words, longest is {longest}")
+    longest = longest or words
     listed = blocks.select(*keys, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
     shifted = F.arrays_zip(*[(F.col("_w") if i == 1 else F.slice("_w", i, F.size("_w"))).alias(f"w{i}") for i in range(1, longest + 1)])
     rows = listed.filter(F.size("_w") > 0).select(*keys, F.posexplode(shifted).alias("_i", "_z")).select(*keys, (F.col("_i") + 1).alias("at"), "_z.*")

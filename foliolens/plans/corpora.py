@@ -38,7 +38,7 @@ g AS (SELECT doc_id, unnest(range(1, len(w) + 1))::INT AS word, w FROM w)"""
 )
 def lexicon_hits(spark, sf_dir):
     rules = spark.createDataFrame([(i, p, None) for i, p in _RULES], "rule_id int, phrase string, replacement string")
-    return K.find_terms(table(spark, sf_dir, "documents"), rules, ["doc_id"], longest=3).select("doc_id", "word", "rule_id")
+    return K.find_terms(table(spark, sf_dir, "documents"), rules, ["doc_id"]).select("doc_id", "word", "rule_id")
 
 
 @query("SELECT doc_id, (length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), 'the', ''))) // 3 AS n FROM documents")

@@ -140,3 +140,14 @@ def test_import_sanitizer(spark):
     assert made.first()["html"] == '<p id="a">t</p><a>d</a><a href="https://h.example/r">r</a><img alt="y">m'
     found = sorted((r["code"], r["item"]) for r in removals.collect())
     assert found == [("active-removed", "form"), ("active-removed", "svg"), ("dangerous-url", "a.href"), ("dangerous-url", "img.src"), ("relative-link", "a.href"), ("unsafe-attribute", "onclick"), ("unsupported", "main")]
+
+
+def test_find_terms_of_any_length(spark):
+    phrases = ["let the cat out of the bag", "hit the nail on the head", "cat", "cost an arm and a leg"]
+    rules = spark.createDataFrame([(i, p, None) for i, p in enumerate(phrases)], "rule_id int, phrase string, replacement string")
+    blocks = spark.createDataFrame([(1, "Don't let the cat out of the bag: it cost an ARM and a leg"), (2, "hit the nail"), (3, None)], "id int, text string")
+    hits = {(r["id"], r["word"], r["rule_id"]) for r in corpora.find_terms(blocks, rules, ["id"]).collect()}
+    assert hits == {(1, 2, 0), (1, 4, 2), (1, 10, 3)}
+    assert corpora.find_terms(blocks, rules.limit(0), ["id"]).collect() == []
+    with pytest.raises(ValueError, match="7 words"):
+        corpora.find_terms(blocks, rules, ["id"], longest=4)
