@@ -1,12 +1,13 @@
 """Licence scan by a positional index of rare licence words.
 
-Templates are short licence texts with key phrases that must stand in full. One pass over the corpus
-counts in how many texts each template word occurs (a table as large as the templates' vocabulary).
-For a text, the templates whose key phrases' words it has are candidates. Each candidate is looked up by
-its own rarest key-phrase word: a place where the template stands holds that word, so every occurrence of
-it in the text gives a place where the template would begin, and none is missed whatever else the text
-holds. There the key phrases are verified, then all words are compared with the template. Fixed base
-phrases always give their label.
+Templates are licence notices with key phrases that must stand in full. One pass over the corpus counts in how
+many texts each template word occurs (a table as large as the templates' vocabulary). The index holds, for every
+key-phrase word, the templates and the places where it stands there. A text is scanned so: its licence words
+that are the rarest key-phrase word of some template name the candidates; the postings of each candidate's
+RAREST key-phrase words are intersected by relative position, which leaves the places where the template may
+begin; there the key phrases are verified, then all words are compared with the template. A place where a
+template stands holds all its key-phrase words at their places, so no step loses one. Fixed base phrases always
+give their label.
 
 Rows: a null text counts as empty (no words, no labels, score 0). Texts are scanned one by one, so
 repeated rows, null keys and further columns need no rule; ties between words of equal frequency go by
@@ -34,30 +35,42 @@ BASE_PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# The header that GNU licences ask for in source files; label, template text, key phrases.
+# Licence notices in folded words, with key phrases; the sentences are those that the licences ask for or begin with.
 GNU_HEADER = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {} public license as published by the free software foundation either version {} of the license or at your option any later version"
-TEMPLATES = (
+NOTICES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
     ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
-    ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
-    ("gpl-3", GNU_HEADER.format("program", "general", "3"), ("gnu general public license", "version 3")),
-    ("gpl-2", GNU_HEADER.format("program", "general", "2"), ("gnu general public license", "version 2")),
-    ("lgpl", GNU_HEADER.format("library", "lesser general", "2 1"), ("gnu lesser general public license",)),
-    ("lgpl", GNU_HEADER.format("program", "lesser general", "3"), ("gnu lesser general public license",)),
-    ("agpl-3", GNU_HEADER.format("program", "affero general", "3"), ("gnu affero general public license", "version 3")),
-    ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
-    ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", ("unless required by applicable law or agreed to in writing",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    ("mpl-2", "subject to the terms of the mozilla public license version 2 0", ("mozilla public license",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ("may be used to endorse or promote products derived from this software",)),
+    ("bsd", "released under the bsd license", ("bsd license",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("and or distribute this software for any purpose with or without fee",)),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("permission is granted to anyone to use this software for any purpose",)),
+    ("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("terms of the mozilla public license",)),
+    ("mpl-2", "subject to the terms of the mozilla public license version 2 0", ("mozilla public license", "2 0")),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", ("gnu free documentation license",)),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",)),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", ("dedicated the work to the public domain",)),
 )
+#: GNU licences by label: program word, family, version of the header, versions told in a sentence.
+GNU = (("gpl-2", "program", "general", "2"), ("gpl-3", "program", "general", "3"), ("lgpl", "library", "lesser general", "2 1"), ("lgpl", "program", "lesser general", "3"), ("agpl-3", "program", "affero general", "3"))
+#: Creative Commons terms by label: abbreviation, name.
+CREATIVE_COMMONS = (
+    ("cc-by", "by", "attribution"), ("cc-by-sa", "by sa", "attribution sharealike"), ("cc-by-nc", "by nc", "attribution noncommercial"), ("cc-by-nd", "by nd", "attribution noderivatives"),
+    ("cc-by-nc-sa", "by nc sa", "attribution noncommercial sharealike"), ("cc-by-nc-nd", "by nc nd", "attribution noncommercial noderivatives"),
+)
+#: Identifiers that follow "SPDX-License-Identifier:", by label.
+SPDX = {
+    "mit": "MIT", "apache-2": "Apache-2.0", "bsd": "BSD-2-Clause BSD-3-Clause", "isc": "ISC", "zlib": "Zlib", "boost": "BSL-1.0", "mpl-2": "MPL-2.0", "epl-2": "EPL-2.0", "unlicense": "Unlicense", "cc0": "CC0-1.0",
+    "gpl-2": "GPL-2.0", "gpl-3": "GPL-3.0", "lgpl": "LGPL-2.1 LGPL-3.0", "agpl-3": "AGPL-3.0", "cc-by": "CC-BY-4.0", "cc-by-sa": "CC-BY-SA-4.0", "cc-by-nc": "CC-BY-NC-4.0", "cc-by-nd": "CC-BY-ND-4.0",
+    "cc-by-nc-sa": "CC-BY-NC-SA-4.0", "cc-by-nc-nd": "CC-BY-NC-ND-4.0",
+}
+#: Key-phrase words of a template whose postings are intersected.
+RAREST = 3
 
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 
@@ -74,44 +87,76 @@ class Template:
     needed: frozenset[bytes]
 
 
-def _templates() -> list[Template]:
-    made = []
-    for label, text, phrases in TEMPLATES:
-        words = tuple(text.encode().split())
-        places = []
-        for phrase in phrases:
-            part = tuple(phrase.encode().split())
-            at = next(i for i in range(len(words)) if words[i : i + len(part)] == part)
-            places.append((at, at + len(part)))
-        made.append(Template(label, words, tuple(places), frozenset(w for a, b in places for w in words[a:b])))
+def _made(label: str, text: str, phrases: tuple[str, ...]) -> Template:
+    words = tuple(text.encode().split())
+    places = []
+    for phrase in phrases:
+        part = tuple(phrase.encode().split())
+        at = next(i for i in range(len(words)) if words[i : i + len(part)] == part)
+        places.append((at, at + len(part)))
+    return Template(label, words, tuple(places), frozenset(w for a, b in places for w in words[a:b]))
+
+
+def templates() -> list[Template]:
+    """The notices as given, and those of the GNU, Creative Commons and SPDX families, made by rule."""
+    made = [_made(*notice) for notice in NOTICES]
+    for label, program, family, version in GNU:
+        name, told = f"gnu {family} public license", f"version {version}"
+        made.append(_made(label, GNU_HEADER.format(program, family, version), (name, told)))
+        made.append(_made(label, f"licensed under the {name} {told}", (f"{name} {told}",)))
+        made.append(_made(label, f"licensed under the {name} v {version}", (f"{name} v {version}",)))
+    for label, short, name in CREATIVE_COMMONS:
+        made.append(_made(label, f"cc {short} 4 0", (f"cc {short} 4",)))
+        made.append(_made(label, f"cc {short} 3 0", (f"cc {short} 3",)))
+        made.append(_made(label, f"licensed under a creative commons {name} 4 0 international license", (f"creative commons {name} 4 0",)))
+        made.append(_made(label, f"licensed under a creative commons {name} 3 0 unported license", (f"creative commons {name} 3 0",)))
+        made.append(_made(label, f"licensed under the creative commons {name} license", (f"creative commons {name} license",)))
+    for label, names in SPDX.items():
+        for name in names.split():
+            text = "spdx license identifier " + " ".join(x.decode() for x in words_of(name))
+            made.append(_made(label, text, (text,)))
     return made
 
 
 class Scanner:
-    """The templates by the word they are looked up by: the rarest of their key phrases in the corpus."""
+    """The positional index of the templates, with the key-phrase words of each from the rarest in the corpus to the commonest."""
 
     def __init__(self, frequency: dict[bytes, int]):
-        self.templates = _templates()
-        self.anchors: list[tuple[bytes, int]] = []  # word, place in the template
-        for template in self.templates:
-            inside = [i for a, b in template.phrases for i in range(a, b)]
-            at = min(inside, key=lambda i: (frequency.get(template.words[i], 0), template.words[i], i))
-            self.anchors.append((template.words[at], at))
+        self.templates = templates()
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)  # word: template and place of the key-phrase words that are intersected
+        self.rarest: dict[bytes, list[int]] = defaultdict(list)  # word: templates whose rarest key-phrase word it is
+        for number, template in enumerate(self.templates):
+            inside = {template.words[i]: i for a, b in template.phrases for i in range(a, b)}
+            chosen = sorted(inside, key=lambda w: (frequency.get(w, 0), w))[:RAREST]
+            self.rarest[chosen[0]].append(number)
+            for word in chosen:
+                self.postings[word].append((number, inside[word]))
         self.base = [(b" " + p.encode() + b" ", label) for p, label in BASE_PHRASES]
 
+    def begins(self, words: list[bytes], have: set[bytes]) -> dict[int, set[int]]:
+        """By candidate template, the places where it may begin: all its rarest key-phrase words stand at their places from there."""
+        candidates = {n for word in have & self.rarest.keys() for n in self.rarest[word] if self.templates[n].needed <= have}
+        if not candidates:
+            return {}
+        asked = {word: [(n, at) for n, at in held if n in candidates] for word, held in self.postings.items() if word in have}
+        asked = {word: held for word, held in asked.items() if held}
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for place, word in enumerate(words):
+            if word in asked:
+                places[word].append(place)
+        out: dict[int, set[int]] = {}
+        for word in sorted(asked, key=lambda w: len(places[w])):
+            for n, at in asked[word]:
+                found = {p - at for p in places[word]}
+                out[n] = out[n] & found if n in out else found
+        return out
+
     def labels(self, words: list[bytes]) -> dict[str, float]:
         """Labels of verified templates with the best share of words that match."""
-        have = set(words)
-        wanted: dict[bytes, list[int]] = defaultdict(list)
-        for number, template in enumerate(self.templates):
-            if template.needed <= have:
-                wanted[self.anchors[number][0]].append(number)
         found: dict[str, float] = {}
-        if not wanted:
-            return found
-        for place, word in enumerate(words):
-            for number in wanted.get(word, ()):
-                template, begin = self.templates[number], place - self.anchors[number][1]
+        for number, begins in self.begins(words, set(words)).items():
+            template = self.templates[number]
+            for begin in begins:
                 if any(begin + a < 0 or tuple(words[begin + a : begin + b]) != template.words[a:b] for a, b in template.phrases):
                     continue
                 share = sum(0 <= begin + i < len(words) and words[begin + i] == w for i, w in enumerate(template.words)) / len(template.words)
@@ -124,9 +169,11 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         places, base = [], set()
         for phrase, label in self.base:
-            at = line.find(phrase)
+            at, seen, number = line.find(phrase), 0, 0
             while at >= 0:
-                places.append(line.count(b" ", 0, at))
+                number += line.count(b" ", seen, at)
+                seen = at
+                places.append(number)
                 base.add(label)
                 at = line.find(phrase, at + 1)
         found = self.labels(words)
@@ -136,7 +183,7 @@ class Scanner:
 
 def frequencies(df: DataFrame, text: str = "text") -> dict[bytes, int]:
     """In how many texts each template word occurs."""
-    vocabulary = frozenset(w for t in _templates() for w in t.words)
+    vocabulary = frozenset(w for t in templates() for w in t.words)
 
     def run(batches):
         seen: Counter[bytes] = Counter()
