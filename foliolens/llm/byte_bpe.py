@@ -3,7 +3,8 @@
 For every prefix of a piece exactly one token can stand last in the prefix's encoding. The encoder
 stores that token per prefix: to extend by a byte it tries the vocabulary's tokens that end there,
 longest first, and takes the one that may follow the token stored where it begins. Appending is
-exact because stored entries never change; after an edit only entries from the edit on are rebuilt.
+exact because stored entries never change; after an edit entries are found anew until they agree with the
+stored ones over the length of the longest token.
 
 Rows: a null text counts as empty (no ids). Repeated rows, null keys and further columns pass
 through untouched; an empty table gives an empty result. Texts of any length are encoded whole.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import once, slices, texts_of
+from foliolens.llm.common import mixed, once, powers, slices, texts_of
 
-#: A worker forgets its encoded pieces beyond this many; they are then encoded anew.
-CACHE_PIECES = 500_000
-#: Longer pieces are not kept.
-CACHE_CHARS = 64
+#: A worker forgets its encoded pieces beyond so many pieces or characters; they are then encoded anew.
+CACHE_PIECES, CACHE_CHARS = 500_000, 8_000_000
+#: Slots of the table of pieces, a power of two, and characters that are looked up together.
+SLOTS, SLICE_CHARS = 1 << 21, 400_000
 _NEVER = 1 << 60
 
 
@@ -105,21 +106,35 @@ class PrefixEncoder:
         begin = len(self.piece)
         self.piece += more
         ranks, may_follow, last, longest = self.vocabulary.ranks, self.vocabulary.may_follow, self.last, self.vocabulary.longest
-        piece = bytes(self.piece)
-        for end in range(begin + 1, len(piece) + 1):
+        skip = max(0, begin - longest)
+        piece = bytes(self.piece[skip:])
+        for end in range(begin + 1, skip + len(piece) + 1):
             for start in range(max(0, end - longest), end):
-                token = ranks.get(piece[start:end])
+                token = ranks.get(piece[start - skip : end - skip])
                 if token is not None and (not start or may_follow(last[start - 1], token)):
                     last.append(token)
                     break
             else:
                 raise ValueError(f"no token ends at byte {end}")
 
-    def edit(self, start: int, end: int, new: bytes) -> None:
-        """Replaces bytes start..end; entries before the edit stay."""
-        rest = bytes(self.piece[end:])
+    def edit(self, start: int, end: int, new: bytes) -> int:
+        """Replaces bytes start..end; the number of entries that were found anew.
+
+        Entries before the edit stay. After it, an entry depends on the entries of the `longest` bytes before
+        it only; once that many in a row come out as stored before, all further ones would, and the stored rest is kept.
+        """
+        longest = self.vocabulary.longest
+        rest, kept = bytes(self.piece[end:]), self.last[end:]
         del self.piece[start:], self.last[start:]
-        self.append(new + rest)
+        self.append(new)
+        same = done = 0
+        while done < len(rest) and same < longest:
+            self.append(rest[done : done + 1])
+            same = same + 1 if self.last[-1] == kept[done] else 0
+            done += 1
+        self.piece += rest[done:]
+        self.last += kept[done:]
+        return len(new) + done
 
     def ids(self, end: int | None = None) -> list[int]:
         """The encoding of the piece, or of its prefix of `end` bytes."""
@@ -150,8 +165,8 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
-def pieces_of(texts: list[str]) -> Iterator[list[str]]:
-    """The matches of the vocabulary's splitting pattern, in order, for each text.
+def _cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
+    """The texts' code points, where pieces begin and end there, how many pieces come before each text (and before the end), and the joined texts.
 
     All texts are classified character by character in one array; runs of a kind are pieces, a
     blank joins the run after it, white space before that stays apart, and a contraction's
@@ -178,48 +193,168 @@ def pieces_of(texts: list[str]) -> Iterator[list[str]]:
         for chosen, length in ((marks[one], 2), (marks[two], 3)):
             begins[chosen + 1] = False
             begins[chosen + length] = True
+    begins[ends] = begins[ends + 1] = True
     edges = np.flatnonzero(begins[: len(points)])
-    firsts = np.searchsorted(edges, np.concatenate([[0], ends[:-1] + 1]))
-    stops = np.searchsorted(edges, ends)
-    at = edges.tolist()
-    for first, stop in zip(firsts.tolist(), stops.tolist(), strict=True):
-        yield [joined[a:b] for a, b in zip(at[first:stop], at[first + 1 : stop + 1], strict=True)]
-
-
-class PieceCache(dict):
-    """Packed ids (little-endian, 32 bits each) of text pieces, found by the prefix encoder when first asked for."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        token = self.vocabulary.ranks.get(raw)
-        ids = [token] if token is not None else PrefixEncoder(self.vocabulary, raw).ids()
-        packed = np.array(ids, "<u4").tobytes()
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
+    text_end = kind[edges] == _EDGE
+    at = np.flatnonzero(~text_end)
+    stops = np.append(edges, len(points))[at + 1]
+    return points, edges[at], stops, np.concatenate([[0], np.flatnonzero(text_end) - np.arange(len(texts))]), joined
+
+
+def pieces_of(texts: list[str]) -> Iterator[list[str]]:
+    """The matches of the vocabulary's splitting pattern, in order, for each text."""
+    _, begins, stops, cuts, joined = _cut(texts)
+    found = [joined[a:b] for a, b in zip(begins.tolist(), stops.tolist(), strict=True)]
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        yield found[a:b]
+
+
+#: From pieces of text to their ids, one after another, and how many each has.
+Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+class PieceTable:
+    """Ids of text pieces, looked up for all pieces of many texts at once.
+
+    Pieces are found by 64-bit hashes in an open table and compared with the stored piece character by
+    character, so equal hashes of different pieces can't give wrong ids. `encode` gives the ids of pieces that
+    are not in the table yet; the table starts anew when it has CACHE_PIECES pieces or CACHE_CHARS characters.
+    """
+
+    def __init__(self, encode: Encode):
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.numbers = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int64)
+        self.count = 0
+        # By piece: where its characters and its ids begin in the pools; both end where the next one's begin.
+        self.char_at, self.id_at = np.zeros(CACHE_PIECES + 1, np.int64), np.zeros(CACHE_PIECES + 1, np.int64)
+        self.chars, self.ids = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 where there is none."""
+        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        out = self.numbers[at]
+        wrong = np.flatnonzero((out >= 0) & (self.hashes[at] != h))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & (SLOTS - 1)
+            out[wrong] = self.numbers[at[wrong]]
+            wrong = wrong[(out[wrong] >= 0) & (self.hashes[at[wrong]] != h[wrong])]
+        return out
+
+    def add(self, h: np.ndarray, chars: np.ndarray, char_counts: np.ndarray, ids: np.ndarray, id_counts: np.ndarray) -> None:
+        """Adds pieces with distinct hashes: their characters and ids one after another."""
+        new = np.arange(self.count, self.count + len(h))
+        at, waiting = (h & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(h))
+        while len(waiting):
+            # Of those that want the same free slot one gets it; the others go on to the next.
+            free = waiting[self.numbers[at[waiting]] < 0]
+            self.numbers[at[free]] = new[free]
+            placed = free[self.numbers[at[free]] == new[free]]
+            self.hashes[at[placed]] = h[placed]
+            waiting = waiting[self.numbers[at[waiting]] != new[waiting]]
+            at[waiting] = (at[waiting] + 1) & (SLOTS - 1)
+        for pool, starts, values, counts in (("chars", self.char_at, chars, char_counts), ("ids", self.id_at, ids, id_counts)):
+            begin, held = int(starts[self.count]), getattr(self, pool)
+            if begin + len(values) > len(held):
+                setattr(self, pool, held := np.concatenate([held, np.zeros(len(held) + len(values), np.uint32)]))
+            held[begin : begin + len(values)] = values
+            starts[self.count + 1 : self.count + 1 + len(h)] = begin + np.cumsum(counts)
+        self.count += len(h)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin (and where the last ends)."""
+        points, begins, stops, cuts, joined = _cut(texts)
+        h = _hashes(points, begins, stops)
+        number = self.find(h)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new, first = np.unique(h[missing], return_index=True)
+            first = missing[first]
+            if self.count + len(new) > CACHE_PIECES or self.char_at[self.count] > CACHE_CHARS:
                 self.clear()
-            self[piece] = packed
-        return packed
+                new, first = np.unique(h, return_index=True)
+            if len(new) > CACHE_PIECES:
+                return self._one_by_one(joined, begins, stops, cuts)
+            ids, counts = self.encode([joined[a:b] for a, b in zip(begins[first].tolist(), stops[first].tolist(), strict=True)])
+            lengths = stops[first] - begins[first]
+            self.add(new, points[ranges(begins[first], lengths)], lengths, ids, counts)
+            number = self.find(h)
+        lengths = stops - begins
+        if not (np.array_equal(self.char_at[number + 1] - self.char_at[number], lengths) and np.array_equal(self.chars[ranges(self.char_at[number], lengths)], points[ranges(begins, lengths)])):
+            return self._one_by_one(joined, begins, stops, cuts)
+        held = self.id_at[number + 1] - self.id_at[number]
+        return self.ids[ranges(self.id_at[number], held)], np.concatenate([[0], np.cumsum(held)])[cuts]
 
+    def _one_by_one(self, joined: str, begins: np.ndarray, stops: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = self.encode([joined[a:b] for a, b in zip(begins.tolist(), stops.tolist(), strict=True)])
+        return ids, np.concatenate([[0], np.cumsum(counts)])[cuts]
 
-@once
-def encoder(path: str) -> PieceCache:
-    return PieceCache(Vocabulary.load(path))
+    def each(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+        """(ids, where each text's begin and the last's end, number of the first text and of the one after the last), a slice of the texts at a time."""
+        for begin, end in slices([len(t) for t in texts], SLICE_CHARS):
+            yield *self.of(texts[begin:end]), begin, end
+
+
+def ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of every range, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - lengths), lengths)
+
+
+def _hashes(points: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of code points, from prefix sums of a polynomial in them."""
+    up, down = powers(len(points))
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
+    return mixed((sums[stops] - sums[begins]) * down[begins])
+
+
+def prefix_ids(vocabulary: Vocabulary) -> Encode:
+    """Ids of pieces by the prefix encoder."""
+
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out: list[int] = []
+        ends = []
+        for raw in (p.encode("utf-8", "surrogatepass") for p in pieces):
+            token = vocabulary.ranks.get(raw)
+            out += [token] if token is not None else PrefixEncoder(vocabulary, raw).ids()
+            ends.append(len(out))
+        return np.array(out, np.uint32), np.diff(np.array(ends, np.int64), prepend=0)
+
+    return encode
+
+
+class Codec:
+    """Encoder and decoder of one vocabulary, as a worker keeps it."""
+
+    def __init__(self, path: str):
+        vocabulary = Vocabulary.load(path)
+        self.table = PieceTable(prefix_ids(vocabulary))
+        lengths = np.zeros(max(vocabulary.bytes_of) + 1, np.int64)
+        for i, b in vocabulary.bytes_of.items():
+            lengths[i] = len(b)
+        self.lengths, self.begins = lengths, np.cumsum(lengths) - lengths
+        self.bytes = np.frombuffer(b"".join(vocabulary.bytes_of.get(i, b"") for i in range(len(lengths))), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.bytes[ranges(self.begins[ids], self.lengths[ids])].tobytes()
+
+
+codec = once(Codec)
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
-    """Packed ids of each text."""
-    get = encoder(path).__getitem__
-    for begin, end in slices([len(t) for t in texts], 400_000):
-        for pieces in pieces_of(texts[begin:end]):
-            yield b"".join(map(get, pieces))
+    """Packed ids (little-endian, 32 bits each) of each text."""
+    for ids, cuts, _, _ in codec(path).table.each(texts):
+        packed = ids.astype("<u4").tobytes()
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            yield packed[4 * a : 4 * b]
 
 
 def decode_ids(packed: bytes, path: str) -> bytes:
-    return b"".join(map(encoder(path).vocabulary.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+    return codec(path).decode(np.frombuffer(packed, "<u4"))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:

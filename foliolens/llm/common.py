@@ -84,3 +84,22 @@ def once(build: Callable):
         return kept[args]
 
     return get
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits spread."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_UP_DOWN = [np.ones(1, np.uint64)] * 2
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2 to the 64, and their inverses, up to the n-th at least: digests of stretches come from prefix sums."""
+    if len(_UP_DOWN[0]) <= n:
+        size = max(n + 1, 1 << 18)
+        _UP_DOWN[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(x))]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _UP_DOWN[0], _UP_DOWN[1]

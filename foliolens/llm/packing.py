@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolens.llm.byte_bpe import CACHE_CHARS, CACHE_PIECES, pieces_of
-from foliolens.llm.common import once, slices, stored, texts_of
+from foliolens.llm.byte_bpe import PieceTable
+from foliolens.llm.common import once, stored, texts_of
 
 #: Pieces in a packing group, about.
 GROUP_PIECES = 8192
 END_ID = 0
+#: Pieces of text that the library tokenizes in one call.
+TOGETHER = 1000
 
 
 class LibraryIds:
@@ -42,29 +44,37 @@ class LibraryIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.packed: dict[str, bytes] = {}
-
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # Tokens are written with one character for each byte.
+        words = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(words.values()) + 1, np.int64)
+        for word, i in words.items():
+            self.lengths[i] = len(word)
+        self.table = PieceTable(self._of_pieces)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, TOGETHER in one call; the ids' lengths in bytes tell where one piece's end."""
+        ids = [np.empty(0, np.uint32)]
+        for begin in range(0, len(pieces), TOGETHER):
+            (found,) = self.tokenizer.encode_batch_fast([pieces[begin : begin + TOGETHER]], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+        joined = np.concatenate(ids)
+        ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])
+        return joined, np.diff(np.searchsorted(np.cumsum(self.lengths[joined]), ends) + 1, prepend=0)
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        for begin, end in slices([len(t) for t in texts], 400_000):
-            chosen = texts[begin:end]
-            split = list(pieces_of(chosen))
-            known = self.packed
-            if len(known) > CACHE_PIECES:
-                known.clear()
-            missing = list(dict.fromkeys(p for pieces in split for p in pieces if p not in known))
-            known.update(zip(missing, self._pack(missing), strict=True))
-            for text, pieces in zip(chosen, split, strict=True):
+        """Packed ids of each text, END_ID after them."""
+        end_id = np.array([END_ID], "<u4").tobytes()
+        for ids, cuts, begin, end in self.table.each(texts):
+            packed = ids.astype("<u4").tobytes()
+            for text, a, b in zip(texts[begin:end], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 # A special token's string cuts a text before it is split.
                 if any(s in text for s in self.special):
-                    yield self._pack([text])[0]
+                    yield self._ids(text).astype("<u4").tobytes() + end_id
                 else:
-                    yield b"".join(map(known.__getitem__, pieces))
-            for p in missing:
-                if len(p) > CACHE_CHARS:
-                    del known[p]
+                    yield packed[4 * a : 4 * b] + end_id
 
 
 _library = once(LibraryIds)
@@ -85,7 +95,6 @@ def pieces(df: DataFrame, path: str, capacity: int, key: str = "doc_id", text: s
         for batch in batches:
             rows: list[tuple] = []
             for row, packed in enumerate(_library(path).of(texts_of(batch.column(1)))):
-                packed += np.array([END_ID], "<u4").tobytes()
                 for i, (start, length) in enumerate(cut(len(packed) // 4, capacity)):
                     rows.append((row, i, start, length, zlib.crc32(packed[4 * start : 4 * (start + length)]), number))
                     number += 1

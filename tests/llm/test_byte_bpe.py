@@ -54,3 +54,37 @@ def test_rows(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 0), (1, 2), (1, 2)]
     assert byte_bpe.digests(df.limit(0), PATH).collect() == []
     assert byte_bpe.encode(df, PATH).columns == ["doc_id", "text", "n_tokens", "ids"]
+
+
+def test_table_compares_pieces_with_equal_hashes(monkeypatch):
+    texts = ODD + random_texts(300)
+    expected = list(byte_bpe.encode_texts(texts, PATH))
+    vocabulary = byte_bpe.Vocabulary.load(PATH)
+    monkeypatch.setattr(byte_bpe, "_hashes", lambda points, begins, stops: (stops - begins).astype("uint64"))
+    ids, cuts = byte_bpe.PieceTable(byte_bpe.prefix_ids(vocabulary)).of(texts)
+    assert [ids[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)] == expected
+
+
+def test_table_starts_anew(monkeypatch):
+    texts = random_texts(600)
+    expected = list(byte_bpe.encode_texts(texts, PATH))
+    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 200)
+    monkeypatch.setattr(byte_bpe, "SLOTS", 256)
+    monkeypatch.setattr(byte_bpe, "SLICE_CHARS", 100)
+    table = byte_bpe.PieceTable(byte_bpe.prefix_ids(byte_bpe.Vocabulary.load(PATH)))
+    found = [ids[a:b].tobytes() for ids, cuts, _, _ in table.each(texts) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+    assert found == expected and table.count <= 200
+
+
+def test_edits_stop_where_tokens_agree():
+    vocabulary, core = byte_bpe.Vocabulary.load(PATH), own()._core_bpe
+    rng = random.Random(5)
+    piece = "".join(rng.choice(["inter", "nation", "al", "iz", "ing", "the", "q"]) for _ in range(400)).encode()
+    grown = byte_bpe.PrefixEncoder(vocabulary, piece)
+    for _ in range(20):
+        start = rng.randrange(len(piece))
+        end, new = start + rng.randrange(4), rng.choice([b"", b"x", b"tion"])
+        piece = piece[:start] + new + piece[end:]
+        assert grown.edit(start, end, new) <= len(piece)
+        assert grown.ids() == core.encode_single_piece(piece)
+    assert grown.edit(10, 11, b"z") < len(piece) // 2

@@ -65,3 +65,35 @@ def test_ids_and_rows(spark):
             at += length
         assert at <= 2048
     assert packing.pack(df.limit(0), PATH).collect() == []
+
+
+def most_of_first(lengths, capacity):
+    """Fewest sequences, by trying every way."""
+    best = len(lengths)
+
+    def place(i, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(lengths):
+            best = len(gaps)
+            return
+        for g in range(len(gaps)):
+            if gaps[g] >= lengths[i] and gaps[g] not in gaps[:g]:
+                place(i + 1, [*gaps[:g], gaps[g] - lengths[i], *gaps[g + 1 :]])
+        place(i + 1, [*gaps, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_near_the_optimum_of_small_sets():
+    rng = random.Random(11)
+    more = 0
+    for _ in range(60):
+        lengths = sorted((rng.randrange(1, 31) for _ in range(rng.randrange(1, 9))), reverse=True)
+        used = max(packing.best_two_fit(lengths, 30)[0]) + 1
+        least = most_of_first(lengths, 30)
+        assert least <= used <= least + 1
+        more += used > least
+    assert more <= 3
