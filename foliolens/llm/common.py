@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,16 +12,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_CLEARED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; where none is set (as in tests), a folder of this process."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="foliolens-"))
-    return _OWN[0]
+    """The application's folder inside the cluster's shared checkpoint folder, removed when the application ends.
+
+    Where none is set, a folder of this process; that is an error unless driver and executors are one process.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="foliolens-"))
+        named = _OWN[0]
+    folder = f"{named.rstrip('/')}/{context.applicationId}"
+    if folder not in _CLEARED:
+        _CLEARED.add(folder)
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:

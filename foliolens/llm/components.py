@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from foliolens.llm.common import stored
 
-#: Rounds before giving up; the method needs about the square of the logarithm of the longest path.
-MOST_ROUNDS = 40
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, part) of every node of the edges (a, b): part is the smallest node connected to it.
@@ -20,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # about the square of the logarithm of the longest path
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

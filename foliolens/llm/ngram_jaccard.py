@@ -344,7 +344,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """One row of df for each class: that of the smallest key (null last). Rows without shingles stay, once for each key and text."""
     rows = _classes(df, key, text, threshold)
     best = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key")).alias("w")).select("w.id", "w.text_key")
-    stay = best.unionByName(rows.filter("class IS NULL").select("id", "text_key")).distinct().select(F.col("id").alias("_id"), F.col("text_key").alias("_text_key"))
-    marked = df.withColumn("_key", F.xxhash64(text))
-    chosen = marked.join(stay, marked[key].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left_semi")
-    return chosen.dropDuplicates([key, "_key"]).drop("_key")
+    stay = best.unionByName(rows.filter("class IS NULL").select("id", "text_key")).distinct().select(F.col("id").alias("stay_id"), F.col("text_key").alias("stay_key"))
+    # The rows' own columns travel in a struct, whatever their names.
+    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"))
+    chosen = marked.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("text_key") == F.col("stay_key")), "left_semi")
+    return chosen.dropDuplicates(["id", "text_key"]).select("row.*")

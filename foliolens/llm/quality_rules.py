@@ -120,16 +120,22 @@ def estimate(votes: DataFrame, names: list[str], steps: int = STEPS) -> tuple[di
     return accuracies, good
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of df: the key, base counts, the base verdict, the posterior and the verdict."""
     named = rules()
     measured = counts(df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_body")), "_body")
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    kept = stored(measured.select(key, *base, *[v.alias(n) for n, v in named.items()]), "votes")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    kept = stored(measured.select(key, *BASE, *[v.alias(n) for n, v in named.items()]), "votes")
+    failed = base_failed()
     # Rows that fail the base rule are decided; those that pass teach what bad texts among them look like.
     accuracies, good = estimate(kept.filter(~failed), list(named))
-    out = kept.select(key, *base, failed.alias("base_failed"), posterior(accuracies, good).alias("p_good"))
+    out = kept.select(key, *BASE, failed.alias("base_failed"), posterior(accuracies, good).alias("p_good"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
 
@@ -140,8 +146,7 @@ def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     votes = [F.col(f"_m.{n}") for n in named]
     body = df.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"), F.col(f"`{text}`").alias("_body"))
     measured = counts(body, "_body")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    voted = measured.select("row", failed.alias("_failed"), F.struct(*[v.alias(n) for n, v in named.items()]).alias("_m"))
+    voted = measured.select("row", base_failed().alias("_failed"), F.struct(*[v.alias(n) for n, v in named.items()]).alias("_m"))
     # Filtered once written: a filter above would be pushed below the arrays and compute them anew for each of their uses.
     kept = stored(voted, "voted", compression="zstd").filter(~F.col("_failed"))
     accuracies, good = estimate(kept.select(*votes), list(named))

@@ -49,6 +49,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op2_quality_rules alone, which SQL can express."""
+    counted = quality_rules.counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted.select("doc_id", *quality_rules.BASE, quality_rules.base_failed().alias("base_failed"))
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op4_license_scan alone, which SQL can express."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -60,5 +71,28 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_html_extract": op9_html_extract,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "quality_base_counts": quality_base_counts,
+    "license_base_places": license_base_places,
+}
+_PHRASES = ", ".join(f"({[w for w in phrase.split()]!r}, '{label}')" for phrase, label in license_scan.BASE_PHRASES)
+ORACLES: dict[str, str] = {
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+s AS (SELECT page_id, payload, octet_length(encode(payload)) AS n, CASE WHEN octet_length(encode(payload)) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS last FROM p)
+SELECT page_id, n AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN page_id <> last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM s""",
+    "quality_base_counts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+u AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS i FROM w),
+g AS (SELECT doc_id, i, a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM u),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g WHERE c IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM h, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+c AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines FROM w)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM c LEFT JOIN r USING (doc_id)""",
+    "license_base_places": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS i FROM w),
+g AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)), p(phrase, label) AS (VALUES {_PHRASES}),
+f AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM g JOIN p ON a = phrase[1] AND [a, b, c, d][:len(phrase)] = phrase GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN f USING (doc_id)""",
 }
-ORACLES: dict[str, str] = {}

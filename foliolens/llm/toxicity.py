@@ -172,6 +172,12 @@ def score(df: DataFrame, model: Model, text: str = "text", into: str = "score")
     return df.mapInArrow(run, schema)
 
 
+def keep_clean(df: DataFrame, model: Model, text: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows of df whose text scores below `below`, with their columns."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return score(rows, model).filter(F.col("score") < below).select("row.*")
+
+
 def scored_documents(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of documents: the key, whether it belongs to the held-out fold, the score and the verdict at 0.5."""
     model = train(documents, labels, key, text)

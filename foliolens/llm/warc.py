@@ -33,6 +33,8 @@ from foliolens.llm.common import stored, texts_of
 LEAST_SHARED = 1000
 #: Bytes of records in a frame before compression, and of a bundle after it; a longer record is not split.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
+#: An extension header of ours in revisits, which the format allows: the size of the payload that they stand for.
+PAYLOAD_LENGTH = "X-Payload-Length"
 # Fixed values of the seekable format.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -53,7 +55,7 @@ def record(kind: str, record_id: str | None, url: str, payload: bytes, digest: b
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Payload-Length: {size}"]
+        head += [f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"{PAYLOAD_LENGTH}: {size}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -124,7 +126,7 @@ def _id_of(name: str | None) -> str | None:
 def _row(headers: dict[str, str], payload: bytes) -> tuple:
     kind = headers["WARC-Type"]
     if kind == "revisit":
-        size, digest = int(headers["WARC-Refers-To-Payload-Length"]), base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+        size, digest = int(headers[PAYLOAD_LENGTH]), base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     else:
         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
     return _id_of(headers["WARC-Record-ID"]), unquote(headers["WARC-Target-URI"]), size, digest, kind, _id_of(headers.get("WARC-Refers-To")), payload
@@ -136,8 +138,11 @@ def plan(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     marked = pages.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"), body.alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     # Counted before anything is shuffled; payloads with copies only, one row each.
     last = marked.filter(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "last")
-    joined = marked.join(last, "digest", "left")
-    again = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
+    # Revisits are found by ids and digests alone; payloads are dealt out by both, so that copies of one payload don't meet in one task.
+    copies = marked.filter(F.col("size") >= LEAST_SHARED).select("id", "digest").join(last, "digest").filter(~F.col("id").eqNullSafe(F.col("last")))
+    copies = copies.select(F.col("id").alias("copy_id"), F.col("digest").alias("copy_digest"), "last").distinct()
+    joined = marked.join(copies, (F.col("digest") == F.col("copy_digest")) & F.col("id").eqNullSafe(F.col("copy_id")), "left")
+    again = F.col("last").isNotNull()
     return joined.select(
         F.col("id").cast("string").alias("id"), "url", F.when(~again, F.col("payload")).alias("payload"), "digest", "size",
         F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("kind"), F.when(again, F.col("last").cast("string")).alias("refers_to"),
