@@ -1,4 +1,8 @@
-"""From documents to packed training sequences: five stages, each written and read again before the next."""
+"""From documents to packed training sequences: five stages, each written and read again before the next.
+
+An empty table passes through every stage as one. Rows that repeat an id are rows of their own, but for the third
+stage, which keeps one of those with the same id and text. Further columns travel with their rows, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +16,7 @@ from foliolens.llm.common import stored, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier, trained on the labelled ones among them, scores below 0.5. A null text scores as empty."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, into="_toxicity")
-    return scored.filter(F.col("_toxicity") < 0.5).drop("_toxicity")
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
