@@ -3,16 +3,21 @@
 Each text becomes the set of its WORDS-word shingles, represented by min-hashes. Texts with the same set
 are one node from the start. In every run a node follows paths: at each step it samples a few of
 its min-hash tokens by a hash of the path and the token, so that nodes which share a token sample
-it together or not at all. Nodes that meet at the end of a path form a bucket. Small buckets are
-compared by brute force on the min-hashes, each node with those not yet connected to it, so that a bucket of
-near copies takes few comparisons whatever its size; buckets that take more are split by another step. RUNS runs with
-other hashes bring the chance of missing a pair at the threshold below one in a thousand (see recall()).
+it together or not at all. Nodes that meet at the end of a path form a bucket. Runs with other hashes are
+repeated until a pair at the threshold is missed with a chance of 1 - TARGET at most: runs_for() measures how often
+such a pair meets in one run and gives their number.
+
+Buckets are compared by brute force on the min-hashes, each node with those not yet connected to it. Nodes that
+agree on a whole band of min-hashes are connected before, so that a bucket of near copies takes few
+comparisons. A bucket of more than BUCKET_PART nodes is compared in blocks: every pair of its blocks goes to a task of its own, and no
+pair of nodes is left out. A bucket that takes more than COMPARISONS is split by another step instead, REPEATS times with other hashes.
 
 A bucket passes on star edges of similar nodes, never all pairs. Connected nodes are then compared
 exactly, by the shingle sets of their whole texts, in blocks of bounded size: every pair inside a
 connected part is looked at, so links counted are exact there. Classes are the connected parts of
 exact links; the class is named by its smallest document id, and a document's links are the other
-documents, copies included, whose similarity reaches the threshold.
+documents, copies included, whose similarity reaches the threshold. Counting the links of a class takes comparisons
+that grow with the square of its different texts, and each of these is read once for every block of the class.
 
 Words are separated by ASCII white space. A text of fewer words than a shingle has one shingle of all its
 words. Null, empty and blank texts have no shingles: each is a class of its own without links.
@@ -22,6 +27,8 @@ An empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +41,14 @@ from foliolens.llm.common import stored, texts_of, whole_groups
 from foliolens.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-#: Min-hash tokens of a set, and runs. A node samples BRANCHES tokens a step on average.
-TOKENS, RUNS, BRANCHES = 64, 16, 1.35
+#: Min-hash tokens of a set, and the share of pairs at the threshold that some run brings together. A node samples BRANCHES tokens a step on average.
+TOKENS, TARGET, BRANCHES = 64, 0.9999, 1.35
 #: Paths have at least FIRST_STEPS steps; buckets that take more than COMPARISONS are split until MOST_STEPS.
 FIRST_STEPS, MOST_STEPS, COMPARISONS = 2, 5, 10_000_000
-#: A bucket that does not split further is dealt into parts of so many nodes, anew in each run.
-BUCKET_PART = 20_000
+#: Nodes in a block of a bucket, and times that a split bucket is split with other hashes.
+BUCKET_PART, REPEATS = 20_000, 2
+#: Min-hashes of a band.
+BAND = 16
 #: Equal tokens, of TOKENS, from which two nodes of a bucket count as similar enough for the exact comparison.
 LIKELY = 38
 #: Nodes in a block of the exact comparison.
@@ -112,7 +121,14 @@ def next_paths(path: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, step[row, which]
 
 
-def recall(similarity: float, steps: int = FIRST_STEPS, runs: int = RUNS, trials: int = 400, seed: int = 0) -> float:
+@functools.cache
+def runs_for(threshold: float = THRESHOLD, target: float = TARGET) -> int:
+    """Runs after which a pair at the threshold has met with the target's chance."""
+    once = recall(threshold, runs=1, trials=2000)
+    return max(1, math.ceil(math.log(1 - target) / math.log(1 - min(once, 1 - 1e-9))))
+
+
+def recall(similarity: float, steps: int = FIRST_STEPS, runs: int = 16, trials: int = 400, seed: int = 0) -> float:
     """Measured share of pairs of that similarity which meet on a path of `steps` steps in some run."""
     rng, met = np.random.default_rng(seed), 0
     for _ in range(trials):
@@ -146,31 +162,59 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["id", "text_key", "set_key", "tokens"])
 
 
-def _first_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 500):
-            part = batch.slice(begin, 500)
-            node, tokens = part.column(0).to_numpy(), _tokens(part.column(1))
-            row, path, run = (np.tile(np.arange(len(node)), RUNS), np.repeat(np.array([_start(r) for r in range(RUNS)]), len(node)), np.repeat(np.arange(RUNS), len(node)))
-            for _ in range(FIRST_STEPS):
-                at, path = next_paths(path, tokens[row])
-                row, run = row[at], run[at]
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node[row]), pa.array(run.astype(np.int32))], ["path", "node", "run"])
+def _first_paths(runs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                node, tokens = part.column(0).to_numpy(), _tokens(part.column(1))
+                row, path = np.tile(np.arange(len(node)), runs), np.repeat(np.array([_start(r) for r in range(runs)]), len(node))
+                for _ in range(FIRST_STEPS):
+                    at, path = next_paths(path, tokens[row])
+                    row = row[at]
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node[row])], ["path", "node"])
+
+    return run
 
 
 def _further_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 5000):
             part = batch.slice(begin, 5000)
-            row, path = next_paths(part.column(0).to_numpy().view(np.uint64), _tokens(part.column(3)))
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), part.column(1).take(pa.array(row)), part.column(2).take(pa.array(row))], ["path", "node", "run"])
+            path, tokens = part.column(0).to_numpy().view(np.uint64), _tokens(part.column(2))
+            for repeat in range(REPEATS):
+                row, longer = next_paths(_mixed(path + _U(repeat + 1)), tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), part.column(1).take(pa.array(row))], ["path", "node"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = _tokens(batch.column(1)).astype(np.uint64)
+        for band in range(0, TOKENS, BAND):
+            h = np.full(len(tokens), band + 1, np.uint64)
+            for i in range(band, band + BAND):
+                h = _mixed(h * _U(_BASE) + tokens[:, i])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0)], ["band", "node"])
+
+
+def band_edges(tokens: DataFrame) -> DataFrame:
+    """Star edges (a, b) of the nodes that agree on a whole band of min-hashes."""
+    rows = tokens.mapInArrow(_bands, "band long, node long")
+    least = rows.groupBy("band").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")
+    return rows.join(least, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _star_edges(node: np.ndarray, tokens: np.ndarray, budget: float) -> list[tuple[int, int]] | None:
-    """Edges that connect the similar nodes of one bucket: each compared with those not yet connected to it. None if that takes more comparisons."""
-    group, edges = np.arange(len(node)), []
+def _star_edges(node: np.ndarray, tokens: np.ndarray, budget: float, group: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]] | None:
+    """Edges that connect the similar nodes of one bucket: each is compared with those not yet connected to it (of the other side, if there are two). None if that takes more comparisons."""
+    group, edges = np.arange(len(node)) if group is None else np.unique(group, return_inverse=True)[1], []
+    two = side is not None and len(np.unique(side)) > 1
     for i in range(len(node) - 1):
-        others = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+        open_ = group[i + 1 :] != group[i]
+        if two:
+            open_ &= side[i + 1 :] != side[i]
+        others = np.flatnonzero(open_) + i + 1
+        if not len(others):
+            continue
         budget -= len(others)
         if budget < 0:
             return None
@@ -182,24 +226,23 @@ def _star_edges(node: np.ndarray, tokens: np.ndarray, budget: float) -> list[tup
 
 
 def _compared(budget: float):
-    """Edges (a, b) of the buckets; of a bucket that takes more than `budget` comparisons its rows (a, run, path), to be split."""
+    """Edges (a, b) of the buckets; of a bucket that takes more than `budget` comparisons its rows (a, path), to be split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, "bucket", 5000):
-            bucket, node, path, runs = (part.column(c).to_numpy() for c in ("bucket", "node", "path", "run"))
+            bucket, node, path, group, side = (part.column(c).to_numpy() for c in ("bucket", "node", "path", "part", "side"))
             tokens = _tokens(part.column("tokens"))
             cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
             edges, rest = [], []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                found = _star_edges(node[a:b], tokens[a:b], budget)
+                found = _star_edges(node[a:b], tokens[a:b], budget, group[a:b], side[a:b])
                 if found is None:
                     rest += range(a, b)
                 else:
                     edges += found
             at = np.array(rest, np.int64)
-            none = pa.nulls(len(edges), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64()), none, pa.nulls(len(edges), pa.int32())], ["a", "b", "path", "run"])
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(path[at]), pa.array(runs[at])], ["a", "b", "path", "run"])
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64()), pa.nulls(len(edges), pa.int64())], ["a", "b", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(path[at])], ["a", "b", "path"])
 
     return run
 
@@ -208,22 +251,24 @@ def _met(paths: DataFrame) -> DataFrame:
     return paths.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("path"))).filter("met > 1")
 
 
-def likely_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes (node, tokens) that chosen paths bring together and whose min-hashes agree."""
-    tokens = nodes.select("node", "tokens")
-    found, edges = _met(tokens.mapInArrow(_first_paths, "path long, node long, run int")), None
+def likely_edges(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Edges (a, b) between nodes (node, tokens) that agree on a band, or that chosen paths bring together and whose min-hashes agree."""
+    edges = stored(band_edges(nodes.select("node", "tokens")), "band-edges")
+    tokens = nodes.select("node", "tokens").join(components(edges), "node", "left").select("node", "tokens", F.coalesce("part", "node").alias("part"))
+    found = _met(nodes.select("node", "tokens").mapInArrow(_first_paths(runs_for(threshold)), "path long, node long"))
     for step in range(FIRST_STEPS, MOST_STEPS + 1):
-        part = F.pmod(F.xxhash64("node", "run"), F.ceil(F.col("met") / BUCKET_PART))
-        held = found.join(tokens, "node").select(F.xxhash64("path", part).alias("bucket"), "node", "path", "run", "tokens")
+        blocks = F.ceil(F.col("met") / BUCKET_PART).cast("int")
+        held = found.select("path", "node", blocks.alias("blocks")).join(tokens, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        # Buckets of one block stay as they are; of others each block meets each other block, and itself.
+        held = held.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        held = held.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "path", "part", (F.col("own") > F.col("other")).cast("int").alias("side"), "tokens")
         budget = COMPARISONS if step < MOST_STEPS else float("inf")
-        compared = stored(held.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compared(budget), "a long, b long, path long, run int").distinct(), "compared")
-        more = compared.filter("b IS NOT NULL").select("a", "b")
-        edges = more if edges is None else edges.unionByName(more)
-        rest = compared.filter("b IS NULL").select("path", F.col("a").alias("node"), "run")
+        compared = stored(held.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compared(budget), "a long, b long, path long").distinct(), "compared")
+        edges = edges.unionByName(compared.filter("b IS NOT NULL").select("a", "b"))
+        rest = compared.filter("b IS NULL").select("path", F.col("a").alias("node"))
         if step == MOST_STEPS or rest.isEmpty():
-            break
-        longer = rest.join(tokens, "node").select("path", "node", "run", "tokens")
-        found = _met(longer.mapInArrow(_further_paths, "path long, node long, run int"))
+            return edges
+        found = _met(rest.join(tokens, "node").select("path", "node", "tokens").mapInArrow(_further_paths, "path long, node long"))
     return edges
 
 
@@ -315,7 +360,7 @@ def _classes(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     signed = stored(source.mapInArrow(_signatures, f"id {kind}, text_key long, set_key binary, tokens binary"), "signatures")
     nodes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.first("tokens").alias("tokens"), F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
     nodes = stored(nodes.withColumn("node", F.xxhash64("set_key")), "nodes")
-    parts = components(likely_edges(nodes))
+    parts = components(likely_edges(nodes, threshold))
     # Every node that is connected to another, with its part's blocks and its own block there.
     sized = parts.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("part")) / BLOCK).cast("int"))
     members = sized.join(nodes, "node").select("node", "part", "blocks", "copies", "text_key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))

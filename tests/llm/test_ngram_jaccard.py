@@ -104,3 +104,34 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 150), (7, 7)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).orderBy(F.col("node")).collect()
     assert [tuple(r) for r in rows] == [(i, 0) for i in range(31)] + [(100, 100), (150, 100), (200, 100)]
+
+
+def test_runs_reach_the_target():
+    assert ngram_jaccard.recall(0.8, runs=ngram_jaccard.runs_for(0.8, 0.99), trials=2000) >= 0.98
+    assert ngram_jaccard.runs_for(0.8, 0.9) < ngram_jaccard.runs_for(0.8, 0.9999)
+
+
+def test_buckets_of_many_blocks(spark, monkeypatch):
+    """Buckets far over a block's size lose no pair: without bands, all near copies of one text must still meet."""
+    monkeypatch.setattr(ngram_jaccard, "BUCKET_PART", 7)
+    monkeypatch.setattr(ngram_jaccard, "band_edges", lambda tokens: tokens.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    rows = corpus(6)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    assert sorted(tuple(r) for r in ngram_jaccard.join(df).collect()) == sorted(brute(rows))
+
+
+def test_sides_of_a_bucket():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**32, ngram_jaccard.TOKENS, dtype=np.uint32)
+    tokens = np.tile(base, (6, 1))
+    node, side = np.arange(6), np.array([0, 0, 0, 1, 1, 1])
+    edges = ngram_jaccard._star_edges(node, tokens, 100, None, side)
+    assert len(edges) == 5 and all(side[a] != side[b] for a, b in edges)
+    assert ngram_jaccard._star_edges(node, tokens, 100, np.zeros(6, int), side) == []
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 8, 9), (2, "a b c d e f", 7, 8, 9)], "doc_id long, text string, _id int, _key int, text_key int")
+    kept = ngram_jaccard.keep_one(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 7, 8, 9)]
+    assert ngram_jaccard.keep_one(df.limit(0)).collect() == []
