@@ -62,18 +62,42 @@ def gradient_contrast(runs: DataFrame, key: str, fg: str, stops: str, size: str
     return worst.select(key, F.round("raw", 2).alias("ratio"), (F.col("raw") >= F.when(F.col(size) == "large", C.AA_LARGE).otherwise(C.AA_NORMAL)).alias("passes"))
 
 
+def gradient_stops(css) -> Column:
+    """The colours of a linear or radial gradient in order; null for others and for gradients without two colours."""
+    inner = F.regexp_extract(F.lower(T._col(css)), r"^(?:repeating-)?(?:linear|radial)-gradient\((.*)\)$", 1)
+    found = F.filter(F.regexp_extract_all(inner, F.lit(r"#[0-9a-f]{3,8}\b|rgba?\([^)]*\)|[a-z]+(?:-[a-z]+)*"), F.lit(0)), lambda w: C.parse_color(w).isNotNull())
+    return F.when(F.size(found) >= 2, found)
+
+
+def gradient_worst(fg, css, samples: int = 9) -> Column:
+    """The least contrast of a colour with a gradient: colours between neighbouring stops, sampled evenly, flattened over white."""
+    white = C.rgba(F.lit(255), F.lit(255), F.lit(255), F.lit(1))
+    front = C.parse_color(fg)
+    between = lambda x, y, t: C.rgba(*[x[k] + (y[k] - x[k]) * t for k in ("r", "g", "b", "a")])
+    ratio = lambda flat: C.contrast_ratio(C.over(front, flat), flat)
+    steps = F.sequence(F.lit(0), F.lit(samples))
+
+    def worst(stops: Column) -> Column:
+        pairs = F.zip_with(F.slice(stops, 1, F.size(stops) - 1), F.slice(stops, 2, F.size(stops) - 1), lambda x, y: F.array_min(F.transform(steps, lambda i: C.let(C.over(between(x, y, i / samples), white), ratio))))
+        return F.array_min(pairs)
+
+    return C.let(F.transform(gradient_stops(css), C.parse_color), worst)
+
+
 def contrast_issues(runs: DataFrame) -> DataFrame:
-    """runs (fg, bg_kind, layers, swatches, size) with a severity: layers fail as blockers, sampled images as warnings, what can't be computed alerts."""
+    """runs (fg, bg_kind, layers, swatches, size, and gradient_css where there are gradients) with a severity: layers and gradients fail as blockers, sampled images as warnings, what can't be computed alerts."""
     front = C.parse_color("fg")
     solid = C.composite("layers")
     ratio = C.contrast_ratio(C.over(front, solid), solid)
     over_image = F.array_min(F.transform("swatches", lambda s: C.contrast_ratio(C.over(front, C.over(C.parse_color(s), C.rgba(F.lit(255), F.lit(255), F.lit(255), F.lit(1)))), C.over(C.parse_color(s), C.rgba(F.lit(255), F.lit(255), F.lit(255), F.lit(1))))))
     least = F.when(F.col("size") == "large", C.AA_LARGE).otherwise(C.AA_NORMAL)
+    worst = gradient_worst("fg", "gradient_css") if "gradient_css" in runs.columns else F.lit(None).cast("double")
     severity = (
         F.when(front.isNull() | (front["a"] == 0), "alert").when(F.col("bg_kind") == "layers", F.when(ratio < least, "blocker"))
+        .when(F.col("bg_kind") == "gradient", F.when(F.col("_worst").isNull(), "alert").when(F.col("_worst") < least, "blocker"))
         .when(F.col("bg_kind") == "image", F.when(F.coalesce(F.size("swatches"), F.lit(0)) <= 0, "alert").when(over_image < least, "warning")).otherwise("alert")
     )
-    return runs.withColumn("severity", severity)
+    return runs.withColumn("_worst", worst).withColumn("severity", severity).drop("_worst")
 
 
 def better_ink(bg, inks: tuple[str, str] = ("#000000", "#ffffff")) -> Column:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from foliolens.functions import text as T
 from foliolens.operators import audits as A
+from foliolens.operators import pages as P
 
+# What marks a text as quoting: a year in brackets, "v.", "et al.", a numbered reference.
+CITATION = r"\(\d{4}[a-z]?\)|\bv\.\s|\bet al\.|\[\d+\]"
 # Licence codes of a book catalog and their names.
 LICENSES = {"ccby": "CC BY", "ccbysa": "CC BY-SA", "ccbync": "CC BY-NC", "ccbyncsa": "CC BY-NC-SA", "ccbynd": "CC BY-ND", "ccbyncnd": "CC BY-NC-ND", "gnu": "GNU FDL", "publicdomain": "Public Domain"}
 
@@ -58,9 +61,11 @@ def xref_map(nodes: DataFrame, base: str) -> DataFrame:
 
 
 def resolve_xrefs(links: DataFrame, xrefs: DataFrame, fallback: str | None = None) -> DataFrame:
-    """links whose address names a node by a 36-digit identifier, resolved with its fragment kept; unresolved ones fall back and are marked."""
+    """links whose address names a node by a 36-digit identifier, resolved with its fragment kept; unresolved ones fall back and are marked. Links that tell their book look only there."""
     node = F.regexp_extract("href", r"([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", 1)
-    joined = links.withColumn("_node", F.nullif(node, F.lit(""))).join(xrefs.select(F.col("node").alias("_node"), F.col("url").alias("_url")), "_node", "left")
+    on = ["book"] if "book" in links.columns else []
+    urls = xrefs.groupBy(*on, F.col("node").alias("_node")).agg(F.min("url").alias("_url"))
+    joined = links.withColumn("_node", F.nullif(node, F.lit(""))).join(urls, [*on, "_node"], "left")
     fragment = F.regexp_extract("href", "(#.*)$", 1)
     resolved = F.when(F.col("_node").isNull(), F.col("href")).when(F.col("_url").isNotNull(), F.concat("_url", fragment)).otherwise(F.lit(fallback))
     return joined.withColumn("resolved", resolved).withColumn("unresolved", F.col("_node").isNotNull() & F.col("_url").isNull()).drop("_node", "_url")
@@ -76,15 +81,12 @@ def label_link(href, text) -> Column:
     return F.when(generic, F.coalesce(F.nullif(better, F.lit("")), t)).otherwise(t)
 
 
-def figure_captions(tokens: DataFrame, tree: DataFrame, key: str) -> DataFrame:
-    """(key, el, caption, n): figures with the text of their own caption, numbered; no caption is null."""
-    figures = tree.filter("tag = 'figure'").select(key, "el", "open_pos", "close_pos")
-    inner = tree.filter("tag = 'figcaption'").select(F.col(key).alias("k"), F.col("open_pos").alias("o"), F.col("close_pos").alias("c"))
-    joined = figures.join(inner, (F.col("k") == F.col(key)) & (F.col("o") > F.col("open_pos")) & (F.col("c") <= F.col("close_pos")), "left")
-    texts = tokens.filter("kind = 'text'").select(F.col(key).alias("t"), "pos", "text")
-    held = joined.join(texts, (F.col("t") == F.col(key)) & (F.col("pos") > F.col("o")) & (F.col("pos") < F.col("c")), "left")
-    caption = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "text")))), lambda p: p["text"]), "")
-    out = held.groupBy(key, "el").agg(F.nullif(T.collapse(T.decode_entities(caption)), F.lit("")).alias("caption"))
+def figure_captions(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, el, caption, n): figures with the text of their own caption, numbered; no caption is null. A figure inside another belongs to it."""
+    marked = P.enclosing(tokens.select(key, "pos", "kind", "tag", "text", "raw"), key, figure=("figure",), caption=("figcaption",)).filter("figure IS NOT NULL")
+    shown = F.when((F.col("kind") == "text") & F.col("caption").isNotNull(), F.struct("pos", "text"))
+    caption = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda p: p["text"]), "")
+    out = marked.groupBy(key, F.col("figure.el").alias("el")).agg(F.nullif(T.collapse(T.decode_entities(caption)), F.lit("")).alias("caption"))
     return out.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("el")))
 
 
@@ -107,11 +109,6 @@ def attribution(title, publisher, book, authors, license_) -> Column:
     return F.concat(T._col(title), F.lit(", "), source, F.lit(", "), people, F.lit(", "), terms, F.lit(". This version was modified."))
 
 
-def recompile(sections: DataFrame, changed: DataFrame, compile_, key: str = "section_id") -> DataFrame:
-    """compile_ over the changed sections only."""
-    return compile_(sections.join(changed.select(key), key, "left_semi"))
-
-
 def authorable(courses: DataFrame) -> DataFrame:
     """Courses where some enrolment teaches, assists or designs."""
     return courses.filter(F.exists("enrollments", lambda e: e["type"].isin("teacher", "ta", "designer"))).withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit("Untitled course")))
@@ -127,7 +124,7 @@ def admit_images(hits: DataFrame) -> DataFrame:
 
 def admit_documents(files: DataFrame, capabilities: DataFrame, most: int = 16 << 20) -> DataFrame:
     """files (name, detected, length, content) with the first reason to refuse them; capabilities: (extension, format, enabled)."""
-    joined = files.withColumn("extension", F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))).join(F.broadcast(capabilities), "extension", "left")
+    joined = files.withColumn("extension", F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))).join(capabilities, "extension", "left")
     reason = (
         F.when(F.col("format").isNull(), "unknown-format").when(~F.col("enabled"), "disabled").when(F.col("length") > most, "too-large")
         .when(F.col("detected").isNotNull() & (F.col("detected") != F.col("format")), "format-differs").when((F.col("format") == "pdf") & (F.hex(F.substring("content", 1, 5)) != "255044462D"), "not-a-pdf")
@@ -175,6 +172,34 @@ def export_rubric(ratings: DataFrame, chapter: str = "chapter_id") -> DataFrame:
     return ratings.groupBy(chapter).agg(F.to_json(F.struct(rows.alias("rows"))).alias("json"), table.alias("markdown"))
 
 
+def _cell(c) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.coalesce(T._col(c).cast("string"), F.lit("")), r"\|", r"\\|"), r"\s*\n\s*", " ")
+
+
+def _table(head: list[str], rows: Column) -> Column:
+    lines = F.concat(F.lit(f"| {' | '.join(head)} |\n| {' | '.join('---' for _ in head)} |\n"), F.array_join(rows, "\n"))
+    return F.when(F.size(rows) > 0, lines).otherwise("None.")
+
+
+def export_patterns(areas: DataFrame, revisions: DataFrame, book: str = "book") -> DataFrame:
+    """(book, markdown): what was seen over a whole book: a table of areas (area, rating, notes) and one of revisions (ord, where, revision, rationale) in their order."""
+    line = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    said = F.array_sort(F.collect_list(F.struct("area", line(_cell("area"), F.coalesce("rating", F.lit("no draft")), F.coalesce(F.nullif(_cell("notes"), F.lit("")), F.lit("no draft"))).alias("line"))))
+    first = areas.groupBy(book).agg(F.transform(said, lambda r: r["line"]).alias("_areas"))
+    told = F.array_sort(F.collect_list(F.struct("ord", line(_cell("where"), _cell("revision"), _cell("rationale")).alias("line"))))
+    second = revisions.groupBy(book).agg(F.transform(told, lambda r: r["line"]).alias("_revisions"))
+    none = F.array().cast("array<string>")
+    both = first.join(second, book, "full_outer")
+    return both.select(book, F.concat(F.lit("## Areas\n\n"), _table(["Area", "Rating", "Notes"], F.coalesce("_areas", none)), F.lit("\n\n## Revisions\n\n"), _table(["Where", "Revision", "Rationale"], F.coalesce("_revisions", none))).alias("markdown"))
+
+
+def export_plan(plan: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+    """(chapter, markdown): a chapter's revision plan (priority, ord, where, issue, revision) as a table, by priority and then in its order."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("priority").cast("string"), _cell("where"), _cell("issue"), _cell("revision")), F.lit(" |"))
+    rows = F.array_sort(F.collect_list(F.struct("priority", "ord", line.alias("line"))))
+    return plan.groupBy(chapter).agg(_table(["Priority", "Where", "Issue", "Revision"], F.transform(rows, lambda r: r["line"])).alias("markdown"))
+
+
 def parse_rating(c) -> Column:
     """A rating from free text: the first of its names, or null."""
     name = F.lower(F.regexp_extract(T._col(c), r"(?i)\b(exclusive|emerging|inclusive|n/?a|not applicable)\b", 1))
@@ -184,8 +209,8 @@ def parse_rating(c) -> Column:
 def rated_categories(ratings: DataFrame, rows: DataFrame) -> DataFrame:
     """(chapter_id, category, complete): whether every rubric row of a category has a rating; rows: (category, row_id)."""
     sizes = rows.groupBy("category").agg(F.count(F.lit(1)).alias("_of"))
-    done = ratings.filter("rating IS NOT NULL").join(F.broadcast(rows), "row_id").groupBy("chapter_id", "category").agg(F.count_distinct("row_id").alias("_n"))
-    return done.join(F.broadcast(sizes), "category").select("chapter_id", "category", (F.col("_n") == F.col("_of")).alias("complete"))
+    done = ratings.filter("rating IS NOT NULL").join(rows, "row_id").groupBy("chapter_id", "category").agg(F.count_distinct("row_id").alias("_n"))
+    return done.join(sizes, "category").select("chapter_id", "category", (F.col("_n") == F.col("_of")).alias("complete"))
 
 
 def applied_edits(edits: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
@@ -195,7 +220,7 @@ def applied_edits(edits: DataFrame, blocks: DataFrame, on: list[str]) -> DataFra
 
 def in_quotation(tree_path, text) -> Column:
     """Inside a quoting element, or in a block with a citation."""
-    return F.exists(T._col(tree_path), lambda t: t.isin("blockquote", "q", "cite")) | T._col(text).rlike(r"\([^()]*\b(?:1[5-9]|20)\d\d[a-z]?\)")
+    return F.exists(T._col(tree_path), lambda t: t.isin("blockquote", "q", "cite")) | T._col(text).rlike(CITATION)
 
 
 def ocr_pages(detected: DataFrame, measured: DataFrame, doc: str, enough: int = 40) -> DataFrame:

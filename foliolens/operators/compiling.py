@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliolens.functions import text as T
 from foliolens.operators import pages as P
 
 
@@ -22,12 +21,16 @@ class Compiled:
 
 
 def renamed_headings(tokens: DataFrame, key: str) -> DataFrame:
-    """tokens with heading tags re-levelled so that none skips; a close tag follows the heading opened last before it."""
-    new = P.relevel(P.headings(tokens, key), key).select(key, "pos", "new_level")
-    order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    joined = tokens.join(new, [key, "pos"], "left").withColumn("_level", F.last("new_level", True).over(order))
+    """tokens with heading tags re-levelled so that none skips, as P.relevel() says; a close tag follows the heading opened last before it."""
+    page, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("pos")
     heading = F.col("tag").rlike("^h[1-6]$")
-    return joined.withColumn("tag", F.when(heading & F.col("_level").isNotNull(), F.concat(F.lit("h"), F.col("_level").cast("string"))).otherwise(F.col("tag"))).drop("new_level", "_level")
+    marked = tokens.withColumn("_level", F.when((F.col("kind") == "open") & heading, F.substring("tag", 2, 1).cast("int")))
+    marked = marked.withColumns({"_n": F.count("_level").over(order), "_least": F.min("_level").over(page)})
+    marked = marked.withColumn("_gap", F.least(F.lit(6), F.greatest(F.lit(2), F.col("_level") - F.col("_least") + 2)) - F.col("_n"))
+    marked = marked.withColumn("_new", F.when(F.col("_level").isNotNull(), F.col("_n") + F.least(F.lit(1), F.min("_gap").over(order))))
+    marked = marked.withColumn("_last", F.last("_new", True).over(order))
+    named = F.when(heading & F.col("_last").isNotNull(), F.concat(F.lit("h"), F.col("_last").cast("string"))).otherwise(F.col("tag"))
+    return marked.withColumn("tag", named).drop("_level", "_n", "_least", "_gap", "_new", "_last")
 
 
 def compile_pages(sections: DataFrame, key: str = "page_id", html: str = "html") -> Compiled:
@@ -42,10 +45,8 @@ def compile_pages(sections: DataFrame, key: str = "page_id", html: str = "html")
     out = sections.select(key, error.alias("error")).join(made, key, "left").select(key, F.when(F.col("error").isNull(), F.coalesce("compiled", F.lit(""))).otherwise("").alias("html"), "error")
     changed = tokens.filter("kind = 'open'").filter(F.col("tag").isin("b", "i", "u")).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     notes = changed.select(key, F.lit("text-semantics").alias("step"), F.lit("presentational tags replaced").alias("message"), "n")
-    removed = P.removed_semantic(steps, key)
-    stripped = P.stripped_urls(P.attributes(steps, key), key)
     issues = P.map_issues(P.structural_issues(steps, key))
-    return Compiled(out, notes, issues, P.gate(sections, issues, removed, stripped, key))
+    return Compiled(out, notes, issues, P.page_gate(sections, steps, key))
 
 
 def recompile(sections: DataFrame, changed: DataFrame, key: str = "page_id") -> Compiled:
@@ -53,19 +54,6 @@ def recompile(sections: DataFrame, changed: DataFrame, key: str = "page_id") ->
     return compile_pages(sections.join(changed.select(key), key, "left_semi"), key)
 
 
-def declared_colors(tokens: DataFrame, tree: DataFrame, key: str) -> DataFrame:
-    """(key, el, fg, bg): colours that elements with own text declare inline, from the nearest ancestor or themselves."""
-    style = F.get(F.filter("attrs", lambda a: a["name"] == "style"), 0)["value"]
-    own = tokens.filter("kind = 'open'").select(key, F.col("pos").alias("open_pos"), style.alias("style"))
-    declared = lambda name: F.nullif(F.trim(F.regexp_extract("style", rf"(?i)(?:^|;)\s*{name}\s*:\s*([^;]+)", 1)), F.lit(""))
-    styled = tree.join(own, [key, "open_pos"]).select(F.col(key).alias("k"), F.col("open_pos").alias("o"), F.col("close_pos").alias("c"), "depth", declared("color").alias("f"), declared("background(?:-color)?").alias("b")).filter("f IS NOT NULL OR b IS NOT NULL")
-    texts = tokens.filter("kind = 'text'").filter(F.trim("text") != "").select(key, "pos")
-    runs = texts.join(tree.select(key, "el", "open_pos", "close_pos", F.col("depth").alias("d")), key).filter((F.col("pos") > F.col("open_pos")) & (F.col("pos") < F.col("close_pos"))).groupBy(key, "pos").agg(F.max_by(F.struct("el", "open_pos"), "d").alias("e"))
-    runs = runs.select(key, F.col("e.el").alias("el"), F.col("e.open_pos").alias("open_pos")).distinct()
-    held = runs.join(styled, (F.col("k") == F.col(key)) & F.col("open_pos").between(F.col("o"), F.col("c")), "left")
-    return held.groupBy(key, "el").agg(F.max_by("f", F.when(F.col("f").isNotNull(), F.col("depth"))).alias("fg"), F.max_by("b", F.when(F.col("b").isNotNull(), F.col("depth"))).alias("bg"))
-
-
 def tally_blocks(tokens: DataFrame, key: str) -> DataFrame:
     """Per document the numbers of headings by level, lists, items, tables, images with and without text, links and characters."""
     opened = lambda cond: F.count_if((F.col("kind") == "open") & cond)
@@ -74,7 +62,3 @@ def tally_blocks(tokens: DataFrame, key: str) -> DataFrame:
         *levels, opened(F.col("tag").isin("ul", "ol")).alias("lists"), opened(F.col("tag") == "li").alias("items"), opened(F.col("tag") == "table").alias("tables"), opened(F.col("tag") == "img").alias("images"),
         opened(F.col("tag") == "a").alias("links"), F.sum(F.when(F.col("kind") == "text", F.length("text")).otherwise(0)).alias("chars"),
     )
-
-
-def quoted(tree_path) -> Column:
-    return F.exists(T._col(tree_path), lambda t: t.isin("blockquote", "q", "cite"))

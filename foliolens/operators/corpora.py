@@ -41,7 +41,7 @@ def classify_targets(urls: DataFrame, url: str, hosts: DataFrame) -> DataFrame:
     """urls with the policy's verdict on fetching: https, no credentials, a public and listed host, no secrets in the query."""
     host = T.host_of(url)
     secret = F.exists(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: F.lower(p).rlike("^(?:token|key|api[_-]?key|secret|password|access[_-]?token|signature|auth)="))
-    listed = urls.withColumn("_host", host).join(F.broadcast(hosts.select(F.col("host").alias("_host"), F.lit(True).alias("_listed"))), "_host", "left")
+    listed = urls.withColumn("_host", host).join(hosts.select(F.col("host").alias("_host"), F.lit(True).alias("_listed")).distinct(), "_host", "left")
     verdict = (
         F.when(scheme_of(url) != "https", "not-https").when(F.col(url).rlike(r"^[a-zA-Z]+://[^/?#]*@"), "credentials").when(~T.is_public_url(url), "private-host")
         .when(F.col("_listed").isNull(), "host-not-listed").when(secret, "secret-in-query").otherwise("allowed")
@@ -65,7 +65,7 @@ def search_catalog(books: DataFrame, q: str, fields: tuple[str, ...], authors: s
 def enrich_authors(books: DataFrame, authority: DataFrame) -> DataFrame:
     """books (slug, title) with authors from the authority: by slug, else by a title that the authority has once; an empty array for none."""
     norm = lambda c: F.lower(T.collapse(c))
-    by_slug = authority.select("slug", F.col("authors").alias("_a"))
+    by_slug = authority.groupBy("slug").agg(F.min("authors").alias("_a"))
     single = authority.groupBy(norm("title").alias("_t")).agg(F.min("authors").alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("_t", "_b")
     joined = books.join(by_slug, "slug", "left").withColumn("_t", norm("title")).join(single, "_t", "left")
     matched = F.when(F.col("_a").isNotNull(), "slug").when(F.col("_b").isNotNull(), "title").otherwise("none")
@@ -75,19 +75,41 @@ def enrich_authors(books: DataFrame, authority: DataFrame) -> DataFrame:
 # ---- outlines ----
 
 
-def flatten_tree(nodes: DataFrame, most_depth: int = 12) -> DataFrame:
+def flatten_tree(nodes: DataFrame) -> DataFrame:
     """(book, node, chapter, depth, path) of nodes (book, node, parent, ord): top nodes are chapters, below them pre-order paths.
 
-    One join a level, level by level; each goes through the node table once.
+    One join a level until no node is left, each level written before the next. A node that is its own ancestor is an error.
     """
-    level = nodes.filter("parent IS NULL").select("book", "node", F.col("node").alias("chapter"), F.lit(0).alias("depth"), F.array("ord").alias("path"))
-    out, child = level, nodes.select("book", F.col("node").alias("_c"), F.col("parent").alias("node"), F.col("ord").alias("_o"))
-    for depth in range(1, most_depth + 1):
-        level = level.join(child, ["book", "node"]).select("book", F.col("_c").alias("node"), "chapter", F.lit(depth).alias("depth"), F.concat("path", F.array("_o")).alias("path"))
+    level = cut(nodes.filter("parent IS NULL").select("book", "node", F.col("node").alias("chapter"), F.lit(0).alias("depth"), F.array("ord").alias("path")))
+    out, child = level, nodes.filter("parent IS NOT NULL").select("book", F.col("node").alias("_c"), F.col("parent").alias("node"), F.col("ord").alias("_o"))
+    depth, most = 0, None
+    while True:
+        depth += 1
+        level = cut(level.join(child, ["book", "node"]).select("book", F.col("_c").alias("node"), "chapter", F.lit(depth).alias("depth"), F.concat("path", F.array("_o")).alias("path")))
         if level.isEmpty():
-            break
+            return out
+        most = nodes.count() if most is None else most
+        if depth > most:
+            raise ValueError("a node is its own ancestor")
         out = out.unionByName(level)
-    return out
+
+
+def flatten_page_tree(nodes: DataFrame) -> DataFrame:
+    """(book, chapter, n, node, title, url) of nodes that carry a title and address: chapters are the top nodes; of each the nodes with id, title and https address, in pre-order; chapters without any are dropped."""
+    titled = nodes.select("book", "node", T.collapse(T.decode_entities(F.regexp_replace("title", "<[^>]*>", ""))).alias("title"), "url")
+    good = flatten_tree(nodes).join(titled, ["book", "node"]).filter((F.coalesce(F.col("node").cast("string"), F.lit("")) != "") & (F.col("title") != "") & F.lower("url").startswith("https://"))
+    return good.withColumn("n", F.row_number().over(Window.partitionBy("book", "chapter").orderBy("path"))).select("book", "chapter", "n", "node", "title", "url")
+
+
+def publisher_for_host(df: DataFrame, host: str, families: dict[str, str], hosts: dict[str, str], networks: DataFrame) -> DataFrame:
+    """df with the publisher of a host: families by domain (the domain itself and all below it), then single hosts, then the listed networks (host, publisher); null for others."""
+    name = F.regexp_replace(F.lower(F.col(host)), r"\.$", "")
+    family = F.lit(None).cast("string")
+    for domain, publisher in families.items():
+        family = F.when((name == domain) | name.endswith(f".{domain}"), publisher).otherwise(family)
+    single = F.create_map(*[F.lit(x) for pair in hosts.items() for x in pair])[name] if hosts else F.lit(None).cast("string")
+    listed = networks.groupBy(F.lower("host").alias("_host")).agg(F.min("publisher").alias("_publisher"))
+    return df.withColumn("_host", name).join(listed, "_host", "left").withColumn("publisher", F.coalesce(family, single, F.col("_publisher"))).drop("_host", "_publisher")
 
 
 def outline(tree: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -111,17 +133,24 @@ def child_links(links: DataFrame, root: str) -> DataFrame:
     return links.filter((url == base) | url.startswith(F.concat(base, F.lit("/")))).select(root, url.alias("url")).distinct()
 
 
-def expand_frontier(seeds: DataFrame, links: DataFrame, budget: int = 250, rounds: int = 20) -> DataFrame:
-    """(chapter, url, depth) reachable from seeds (chapter, url) over links (src, dst): breadth first, each address once, `budget` pages a chapter."""
-    seen = seeds.select("chapter", "url", F.lit(0).alias("depth"))
-    front = seen
-    for depth in range(1, rounds + 1):
+def expand_frontier(seeds: DataFrame, links: DataFrame, budget: int | None = 250) -> DataFrame:
+    """(chapter, url, depth) reachable from seeds (chapter, url) over links (src, dst), level by level, each address once, until nothing new is found.
+
+    With a budget a chapter keeps so many pages, those of the least depth and then address, and is not followed once it has them.
+    """
+    links = links.distinct()
+    front = cut(seeds.select("chapter", "url", F.lit(0).alias("depth")).distinct())
+    seen, depth = front, 0
+    while not front.isEmpty():
+        depth += 1
+        if budget is not None:
+            full = seen.groupBy("chapter").count().filter(F.col("count") >= budget).select("chapter")
+            front = front.join(full, "chapter", "left_anti")
         found = front.join(links, front["url"] == links["src"]).select("chapter", F.col("dst").alias("url"), F.lit(depth).alias("depth")).distinct()
-        front = found.join(seen.select("chapter", "url"), ["chapter", "url"], "left_anti")
-        front = cut(front)
-        if front.isEmpty():
-            break
+        front = cut(found.join(seen.select("chapter", "url"), ["chapter", "url"], "left_anti"))
         seen = seen.unionByName(front)
+    if budget is None:
+        return seen
     order = Window.partitionBy("chapter").orderBy("depth", "url")
     return seen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= budget).drop("_n")
 
@@ -131,21 +160,56 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, budget: int = 250, round
 WORD = r"[A-Za-z0-9_]+(?:['’-][A-Za-z0-9_]+)*"
 
 
+#: Words, and what stands between them, one after the other.
+_PIECES = WORD + "|[^A-Za-z0-9_]+"
+#: First words of phrases that are told to every task as a list; with more, words are joined instead.
+LISTED = 5_000
+
+
+def preserve_case(original, replacement) -> Column:
+    """A replacement in the manner of what it replaces: capitals throughout, a capital first, or as it is written."""
+    o, r = T._col(original), T._col(replacement)
+    first = F.substring(o, 1, 1)
+    return F.when((F.length(o) > 1) & (o == F.upper(o)) & o.rlike("[A-Z]"), F.upper(r)).when((first == F.upper(first)) & (first != F.lower(first)), F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 1 << 20))).otherwise(r)
+
+
 def find_terms(blocks: DataFrame, rules: DataFrame, keys: list[str], text: str = "text", longest: int | None = None) -> DataFrame:
-    """Hits of phrases (rule_id, phrase, replacement): any case, whole words. Word n-grams meet the phrases in a hash join, so cost doesn't grow with phrases times blocks.
-
-    N-grams are as long as the longest phrase; with `longest` given, a longer phrase is an error."""
-    words = rules.agg(F.max(F.size(F.regexp_extract_all("phrase", F.lit(WORD), F.lit(0))))).first()[0] or 1
-    if longest is not None and words > longest:
-        raise ValueError(f"a phrase has {words} words, longest is {longest}")
-    longest = longest or words
-    listed = blocks.select(*keys, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
-    shifted = F.arrays_zip(*[(F.col("_w") if i == 1 else F.slice("_w", i, F.size("_w"))).alias(f"w{i}") for i in range(1, longest + 1)])
-    rows = listed.filter(F.size("_w") > 0).select(*keys, F.posexplode(shifted).alias("_i", "_z")).select(*keys, (F.col("_i") + 1).alias("at"), "_z.*")
-    grams = [F.when(F.col(f"w{n}").isNotNull(), F.lower(F.concat_ws(" ", *[f"w{i}" for i in range(1, n + 1)]))) for n in range(1, longest + 1)]
-    exploded = rows.select(*keys, "at", F.explode(F.array_compact(F.array(*grams))).alias("gram"))
-    phrases = rules.select("rule_id", F.lower(F.array_join(F.regexp_extract_all("phrase", F.lit(WORD), F.lit(0)), " ")).alias("gram"), "replacement")
-    return exploded.join(phrases, "gram").select(*keys, F.col("at").alias("word"), "gram", "rule_id", "replacement").distinct()
+    """(keys, word, gram, original, rule_id, replacement, kind): phrases (rule_id, phrase, replacement) that stand in a text word for word.
+
+    Letters may be of any case; what stands between the words must be the same; neither a word character nor a hyphen may be next to a
+    hit. `word` is the number of the first word, `replacement` follows the case of `original`, and hits without one are observations.
+    Only words that begin some phrase leave their text, each with the longest phrase's length of text after it, and meet the phrases in a
+    join on that word, so cost grows with such words, not with phrases times texts. With `longest` given, a phrase of more words is an error.
+    """
+    listed = rules.select("rule_id", F.lower("phrase").alias("gram"), F.col("replacement").alias("_new"), F.regexp_extract_all(F.lower("phrase"), F.lit(_PIECES), F.lit(0)).alias("_p"))
+    listed = listed.filter(F.size("_p") > 0).withColumn("_first", F.regexp_extract(F.get("_p", 0), "^[a-z0-9_]+(?:-[a-z0-9_]+)*", 0)).filter("_first <> ''")
+    most = listed.agg(F.max(F.size("_p"))).first()[0] or 1
+    if longest is not None and (most + 1) // 2 > longest:
+        raise ValueError(f"a phrase has {(most + 1) // 2} words, longest is {longest}")
+    firsts = [r["_first"] for r in listed.select("_first").distinct().limit(LISTED + 1).collect()]
+    pieces = blocks.select(*keys, F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)).alias("_w")).filter(F.size("_w") > 0)
+    key = lambda w: F.regexp_extract(F.lower(w), "^[a-z0-9_]+(?:-[a-z0-9_]+)*", 0)
+    begins = F.filter(F.transform("_w", lambda w, i: F.struct(key(w).alias("_first"), i.alias("_i"))), lambda x: x["_first"].isin(*firsts) if 0 < len(firsts) <= LISTED else x["_first"] != "")
+    at = F.transform(begins, lambda x: F.struct(x["_first"].alias("_first"), x["_i"].alias("_i"), F.slice("_w", x["_i"] + 1, most).alias("_s"), F.coalesce(F.get("_w", x["_i"] - 1), F.lit("")).alias("_b"), F.coalesce(F.get("_w", x["_i"] + most), F.lit("")).alias("_e")))
+    odd = F.get("_w", 0).rlike("^[A-Za-z0-9_]")
+    rows = pieces.select(*keys, odd.alias("_odd"), F.explode(at).alias("_x")).select(*keys, "_odd", "_x.*")
+    joined = rows.join(listed, "_first")
+    n = F.size("_p")
+    found = F.array_join(F.slice("_s", 1, n), "")
+    after = F.coalesce(F.get("_s", n), F.when(n == most, F.col("_e")).otherwise(""))
+    same = (F.lower(found) == F.col("gram")) | F.lower(found).startswith(F.concat("gram", F.lit("'"))) | F.lower(found).startswith(F.concat("gram", F.lit("’")))
+    whole = same & ~F.coalesce(after.startswith("-"), F.lit(False)) & ~F.col("_b").endswith("-")
+    word = F.when(F.col("_odd"), F.floor(F.col("_i") / 2) + 1).otherwise(F.floor((F.col("_i") + 1) / 2)).cast("int")
+    original = F.substring(found, F.lit(1), F.length("gram"))
+    hits = joined.filter(whole).select(*keys, word.alias("word"), "gram", original.alias("original"), "rule_id", preserve_case(original, "_new").alias("replacement"))
+    return hits.withColumn("kind", F.when(F.col("replacement").isNull(), "observation").otherwise("edit")).distinct()
+
+
+def find_idioms(blocks: DataFrame, idioms: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, word, original, idiom, gloss, suggestion): idioms (phrase, gloss) in texts, with a gloss to add in brackets."""
+    rules = idioms.select(F.col("phrase").alias("rule_id"), "phrase", F.lit(None).cast("string").alias("replacement"))
+    hits = find_terms(blocks, rules, keys, text).join(idioms.select(F.col("phrase").alias("rule_id"), "gloss"), "rule_id")
+    return hits.select(*keys, "word", "original", F.col("rule_id").alias("idiom"), "gloss", F.concat("original", F.lit(" ("), "gloss", F.lit(")")).alias("suggestion"))
 
 
 def occurrence_index(prefix, original) -> Column:

@@ -77,7 +77,7 @@ def restore_reviews(raw: DataFrame, json: str, rows: list[str], version: int = 1
 def term_category(hits: DataFrame, rules: DataFrame, default: str = "7.6") -> DataFrame:
     """hits (gram) with the category that the lexicon gives their phrase."""
     listed = rules.select(F.lower(T.collapse("phrase")).alias("gram"), F.col("category").alias("_c")).dropDuplicates(["gram"])
-    return hits.join(F.broadcast(listed), "gram", "left").withColumn("category", F.coalesce("_c", F.lit(default))).drop("_c")
+    return hits.join(listed, "gram", "left").withColumn("category", F.coalesce("_c", F.lit(default))).drop("_c")
 
 
 def findings_by_category(findings: DataFrame) -> DataFrame:

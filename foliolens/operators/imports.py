@@ -31,8 +31,7 @@ def sanitize_import(tokens: DataFrame, tree: DataFrame, key: str, base: str | No
     fenced; relative links are resolved against `base` or, without one, lose their address.
     """
     active = tree.filter(F.col("tag").isin(*DROPPED))
-    gone = active.select(F.col(key).alias("k"), "open_pos", "close_pos")
-    left = tokens.join(gone, (F.col("k") == F.col(key)) & F.col("pos").between(F.col("open_pos"), F.col("close_pos")), "left_anti")
+    left = P.strip_chrome(tokens, key, tuple(DROPPED))
     opened = left.filter("kind = 'open'")
     row = lambda df, code, item: df.select(key, F.lit(code).alias("code"), item.alias("item"))
     removals = row(active, "active-removed", F.col("tag")).unionByName(row(opened.filter(F.col("tag").isin(*UNWRAPPED)), "active-removed", F.col("tag")))

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: list[str] = []
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the session's shared one; where none is set, in one of this process, if executors are part of it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not named and not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="foliolens-"))
+    return f"{(named or _OWN[0]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed to the shared folder of the session; where none is set (as in tests), to a folder of this process."""
+    """df, checkpointed to the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliolens-"))
+        context.setCheckpointDir(folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()

@@ -1,7 +1,9 @@
 """Pages as tables: tokens, attributes, elements; filters and transforms over them.
 
-A token row is one tag, text run, or raw block of a page, in page order. Everything but the element
-tree is built from Spark expressions; the tree needs a stack and is one grouped Arrow job.
+A token row is one tag, text run, or raw block of a page, in page order. Everything but what needs a stack of open
+elements is built from Spark expressions. The stack runs over whole pages in Arrow batches, once they are sorted by
+page and place, and takes time in proportion to the tokens: what an element holds is told by the numbers
+of the elements around each token, never by pairing elements with tokens.
 """
 
 from __future__ import annotations
@@ -50,63 +52,168 @@ def attributes(tokens: DataFrame, key: str) -> DataFrame:
     return tokens.filter("kind = 'open'").select(key, "pos", "tag", F.posexplode("attrs").alias("ord", "a")).select(key, "pos", "tag", "ord", "a.name", "a.value")
 
 
-_ELEMENTS = "el int, parent int, open_pos int, close_pos int, depth int, tag string, path array<string>"
+BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "figcaption", "caption")
+REFERENCES = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
 
 
-def elements(tokens: DataFrame, key: str) -> DataFrame:
-    """The element tree: a close tag ends the nearest open element of its name and all inside it; one that matches none is ignored."""
+def by_page(tokens: DataFrame, key: str) -> DataFrame:
+    """tokens with the pages whole in partitions, in order."""
+    return tokens.repartition(key).sortWithinPartitions(key, "pos")
+
+
+class Stack:
+    """Open elements of the page that is being read: a close tag ends the nearest open one of its name and all inside it; one that matches none is ignored."""
+
+    def __init__(self):
+        self.open: list[tuple[int, str]] = []
+        self.counts: dict[str, int] = {}
+        self.next = 0
+
+    def step(self, kind: str, tag: str | None, closed: bool) -> tuple[int | None, list[int]]:
+        """The element that a tag opens or closes or that holds a text, and the elements that end with the token."""
+        if kind == "text":
+            return (self.open[-1][0] if self.open else None), []
+        if kind == "close":
+            if not self.counts.get(tag):
+                return None, []
+            ended = []
+            while not ended or self.last != tag:
+                el, self.last = self.open.pop()
+                self.counts[self.last] -= 1
+                ended.append(el)
+            return ended[-1], ended
+        el, self.next = self.next, self.next + 1
+        if kind == "open" and tag not in rules.VOID_TAGS and not closed:
+            self.open.append((el, tag))
+            self.counts[tag] = self.counts.get(tag, 0) + 1
+            return el, []
+        return el, [el]
+
+
+def elements(tokens: DataFrame, key: str, paths: bool = True) -> DataFrame:
+    """(key, el, parent, open_pos, close_pos, depth, tag, path): the element tree. Paths take room in proportion to the depth; without them `path` is null."""
     kind = dict(tokens.dtypes)[key]
     fields = ["el", "parent", "open_pos", "close_pos", "depth", "tag", "path"]
     types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string())]
 
-    def run(group: pa.Table) -> pa.Table:
-        order = group.sort_by("pos")
-        rows: list[list] = []
-        stack: list[int] = []
-        last = 0
-        for pos, what, tag, raw in zip(*(order.column(c).to_pylist() for c in ("pos", "kind", "tag", "raw")), strict=True):
-            last = pos
-            if what in ("open", "raw"):
-                rows.append([len(rows), stack[-1] if stack else None, pos, pos, len(stack), tag, [rows[i][5] for i in stack]])
-                if what == "open" and tag not in rules.VOID_TAGS and not raw.endswith("/>"):
-                    stack.append(len(rows) - 1)
-            elif what == "close" and any(rows[i][5] == tag for i in stack):
-                while True:
-                    i = stack.pop()
-                    rows[i][3] = pos
-                    if rows[i][5] == tag:
-                        break
-        for i in stack:
-            rows[i][3] = last
-        columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in fields]
-        value = group.column(key)[0].as_py()
-        return pa.table([pa.array([value] * len(rows), group.schema.field(key).type), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[key, *fields])
-
-    return tokens.select(key, "pos", "kind", "tag", "raw").groupBy(key).applyInArrow(run, f"`{key}` {kind}, {_ELEMENTS}")
-
-
-def text_blocks(tokens: DataFrame, tree: DataFrame, key: str, tags: tuple[str, ...] = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "figcaption", "caption")) -> DataFrame:
-    """(key, el, tag, text) of the outermost text blocks: texts lie between an element's tags."""
-    outer = tree.filter(F.col("tag").isin(*tags) & ~F.exists("path", lambda t: t.isin(*tags))).select(F.col(key).alias("k"), "el", F.col("tag").alias("block"), "open_pos", "close_pos")
-    texts = tokens.filter("kind = 'text'").select(key, "pos", "text")
-    held = outer.join(texts, (F.col("k") == F.col(key)) & (F.col("pos") > F.col("open_pos")) & (F.col("pos") < F.col("close_pos")))
+    def run(batches):
+        page, stack, rows, last = None, Stack(), [], 0
+
+        def made(key_type):
+            for el, _ in stack.open:
+                rows[el][3] = last
+            columns = [list(c) for c in zip(*rows, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([page[0]] * len(rows), key_type), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [key, *fields])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                value, pos, what, tag, closed = row
+                if page is None or page[0] != value:
+                    if rows:
+                        yield made(batch.schema.field(0).type)
+                    page, stack, rows = (value,), Stack(), []
+                held = [t for _, t in stack.open] if paths and what in ("open", "raw") else None
+                parent, depth, last = (stack.open[-1][0] if stack.open else None), len(stack.open), pos
+                el, ended = stack.step(what, tag, closed)
+                if what in ("open", "raw"):
+                    rows.append([el, parent, pos, pos, depth, tag, held])
+                for e in ended:
+                    rows[e][3] = pos
+        if rows:
+            yield made(batch.schema.field(0).type)
+
+    columns = by_page(tokens.select(key, "pos", "kind", "tag", F.col("raw").endswith("/>").alias("closed")), key)
+    return columns.mapInArrow(run, f"`{key}` {kind}, el int, parent int, open_pos int, close_pos int, depth int, tag string, path array<string>")
+
+
+def enclosing(tokens: DataFrame, key: str, **sets: tuple[str, ...] | Column) -> DataFrame:
+    """tokens with `el`, the element that a tag opens or closes or that holds a text (numbered as in elements()), with `before`, the
+    paragraph or heading that ended last beside it or beside what holds it, and for each named set of tags, or condition on the token that
+    opens an element, the outermost element of that kind that is or holds the token's element, as (el, tag)."""
+    fields = tokens.columns
+    marks = {f"_is_{n}": F.coalesce(F.col("tag").isin(*m) if isinstance(m, tuple) else m, F.lit(False)) for n, m in sets.items()}
+    held_type = pa.struct([("el", pa.int32()), ("tag", pa.string())])
+    names, flags = list(sets), list(marks)
+
+    def run(batches):
+        page, stack = None, Stack()
+        outer: list[tuple] = []  # by open element
+        before: list[int | None] = [None]  # by open element, after that of the page itself
+        for batch in batches:
+            found: list[list] = [[] for _ in range(len(names) + 2)]
+            for value, what, tag, closed, *kinds in zip(*(batch.column(c).to_pylist() for c in (key, "kind", "tag", "_closed", *flags)), strict=True):
+                if page is None or page[0] != value:
+                    page, stack, outer, before = (value,), Stack(), [], [None]
+                around, reference = (outer[-1] if outer else (None,) * len(names)), before[-1]
+                size = len(stack.open)
+                el, ended = stack.step(what, tag, closed)
+                mine = around
+                if what in ("open", "raw"):
+                    mine = tuple(a or ({"el": el, "tag": tag} if is_kind else None) for a, is_kind in zip(around, kinds, strict=True))
+                    if len(stack.open) > size:
+                        outer.append(mine)
+                        before.append(reference)
+                elif ended:
+                    mine = outer[-len(ended)]
+                    del outer[-len(ended) :], before[-len(ended) :]
+                    reference = before[-1]
+                    if tag in REFERENCES:
+                        before[-1] = el
+                for column, x in zip(found, (el, reference, *mine), strict=True):
+                    column.append(x)
+            arrays = [pa.array(found[0], pa.int32()), pa.array(found[1], pa.int32()), *[pa.array(c, held_type) for c in found[2:]]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in fields], *arrays], [*fields, "el", "before", *names])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in tokens.dtypes) + ", el int, before int" + "".join(f", `{n}` struct<el:int,tag:string>" for n in sets)
+    return by_page(tokens.withColumns({"_closed": F.col("raw").endswith("/>"), **marks}), key).mapInArrow(run, schema)
+
+
+def joined_text(texts: DataFrame, *by) -> DataFrame:
+    """The texts of token rows in order, joined, decoded and collapsed."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t.text), "")
-    return held.groupBy(F.col("k").alias(key), "el", F.col("block").alias("tag")).agg(T.collapse(T.decode_entities(joined)).alias("text"))
+    return texts.groupBy(*by).agg(T.collapse(T.decode_entities(joined)).alias("text"))
+
+
+def text_blocks(tokens: DataFrame, key: str, tags: tuple[str, ...] = BLOCKS) -> DataFrame:
+    """(key, el, tag, text) of the outermost text blocks."""
+    texts = enclosing(tokens.select(key, "pos", "kind", "tag", "text", "raw"), key, block=tags).filter("kind = 'text' AND block IS NOT NULL")
+    return joined_text(texts, key, F.col("block.el").alias("el"), F.col("block.tag").alias("tag"))
+
+
+def section_text(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, text): a page's non-blank block texts in order, an empty line between them."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("el", "text"))), lambda b: b.text)
+    return blocks.filter("text <> ''").groupBy(key).agg(F.array_join(parts, "\n\n").alias("text"))
+
 
+CONTAINERS = ("main", "article", "body")
+CHROME = ("nav", "header", "footer", "aside", "form", "script", "style")
 
-def main_content(tree: DataFrame, key: str, containers: tuple[str, ...] = ("main", "article", "body"), chrome: tuple[str, ...] = ("nav", "header", "footer", "aside", "form", "script", "style")) -> DataFrame:
-    """(key, el, open_pos, close_pos) of each page's best container and, marked, of the chrome inside it."""
-    rank = F.array_position(F.array(*[F.lit(c) for c in containers]), F.col("tag"))
-    best = tree.filter(rank > 0).withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(rank, "el"))).filter("n = 1")
-    inner = tree.filter(F.col("tag").isin(*chrome)).select(F.col(key).alias("k"), F.col("open_pos").alias("o"), F.col("close_pos").alias("c"))
-    within = best.join(inner, (F.col("k") == F.col(key)) & (F.col("o") > F.col("open_pos")) & (F.col("c") <= F.col("close_pos")), "left")
-    return within.groupBy(key, "el", "tag", "open_pos", "close_pos").agg(F.count("o").alias("n_chrome"))
 
+def main_content(tokens: DataFrame, key: str, containers: tuple[str, ...] = CONTAINERS, chrome: tuple[str, ...] = CHROME) -> DataFrame:
+    """(key, container, n_chrome, html) of each page's first container of the first kind that it has: its tokens without the chrome inside it."""
+    marked = enclosing(tokens.select(key, "pos", "kind", "tag", "raw"), key, chrome=chrome, **{f"_{c}": (c,) for c in containers})
+    page = Window.partitionBy(key)
+    own = [F.col(f"_{c}.el") for c in containers]
+    marked = marked.withColumns({f"_first{i}": F.min(c).over(page) for i, c in enumerate(own)})
+    container, inside = F.lit(None).cast("string"), F.lit(False)
+    for i in reversed(range(len(containers))):
+        has = F.col(f"_first{i}").isNotNull()
+        container, inside = F.when(has, F.lit(containers[i])).otherwise(container), F.when(has, F.coalesce(own[i] == F.col(f"_first{i}"), F.lit(False))).otherwise(inside)
+    held = marked.withColumns({"container": container, "_inside": inside}).filter("_inside")
+    shown = F.when(F.col("chrome").isNull(), F.struct("pos", "raw"))
+    html = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda p: p.raw), "")
+    return held.groupBy(key, "container").agg(F.count_distinct("chrome.el").alias("n_chrome"), html.alias("html"))
 
-def strip_chrome(tokens: DataFrame, tree: DataFrame, key: str, tags: tuple[str, ...] = ("nav", "header", "footer", "aside", "form")) -> DataFrame:
-    """tokens without those inside chrome elements: outermost chrome intervals only, anti-joined per page."""
-    out = tree.filter(F.col("tag").isin(*tags)).select(F.col(key).alias("k"), "open_pos", "close_pos")
-    return tokens.join(out, (F.col("k") == F.col(key)) & F.col("pos").between(F.col("open_pos"), F.col("close_pos")), "left_anti")
+
+def strip_chrome(tokens: DataFrame, key: str, tags: tuple[str, ...] = ("nav", "header", "footer", "aside", "form")) -> DataFrame:
+    """tokens without the chrome elements and all inside them."""
+    return enclosing(tokens, key, chrome=tags).filter("chrome IS NULL").select(*tokens.columns)
+
+
+def chrome_counts(tokens: DataFrame, key: str, tags: tuple[str, ...] = ("nav", "header", "footer", "aside", "form")) -> DataFrame:
+    """(key, n) of the outermost chrome elements that strip_chrome() removes."""
+    return enclosing(tokens.select(key, "pos", "kind", "tag", "raw"), key, chrome=tags).filter("chrome IS NOT NULL").groupBy(key).agg(F.count_distinct("chrome.el").alias("n"))
 
 
 def filter_tags(tokens: DataFrame) -> DataFrame:
@@ -127,13 +234,15 @@ def removed_semantic(tokens: DataFrame, key: str) -> DataFrame:
     return gone.groupBy(key, "tag").agg(F.min("pos").alias("first_pos"))
 
 
-def allowed_attribute() -> Column:
+def _listed(values: dict[str, list[str]]) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(*[F.lit(e) for e in v]))])
+
+
+def allowed_attribute(tag="tag", name="name") -> Column:
     """Whether (tag, name) may stay: global, ARIA, data-* and per-element names, never an event handler."""
-    own = F.lit(False)
-    for tag, names in rules.ELEMENT_ATTRIBUTES.items():
-        own = own | (F.col("tag") == tag) & F.col("name").isin(*names.split())
-    listed = F.col("name").isin(*rules.GLOBAL_ATTRIBUTES, *rules.ARIA_ATTRIBUTES) | F.col("name").startswith("data-") | own
-    return listed & ~F.col("name").startswith("on")
+    t, n = T._col(tag), T._col(name)
+    own = F.coalesce(F.array_contains(_listed({k: v.split() for k, v in rules.ELEMENT_ATTRIBUTES.items()})[t], n), F.lit(False))
+    return (n.isin(*rules.GLOBAL_ATTRIBUTES, *rules.ARIA_ATTRIBUTES) | n.startswith("data-") | own) & ~n.startswith("on")
 
 
 def scheme_of(c) -> Column:
@@ -141,22 +250,38 @@ def scheme_of(c) -> Column:
     return F.lower(F.regexp_extract(F.regexp_replace(T._col(c), r"[\x00-\x20]", ""), r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
 
 
-def url_verdict() -> Column:
+def url_verdict(tag="tag", name="name", value="value") -> Column:
     """For (tag, name, value): 'ok', 'stripped' if the scheme isn't permitted there, null where the attribute holds no URL."""
-    verdict = F.lit(None).cast("string")
-    for tag, names in rules.URL_ATTRIBUTES.items():
-        for name, schemes in names.items():
-            fits = scheme_of("value").isin("", *schemes)
-            verdict = F.when((F.col("tag") == tag) & (F.col("name") == name), F.when(fits, "ok").otherwise("stripped")).otherwise(verdict)
-    return verdict
+    schemes = _listed({f"{t}.{n}": ["", *s] for t, names in rules.URL_ATTRIBUTES.items() for n, s in names.items()})[F.concat(T._col(tag), F.lit("."), T._col(name))]
+    return F.when(schemes.isNotNull(), F.when(F.array_contains(schemes, scheme_of(value)), "ok").otherwise("stripped"))
+
+
+def link_target(c) -> Column:
+    """Links open in their own page or a new one; other names mean a new one, blank ones nothing."""
+    v = F.lower(F.trim(T._col(c)))
+    return F.when(v == "_self", "_self").when(v != "", "_blank")
+
+
+def kept_value(name, value) -> Column:
+    """An allowed attribute's value under the policy; null where nothing is left of it."""
+    n, v = T._col(name), T._col(value)
+    return F.when(n == "target", link_target(v)).when(n == "style", F.nullif(filter_style(v), F.lit(""))).otherwise(v)
 
 
 def filter_attributes(attrs: DataFrame, key: str) -> DataFrame:
-    """Attributes that survive: allowed, with a permitted scheme, the first of each name."""
-    kept = attrs.filter(allowed_attribute()).withColumn("url", url_verdict()).filter("url IS NULL OR url = 'ok'")
+    """Attribute rows that survive: allowed, with a permitted scheme and something left of their value, the first of each name."""
+    kept = attrs.filter(allowed_attribute()).withColumn("url", url_verdict()).filter("url IS NULL OR url = 'ok'").withColumn("value", kept_value("name", "value")).filter("value IS NOT NULL")
     first = Window.partitionBy(key, "pos", "name").orderBy("ord")
-    target = F.when(F.col("name") == "target", F.when(F.lower("value") == "_blank", "_blank").otherwise("_self")).otherwise(F.col("value"))
-    return kept.withColumn("n", F.row_number().over(first)).filter("n = 1").withColumn("value", target).drop("n", "url")
+    return kept.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "url")
+
+
+def with_kept_attributes(tokens: DataFrame) -> DataFrame:
+    """tokens with the attributes that survive in `attrs`, as filter_attributes() says, without leaving the row."""
+    allowed = F.filter("attrs", lambda a: allowed_attribute("tag", a["name"]) & (F.coalesce(url_verdict("tag", a["name"], a["value"]), F.lit("ok")) == "ok"))
+    valued = F.filter(F.transform(allowed, lambda a: F.struct(a["name"].alias("name"), kept_value(a["name"], a["value"]).alias("value"))), lambda a: a["value"].isNotNull())
+    names = F.transform("_kept", lambda a: a["name"])
+    first = F.when(F.size(F.array_distinct(names)) == F.size("_kept"), F.col("_kept")).otherwise(F.filter("_kept", lambda a, i: F.array_position(names, a["name"]) == i + 1))
+    return tokens.withColumn("_kept", F.when(F.size("attrs") > 0, valued)).withColumn("attrs", first).drop("_kept")
 
 
 def stripped_urls(attrs: DataFrame, key: str) -> DataFrame:
@@ -171,7 +296,8 @@ def filter_style(c) -> Column:
     roots = "|".join(rules.STYLE_ROOTS)
     safe = lambda d: ~F.lower(d).rlike(r"url\(\s*[\"']?\s*(?!https?:)[a-z][a-z0-9+.-]*:")
     kept = F.filter(parts, lambda d: (name(d).isin(*rules.STYLE_PROPERTIES) | name(d).rlike(f"^(?:{roots})-")) & safe(d))
-    return F.array_join(F.transform(kept, lambda d: F.trim(d)), "; ")
+    told = F.transform(kept, lambda d: F.struct(name(d).alias("n"), F.trim(F.regexp_extract(d, r"(?s):(.*)$", 1)).alias("v")))
+    return F.array_join(F.transform(F.filter(told, lambda d: d["v"] != ""), lambda d: F.concat(d["n"], F.lit(": "), d["v"])), "; ")
 
 
 def content_counts(tokens: DataFrame, key: str) -> DataFrame:
@@ -229,28 +355,71 @@ def absolutize(link, base) -> Column:
     )
 
 
+def flagged(tokens: DataFrame, key: str) -> DataFrame:
+    """tokens with `shifted`, the tag after the heading shift, and with `issues`, what markup alone decides: h1 in the body, skipped heading
+    levels, links without text, images without alt, repeated ids. One shuffle by page serves all of them."""
+    order, page = Window.partitionBy(key).orderBy("pos"), Window.partitionBy(key)
+    opened = F.col("kind") == "open"
+    heading = opened & F.col("tag").rlike("^h[1-6]$")
+    own_id = F.when(opened, F.get(F.filter("attrs", lambda a: a["name"] == "id"), 0)["value"])
+    marked = tokens.withColumns({"_level": F.when(heading, F.substring("tag", 2, 1).cast("int")), "_id": own_id})
+    after = F.lead(F.when(F.col("kind") == "text", F.col("text"))).over(order)
+    marked = marked.withColumns({
+        "_before": F.last("_level", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_after": after, "_h1": F.max(F.col("_level") == 1).over(page),
+        "_nth": F.row_number().over(Window.partitionBy(key, "_id").orderBy("pos")),
+    })
+    issue = lambda test, name, impact: F.when(test, F.struct(F.lit(name).alias("id"), F.lit(impact).alias("impact")))
+    issues = F.array_compact(F.array(
+        issue(F.col("_level") == 1, "page-has-heading-one", "moderate"), issue(F.col("_level") > F.col("_before") + 1, "heading-order", "moderate"),
+        issue(opened & (F.col("tag") == "a") & (T.collapse(T.decode_entities(F.coalesce("_after", F.lit("")))) == ""), "link-name", "serious"),
+        issue(opened & (F.col("tag") == "img") & ~F.exists("attrs", lambda a: a["name"] == "alt"), "image-alt", "critical"), issue(F.col("_id").isNotNull() & (F.col("_nth") > 1), "duplicate-id", "minor"),
+    ))
+    number = F.least(F.lit(6), F.substring("tag", 2, 1).cast("int") + 1)
+    shifted = F.when(F.col("_h1") & F.col("tag").rlike("^h[1-6]$"), F.concat(F.lit("h"), number.cast("string"))).otherwise(F.col("tag"))
+    return marked.withColumns({"issues": issues, "shifted": shifted}).drop("_level", "_id", "_before", "_after", "_h1", "_nth")
+
+
+def absolute_urls(tokens: DataFrame, base: str) -> DataFrame:
+    """tokens with the addresses in `attrs` made absolute against the column `base`: fragments stay; plain http becomes https for what a page loads and
+    for its own host. `rewritten` and `upgraded` count them by token."""
+    slots = [f"{t}.{n}" for t, names in rules.URL_ATTRIBUTES.items() for n in names if n != "srcset"]
+    loads = F.lit(["src", "poster", "data"])
+
+    def told(a):
+        held = F.concat(F.col("tag"), F.lit("."), a["name"]).isin(*slots) & (a["value"] != "") & ~a["value"].startswith("#")
+        full = absolutize(a["value"], base)
+        upgrade = F.lower(full).startswith("http://") & (F.array_contains(loads, a["name"]) | (T.host_of(full) == T.host_of(base)))
+        return F.struct(a["name"].alias("name"), F.when(held, F.when(upgrade, F.concat(F.lit("https"), F.substring(full, 5, 1 << 20))).otherwise(full)).otherwise(a["value"]).alias("value"), (held & upgrade).alias("up"), a["value"].alias("was"))
+
+    made = tokens.withColumn("_made", F.when(F.size("attrs") > 0, F.transform("attrs", told)))
+    count = lambda test: F.coalesce(F.size(F.filter("_made", test)), F.lit(0))
+    counted = made.withColumns({"rewritten": F.greatest(F.lit(0), count(lambda a: a["value"] != a["was"])), "upgraded": F.greatest(F.lit(0), count(lambda a: a["up"]))})
+    new = F.transform("_made", lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value")))
+    return counted.withColumn("attrs", F.coalesce(new, F.col("attrs"))).drop("_made")
+
+
 def structural_issues(tokens: DataFrame, key: str) -> DataFrame:
-    """Issues that markup alone decides: h1 in the body, skipped heading levels, links without text, images without alt, repeated ids."""
-    order = Window.partitionBy(key).orderBy("pos")
-    issue = lambda df, name, impact: df.select(key, F.lit(name).alias("id"), F.lit(impact).alias("impact"), "pos")
-    found = headings(tokens, key)
-    opened = tokens.filter("kind = 'open'")
-    has = lambda n: F.exists("attrs", lambda a: a["name"] == n)
-    named = opened.select(key, "pos", F.get(F.filter("attrs", lambda a: a["name"] == "id"), 0)["value"].alias("id")).filter("id IS NOT NULL")
-    return (
-        issue(found.filter("level = 1"), "page-has-heading-one", "moderate")
-        .unionByName(issue(found.withColumn("before", F.lag("level").over(order)).filter("level > before + 1"), "heading-order", "moderate"))
-        .unionByName(issue(links(tokens, key).filter("text = ''"), "link-name", "serious"))
-        .unionByName(issue(opened.filter((F.col("tag") == "img") & ~has("alt")), "image-alt", "critical"))
-        .unionByName(issue(named.withColumn("n", F.row_number().over(Window.partitionBy(key, "id").orderBy("pos"))).filter("n > 1"), "duplicate-id", "minor"))
-    )
+    """(key, id, impact, pos): the issues that markup alone decides."""
+    return flagged(tokens, key).select(key, F.explode("issues").alias("i"), "pos").select(key, "i.id", "i.impact", "pos")
+
+
+def audit(checks: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, check_order, id, severity, category) of the results of several checks (key, id, severity, category), in the order in which they are given."""
+    found = None
+    for n, (_, rows) in enumerate(checks.items()):
+        part = rows.select(key, F.lit(n).alias("check_order"), "id", "severity", "category")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def severity_of(impact) -> Column:
+    named = F.create_map(*[F.lit(x) for pair in rules.IMPACTS.items() for x in pair])
+    return F.coalesce(named[T._col(impact)], F.lit("error"))
 
 
 def map_issues(found: DataFrame) -> DataFrame:
     """(…, severity, category) from a rule's id and impact: null impact is an error, incomplete results only alert."""
-    severity = F.lit("error")
-    for impact, value in rules.IMPACTS.items():
-        severity = F.when(F.col("impact") == impact, value).otherwise(severity)
+    severity = F.coalesce(severity_of("impact"), F.lit("error"))
     category = F.when(F.col("id").contains("color-contrast"), "contrast").when(F.col("id").startswith("aria-"), "aria").when(F.col("id").isin(*rules.STRUCTURE_RULES), "structure")
     incomplete = F.coalesce(F.col("incomplete"), F.lit(False)) if "incomplete" in found.columns else F.lit(False)
     return found.withColumn("severity", F.when(incomplete, "alert").otherwise(severity)).withColumn("category", F.coalesce(category, F.when(incomplete, "alert").otherwise("error")))
@@ -268,36 +437,50 @@ def gate(keys: DataFrame, issues: DataFrame, removed: DataFrame, stripped: DataF
     return keys.select(key).join(counted, key, "left").withColumns(zero).withColumn("badge_withheld", F.col("blockers") > 0)
 
 
-def sanitize(tokens: DataFrame, key: str) -> DataFrame:
-    """The page policy end to end: heading shift, tag filter, attribute and address filter, and pages put together again."""
-    shifted = filter_tags(shift_headings(tokens, key))
-    kept = filter_attributes(attributes(shifted, key), key)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name", "value"))), lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), T.escape_attribute(a["value"]), F.lit('"'))), "")
-    written = kept.groupBy(key, "pos").agg(joined.alias("written"))
-    out = shifted.join(written, [key, "pos"], "left")
-    raw = F.when(F.col("kind") == "open", F.concat(F.lit("<"), F.col("tag"), F.coalesce("written", F.lit("")), F.lit(">"))).when(F.col("kind") == "close", F.concat(F.lit("</"), F.col("tag"), F.lit(">"))).otherwise(F.col("raw"))
-    return serialize(out.withColumn("raw", raw), key)
+def page_gate(keys: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """gate() over what the tokens alone decide, all counted in one pass over each page."""
+    marked = flagged(tokens, key)
+    severities = F.transform("issues", lambda i: severity_of(i["impact"]))
+    many = lambda *names: F.coalesce(F.sum(F.size(F.filter(severities, lambda x: x.isin(*names)))), F.lit(0))
+    removed = F.when((F.col("kind") == "open") & F.col("shifted").isin(*[t for t in rules.SEMANTIC_TAGS if t not in rules.ALLOWED_TAGS]), F.col("shifted"))
+    stripped = F.transform(F.filter("attrs", lambda a: url_verdict("shifted", a["name"], a["value"]) == "stripped"), lambda a: F.concat("shifted", F.lit("."), a["name"]))
+    counted = marked.groupBy(key).agg(
+        (many("blocker", "error") + F.size(F.collect_set(removed)) + F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.size(stripped) > 0, stripped)))))).alias("blockers"),
+        many("warning").alias("warnings"), many("alert", "advisory").alias("needs_review"),
+    )
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("blockers", "warnings", "needs_review")}
+    return keys.select(key).join(counted, key, "left").withColumns(zero).withColumn("badge_withheld", F.col("blockers") > 0)
 
 
-#: Fixed value: what block ids begin with.
-BLOCK_ID = "b2c-blk-"
+def sanitize(tokens: DataFrame, key: str) -> DataFrame:
+    """The page policy end to end: heading shift, tag filter, attribute, style and address filter, and pages put together again in one shuffle."""
+    kept = with_kept_attributes(filter_tags(shift_headings(tokens, key)))
+    written = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), T.escape_attribute(a["value"]), F.lit('"'))), "")
+    raw = F.when(F.col("kind") == "open", F.concat(F.lit("<"), F.col("tag"), F.coalesce(written, F.lit("")), F.lit(">"))).when(F.col("kind") == "close", F.concat(F.lit("</"), F.col("tag"), F.lit(">"))).otherwise(F.col("raw"))
+    return serialize(kept.select(key, "pos", raw.alias("raw")), key)
 
 
-def assign_block_ids(blocks: DataFrame, key: str, order: str, own: str | None = None) -> DataFrame:
-    """blocks with stable ids: a hash of the section's id in base 36 and the block's ordinal, where they have none of their own."""
+def assign_block_ids(blocks: DataFrame, key: str, order: str, own: str | None = None, prefix: str = "blk-") -> DataFrame:
+    """blocks with stable ids: `prefix`, a hash of the section's id in base 36 and the block's ordinal, where they have none of their own."""
     ordinal = (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("string")
-    made = F.concat(F.lit(BLOCK_ID), F.lower(F.conv(T.fnv1a(F.col(key).cast("string")).cast("string"), 10, 36)), F.lit("-"), ordinal)
+    made = F.concat(F.lit(prefix), F.lower(F.conv(T.fnv1a(F.col(key).cast("string")).cast("string"), 10, 36)), F.lit("-"), ordinal)
     return blocks.withColumn("block_id", F.coalesce(F.nullif(F.col(own), F.lit("")), made) if own else made)
 
 
-def preceding_reference(targets: DataFrame, tree: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
-    """(key, el, reference): for target elements the text of the nearest paragraph or heading that closes before they open, deepest common parent first."""
-    candidates = tree.filter(F.col("tag").rlike("^(?:p|h[1-6])$")).join(blocks.select(key, "el", "text"), [key, "el"]).select(F.col(key).alias("k"), F.col("parent").alias("cp"), F.col("depth").alias("cd"), F.col("close_pos").alias("cc"), "text")
-    parents = tree.select(F.col(key).alias("pk"), F.col("el").alias("pe"), F.col("open_pos").alias("po"), F.col("close_pos").alias("pc"))
-    joined = targets.select(key, "el", "open_pos").join(candidates, (F.col("k") == F.col(key)) & (F.col("cc") < F.col("open_pos")))
-    # A candidate counts if its parent holds the target too.
-    held = joined.join(parents, (F.col("pk") == F.col(key)) & (F.col("pe") == F.col("cp")) & (F.col("po") < F.col("open_pos")) & (F.col("pc") > F.col("open_pos")))
-    return held.groupBy(key, "el").agg(F.max_by("text", F.struct("cd", "cc")).alias("reference"))
+def preceding_reference(tokens: DataFrame, key: str, tags: tuple[str, ...]) -> DataFrame:
+    """(key, el, reference): for the elements with these tags the text of the paragraph or heading that ended last beside them, else beside what holds them."""
+    marked = enclosing(tokens.select(key, "pos", "kind", "tag", "text", "raw"), key, reference=REFERENCES)
+    targets = marked.filter((F.col("kind") == "open") & F.col("tag").isin(*tags) & F.col("before").isNotNull()).select(key, "el", "before")
+    texts = joined_text(marked.filter("kind = 'text' AND reference IS NOT NULL"), key, F.col("reference.el").alias("before"))
+    return targets.join(texts, [key, "before"]).select(key, "el", F.col("text").alias("reference"))
+
+
+def element_ids(tokens: DataFrame, key: str, tags: tuple[str, ...], kind: str) -> DataFrame:
+    """(key, pos, element_id): the id of every element with these tags: its own where it is the first with that, else `kind` and its ordinal."""
+    own = F.nullif(F.trim(F.get(F.filter("attrs", lambda a: a["name"] == "id"), 0)["value"]), F.lit(""))
+    found = tokens.filter((F.col("kind") == "open") & F.col("tag").isin(*tags)).select(key, "pos", own.alias("own"))
+    found = found.withColumns({"n": F.row_number().over(Window.partitionBy(key).orderBy("pos")), "k": F.row_number().over(Window.partitionBy(key, "own").orderBy("pos"))})
+    return found.select(key, "pos", F.when(F.col("own").isNotNull() & (F.col("k") == 1), F.col("own")).otherwise(F.concat(F.lit(f"{kind}-"), F.col("n").cast("string"))).alias("element_id"))
 
 
 def extract_tex(tokens: DataFrame, key: str) -> DataFrame:

@@ -30,7 +30,7 @@ def queue_images(images: DataFrame, answers: DataFrame) -> DataFrame:
     source = A.alt_issue("alt")
     fitted = T.fit_alt("alt")
     issue = F.when(source == "alt-text-too-long", A.alt_issue(fitted)).otherwise(source)
-    joined = images.join(answers.select("key", F.col("type").alias("_type")), "key", "left").withColumn("_issue", issue)
+    joined = images.join(answers.groupBy("key").agg(F.max("type").alias("_type")), "key", "left").withColumn("_issue", issue)
     status = (
         F.when(F.col("presentation"), "presentational").when(F.col("_type") == "decorative", "decorative").when(F.col("_type") == "alt", "described")
         .when(F.col("alt").isNotNull() & (F.trim("alt") == ""), "confirm-decorative").when(F.col("alt").isNotNull() & F.col("_issue").isNull(), "trusted").otherwise("alt")
@@ -50,16 +50,35 @@ def table_grid(cells: DataFrame, key: str = "table_id") -> DataFrame:
     )
 
 
-def promote_headers(cells: DataFrame, answers: DataFrame, key: str = "table_id") -> DataFrame:
-    """cells with (new_tag, scope, refused): the answered band becomes headers unless the grid forbids it, with the first reason."""
-    grid = table_grid(cells, key).withColumnRenamed("rowspan", "any_rowspan")
-    first_column = cells.filter("col_idx = 0").groupBy(key).agg(F.max("colspan").alias("first_column_colspan"))
-    row, column = F.col("choice").isin("row", "both"), F.col("choice").isin("column", "both")
-    refused = (
+def refusal(choice="choice") -> Column:
+    """The first reason why a band of a table can't become headers, from the facts of table_grid() and the widest span of its first column."""
+    row, column = T._col(choice).isin("row", "both"), T._col(choice).isin("column", "both")
+    return (
         F.when(F.col("rows") == 0, "no-rows").when(F.col("any_rowspan"), "rowspan").when(F.col("ragged"), "ragged")
         .when(row & (F.col("first_row_colspan") > 1) | column & (F.col("first_column_colspan") > 1), "colspan-in-band")
     )
-    joined = cells.join(grid, key).join(first_column, key, "left").join(answers.select(key, "choice"), key, "left").withColumn("refused", F.when(F.col("choice").isNotNull(), refused))
+
+
+def _grid(cells: DataFrame, key: str) -> DataFrame:
+    first_column = cells.filter("col_idx = 0").groupBy(key).agg(F.max("colspan").alias("first_column_colspan"))
+    return table_grid(cells, key).withColumnRenamed("rowspan", "any_rowspan").join(first_column, key, "left")
+
+
+def queue_tables(tables: DataFrame, cells: DataFrame, answers: DataFrame, key: str = "table_id") -> DataFrame:
+    """tables (key, role) with a status: presentational by their role or an answer, has-headers, promoted as answered, or queued, with the reason where an answer was refused."""
+    joined = tables.join(_grid(cells, key), key, "left").fillna(0, ["rows"]).join(answers.groupBy(key).agg(F.max("choice").alias("choice")), key, "left")
+    refused = F.when(F.col("choice").isin("row", "column", "both"), refusal())
+    status = (
+        F.when(F.col("role").isin("presentation", "none"), "presentational").when(F.col("has_th"), "has-headers").when(F.col("choice") == "presentation", "layout")
+        .when(F.col("choice").isin("row", "column", "both") & refused.isNull(), "promoted").otherwise("queued")
+    )
+    return joined.select(*tables.columns, status.alias("status"), F.when(status == "queued", refused).alias("refused"))
+
+
+def promote_headers(cells: DataFrame, answers: DataFrame, key: str = "table_id") -> DataFrame:
+    """cells with (new_tag, scope, refused): the answered band becomes headers unless the grid forbids it, with the first reason."""
+    row, column = F.col("choice").isin("row", "both"), F.col("choice").isin("column", "both")
+    joined = cells.join(_grid(cells, key), key).join(answers.groupBy(key).agg(F.max("choice").alias("choice")), key, "left").withColumn("refused", F.when(F.col("choice").isNotNull(), refusal()))
     on = F.col("choice").isNotNull() & F.col("refused").isNull()
     top, side = on & row & (F.col("row_idx") == 0), on & column & (F.col("col_idx") == 0)
     corner = top & side
@@ -111,6 +130,28 @@ def latest(events: DataFrame, key: str, order: str, kind: str = "type", undo: tu
     return last.filter(~F.col(kind).isin(*undo)) if undo else last
 
 
+def fold_edits(events: DataFrame, key: str, order: str, kind: str = "type") -> tuple[DataFrame, DataFrame]:
+    """(edits, dismissed) after a log of events: the last one of each key counts. 'replace', 'keep' and 'image' leave an edit, 'dismiss' a dismissed key, 'undo' neither."""
+    last = latest(events, key, order, kind, ("undo",))
+    return last.filter(F.col(kind).isin("replace", "keep", "image")), last.filter(F.col(kind) == "dismiss").select(key)
+
+
+def fold_reviews(events: DataFrame, rows: DataFrame, elements: DataFrame, order: str, review: str = "chapter_id") -> DataFrame:
+    """(review, slot, category, id, value) after a log of events (type, category, id, value): the last value of every slot.
+
+    'rate' and 'clear-rating' share the slot of their rubric row, which `rows` (category, id) must list; 'check' has one for every
+    element that `elements` lists; 'note' one a category; 'summary' and 'suggestions' one a review.
+    """
+    slot = F.when(F.col("type").isin("rate", "clear-rating"), "rating").otherwise(F.col("type"))
+    known = rows.select(F.lit("rating").alias("slot"), "category", "id").unionByName(elements.select(F.lit("check").alias("slot"), "category", "id")).distinct()
+    marked = events.withColumn("slot", slot)
+    free = marked.filter(~F.col("slot").isin("rating", "check")).withColumn("id", F.lit(None).cast(dict(events.dtypes)["id"]))
+    free = free.withColumn("category", F.when(F.col("slot") == "note", F.col("category")))
+    kept = marked.join(known, ["slot", "category", "id"], "left_semi").select(*free.columns).unionByName(free)
+    last = kept.groupBy(review, "slot", "category", "id").agg(F.max_by(F.struct("type", "value"), order).alias("e"))
+    return last.filter("e.type <> 'clear-rating'").select(review, "slot", "category", "id", F.col("e.value").alias("value"))
+
+
 def over_limit(events: DataFrame, client: str, ts: str, limit: int = 60, window: str = "60 seconds") -> DataFrame:
     """(client, begin, n) of fixed windows with more than `limit` requests. On a stream, give the events a watermark first."""
     counted = events.groupBy(client, F.window(ts, window).alias("w")).agg(F.count(F.lit(1)).alias("n"))

@@ -11,39 +11,58 @@ from foliolens.plans.pages import _TOKENS
 from foliolens.plans.registry import query, table
 
 
-@query("SELECT doc_id, 'document-' || substr(sha256(text), 1, 24) AS work_id, 'document-' || substr(sha256(text), 1, 24) || '-page-1' AS section_id, octet_length(encode(text))::INT AS n FROM documents WHERE octet_length(encode(text)) <= 20000 AND trim(text) <> ''")
+@query("SELECT doc_id, 'document-' || substr(sha256(text), 1, 24) AS work_id, 'document-' || substr(sha256(text), 1, 24) || '-page-1' AS section_id, octet_length(encode(text))::INT AS n FROM documents WHERE octet_length(encode(text)) <= 2097152 AND trim(text) <> ''")
 def text_works(spark, sf_dir):
-    works, _ = K.ingest_text(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), most=20000)
+    works, _ = K.ingest_text(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content")))
     return works.select("doc_id", "work_id", "section_id", F.octet_length("content").alias("n"))
 
 
-@query("SELECT doc_id, 'too-large' AS reason FROM documents WHERE octet_length(encode(text)) > 20000")
+@query("""WITH f AS (SELECT p_partkey, CASE WHEN p_size < 10 THEN repeat(' ', p_size) WHEN p_size < 20 THEN p_name ELSE repeat(p_name || '.', 60000) END AS t, p_size BETWEEN 10 AND 14 AS broken FROM part)
+SELECT p_partkey, CASE WHEN octet_length(encode(t)) > 2097152 THEN 'too-large' WHEN broken THEN 'not-utf8' ELSE 'blank' END AS reason FROM f WHERE octet_length(encode(t)) > 2097152 OR broken OR trim(t) = ''""")
 def text_rejects(spark, sf_dir):
-    return K.ingest_text(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), most=20000)[1].select("doc_id", "reason")
+    size = F.col("p_size")
+    text = F.when(size < 10, F.repeat(F.lit(" "), size)).when(size < 20, F.col("p_name")).otherwise(F.repeat(F.concat("p_name", F.lit(".")), F.when(size >= 20, 60000).otherwise(1)))
+    content = F.when(size.between(10, 14), F.concat(F.unhex(F.lit("FF")), F.col("p_name").cast("binary"))).otherwise(text.cast("binary"))
+    return K.ingest_text(table(spark, sf_dir, "part").select("p_partkey", content.alias("content")))[1].select("p_partkey", "reason")
 
 
-@query("SELECT doc_id, md5('<p>' || replace(replace(replace(replace(trim(text), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') || '</p>') AS digest FROM documents WHERE NOT regexp_matches(text, '\\n[ \\t]*\\n')")
+@query("""WITH p AS (SELECT doc_id, i, trim(x, ' ') AS x FROM (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS i FROM (SELECT doc_id, regexp_split_to_array(replace(text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || ' ' || chr(10) || source ELSE '' END, chr(13) || chr(10), chr(10)), '\\n[ \\t]*\\n+') AS s FROM documents)) WHERE trim(x, ' ') <> '')
+SELECT doc_id, md5(string_agg('<p>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') || '</p>', '' ORDER BY i)) AS digest FROM p GROUP BY doc_id""")
 def text_paragraphs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"\n[ \t]*\n")).select("doc_id", F.md5(T.paragraphize("text")).alias("digest"))
+    """Whole documents, every third with its source as a paragraph of its own."""
+    whole = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n \n"), "source")).otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.paragraphize(whole)).alias("digest"))
 
 
-_RULES = [(1, "of the"), (2, "in the"), (3, "the MIT License"), (4, "CC BY"), (5, "die der"), (6, "que")]
-_WORDS = r"""w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+(?:[''’-][A-Za-z0-9_]+)*') AS w FROM documents),
-g AS (SELECT doc_id, unnest(range(1, len(w) + 1))::INT AS word, w FROM w)"""
+_RULES = [(1, "of the", "Of a"), (2, "in the", None), (3, "the MIT License", "an open license"), (4, "CC BY", None), (5, "die der", "die"), (6, "que", None)]
+_PIECES = r"""u AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+(?:[''’-][A-Za-z0-9_]+)*|[^A-Za-z0-9_]+') AS p FROM documents)),
+w AS (SELECT doc_id, p[1] AS head, i, p[i] AS a, coalesce(p[i - 1], '') AS before, p[i:i + 4] AS s, p[i:i + 5] AS more FROM u WHERE regexp_matches(p[i], '^[A-Za-z0-9_]')),
+t AS (SELECT doc_id, CASE WHEN regexp_matches(head, '^[A-Za-z0-9_]') THEN (i + 1) // 2 ELSE i // 2 END::INT AS word, before, s, more FROM w)"""
+_HITS = """SELECT doc_id, word, rule, substr(array_to_string(s[:k], ''), 1, length(phrase)) AS original FROM t, r
+  WHERE (lower(array_to_string(s[:k], '')) = phrase OR starts_with(lower(array_to_string(s[:k], '')), phrase || chr(39)) OR starts_with(lower(array_to_string(s[:k], '')), phrase || '’')) AND NOT ends_with(before, '-') AND NOT starts_with(coalesce(more[k + 1], ''), '-')"""
 
 
 @query(
-    "WITH " + _WORDS + ", r(rule_id, phrase) AS (VALUES " + ", ".join(f"({i}, '{p.lower()}')" for i, p in _RULES) + "), "
-    "n AS (SELECT doc_id, word, n, lower(array_to_string(w[word:word + n - 1], ' ')) AS gram FROM g, (SELECT unnest([1, 2, 3]) AS n) WHERE word + n - 1 <= len(w)) SELECT doc_id, word, rule_id FROM n JOIN r ON gram = phrase"
+    "WITH " + _PIECES + ", r(rule, phrase, k, new) AS (VALUES " + ", ".join(f"({i}, '{p.lower()}', {2 * len(p.split()) - 1}, {'NULL' if n is None else repr(n)})" for i, p, n in _RULES) + f"), h AS ({_HITS}) "
+    "SELECT doc_id, word, rule AS rule_id, original, CASE WHEN new IS NULL THEN 'observation' ELSE 'edit' END AS kind, CASE WHEN length(original) > 1 AND original = upper(original) AND regexp_matches(original, '[A-Z]') THEN upper(new) "
+    "WHEN upper(original[1]) = original[1] AND lower(original[1]) <> original[1] THEN upper(new[1]) || substr(new, 2) ELSE new END AS replacement FROM h JOIN r USING (rule)"
 )
 def lexicon_hits(spark, sf_dir):
-    rules = spark.createDataFrame([(i, p, None) for i, p in _RULES], "rule_id int, phrase string, replacement string")
-    return K.find_terms(table(spark, sf_dir, "documents"), rules, ["doc_id"]).select("doc_id", "word", "rule_id")
+    rules = spark.createDataFrame(_RULES, "rule_id int, phrase string, replacement string")
+    return K.find_terms(table(spark, sf_dir, "documents"), rules, ["doc_id"]).drop("gram")
 
 
-@query("SELECT doc_id, (length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), 'the', ''))) // 3 AS n FROM documents")
+_IDIOMS = [("by the", "near"), ("in a", "inside"), ("que de", "how many"), ("of the thing", "its")]
+
+
+@query("WITH " + _PIECES + ", r(rule, phrase, k, gloss) AS (VALUES " + ", ".join(f"('{p}', '{p}', {2 * len(p.split()) - 1}, '{g}')" for p, g in _IDIOMS) + f"), h AS ({_HITS}) SELECT doc_id, word, rule AS idiom, original, gloss, original || ' (' || gloss || ')' AS suggestion FROM h JOIN r USING (rule)")
+def idioms_found(spark, sf_dir):
+    return K.find_idioms(table(spark, sf_dir, "documents"), spark.createDataFrame(_IDIOMS, "phrase string, gloss string"), ["doc_id"])
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n FROM documents")
 def occurrence_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", K.occurrence_index(F.substring("text", 1, 200), F.lit("the")).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", K.occurrence_index("text", F.lit("the")).cast("long").alias("n"))
 
 
 @query("SELECT o_orderkey, CASE WHEN length(o_comment) - length(replace(o_comment, 'e', '')) >= 1 THEN regexp_replace(o_comment, 'e', 'E') END AS edited FROM (SELECT o_orderkey, o_orderpriority || ' ' || o_orderstatus || ' e e' AS o_comment FROM orders)")
@@ -79,14 +98,14 @@ def rubric_rating_counts(spark, sf_dir):
     return K.rating_counts(ratings, list(range(8)), orders.select(F.col("o_custkey").alias("chapter_id")).distinct())
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN substr(text, 1, 20) END AS quote, CASE WHEN turn % 3 < 2 THEN CASE WHEN turn % 5 BETWEEN 1 AND 3 THEN turn % 5 ELSE 2 END END AS priority
-  FROM conversations WHERE substr(text, 1, 20) NOT LIKE '%"%' AND substr(text, 1, 20) NOT LIKE '%\\%'""")
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN md5(text) END AS quote, CASE WHEN turn % 3 < 2 THEN CASE WHEN turn % 5 BETWEEN 1 AND 3 THEN turn % 5 ELSE 2 END END AS priority FROM conversations")
 def replies_parsed(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("q", F.substring("text", 1, 20)).filter(~F.col("q").contains('"') & ~F.col("q").contains("\\"))
-    made = F.to_json(F.struct(F.array(F.struct(F.lit("r1").alias("row"), F.col("q").alias("quote"), (F.col("turn") % 5).cast("int").alias("priority"))).alias("items")))
+    """Whole texts as quotes of replies: fenced, bare, or none."""
+    c = table(spark, sf_dir, "conversations")
+    made = F.to_json(F.struct(F.array(F.struct(F.lit("r1").alias("row"), F.col("text").alias("quote"), (F.col("turn") % 5).cast("int").alias("priority"))).alias("items")))
     reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), made, F.lit("\n```\n"))).when(F.col("turn") % 3 == 1, made).otherwise("I can't do that { sorry")
     first = F.get("parsed", 0)
-    return K.parse_replies(c.withColumn("reply", reply), "reply").select("conv_id", "turn", first["quote"].alias("quote"), first["priority"].alias("priority"))
+    return K.parse_replies(c.withColumn("reply", reply), "reply").select("conv_id", "turn", F.md5(first["quote"]).alias("quote"), first["priority"].alias("priority"))
 
 
 @query("SELECT conv_id, turn AS draft, CASE WHEN turn % 2 = 0 THEN 'edit' ELSE 'observation' END AS kind FROM conversations WHERE length(text) > 5")
@@ -188,12 +207,16 @@ def authors_enriched(spark, sf_dir):
     return K.enrich_authors(books, authority).select("p_partkey", "matched", F.array_join("authors", ",").alias("authors"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 300 AS src, l_suppkey * 3 AS dst FROM lineitem WHERE l_orderkey < 400), r AS (SELECT 0 AS chapter, 1::BIGINT AS url UNION SELECT r.chapter, e.dst FROM r JOIN e ON r.url = e.src) SELECT chapter, 'u' || url AS url FROM r")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem WHERE l_linestatus = 'F'),
+r AS (SELECT n_regionkey AS chapter, 's' || s_suppkey AS url FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT r.chapter, e.dst FROM r JOIN e ON r.url = e.src) SELECT chapter, url FROM r""")
 def crawl_frontier(spark, sf_dir):
-    name = lambda c: F.concat(F.lit("u"), c.cast("string"))
-    links = table(spark, sf_dir, "lineitem").filter("l_orderkey < 400").select(name(F.col("l_partkey") % 300).alias("src"), name(F.col("l_suppkey") * 3).alias("dst")).distinct()
-    seeds = table(spark, sf_dir, "region").limit(1).select(F.lit(0).alias("chapter"), F.lit("u1").alias("url"))
-    return K.expand_frontier(seeds, links, budget=1_000_000, rounds=60).select("chapter", "url")
+    """Regions as chapters, their suppliers as first pages: from suppliers to parts, from parts to orders."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    lines = table(spark, sf_dir, "lineitem")
+    links = lines.select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst")).unionByName(lines.filter("l_linestatus = 'F'").select(name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst")))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("chapter"))
+    seeds = table(spark, sf_dir, "supplier").join(nation, "s_nationkey").select("chapter", name("s", "s_suppkey").alias("url"))
+    return K.expand_frontier(seeds, links, budget=None).select("chapter", "url")
 
 
 @query("WITH b AS (SELECT p_partkey, p_brand, regexp_replace(p_type, '[^A-Za-z0-9_.:-]+', '-', 'g') AS a FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, a ORDER BY p_partkey) AS k FROM b) SELECT p_partkey, CASE WHEN k = 1 THEN a ELSE a || '-' || k END AS anchor FROM n")
@@ -204,14 +227,12 @@ def heading_anchors(spark, sf_dir):
 @query()
 def block_ids(spark, sf_dir):
     tokens = P.tokenize(table(spark, sf_dir, "pages"), "page_id")
-    return P.assign_block_ids(P.text_blocks(tokens, P.elements(tokens, "page_id"), "page_id"), "page_id", "el")
+    return P.assign_block_ids(P.text_blocks(tokens, "page_id"), "page_id", "el")
 
 
 @query()
 def link_references(spark, sf_dir):
-    tokens = P.tokenize(table(spark, sf_dir, "pages"), "page_id")
-    tree = P.elements(tokens, "page_id")
-    return P.preceding_reference(tree.filter("tag = 'br'"), tree, P.text_blocks(tokens, tree, "page_id"), "page_id")
+    return P.preceding_reference(P.tokenize(table(spark, sf_dir, "pages"), "page_id"), "page_id", ("br",))
 
 
 @query()

@@ -93,10 +93,12 @@ def page_links(spark, sf_dir):
     return P.links(_tokens(spark, sf_dir), "page_id")
 
 
-@query(_TOKENS + "SELECT l.page_id, l.pos, regexp_extract(p.url, '^([a-z]+://[^/?#]*)', 1) || l.href AS link FROM lnk l JOIN pages p USING (page_id) WHERE l.href LIKE '/%'")
+@query(_TOKENS + """, h AS (SELECT l.page_id, l.pos, l.href, CASE WHEN l.href LIKE '/%' THEN regexp_extract(p.url, '^([a-z]+://[^/?#]*)', 1) || l.href ELSE l.href END AS link, lower(regexp_extract(p.url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM lnk l JOIN pages p USING (page_id) WHERE l.href IS NOT NULL),
+  u AS (SELECT *, link LIKE 'http://%' AND lower(regexp_extract(link, '^[a-z]+://([^/?#:]*)', 1)) = host AS up FROM h) SELECT page_id, pos, CASE WHEN up THEN 'https' || substr(link, 5) ELSE link END AS link, (CASE WHEN up OR link <> href THEN 1 ELSE 0 END)::INT AS rewritten, (CASE WHEN up THEN 1 ELSE 0 END)::INT AS upgraded FROM u""")
 def page_absolute_links(spark, sf_dir):
-    found = P.links(_tokens(spark, sf_dir), "page_id").join(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
-    return found.filter(F.col("href").startswith("/")).select("page_id", "pos", P.absolutize("href", "url").alias("link"))
+    tokens = _tokens(spark, sf_dir).join(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    links = P.absolute_urls(tokens, "url").filter("kind = 'open' AND tag = 'a'")
+    return links.select("page_id", "pos", F.get(F.filter("attrs", lambda a: a["name"] == "href"), 0)["value"].alias("link"), "rewritten", "upgraded").filter("link IS NOT NULL")
 
 
 @query(_TOKENS + _ISSUES)
@@ -114,9 +116,7 @@ SELECT p.page_id, coalesce(blockers, 0) AS blockers, coalesce(warnings, 0) AS wa
 def page_gate(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     tokens = P.tokenize(pages, "page_id")
-    shifted = P.shift_headings(tokens, "page_id")
-    issues = P.map_issues(P.structural_issues(tokens, "page_id"))
-    return P.gate(pages, issues, P.removed_semantic(shifted, "page_id"), P.stripped_urls(P.attributes(shifted, "page_id"), "page_id"), "page_id")
+    return P.page_gate(pages, tokens, "page_id")
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS normal, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS host, regexp_matches(url, '^https://') AS is_content FROM pages")
@@ -133,18 +133,29 @@ def page_hosts(spark, sf_dir):
 _ADDED = "CASE page_id % 5 WHEN 0 THEN 'javascript:go()' WHEN 1 THEN 'https://a.example/' WHEN 2 THEN 'MAILTO:a@b.c' WHEN 3 THEN 'data:text/html,x' ELSE '/p' END"
 
 
-@query(f"SELECT page_id, {_ADDED} AS value, page_id % 5 IN (0, 3) AS is_stripped, CASE WHEN page_id % 3 = 0 THEN '_blank' ELSE '_self' END AS target FROM pages")
+@query(f"SELECT page_id, {_ADDED} AS value, page_id % 5 IN (0, 3) AS is_stripped, CASE WHEN page_id % 3 = 1 THEN '_self' ELSE '_blank' END AS target FROM pages")
 def page_address_policy(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.lit("a").alias("tag"), F.lit("href").alias("name"), F.expr(_ADDED).alias("value"))
-    target = pages.select("page_id", F.lit(0).alias("pos"), "tag", F.lit(0).alias("ord"), F.lit("target").alias("name"), F.when(F.col("page_id") % 3 == 0, "_BLANK").otherwise("window").alias("value"))
+    target = pages.select("page_id", F.lit(0).alias("pos"), "tag", F.lit(0).alias("ord"), F.lit("target").alias("name"), F.when(F.col("page_id") % 3 == 0, "_BLANK").when(F.col("page_id") % 3 == 1, " _Self ").otherwise("window").alias("value"))
     kept = P.filter_attributes(target, "page_id").select("page_id", F.col("value").alias("target"))
     return pages.select("page_id", "value", (P.url_verdict() == "stripped").alias("is_stripped")).join(kept, "page_id")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'color: red; margin-left: 2px' ELSE 'color: red' END AS style FROM pages")
+_STYLE = """list_aggregate(list_filter(['color:rgb(' || (p_partkey % 256) || ', 0, 0)', 'position: fixed', 'MARGIN-left :  ' || p_size || 'px', 'background: url(' || CASE WHEN p_partkey % 3 = 0 THEN 'javascript:x' ELSE 'https://h/' || p_name || ';v' END || ')',
+  CASE WHEN p_size % 2 = 0 THEN 'z-index: 9' END, 'behavior: url(''a;b'')', 'width:', p_type], lambda x: x IS NOT NULL), 'string_agg', ';')"""
+
+
+@query(f"""WITH s AS (SELECT p_partkey, '<p style="' || replace({_STYLE}, '"', '') || '">' || p_name || '</p>' AS html, p_size, p_name FROM part)
+SELECT p_partkey, '<p style="color: rgb(' || (p_partkey % 256) || ', 0, 0); margin-left: ' || p_size || 'px' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '; background: url(https://h/' || p_name || ';v)' END || '">' || p_name || '</p>' AS html FROM s""")
 def page_style_policy(spark, sf_dir):
-    made = F.when(F.col("page_id") % 2 == 0, F.lit("color: red; position: fixed; margin-left: 2px; background: url(javascript:x)")).otherwise(F.lit("color: red;; behavior: url('a;b')"))
-    return table(spark, sf_dir, "pages").select("page_id", P.filter_style(made).alias("style"))
+    """Styles through the whole sanitizer: pages made of parts."""
+    k = F.col("p_partkey")
+    style = F.concat_ws(
+        ";", F.concat(F.lit("color:rgb("), (k % 256).cast("string"), F.lit(", 0, 0)")), F.lit("position: fixed"), F.concat(F.lit("MARGIN-left :  "), F.col("p_size").cast("string"), F.lit("px")),
+        F.concat(F.lit("background: url("), F.when(k % 3 == 0, F.lit("javascript:x")).otherwise(F.concat(F.lit("https://h/"), "p_name", F.lit(";v"))), F.lit(")")), F.when(F.col("p_size") % 2 == 0, F.lit("z-index: 9")), F.lit("behavior: url('a;b')"), F.lit("width:"), "p_type",
+    )
+    made = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('<p style="'), style, F.lit('">'), "p_name", F.lit("</p>")).alias("html"))
+    return P.sanitize(P.tokenize(made, "p_partkey"), "p_partkey")
 
 
 @query()
@@ -154,24 +165,25 @@ def page_elements(spark, sf_dir):
 
 @query()
 def page_text_blocks(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
-    return P.text_blocks(tokens, P.elements(tokens, "page_id"), "page_id")
+    return P.text_blocks(_tokens(spark, sf_dir), "page_id")
 
 
 @query()
 def page_main_content(spark, sf_dir):
-    return P.main_content(P.elements(_tokens(spark, sf_dir), "page_id"), "page_id")
+    return P.main_content(_tokens(spark, sf_dir), "page_id").withColumn("html", F.md5("html"))
 
 
 @query()
 def page_without_chrome(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
-    return P.serialize(P.strip_chrome(tokens, P.elements(tokens, "page_id"), "page_id"), "page_id")
+    return P.serialize(P.strip_chrome(_tokens(spark, sf_dir), "page_id"), "page_id")
 
 
-@query()
+@query(_TOKENS + """, k AS (SELECT page_id, pos, raw, kind, tag, CASE WHEN tag = 'a' AND kind = 'open' THEN regexp_extract(raw, 'href="([^"]*)"', 1) END AS href, CASE WHEN kind = 'open' THEN regexp_extract(raw, 'class="([^"]*)"', 1) END AS cls,
+    CASE WHEN kind = 'open' THEN regexp_extract(raw, 'lang="([^"]*)"', 1) END AS lng FROM shifted WHERE kind = 'text' OR (kind <> 'raw' AND tag IN (""" + ", ".join(f"'{t}'" for t in rules.ALLOWED_TAGS) + """)))
+  SELECT page_id, md5(string_agg(CASE kind WHEN 'text' THEN raw WHEN 'close' THEN '</' || tag || '>' ELSE '<' || tag || CASE WHEN href <> '' THEN ' href="' || href || '"' ELSE '' END || CASE WHEN cls <> '' THEN ' class="' || cls || '"' ELSE '' END
+    || CASE WHEN lng <> '' THEN ' lang="' || lng || '"' ELSE '' END || '>' END, '' ORDER BY pos)) AS digest FROM k GROUP BY page_id""")
 def page_sanitized(spark, sf_dir):
-    return P.sanitize(_tokens(spark, sf_dir), "page_id")
+    return P.sanitize(_tokens(spark, sf_dir), "page_id").select("page_id", F.md5("html").alias("digest"))
 
 
 @query()
@@ -180,10 +192,12 @@ def pages_compiled(spark, sf_dir):
     return done.sections.select("page_id", F.length("html").alias("n"), F.md5("html").alias("digest"), "error").join(done.gate, "page_id")
 
 
-@query(_TOKENS + "SELECT page_id, 'text-semantics' AS step, count(*) AS n FROM tok WHERE kind = 'open' AND tag IN ('b', 'i', 'u') AND page_id % 4 = 0 GROUP BY page_id")
+@query(_TOKENS + "SELECT page_id, 'text-semantics' AS step, count(*) AS n FROM tok WHERE kind = 'open' AND tag IN ('b', 'i', 'u') AND page_id IN (SELECT page_id FROM pages JOIN documents ON doc_id = page_id WHERE md5(html) < md5(text)) GROUP BY page_id")
 def pages_recompiled_notes(spark, sf_dir):
+    """Pages that changed: here those whose digest is below that of the document of the same number."""
     pages = table(spark, sf_dir, "pages")
-    return compiling.recompile(pages, pages.filter("page_id % 4 = 0")).notes.drop("message")
+    digests = pages.select("page_id", F.md5("html").alias("now")).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.md5("text").alias("before")), "page_id")
+    return compiling.recompile(pages, digests.filter("now < before")).notes.drop("message")
 
 
 @query(_TOKENS + "SELECT page_id, " + ", ".join(f"count(*) FILTER (kind = 'open' AND tag = 'h{i}') AS h{i}" for i in range(1, 7)) + ", count(*) FILTER (kind = 'open' AND tag IN ('ul', 'ol')) AS lists, count(*) FILTER (kind = 'open' AND tag = 'li') AS items, count(*) FILTER (kind = 'open' AND tag = 'table') AS tables, count(*) FILTER (kind = 'open' AND tag = 'img') AS images, count(*) FILTER (kind = 'open' AND tag = 'a') AS links, sum(CASE WHEN kind = 'text' THEN length(raw) ELSE 0 END)::BIGINT AS chars FROM tok GROUP BY page_id")
@@ -191,12 +205,6 @@ def page_tallies(spark, sf_dir):
     return compiling.tally_blocks(_tokens(spark, sf_dir), "page_id")
 
 
-@query()
-def page_declared_colors(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
-    return compiling.declared_colors(tokens, P.elements(tokens, "page_id"), "page_id")
-
-
 @query(_TOKENS + """, r AS (SELECT page_id, 'active-removed' AS code, tag AS item FROM tok WHERE kind = 'raw' UNION ALL SELECT page_id, 'unsupported', tag FROM tok WHERE kind = 'open' AND tag IN ('html', 'head', 'meta', 'title', 'body')
   UNION ALL SELECT page_id, 'relative-link', 'a.href' FROM lnk WHERE href LIKE '/%') SELECT page_id, code, string_agg(DISTINCT item, ',' ORDER BY item) AS items, count(*) AS n FROM r GROUP BY page_id, code""")
 def import_findings(spark, sf_dir):

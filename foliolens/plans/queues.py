@@ -127,15 +127,15 @@ def requests_over_limit(spark, sf_dir):
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def answers_folded_stream(spark, sf_dir):
-    import uuid
-
+    from foliolens.operators.lineage import folder
     from foliolens.streaming import folds
 
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").select("user_id", "event_id", F.col("event_type").alias("type"))
-    name = f"folded_{uuid.uuid4().hex}"
-    folds.fold_latest(stream, "user_id", "event_id", "type").writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).groupBy("user_id").agg(F.max_by("type", "event_id").alias("type"), F.max("event_id").alias("event_id"))
+    sink = folder(spark, "folded")
+    updates = folds.fold_latest(stream, "user_id", "event_id", "type").writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{sink}/out/batch={number}")).outputMode("update")
+    updates.option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{sink}/out").groupBy("user_id").agg(F.max_by("type", "event_id").alias("type"), F.max("event_id").alias("event_id"))
 
 
 __all__ = ["_ALT"]
