@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import stored, texts_of, whole_groups
+from foliolens.llm.common import mixed, powers, stored, texts_of, whole_groups
 from foliolens.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -58,28 +58,10 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _mixed(h):
-    h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(29))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(32))
-
-
-_SEEDS = _mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+_SEEDS = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15
 
 
-class _Powers:
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int):
-        if len(cls.up) <= n:
-            size = max(n + 1, 1 << 18)
-            step = lambda x: np.cumprod(np.concatenate([[_U(1)], np.full(size, _U(x))]), dtype=np.uint64)
-            cls.up, cls.down = step(_BASE), step(pow(_BASE, -1, 1 << 64))
-        return cls.up, cls.down
-
-
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -88,14 +70,14 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
         return np.empty(0, np.uint64)
-    up, down = _Powers.of(len(data))
+    up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * up[: len(data)], out=sums[1:])
-    word = _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    word = mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
     take = min(words, len(word))
     h = np.full(len(word) - take + 1, take, np.uint64)
     for i in range(take):
-        h = _mixed(h * _U(0x2545F4914F6CDD1D) + word[i : i + len(h)])
+        h = mixed(h * _U(0x2545F4914F6CDD1D) + word[i : i + len(h)])
     return np.unique(h)
 
 
@@ -103,8 +85,8 @@ def min_hashes(found: np.ndarray) -> np.ndarray:
     out = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
     for begin in range(0, len(found), 4096):
         part = found[begin : begin + 4096]
-        np.minimum(out, _mixed(part[None, :] ^ _SEEDS[:, None]).min(axis=1), out=out)
-    return _mixed(out ^ (_SEEDS << _U(1))).astype(np.uint32)
+        np.minimum(out, mixed(part[None, :] ^ _SEEDS[:, None]).min(axis=1), out=out)
+    return mixed(out ^ (_SEEDS << _U(1))).astype(np.uint32)
 
 
 def set_key(found: np.ndarray) -> bytes:
@@ -116,8 +98,8 @@ _LIMIT = _U(int(BRANCHES / TOKENS * 2**64))
 
 def next_paths(path: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and longer paths: each row's path is extended by every token that it samples there."""
-    step = _mixed(path[:, None] ^ (tokens.astype(np.uint64) << _U(7) | np.arange(TOKENS, dtype=np.uint64)) * _U(_BASE))
-    row, which = np.nonzero(_mixed(step + _U(1)) < _LIMIT)
+    step = mixed(path[:, None] ^ (tokens.astype(np.uint64) << _U(7) | np.arange(TOKENS, dtype=np.uint64)) * _U(_BASE))
+    row, which = np.nonzero(mixed(step + _U(1)) < _LIMIT)
     return row, step[row, which]
 
 
@@ -145,7 +127,7 @@ def recall(similarity: float, steps: int = FIRST_STEPS, runs: int = 16, trials:
 
 
 def _start(run: int) -> np.uint64:
-    return _mixed(np.array([run + 1], np.uint64) * _U(0xD6E8FEB86659FD93))[0]
+    return mixed(np.array([run + 1], np.uint64) * _U(0xD6E8FEB86659FD93))[0]
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -183,7 +165,7 @@ def _further_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             part = batch.slice(begin, 5000)
             path, tokens = part.column(0).to_numpy().view(np.uint64), _tokens(part.column(2))
             for repeat in range(REPEATS):
-                row, longer = next_paths(_mixed(path + _U(repeat + 1)), tokens)
+                row, longer = next_paths(mixed(path + _U(repeat + 1)), tokens)
                 yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), part.column(1).take(pa.array(row))], ["path", "node"])
 
 
@@ -193,7 +175,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for band in range(0, TOKENS, BAND):
             h = np.full(len(tokens), band + 1, np.uint64)
             for i in range(band, band + BAND):
-                h = _mixed(h * _U(_BASE) + tokens[:, i])
+                h = mixed(h * _U(_BASE) + tokens[:, i])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0)], ["band", "node"])
 
 

@@ -2,15 +2,17 @@
 
 A difference cover samples positions so that any two equal strings hold sampled positions at the same
 shift; suffixes at other positions are then compared as "a few leading bytes, then the rank of a
-sampled suffix". Here the cover is chosen by content instead of by position modulo 3: the sample of
+sampled suffix". Here positions are sampled by content, not by their remainders: the sample of
 every LENGTH-byte window is its k-gram of smallest hash, so equal windows share it at the same
-offset, and one position in about 76 is sampled instead of two in three. Since windows are compared to
+offset, and one position in about 76 is sampled. This takes the place of a difference cover in the strict sense, whose
+samples (two positions of three, or 12 of 133) don't fit the limits: the README has measured figures. Since windows are compared to
 LENGTH bytes only, one level of names is enough and no recursion is needed:
 
-1. sample: each sampled position owns the run of windows that chose it. Its name is its k-gram; its
-   neighbourhood is the bytes that its windows cover.
-2. sort by name (a shuffle). A name that occurs once settles its windows as unique. Neighbourhoods that
-   occur twice in full settle theirs as repeated. Only what is left goes on.
+1. sample: texts are made distinct, with their number. Each sampled position owns the run of windows that chose it. Its name is
+   its k-gram; its neighbourhood is the bytes that its windows cover.
+2. bring equal names together (a shuffle). A name that occurs once settles its windows as unique. Neighbourhoods that
+   occur twice in full settle theirs as repeated. Only what is left goes on. Names that a sample of the texts shows to be
+   very common are counted by grouped sums and joins instead of in one place.
 3. merge: for names with neighbourhoods that differ, one copy of each is brought together by name; the
    windows are sorted by (name, offset of the sample, bytes) and neighbours compared.
 
@@ -21,7 +23,7 @@ Windows, names and neighbourhoods are compared by 64-bit digests within a 64-bit
 
 Rows: a null text counts as empty. Texts below LENGTH bytes, and empty tables, lose nothing. Matches
 never cross rows; repeated rows (with whatever keys, null too) are matches of each other and are
-removed in full if they are long enough. Further columns pass through.
+removed in full if they are long enough. Further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,44 +36,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import stored, texts_of, whole_groups
+from foliolens.llm.common import mixed, powers, stored, texts_of, whole_groups
 
 LENGTH, GRAM = 200, 48
 #: Neighbourhoods of one name that a task merges; names with more are merged by a shuffle.
-MERGED_IN_TASK = 40_000
+MERGED_IN_TASK = 2_000
+#: One text of so many is looked at for very common names: those with COMMON samples there, MOST_COMMON of them at most.
+LOOKED_AT, COMMON, MOST_COMMON = 16, 1_000, 500
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
-class _Powers:
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) <= n:
-            size = max(n + 1, 1 << 18)
-            step = lambda x: np.cumprod(np.concatenate([[_U(1)], np.full(size, _U(x))]), dtype=np.uint64)
-            cls.up, cls.down = step(_BASE), step(pow(_BASE, -1, 1 << 64))
-        return cls.up, cls.down
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(29))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(32))
-
-
 def _sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which the digest of any stretch follows."""
-    up, _ = _Powers.of(len(data))
+    up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * up[: len(data)], out=out[1:])
     return out
 
 
 def _digest(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = _Powers.of(len(sums))
-    return _mixed((sums[end] - sums[begin]) * down[begin])
+    _, down = powers(len(sums))
+    return mixed((sums[end] - sums[begin]) * down[begin])
 
 
 def samples(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -93,7 +79,7 @@ def samples(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
     last = np.concatenate([first[1:], [len(best)]]) - 1
     owner = best[first]
-    around = _mixed(_digest(sums, first, last + length) + _U(_BASE) * (owner - first).astype(np.uint64) + (last - first).astype(np.uint64))
+    around = mixed(_digest(sums, first, last + length) + _U(_BASE) * (owner - first).astype(np.uint64) + (last - first).astype(np.uint64))
     return h[owner], around, owner, first, last
 
 
@@ -119,11 +105,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _named(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copies: dict[tuple[int, str], int] = {}
-            for item in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                copies[item] = copies.get(item, 0) + 1
             names, arounds, keys, counts = [], [], [], []
-            for (key, text), n in copies.items():
+            for text, n, key in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 name, around, *_ = samples(_bytes(text), length, gram)
                 names.append(name)
                 arounds.append(around)
@@ -143,13 +126,9 @@ def _settled(length: int, gram: int):
     """For each distinct text: spans of windows known to repeat, and the neighbourhoods asked of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
         for batch in batches:
             rows = []
             for text, twice, asked in zip(texts_of(batch.column(0)), batch.column(1), batch.column(2), strict=True):
-                if text == before:
-                    continue
-                before = text
                 data = _bytes(text)
                 name, around, owner, first, last = samples(data, length, gram)
                 text_id = hashlib.md5(data.tobytes()).digest()
@@ -179,7 +158,7 @@ def _windows(part: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     at = begins[row] + place
     offset = part.column("before").to_numpy()[row] - place
     name = part.column("name").to_numpy().view(np.uint64)[row]
-    return row, place, _mixed(_digest(_sums(data), at, at + length) + _mixed(name + _U(_BASE) * offset.astype(np.uint64)))
+    return row, place, mixed(_digest(_sums(data), at, at + length) + mixed(name + _U(_BASE) * offset.astype(np.uint64)))
 
 
 def _spans_of(part: pa.Table, row: np.ndarray, place: np.ndarray, again: np.ndarray, length: int) -> list[dict]:
@@ -226,18 +205,42 @@ def _exploded(length: int):
     return run
 
 
-def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, merged_in_task: int = MERGED_IN_TASK) -> DataFrame:
-    """Per distinct text that repeats a window: text_id (MD5 of its bytes) and lists of (begin, end) spans, packed."""
-    keyed = df.select(F.xxhash64(text).alias("text_key"), F.col(f"`{text}`").alias("text")).filter(F.octet_length("text") >= length)
-    named = keyed.mapInArrow(_named(length, gram), "name long, around long, text_key long, n long")
-    # One shuffle by name serves both windows below.
+def _common_names(texts: DataFrame, length: int, gram: int) -> list[int]:
+    """Names that very many samples share, judged by one text of LOOKED_AT. A hint for dealing rows out; results don't depend on it."""
+    seen = texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(LOOKED_AT)) == 0).mapInArrow(_named(length, gram), "name long, around long, text_key long, n long")
+    counted = seen.groupBy("name").count().filter(F.col("count") >= COMMON)
+    return [r["name"] for r in counted.orderBy(F.desc("count"), "name").limit(MOST_COMMON).collect()]
+
+
+def _together(named: DataFrame) -> DataFrame:
+    """Samples of names that are not unique, with `total` texts that hold their neighbourhood, one `carrier` of it, whether neighbourhoods of the name `differ`, and the `least` total among them: one shuffle by name."""
     alike, by_name = Window.partitionBy("name", "around"), Window.partitionBy("name")
     named = named.repartition("name").withColumns({"total": F.sum("n").over(alike), "carrier": F.min("text_key").over(alike)})
     named = named.withColumns({"differ": F.min("around").over(by_name) != F.max("around").over(by_name), "least": F.min("total").over(by_name)})
-    named = named.filter((F.col("total") > 1) | F.col("differ"))
+    return named.filter((F.col("total") > 1) | F.col("differ"))
+
+
+def _apart(named: DataFrame) -> DataFrame:
+    """As _together(), by sums that are added up before they are shuffled and joins, which spread a name over many tasks."""
+    around = named.groupBy("name", "around").agg(F.sum("n").alias("total"), F.min("text_key").alias("carrier"))
+    name = around.groupBy("name").agg((F.min("around") != F.max("around")).alias("differ"), F.min("total").alias("least"))
+    told = stored(around.join(name, "name").filter((F.col("total") > 1) | F.col("differ")), "common-names")
+    return named.join(told, ["name", "around"]).select("name", "around", "text_key", "n", "total", "carrier", "differ", "least")
+
+
+def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, merged_in_task: int = MERGED_IN_TASK) -> DataFrame:
+    """Per distinct text that repeats a window: text_id (MD5 of its bytes) and lists of (begin, end) spans, packed."""
+    whole = df.select(F.col(f"`{text}`").alias("text")).filter(F.octet_length("text") >= length)
+    texts = stored(whole.groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("text_key", F.xxhash64("text")), "distinct-texts", compression="zstd")
+    kinds = "name long, around long, text_key long, n long"
+    common = _common_names(texts, length, gram)
+    named = texts.mapInArrow(_named(length, gram), kinds)
+    rows = _together(named.filter(~F.col("name").isin(*common)) if common else named)
+    if common:
+        rows = rows.unionByName(_apart(named.filter(F.col("name").isin(*common))))
     asked = F.col("differ") & (F.col("least") == 1) & (F.col("text_key") == F.col("carrier"))
-    lists = named.groupBy("text_key").agg(F.collect_set(F.when(F.col("total") > 1, F.col("around"))).alias("twice"), F.collect_set(F.when(asked, F.col("around"))).alias("asked"))
-    parts = stored(keyed.join(lists, "text_key").select("text", "twice", "asked").mapInArrow(_settled(length, gram), _PARTS_SQL), "neighbourhoods")
+    lists = rows.groupBy("text_key").agg(F.collect_set(F.when(F.col("total") > 1, F.col("around"))).alias("twice"), F.collect_set(F.when(asked, F.col("around"))).alias("asked"))
+    parts = stored(texts.join(lists, "text_key").select("text", "twice", "asked").mapInArrow(_settled(length, gram), _PARTS_SQL), "neighbourhoods")
     settled = parts.filter("spans IS NOT NULL").select("text_id", "spans")
     asked_for = parts.filter("body IS NOT NULL")
     crowded = asked_for.groupBy("name").count().filter(F.col("count") > merged_in_task).select("name")
@@ -272,21 +275,23 @@ def _kept(data: bytes, spans: np.ndarray) -> bytes:
 
 
 def _with_spans(df: DataFrame, text: str, **options) -> DataFrame:
-    """df with the spans to cut in the column `_spans` (null: none)."""
-    spans = repeated_spans(df, text, **options).withColumnRenamed("spans", "_spans")
-    return df.withColumn("_id", F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))).join(spans.withColumnRenamed("text_id", "_id"), "_id", "left").drop("_id")
+    """(row, text, spans): the rows of df as structs with their text and the spans to cut (null: none)."""
+    spans = repeated_spans(df, text, **options)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return rows.withColumn("text_id", F.unhex(F.md5(F.col("text").cast("binary")))).join(spans, "text_id", "left").select("row", "text", "spans")
 
 
 def cut_repeats(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """df with repeated strings cut from `text`; a character that a cut splits is dropped with it. Null texts stay null."""
-    fields = df.columns
 
     def run(batches):
         for batch in batches:
-            texts = [t if t is None or not s else _kept(t.encode("utf-8", "surrogatepass"), _unpacked(s)).decode("utf-8", "ignore") for t, s in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in fields], fields)
+            texts = [t if t is None or not s else _kept(t.encode("utf-8", "surrogatepass"), _unpacked(s)).decode("utf-8", "ignore") for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    return _with_spans(df, text, **options).mapInArrow(run, df.schema)
+    marked = _with_spans(df, text, **options)
+    cut = marked.mapInArrow(run, f"row {marked.schema['row'].dataType.simpleString()}, text string")
+    return cut.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in df.columns])
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -301,5 +306,5 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -
             columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marked = _with_spans(df.select(key, text), text, **options).select(key, text, "_spans")
+    marked = _with_spans(df.select(key, text), text, **options).select(F.col(f"row.`{key}`").alias(key), "text", "spans")
     return marked.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -63,3 +63,22 @@ def test_rows_and_columns(spark):
     assert cut.columns == df.columns
     assert sorted((r["doc_id"] or 0, r["text"], r["spans"]) for r in cut.collect() if r["text"] is not None) == [(0, "", "x"), (1, "", "y")]
     assert suffix_dedup.digests(df.limit(0)).collect() == []
+
+
+def test_common_names_are_counted_apart(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LOOKED_AT", 1)
+    monkeypatch.setattr(suffix_dedup, "COMMON", 3)
+    texts = texts_with_repeats(3)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    distinct = df.filter("octet_length(text) >= 200").groupBy("text").count().selectExpr("text", "count AS n", "xxhash64(text) AS text_key")
+    assert suffix_dedup._common_names(distinct, 200, suffix_dedup.GRAM)
+    rows = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digests(df).collect()}
+    assert list(rows[i] for i in range(len(texts))) == brute(texts, 200)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "é" * 150, 7, "s", b"r"), (2, "é" * 150, 7, "s", b"r"), (3, "short", 7, "s", b"r")], "doc_id long, text string, _id int, _spans string, row binary")
+    cut = suffix_dedup.cut_repeats(df)
+    assert cut.columns == df.columns
+    assert sorted((r["doc_id"], r["text"], r["_id"], r["_spans"], bytes(r["row"])) for r in cut.collect()) == [(1, "", 7, "s", b"r"), (2, "", 7, "s", b"r"), (3, "short", 7, "s", b"r")]
+    assert suffix_dedup.cut_repeats(df.limit(0)).collect() == []
