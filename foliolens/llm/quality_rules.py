@@ -23,9 +23,11 @@ _WORD = r"[^\x20\x09-\x0D]"
 _PLAIN = r"^[(\"'«„“]?[\p{L}\p{M}\p{N}'’.-]+[.,;:!?)\"'»“”…]?$"
 #: EM steps; the estimates move by less than 0.001 long before.
 STEPS = 15
-#: Accuracies on good and on bad texts before any is seen: rules are precise and narrow. A vote for
+#: Accuracies on good and on bad texts before any is seen, and as how many rows that counts: rules are precise and narrow. A vote for
 #: bad is rarely wrong, but each rule misses most kinds of bad text.
-PRIOR = (0.998, 0.2)
+PRIOR, PRIOR_ROWS = (0.998, 0.2), 50
+#: Bounds of the estimates, on good and on bad texts, so that no single vote decides alone.
+BOUNDS = ((0.5, 0.999), (0.01, 0.99))
 
 
 def counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -97,10 +99,9 @@ def estimate(votes: DataFrame, names: list[str], steps: int = STEPS) -> tuple[di
     patterns = stored(votes.groupBy(*names).count().coalesce(1), "vote-patterns")
     accuracies, good = {n: PRIOR for n in names}, 0.8
 
-    def held(good_right: float, good_all: float, bad_right: float, bad_all: float) -> tuple[float, float]:
-        """The prior counts as much as the rows do, so that EM can't turn what good means into another split of the corpus."""
-        on_good = (good_right + PRIOR[0] * (good_all + 1)) / (2 * good_all + 1)
-        return min(0.999, max(0.9, on_good)), min(0.99, max(0.1, (bad_right + PRIOR[1] * (bad_all + 1)) / (2 * bad_all + 1)))
+    def held(*counts: tuple[float, float]) -> tuple[float, ...]:
+        """Accuracies from (right votes, votes) on good and on bad rows."""
+        return tuple(min(most, max(least, (right + prior * PRIOR_ROWS) / (votes + PRIOR_ROWS))) for (right, votes), prior, (least, most) in zip(counts, PRIOR, BOUNDS, strict=True))
 
     for _ in range(steps):
         p, n = posterior(accuracies, good), F.col("count")
@@ -114,7 +115,7 @@ def estimate(votes: DataFrame, names: list[str], steps: int = STEPS) -> tuple[di
             break
         good = min(0.99, max(0.01, s["good"] / s["rows"]))
         accuracies = {
-            name: held(s[f"{name}_good_1"], s[f"{name}_good_1"] + s[f"{name}_good_0"], s[f"{name}_bad_0"], s[f"{name}_bad_0"] + s[f"{name}_bad_1"])
+            name: held((s[f"{name}_good_1"], s[f"{name}_good_1"] + s[f"{name}_good_0"]), (s[f"{name}_bad_0"], s[f"{name}_bad_0"] + s[f"{name}_bad_1"]))
             for name in names
         }
     return accuracies, good

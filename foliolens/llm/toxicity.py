@@ -29,8 +29,8 @@ from foliolens.llm.common import stored, texts_of
 SAMPLE_PER_CLASS = 10_000
 #: N-grams have these numbers of characters and are hashed into so many buckets.
 SIZES, BUCKETS = (4, 5, 7), 1 << 20
-#: Features that the classifier uses.
-FEATURES = 8192
+#: Features that the classifier uses, and of these how many a training row keeps at most: those with the largest values. Training rows fit in the driver by this bound.
+FEATURES, ROW_FEATURES = 8192, 2048
 _MIX = np.uint32(0x9E3779B1)
 
 
@@ -140,9 +140,13 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
         for batch in batches:
             ids, values = [], []
             for at, n in map(grams, texts_of(batch.column(0))):
-                found = column[at]
-                ids.append(found[found >= 0])
-                values.append((ratios[at] * n)[found >= 0])
+                at, n = at[column[at] >= 0], n[column[at] >= 0]
+                value = ratios[at] * n
+                if len(at) > ROW_FEATURES:
+                    most = np.sort(np.argsort(-np.abs(value), kind="stable")[:ROW_FEATURES])
+                    at, value = at[most], value[most]
+                ids.append(column[at])
+                values.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["toxic", "ids", "values"])
 
     fit = sample.mapInArrow(chosen, "toxic int, ids array<int>, values array<float>").toArrow()
