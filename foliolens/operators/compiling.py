@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolens.operators import pages as P
+from foliolens.operators import sections as S
 
 
 @dataclass(frozen=True)
@@ -33,18 +34,29 @@ def renamed_headings(tokens: DataFrame, key: str) -> DataFrame:
     return marked.withColumn("tag", named).drop("_level", "_n", "_least", "_gap", "_new", "_last")
 
 
-def compile_pages(sections: DataFrame, key: str = "page_id", html: str = "html") -> Compiled:
-    """Headings, text semantics and the page policy in this order, then issues and the gate on what is left.
+def compile_pages(sections: DataFrame, key: str = "page_id", html: str = "html", base: str | None = None, title: str | None = None, chrome: tuple[str, ...] = ()) -> Compiled:
+    """Chrome removal, absolute addresses (against the column `base`), headings, text semantics and the page policy in this order; pages are
+    assembled around their `title`; then issues and the gate on what is left.
 
     A section that is blank or holds no tag fails alone: its row carries the error and an empty page.
     """
     tokens = P.tokenize(sections, key, html)
+    if chrome:
+        tokens = P.strip_chrome(tokens, key, chrome)
+    if base:
+        tokens = P.absolute_urls(tokens.join(sections.select(key, base), key), base)
     steps = P.text_semantics(renamed_headings(tokens, key))
     made = P.sanitize(steps, key).withColumnRenamed("html", "compiled")
     error = F.when(F.trim(F.coalesce(F.col(html), F.lit(""))) == "", "blank").when(~F.col(html).rlike("<[a-zA-Z]"), "no-markup")
-    out = sections.select(key, error.alias("error")).join(made, key, "left").select(key, F.when(F.col("error").isNull(), F.coalesce("compiled", F.lit(""))).otherwise("").alias("html"), "error")
-    changed = tokens.filter("kind = 'open'").filter(F.col("tag").isin("b", "i", "u")).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    notes = changed.select(key, F.lit("text-semantics").alias("step"), F.lit("presentational tags replaced").alias("message"), "n")
+    out = sections.select(key, error.alias("error"), *([F.col(title).alias("_title")] if title else [])).join(made, key, "left")
+    body = S.assemble_page(F.coalesce("compiled", F.lit("")), "_title") if title else F.coalesce("compiled", F.lit(""))
+    out = out.select(key, F.when(F.col("error").isNull(), body).otherwise("").alias("html"), "error")
+    opened = tokens.filter("kind = 'open'")
+    told = {"text-semantics": ("presentational tags replaced", F.count_if(F.col("tag").isin("b", "i", "u")))}
+    if base:
+        told |= {"absolutize": ("addresses made absolute", F.sum("rewritten")), "upgrade": ("addresses moved to https", F.sum("upgraded"))}
+    counts = opened.groupBy(key).agg(F.array(*[F.struct(F.lit(step).alias("step"), F.lit(message).alias("message"), n.cast("long").alias("n")) for step, (message, n) in told.items()]).alias("_notes"))
+    notes = counts.select(key, F.explode("_notes").alias("_n")).select(key, "_n.step", "_n.message", "_n.n").filter("n > 0")
     issues = P.map_issues(P.structural_issues(steps, key))
     return Compiled(out, notes, issues, P.page_gate(sections, steps, key))
 

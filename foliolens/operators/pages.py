@@ -200,7 +200,7 @@ def main_content(tokens: DataFrame, key: str, containers: tuple[str, ...] = CONT
     for i in reversed(range(len(containers))):
         has = F.col(f"_first{i}").isNotNull()
         container, inside = F.when(has, F.lit(containers[i])).otherwise(container), F.when(has, F.coalesce(own[i] == F.col(f"_first{i}"), F.lit(False))).otherwise(inside)
-    held = marked.withColumns({"container": container, "_inside": inside}).filter("_inside")
+    held = marked.withColumns({"container": container, "_inside": inside}).filter("_inside AND el IS NOT NULL")  # a close tag that ends nothing is dropped
     shown = F.when(F.col("chrome").isNull(), F.struct("pos", "raw"))
     html = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda p: p.raw), "")
     return held.groupBy(key, "container").agg(F.count_distinct("chrome.el").alias("n_chrome"), html.alias("html"))

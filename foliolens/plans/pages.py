@@ -186,9 +186,15 @@ def page_sanitized(spark, sf_dir):
     return P.sanitize(_tokens(spark, sf_dir), "page_id").select("page_id", F.md5("html").alias("digest"))
 
 
-@query()
+@query(_TOKENS + """, h AS (SELECT l.page_id, l.pos, CASE WHEN l.href LIKE '/%' THEN regexp_extract(p.url, '^([a-z]+://[^/?#]*)', 1) || l.href ELSE l.href END AS link, lower(regexp_extract(p.url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM lnk l JOIN pages p USING (page_id)),
+  u AS (SELECT page_id, pos, CASE WHEN link LIKE 'http://%' AND lower(regexp_extract(link, '^[a-z]+://([^/?#:]*)', 1)) = host THEN 'https' || substr(link, 5) ELSE link END AS link FROM h),
+  m AS (SELECT t.page_id, t.pos, raw, kind, CASE tag WHEN 'h1' THEN 'h2' WHEN 'b' THEN 'strong' ELSE tag END AS tag, link, CASE WHEN kind = 'open' THEN regexp_extract(raw, 'class="([^"]*)"', 1) END AS cls FROM tok t LEFT JOIN u ON u.page_id = t.page_id AND u.pos = t.pos),
+  c AS (SELECT page_id, string_agg(CASE kind WHEN 'text' THEN raw WHEN 'close' THEN '</' || tag || '>' ELSE '<' || tag || CASE WHEN link <> '' THEN ' href="' || link || '"' ELSE '' END || CASE WHEN cls <> '' THEN ' class="' || cls || '"' ELSE '' END || '>' END, '' ORDER BY pos) AS html FROM m
+    WHERE kind = 'text' OR (kind <> 'raw' AND tag IN (""" + ", ".join(f"'{t}'" for t in rules.ALLOWED_TAGS) + """)) GROUP BY page_id),
+  b AS (SELECT page_id, count(*) AS n FROM lnk WHERE text = '' GROUP BY page_id)
+  SELECT page_id, length(html)::INT AS n, md5(html) AS digest, NULL::VARCHAR AS error, coalesce(b.n, 0) AS blockers, 0::BIGINT AS warnings, 0::BIGINT AS needs_review, coalesce(b.n, 0) > 0 AS badge_withheld FROM c LEFT JOIN b USING (page_id)""")
 def pages_compiled(spark, sf_dir):
-    done = compiling.compile_pages(table(spark, sf_dir, "pages"))
+    done = compiling.compile_pages(table(spark, sf_dir, "pages"), base="url")
     return done.sections.select("page_id", F.length("html").alias("n"), F.md5("html").alias("digest"), "error").join(done.gate, "page_id")
 
 
