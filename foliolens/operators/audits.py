@@ -106,6 +106,15 @@ def better_ink(bg, inks: tuple[str, str] = ("#000000", "#ffffff")) -> Column:
     return F.when(first >= second, inks[0]).otherwise(inks[1])
 
 
+def normalize_contrast(runs: DataFrame, inks: tuple[str, str] = ("#2d3b45", "#ffffff")) -> DataFrame:
+    """runs (fg, bg_kind, layers, size) over colour layers with the `ink` that takes the place of a colour below the minimum: the one of two with more contrast; null where the colour may stay or can't be judged."""
+    solid = C.composite("layers")
+    marked = runs.withColumn("_solid", F.when(F.col("bg_kind") == "layers", solid)).withColumn("_raw", C.contrast_ratio(C.over(C.parse_color("fg"), F.col("_solid")), F.col("_solid")))
+    dark, light = (C.contrast_ratio(C.parse_color(F.lit(i)), F.col("_solid")) for i in inks)
+    least = F.when(F.col("size") == "large", C.AA_LARGE).otherwise(C.AA_NORMAL)
+    return marked.withColumn("ink", F.when(F.col("_raw") < least, F.when(dark >= light, inks[0]).otherwise(inks[1]))).drop("_solid", "_raw")
+
+
 def validate_answers(answers: DataFrame) -> DataFrame:
     """answers (type, text) with a verdict: refused and why, or accepted and with which note."""
     text = F.trim(F.coalesce("text", F.lit("")))

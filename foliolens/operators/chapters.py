@@ -19,9 +19,23 @@ def catalog_by_network(raw: DataFrame) -> DataFrame:
     """raw (network, link, title, authors) cleaned: tags and references out of titles, rows without link or title dropped, numbered by title in each network."""
     title = T.collapse(T.decode_entities(F.regexp_replace("title", "<[^>]*>", "")))
     good = raw.withColumn("title", title).filter((F.coalesce("link", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != ""))
+    if "authors" in raw.columns:  # names, each of which may be a list of its own
+        good = good.withColumn("authors", F.filter(F.transform(F.flatten("authors"), lambda a: T.collapse(a)), lambda a: a != ""))
     return good.withColumn("n", F.row_number().over(Window.partitionBy("network").orderBy(F.lower("title"), "link")))
 
 
+def network_counts(catalog: DataFrame) -> DataFrame:
+    """(network, books) of a catalog."""
+    return catalog.groupBy("network").agg(F.count(F.lit(1)).alias("books"))
+
+
+def commons_catalog(raw: DataFrame, least: int = 500) -> DataFrame:
+    """raw (code, authors) with licence names and authors as arrays. Fewer rows than `least` are taken for a broken download: an error."""
+    if (n := raw.limit(least).count()) < least:
+        raise ValueError(f"{n} rows, at least {least} are wanted")
+    return raw.withColumn("license", license_name("code")).withColumn("authors", split_authors("authors"))
+
+
 def license_name(code) -> Column:
     """A code's name; codes that are not listed stay as they are."""
     named = F.create_map(*[F.lit(x) for p in LICENSES.items() for x in p])
@@ -38,6 +52,12 @@ def release_versions(df: DataFrame, json: str) -> DataFrame:
     return df.select(F.explode(parsed["books"]).alias("book", "v")).select("book", F.col("v.defaultVersion").alias("version"), F.coalesce("v.retired", F.lit(False)).alias("retired"))
 
 
+def wanted_versions(wanted: DataFrame, versions: DataFrame) -> DataFrame:
+    """wanted (book) with their release; a book that the manifest lacks, or has retired, is an error row."""
+    joined = wanted.join(versions.groupBy("book").agg(F.min("version").alias("version"), F.max("retired").alias("_retired")), "book", "left")
+    return joined.withColumn("error", F.when(F.col("version").isNull(), "unknown-book").when(F.col("_retired"), "retired")).drop("_retired")
+
+
 def assemble_chapters(outlines: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
     """Outline entries (book, chapter, node, n) with their pages (book, node, html, url) and the book's address and licence; a page without content is an error row."""
     joined = outlines.join(pages, ["book", "node"], "left").join(books.select("book", "book_url", F.col("license").alias("_license")), "book", "left")
@@ -71,14 +91,27 @@ def resolve_xrefs(links: DataFrame, xrefs: DataFrame, fallback: str | None = Non
     return joined.withColumn("resolved", resolved).withColumn("unresolved", F.col("_node").isNotNull() & F.col("_url").isNull()).drop("_node", "_url")
 
 
-def label_link(href, text) -> Column:
-    """A better text for links that say nothing: the mail address, the last path part in words, or the host; others keep theirs."""
+# Link texts that say nothing, and bare addresses.
+GENERIC_LINK, RAW_LINK = r"(?i)^(?:click here|here|read more|more info(?:rmation)?|learn more|this link|link|more)$", r"(?i)^(?:https?://|www\.)\S+$"
+
+
+def label_link(href, text, target=None) -> Column:
+    """A better text for links that say nothing: the heading or text that a fragment points at, the mail address, the last path part in words, or the host; others keep theirs."""
     h, t = T._col(href), T.collapse(text)
-    generic = F.lower(t).isin("here", "click here", "link", "this link", "read more", "more", "this", "learn more") | t.rlike(r"(?i)^(?:https?://|www\.)\S+$")
-    last = F.regexp_replace(F.regexp_extract(T.normalize_url(h), r"^[a-z]+://[^/]+/(?:.*/)?([^/]+)$", 1), r"\.[a-z0-9]+$", "")
-    words = F.trim(F.regexp_replace(F.url_decode(F.regexp_replace(last, "%(?![0-9A-Fa-f]{2})", "")), "[-_+]+", " "))
-    better = F.when(F.lower(h).startswith("mailto:"), F.regexp_replace(F.substring(h, 8, 400), r"\?.*$", "")).when(F.coalesce(words, F.lit("")) != "", words).otherwise(T.host_of(h))
-    return F.when(generic, F.coalesce(F.nullif(better, F.lit("")), t)).otherwise(t)
+    aim = F.coalesce(T.collapse(target), F.lit("")) if target is not None else F.lit("")
+    last = F.regexp_replace(F.regexp_extract(T.normalize_url(h), r"^[a-zA-Z]+://[^/]+/(?:.*/)?([^/]+)$", 1), r"(?i)\.(?:html?|pdf|php)$", "")
+    words = F.trim(F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace(F.regexp_replace(last, r"\+", "%2B"), "%(?![0-9A-Fa-f]{2})", "")), "[-_]+", " "), r"\s+", " "))
+    subject = F.when((F.coalesce(words, F.lit("")) != "") & (F.lower(words) != "index"), words).otherwise(F.nullif(T.host_of(h), F.lit("")))
+    mail = F.nullif(F.regexp_replace(F.substring(h, 8, 400), r"\?.*$", ""), F.lit(""))
+    better = F.when(h.startswith("#") & (aim != ""), F.concat(F.lit("Go to "), F.substring(aim, 1, 96))).when(F.lower(h).startswith("mailto:"), F.concat(F.lit("Email "), mail)).otherwise(F.concat(F.lit("Read more about "), subject))
+    return F.when(t.rlike(GENERIC_LINK) | t.rlike(RAW_LINK), F.coalesce(better, t)).otherwise(t)
+
+
+def label_links(links: DataFrame, targets: DataFrame, section: str) -> DataFrame:
+    """links (section, href, text) with a `label`; targets (section, id, text) are what fragments may point at."""
+    named = targets.groupBy(section, F.concat(F.lit("#"), "id").alias("_href")).agg(F.min("text").alias("_target"))
+    joined = links.withColumn("_href", F.when(F.col("href").startswith("#"), F.col("href"))).join(named, [section, "_href"], "left")
+    return joined.withColumn("label", label_link("href", "text", "_target")).drop("_href", "_target")
 
 
 def figure_captions(tokens: DataFrame, key: str) -> DataFrame:
@@ -158,11 +191,20 @@ def confirm_plan(pages: DataFrame, doc: str) -> DataFrame:
 
 
 def publish_blockers(chapters: DataFrame) -> DataFrame:
-    """(chapter, blocker) rows of chapters (chapter, pages, queued, failed, blockers, audited, destination)."""
+    """(chapter, blocker) rows of chapters (chapter, pages, queued, failed, blockers, audited, destination, and where known images and via): an interface takes no images."""
     tests = {"no-destination": F.col("destination").isNull(), "nothing-to-publish": F.col("pages") == 0, "unanswered": F.col("queued") > 0, "failed-pages": F.col("failed") > 0, "accessibility": F.col("blockers") > 0, "not-audited": ~F.col("audited")}
+    if {"images", "via"} <= set(chapters.columns):
+        tests["images-to-api"] = (F.col("images") > 0) & (F.col("via") == "api")
     return chapters.select("chapter", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))).alias("blocker"))
 
 
+def publish_groups(pages: DataFrame, chapter: str = "chapter") -> DataFrame:
+    """Per chapter of pages (status, error): pages to be written anew, over others, or in doubt, and those that failed."""
+    live = F.col("error").isNull()
+    status = lambda name: F.count_if(live & (F.col("status") == name)).alias(name)
+    return pages.groupBy(chapter).agg(status("new"), status("overwrite"), status("unknown"), F.count_if(~live).alias("failed"))
+
+
 def export_rubric(ratings: DataFrame, chapter: str = "chapter_id") -> DataFrame:
     """Per chapter a JSON record and a Markdown table of (row_id, rating, note), bars escaped."""
     safe = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\|", r"\\|"), r"\s*\n\s*", " ")
@@ -206,6 +248,29 @@ def parse_rating(c) -> Column:
     return F.when(name.isin("n/a", "na", "not applicable"), "na").otherwise(F.nullif(name, F.lit("")))
 
 
+RATINGS = {"not applicable": "na", "n/a": "na", "na": "na", "exclusive": "exclusive", "emerging inclusive": "emerging", "emerging": "emerging", "inclusive": "inclusive"}
+
+
+def rubric_drafts(replies: DataFrame, rows: DataFrame, key: str, reply: str = "reply") -> DataFrame:
+    """(key, area, row_id, rating, notes): of every area that a reply names, all its rubric rows (area, row_id), rated or null.
+
+    A row is named by its letter or in full at the start of what the reply gives; a rating of the area itself counts
+    only where the area has one row. Later entries of an area or row count.
+    """
+    schema = "areas array<struct<area:string, rating:string, notes:string, rows:array<struct<row:string, rating:string>>>>"
+    named = F.create_map(*[F.lit(x) for pair in RATINGS.items() for x in pair])
+    rating = lambda c: named[F.lower(F.trim(F.coalesce(c, F.lit(""))))]
+    areas = replies.select(key, F.posexplode(F.from_json(reply, schema)["areas"]).alias("_n", "_a")).withColumn("area", F.nullif(F.regexp_extract(F.trim("_a.area"), r"^(7\.[1-8])", 1), F.lit(""))).filter("area IS NOT NULL")
+    given = areas.select(key, "_n", "area", F.posexplode("_a.rows").alias("_m", "_r"))
+    at = lambda i: F.regexp_extract(F.trim("_r.row"), r"^(?i)(?:(7\.[1-8])\.)?([a-z])(?![a-z0-9])", i)
+    given = given.filter(at(2) != "").select(key, "area", F.concat(F.coalesce(F.nullif(at(1), F.lit("")), F.col("area")), F.lit("."), F.lower(at(2))).alias("row_id"), rating(F.col("_r.rating")).alias("rating"), F.struct("_n", "_m").alias("_o"))
+    given = given.groupBy(key, "area", "row_id").agg(F.max_by(F.struct("rating"), "_o").alias("_g"))
+    last = areas.groupBy(key, "area").agg(F.max_by(F.struct(rating(F.col("_a.rating")).alias("own"), F.coalesce("_a.notes", F.lit("")).alias("notes")), "_n").alias("_l"))
+    sized = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("area")))
+    every = last.join(sized, "area").join(given, [key, "area", "row_id"], "left")
+    return every.select(key, "area", "row_id", F.when(F.col("_g").isNotNull(), F.col("_g.rating")).when(F.col("_size") == 1, F.col("_l.own")).alias("rating"), F.col("_l.notes").alias("notes"))
+
+
 def rated_categories(ratings: DataFrame, rows: DataFrame) -> DataFrame:
     """(chapter_id, category, complete): whether every rubric row of a category has a rating; rows: (category, row_id)."""
     sizes = rows.groupBy("category").agg(F.count(F.lit(1)).alias("_of"))
@@ -218,15 +283,24 @@ def applied_edits(edits: DataFrame, blocks: DataFrame, on: list[str]) -> DataFra
     return edits.join(blocks.select(*on, "text"), on, "left").withColumn("stale", ~F.coalesce(F.col("text").contains(F.col("original")), F.lit(False))).drop("text")
 
 
+def edit_category(kind, own, lexicon) -> Column:
+    """The category of an edit: 7.1 for images, else its own, else the lexicon's, else 7.6."""
+    return F.when(T._col(kind) == "image", "7.1").otherwise(F.coalesce(T._col(own), T._col(lexicon), F.lit("7.6")))
+
+
 def in_quotation(tree_path, text) -> Column:
     """Inside a quoting element, or in a block with a citation."""
     return F.exists(T._col(tree_path), lambda t: t.isin("blockquote", "q", "cite")) | T._col(text).rlike(CITATION)
 
 
-def ocr_pages(detected: DataFrame, measured: DataFrame, doc: str, enough: int = 40) -> DataFrame:
-    """(doc, page) to be read by OCR: those a detector names and those measured without text, less pages with at least `enough` characters."""
+def ocr_pages(detected: DataFrame, measured: DataFrame, doc: str, enough: int = 40, kinds: DataFrame | None = None) -> DataFrame:
+    """(doc, page) to be read by OCR: those a detector names and those measured without text, less pages with at least `enough` characters; every page of documents (doc, kind) that hold no text."""
     named = detected.select(doc, "page").unionByName(measured.filter("text_length = 0").select(doc, "page")).distinct()
-    return named.join(measured.filter(F.col("text_length") >= enough).select(doc, "page"), [doc, "page"], "left_anti")
+    wanted = named.join(measured.filter(F.col("text_length") >= enough).select(doc, "page"), [doc, "page"], "left_anti")
+    if kinds is None:
+        return wanted
+    scanned = kinds.filter("kind <> 'text'").select(doc)
+    return wanted.unionByName(measured.join(scanned, doc, "left_semi").select(doc, "page")).distinct()
 
 
 def deck_findings(slides: DataFrame, deck: str = "deck_id") -> DataFrame:
@@ -240,6 +314,16 @@ def picture_refs(slides: DataFrame, deck: str = "deck_id") -> DataFrame:
     return shown.groupBy(deck, "part").agg(F.count(F.lit(1)).alias("n")).withColumn("sole", F.col("n") == 1)
 
 
+def review_verdict(ratings: DataFrame, key: DataFrame, least: float = 90.0) -> DataFrame:
+    """One row of ratings (item, coverage, unsafe) against the items that were to be rated: counts of what is wrong, mean coverage, and whether the review passes."""
+    known = ratings.join(key.select("item").distinct(), "item", "left_semi")
+    s = known.agg(F.count(F.lit(1)).alias("reviewed"), F.count_distinct("item").alias("_items"), F.count_if(~F.coalesce(F.col("coverage").between(0, 100), F.lit(False))).alias("invalid"), F.count_if(F.coalesce("unsafe", F.lit(False))).alias("unsafe"), F.coalesce(F.avg(F.coalesce("coverage", F.lit(0))), F.lit(0.0)).alias("_mean"))
+    s = s.crossJoin(key.agg(F.count_distinct("item").alias("expected"))).crossJoin(ratings.agg(F.count(F.lit(1)).alias("_rows")))  # three tables of one row
+    missing, duplicate = F.col("expected") - F.col("_items"), F.col("reviewed") - F.col("_items")
+    passed = (F.col("_rows") == F.col("expected")) & (missing == 0) & (duplicate == 0) & (F.col("invalid") == 0) & (F.col("unsafe") == 0) & (F.col("_mean") >= least)
+    return s.select("reviewed", "expected", missing.alias("missing"), duplicate.alias("duplicate"), "invalid", "unsafe", F.round("_mean", 1).alias("mean_coverage"), passed.alias("passed"))
+
+
 def validate_ratings(ratings: DataFrame, key: DataFrame) -> DataFrame:
     """One row: items missing, rated twice, out of 1 to 5, and whether the set passes."""
     by_item = key.select("item").join(ratings.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("score").between(1, 5)).alias("bad"), F.avg("score").alias("mean")), "item", "left")
@@ -251,3 +335,8 @@ def image_inventory(images: DataFrame, words: tuple[str, ...], alt: str = "alt",
     """images with their alt defect and whether alt or caption mention people, by whole words."""
     people = "(?i)(?<![\\w-])(?:" + "|".join(words) + ")(?![\\w-])"
     return images.withColumn("issue", A.alt_issue(alt)).withColumn("mentions_people", F.concat_ws(" ", F.coalesce(alt, F.lit("")), F.coalesce(caption, F.lit(""))).rlike(people))
+
+
+def image_summary(inventory: DataFrame, alt: str = "alt") -> DataFrame:
+    """One row over image_inventory(): images, those that mention people, declared decorative ones, and those without text."""
+    return inventory.agg(F.count(F.lit(1)).alias("images"), F.count_if("mentions_people").alias("with_people"), F.count_if(F.trim(alt) == "").alias("decorative"), F.count_if(F.col(alt).isNull()).alias("no_alt"))

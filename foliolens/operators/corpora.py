@@ -119,6 +119,33 @@ def outline(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     return leaves.withColumn("n", F.row_number().over(Window.partitionBy("book", "chapter").orderBy("path"))).select("book", "chapter", "node", "n")
 
 
+BACK_MATTER = ("answer key", "index", "glossary")
+
+
+def flatten_toc(nodes: DataFrame) -> DataFrame:
+    """(book, chapter, title, n, node, section) of a book's tree (book, node, parent, ord, type, title).
+
+    Top nodes are chapters, but those that hold chapters: units, and untyped ones whose children all have children. Childless top nodes and back
+    matter are left out. A chapter's sections are its leaves in reading order. Versions come off ids, tags and references off titles.
+    """
+    plain = nodes.withColumn("title", T.collapse(T.decode_entities(F.regexp_replace("title", "<[^>]*>", ""))))
+    parents = plain.filter("parent IS NOT NULL").select("book", F.col("parent").alias("node")).distinct().withColumn("_inner", F.lit(True))
+    marked = plain.join(parents, ["book", "node"], "left").withColumn("_inner", F.coalesce("_inner", F.lit(False)))
+    children = marked.filter("parent IS NOT NULL").groupBy("book", F.col("parent").alias("node")).agg(F.bool_and("_inner").alias("_all_inner"))
+    marked = marked.join(children, ["book", "node"], "left")
+    good = marked.filter(F.col("_inner") & ~F.lower("title").isin(*BACK_MATTER))
+    holds = (F.col("type") == "unit") | ~F.coalesce(F.col("type").isin("unit", "chapter"), F.lit(False)) & F.col("_all_inner")
+    top = good.filter("parent IS NULL").withColumn("_holds", F.coalesce(holds, F.lit(False)))
+    inside = good.join(top.filter("_holds").select("book", F.col("node").alias("parent"), F.col("ord").alias("_unit")), ["book", "parent"])
+    chapters = top.filter("NOT _holds").select("book", "node", F.col("title").alias("_title")).unionByName(inside.select("book", "node", F.col("title").alias("_title")))
+    rooted = plain.join(chapters.withColumn("_root", F.lit(True)), ["book", "node"], "left").withColumn("parent", F.when(F.col("_root"), None).otherwise(F.col("parent")))
+    below = rooted.filter(F.col("_root") | F.col("parent").isNotNull()).select("book", "node", "parent", "ord")
+    leaves = flatten_tree(below).join(parents.drop("_inner"), ["book", "node"], "left_anti")
+    bare = lambda c: F.regexp_replace(c, "@.*$", "")
+    named = leaves.join(plain.select("book", "node", F.col("title").alias("section")), ["book", "node"]).join(chapters.select("book", F.col("node").alias("chapter"), F.col("_title").alias("title")), ["book", "chapter"])
+    return named.withColumn("n", F.row_number().over(Window.partitionBy("book", "chapter").orderBy("path"))).select("book", bare("chapter").alias("chapter"), "title", "n", bare("node").alias("node"), "section")
+
+
 def toc_from_links(links: DataFrame, page: str) -> DataFrame:
     """Entries of a link list: content links, each address once, in order."""
     good = links.withColumn("url", T.normalize_url("href")).filter("text <> ''")
@@ -126,6 +153,21 @@ def toc_from_links(links: DataFrame, page: str) -> DataFrame:
     return first.withColumn("n", F.row_number().over(Window.partitionBy(page).orderBy("pos"))).select(page, "n", "url", "text")
 
 
+def toc_from_items(links: DataFrame, page: str) -> DataFrame:
+    """(page, chapter, title, n, url, text) of links (page, item, nested, pos, href, text): items are chapters titled by their own link, their
+    nested links are the sections, or their own link where there is none; links to files are dropped, each address counts once an item. A
+    page whose links stand in no item is one chapter without a title."""
+    good = links.withColumn("url", T.normalize_url("href")).filter((T.collapse("text") != "") & T.is_content_link("href"))
+    item = F.coalesce("item", F.lit(-1))
+    title = F.min_by(F.when(~F.col("nested") & F.col("item").isNotNull(), T.collapse("text")), F.when(~F.col("nested") & F.col("item").isNotNull(), F.col("pos"))).over(Window.partitionBy(page, item))
+    marked = good.withColumns({"chapter": item, "title": title, "_nested": F.bool_or("nested").over(Window.partitionBy(page, item)), "_items": F.bool_or(F.col("item").isNotNull()).over(Window.partitionBy(page))})
+    kept = marked.filter((F.col("item").isNotNull() & (F.col("nested") == F.col("_nested"))) | ~F.col("_items"))
+    first = kept.withColumn("_k", F.row_number().over(Window.partitionBy(page, "chapter", "url").orderBy("pos"))).filter("_k = 1")
+    order = Window.partitionBy(page, "chapter").orderBy("pos")
+    out = first.withColumn("n", F.row_number().over(order)).withColumn("title", F.coalesce("title", F.when(F.col("item").isNotNull(), F.first(T.collapse("text")).over(order))))
+    return out.filter(F.col("_nested") | F.col("item").isNull() | (F.col("n") == 1)).select(page, "chapter", "title", "n", "url", T.collapse("text").alias("text"))
+
+
 def child_links(links: DataFrame, root: str) -> DataFrame:
     """Links inside a root address, each once."""
     url = T.normalize_url("href")
@@ -227,6 +269,26 @@ def nth_replaced(text, original, replacement, n) -> Column:
     return F.when(F.size(parts) > k + 1, made)
 
 
+def apply_edits(blocks: DataFrame, edits: DataFrame, on: list[str], text: str = "text") -> DataFrame:
+    """blocks with their edits applied in order: `edited`, and how many were `applied` and are `stale`.
+
+    An edit (ord, original, occurrence, kind, replacement, context) replaces the occurrence (from 0) in the manner of its letters, or
+    ('keep') adds its context in brackets; one whose text no longer stands there is stale. A kept term without context is no edit.
+    """
+    kept = edits.filter((F.col("kind") == "replace") | F.col("context").isNotNull())
+    new = F.when(F.col("kind") == "replace", preserve_case("original", "replacement")).otherwise(F.concat("original", F.lit(" ("), "context", F.lit(")")))
+    listed = kept.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("ord", "original", "occurrence", new.alias("new")))).alias("_edits"))
+    joined = blocks.join(listed, on, "left")
+    begin = F.struct(F.col(text).alias("text"), F.lit(0).alias("applied"), F.lit(0).alias("stale"))
+
+    def step(a: Column, e: Column) -> Column:
+        made = nth_replaced(a["text"], e["original"], e["new"], e["occurrence"])
+        return F.struct(F.coalesce(made, a["text"]).alias("text"), (a["applied"] + F.when(made.isNotNull(), 1).otherwise(0)).alias("applied"), (a["stale"] + F.when(made.isNull(), 1).otherwise(0)).alias("stale"))
+
+    done = joined.withColumn("_done", F.aggregate(F.coalesce("_edits", F.slice("_edits", 1, 0), F.array().cast(dict(listed.dtypes)["_edits"])), begin, step))
+    return done.select(*blocks.columns, F.col("_done.text").alias("edited"), F.col("_done.applied").alias("applied"), F.col("_done.stale").alias("stale"))
+
+
 def open_findings(findings: DataFrame, edits: DataFrame, dismissed: DataFrame, on: list[str]) -> DataFrame:
     return findings.join(edits.select(*on), on, "left_anti").join(dismissed.select(*on), on, "left_anti")
 
@@ -267,8 +329,15 @@ def parse_replies(replies: DataFrame, text: str, schema: str = "items array<stru
     return replies.withColumn("parsed", F.when(parsed["items"].isNotNull(), fixed))
 
 
+#: Categories whose drafts only observe.
+NEVER_EDIT = ("7.3", "7.7.1")
+
+
 def ground_drafts(drafts: DataFrame, blocks: DataFrame, section: str, block: str = "block_idx", text: str = "text") -> DataFrame:
-    """drafts (section, draft, quote) with the first block that holds the quote verbatim; those without one are observations."""
+    """drafts (section, draft, quote, and where known their category) with the first block that holds the quote verbatim; those without one, and those of categories that never edit, are observations."""
+    if "category" in drafts.columns:
+        never = drafts.filter(F.col("category").isin(*NEVER_EDIT)).withColumn(block, F.lit(None).cast(dict(blocks.dtypes)[block])).withColumn("kind", F.lit("observation"))
+        return ground_drafts(drafts.filter(~F.coalesce(F.col("category").isin(*NEVER_EDIT), F.lit(False))).withColumnRenamed("category", "_category"), blocks, section, block, text).withColumnRenamed("_category", "category").unionByName(never)
     held = drafts.join(blocks.select(section, block, text), section).filter((F.col("quote") != "") & F.col(text).contains(F.col("quote")))
     first = held.groupBy(section, "draft").agg(F.min(block).alias(block))
     return drafts.join(first, [section, "draft"], "left").withColumn("kind", F.when(F.col(block).isNotNull(), "edit").otherwise("observation"))
@@ -305,6 +374,12 @@ def compare_runs(left: DataFrame, right: DataFrame, key: str, columns: list[str]
     return joined.select(key, *[(F.col(f"r_{c}") - F.col(f"l_{c}")).alias(c) for c in columns], missing.alias("missing"))
 
 
+def run_totals(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row: sums of compare_runs() over the keys of both runs, and how many keys each run lacks."""
+    compared = compare_runs(left, right, key, columns)
+    return compared.agg(*[F.sum(c).alias(c) for c in columns], F.count_if(F.col("missing") == "left").alias("missing_left"), F.count_if(F.col("missing") == "right").alias("missing_right"))
+
+
 def generation_gate(results: DataFrame, fixtures: int, share: float = 0.95, most: int = 120) -> DataFrame:
     """One row: whether drafts of all fixtures pass, and the reasons if not."""
     told = F.col("decorative") == F.lit(False)
@@ -319,5 +394,11 @@ def evidence_matrix(observations: DataFrame, dimension: str, variant: str, varia
     return observations.groupBy(dimension).agg(*[verdict(v) for v in variants])
 
 
+def evidence_reasons(observations: DataFrame, dimension: str, variant: str, passed: str, order: str, reason: str) -> DataFrame:
+    """Per dimension and variant that ran: pass or fail, and the first reason of a failure."""
+    first = F.min_by(F.when(~F.col(passed), F.col(reason)), F.when(~F.col(passed), F.col(order)))
+    return observations.groupBy(dimension, variant).agg(F.when(F.bool_and(passed), "pass").otherwise("fail").alias("verdict"), first.alias("reason"))
+
+
 def profile_rollup(results: DataFrame, profile: str, passed: str, ms: str, peak: str) -> DataFrame:
     return results.groupBy(profile).agg(F.bool_and(passed).alias("passed"), F.max(ms).alias("worst_ms"), F.max(peak).alias("peak"))

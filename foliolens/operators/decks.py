@@ -82,3 +82,8 @@ def term_category(hits: DataFrame, rules: DataFrame, default: str = "7.6") -> Da
 
 def findings_by_category(findings: DataFrame) -> DataFrame:
     return findings.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("section_id").alias("sections"))
+
+
+def failures_by_category(failures: DataFrame) -> DataFrame:
+    """(category, section_id, n) of the failures (category, section_id, message) of finders, with the first message."""
+    return failures.groupBy("category", "section_id").agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("message"))

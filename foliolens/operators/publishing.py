@@ -158,6 +158,13 @@ def remaining(targets: DataFrame, landed: DataFrame, key: list[str], order: list
     return targets.join(landed, key, "left_anti").withColumn("send", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
 
+def stopped_by(log: DataFrame, group: str, order: str) -> DataFrame:
+    """Per batch of a sending log (slug, outcome): pages that landed, and what stopped it: the first outcome that is none of landing, with its page."""
+    bad = F.col("outcome") != "landed"
+    first = F.min_by(F.when(bad, F.struct("slug", "outcome")), F.when(bad, F.col(order)))
+    return log.groupBy(group).agg(F.count_if(~bad).alias("landed"), first.alias("_s")).select(group, "landed", F.col("_s.slug").alias("slug"), F.col("_s.outcome").alias("stopped_by"))
+
+
 def manifest_items(targets: DataFrame, export: str, chapter_order: str, order: str) -> DataFrame:
     """Positions of modules and items in an export, with resource ids of safe characters."""
     module = F.dense_rank().over(Window.partitionBy(export).orderBy(chapter_order))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliolens.functions import color as C
 from foliolens.functions import text as T
+from foliolens.operators import audits as A
 from foliolens.operators import pages as P
 
 #: What a browser gives elements before any style: pixels, and whether bold.
@@ -95,6 +96,15 @@ def text_runs(tokens: DataFrame, key: str) -> DataFrame:
     return made.select(key, "el", "fg", "bg_kind", "layers", "gradient_css", "reason", C.size_class("px", "weight").alias("size"))
 
 
+def recolored(tokens: DataFrame, key: str) -> DataFrame:
+    """tokens whose inline colours, where text fails against its background, give way to the better of two inks."""
+    changed = A.normalize_contrast(text_runs(tokens, key)).filter("ink IS NOT NULL").select(key, "el", "ink")
+    joined = P.enclosing(tokens, key).join(changed, [key, "el"], "left")
+    style = F.concat(F.regexp_replace(F.coalesce(_style(), F.lit("")), r"(?i)(^|;)\s*color\s*:[^;]*;?", "$1"), F.lit("; color: "), F.col("ink"))
+    new = F.concat(F.filter("attrs", lambda a: a["name"] != "style"), F.array(F.struct(F.lit("style").alias("name"), F.regexp_replace(style, r"^[;\s]+", "").alias("value"))))
+    return joined.withColumn("attrs", F.when((F.col("kind") == "open") & F.col("ink").isNotNull(), new).otherwise(F.col("attrs"))).select(*tokens.columns)
+
+
 # What plan blocks are called.
 KINDS = {"p": "Paragraph", "ul": "List", "ol": "List", "table": "Table", "pre": "Code", "blockquote": "Quotation", "hr": "Rule", "dl": "Definition list", "section": "Section", "div": "Block"}
 

@@ -116,5 +116,7 @@ def contrast_inks(spark, sf_dir):
 
 @query(_IMAGES + "SELECT count(*) AS images, count(*) FILTER (regexp_matches(lower(alt), '(^|[^a-z])(man|woman|people|white|black)([^a-z]|$)')) AS with_people, count(*) FILTER (trim(alt) = '') AS decorative, count(*) FILTER (alt IS NULL) AS no_alt FROM img")
 def image_summary(spark, sf_dir):
-    people = F.lower("alt").rlike("(^|[^a-z])(man|woman|people|white|black)([^a-z]|$)")
-    return images(spark, sf_dir).agg(F.count(F.lit(1)).alias("images"), F.count_if(people).alias("with_people"), F.count_if(F.trim("alt") == "").alias("decorative"), F.count_if(F.col("alt").isNull()).alias("no_alt"))
+    from foliolens.operators import chapters as H
+
+    inventory = H.image_inventory(images(spark, sf_dir).withColumn("caption", F.lit(None).cast("string")), ("man", "woman", "people", "white", "black"))
+    return H.image_summary(inventory)

@@ -58,12 +58,20 @@ def xrefs_resolved(spark, sf_dir):
     return H.resolve_xrefs(links, H.xref_map(nodes, "https://site/")).select("p_partkey", "resolved", "unresolved")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a b ' || p_size WHEN 1 THEN 'me@x.org' WHEN 2 THEN 'h.example' ELSE 'Own text' END AS label FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Read more about ' || p_brand || ' b ' || p_size WHEN 1 THEN 'Email ' || p_type || '@x.org' WHEN 2 THEN 'Read more about h.example' WHEN 3 THEN 'Own ' || p_name
+  WHEN 4 THEN CASE WHEN p_size % 2 = 0 THEN 'Go to ' || substr(p_name || ' ' || repeat('x', p_size * 3), 1, 96) ELSE 'link' END ELSE 'Read more about h.example' END AS label FROM part""")
 def links_labelled(spark, sf_dir):
-    k = F.col("p_partkey") % 4
-    href = F.when(k == 0, F.concat(F.lit("https://h.example/x/a-b_"), F.col("p_size").cast("string"), F.lit(".html?q#f"))).when(k == 1, F.lit("mailto:me@x.org?subject=s")).otherwise(F.lit("https://h.example/"))
-    text = F.when(k == 3, " Own  text ").when(k == 2, "https://h.example/").otherwise("Click here")
-    return table(spark, sf_dir, "part").select("p_partkey", H.label_link(href, text).alias("label"))
+    k, name = F.col("p_partkey") % 6, F.col("p_name")
+    size = F.col("p_size").cast("string")
+    href = (
+        F.when(k == 0, F.concat(F.lit("https://h.example/x/"), F.regexp_replace("p_brand", "#", "%23"), F.lit("-b_"), size, F.lit(".html?q#f"))).when(k == 1, F.concat(F.lit("mailto:"), "p_type", F.lit("@x.org?subject=s")))
+        .when(k == 4, F.concat(F.lit("#"), size)).when(k == 5, F.lit("https://h.example/index.php")).otherwise("https://h.example/")
+    )
+    text = F.when(k == 3, F.concat(F.lit(" Own  "), name)).when(k == 2, "https://h.example/").when(k == 4, "link").otherwise("Click here")
+    part = table(spark, sf_dir, "part")
+    links = part.select("p_partkey", href.alias("href"), text.alias("text"))
+    targets = part.filter("p_size % 2 = 0").select("p_partkey", size.alias("id"), F.concat(name, F.lit("  "), F.repeat(F.lit("x"), F.col("p_size") * 3)).alias("text"))
+    return H.label_links(links, targets, "p_partkey").select("p_partkey", "label")
 
 
 @query("SELECT p_partkey, p_name || ', from Book, ' || CASE WHEN p_size % 2 = 0 THEN 'by ' || p_brand || ', X' ELSE 'authors not stated' END || ', ' || CASE WHEN p_size % 3 = 0 THEN 'licensed under CC' ELSE 'license not stated' END || '. This version was modified.' AS line FROM part")
