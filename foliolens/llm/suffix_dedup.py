@@ -205,41 +205,62 @@ def _exploded(length: int):
     return run
 
 
-def _common_names(texts: DataFrame, length: int, gram: int) -> list[int]:
-    """Names that very many samples share, judged by one text of LOOKED_AT. A hint for dealing rows out; results don't depend on it."""
-    seen = texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(LOOKED_AT)) == 0).mapInArrow(_named(length, gram), "name long, around long, text_key long, n long")
-    counted = seen.groupBy("name").count().filter(F.col("count") >= COMMON)
-    return [r["name"] for r in counted.orderBy(F.desc("count"), "name").limit(MOST_COMMON).collect()]
+_SAMPLES = "name long, around long, text_key long, n long"
+
+
+def _common(texts: DataFrame, length: int, gram: int) -> tuple[list[int], list[int]]:
+    """Names, and neighbourhoods, that very many samples share, judged by one text of LOOKED_AT. A hint for dealing rows out; results don't depend on it."""
+    seen = texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(LOOKED_AT)) == 0).mapInArrow(_named(length, gram), _SAMPLES)
+    counted = stored(seen.groupBy("name", "around").count(), "looked-at")
+    most = lambda df: df.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "name").limit(MOST_COMMON).collect()
+    arounds = most(counted)
+    names = most(counted.groupBy("name").agg(F.sum("count").alias("count")))
+    return sorted({r["name"] for r in [*names, *arounds]}), sorted({r["around"] for r in arounds})
 
 
 def _together(named: DataFrame) -> DataFrame:
-    """Samples of names that are not unique, with `total` texts that hold their neighbourhood, one `carrier` of it, whether neighbourhoods of the name `differ`, and the `least` total among them: one shuffle by name."""
+    """Samples of names that are not unique: whether their neighbourhood stands `twice`, and whether it is `asked` for and this text carries it: one shuffle by name.
+
+    A neighbourhood is asked for if those of its name differ and some stands in one text only.
+    """
     alike, by_name = Window.partitionBy("name", "around"), Window.partitionBy("name")
     named = named.repartition("name").withColumns({"total": F.sum("n").over(alike), "carrier": F.min("text_key").over(alike)})
     named = named.withColumns({"differ": F.min("around").over(by_name) != F.max("around").over(by_name), "least": F.min("total").over(by_name)})
-    return named.filter((F.col("total") > 1) | F.col("differ"))
-
-
-def _apart(named: DataFrame) -> DataFrame:
-    """As _together(), by sums that are added up before they are shuffled and joins, which spread a name over many tasks."""
-    around = named.groupBy("name", "around").agg(F.sum("n").alias("total"), F.min("text_key").alias("carrier"))
-    name = around.groupBy("name").agg((F.min("around") != F.max("around")).alias("differ"), F.min("total").alias("least"))
-    told = stored(around.join(name, "name").filter((F.col("total") > 1) | F.col("differ")), "common-names")
-    return named.join(told, ["name", "around"]).select("name", "around", "text_key", "n", "total", "carrier", "differ", "least")
+    named = named.filter((F.col("total") > 1) | F.col("differ"))
+    return named.select("text_key", "around", (F.col("total") > 1).alias("twice"), (F.col("differ") & (F.col("least") == 1) & (F.col("text_key") == F.col("carrier"))).alias("asked"))
+
+
+def _apart(named: DataFrame, arounds: list[int]) -> DataFrame:
+    """As _together(), for the samples of at most 2 * MOST_COMMON common names: what is known of a name is summed up and told to all tasks, and rows are brought together by neighbourhood only, but for the common ones."""
+    totals = named.groupBy("name", "around").agg(F.sum("n").alias("total"))
+    facts = totals.groupBy("name").agg((F.min("around") != F.max("around")).alias("differ"), F.min("total").alias("least")).collect()
+    differ = F.col("name").isin([r["name"] for r in facts if r["differ"]])
+    open_ = F.col("name").isin([r["name"] for r in facts if r["differ"] and r["least"] == 1])
+    alike = Window.partitionBy("name", "around")
+    rare = named.filter(~F.col("around").isin(arounds)).repartition("name", "around").withColumns({"total": F.sum("n").over(alike), "carrier": F.min("text_key").over(alike)})
+    rows = rare.filter((F.col("total") > 1) | differ).select("text_key", "around", (F.col("total") > 1).alias("twice"), (open_ & (F.col("text_key") == F.col("carrier"))).alias("asked"))
+    if not arounds:
+        return rows
+    common = named.filter(F.col("around").isin(arounds))
+    told = common.groupBy("name", "around").agg(F.sum("n").alias("total"), F.min("text_key").alias("carrier")).collect()
+    key = F.struct("name", "around", "text_key")
+    carried = key.isin([F.struct(*[F.lit(r[c]) for c in ("name", "around", "carrier")]) for r in told]) if told else F.lit(False)
+    twice = F.struct("name", "around").isin([F.struct(F.lit(r["name"]), F.lit(r["around"])) for r in told if r["total"] > 1]) if any(r["total"] > 1 for r in told) else F.lit(False)
+    return rows.unionByName(common.select("text_key", "around", twice.alias("twice"), (open_ & carried).alias("asked")).filter("twice OR asked"))
 
 
 def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, merged_in_task: int = MERGED_IN_TASK) -> DataFrame:
     """Per distinct text that repeats a window: text_id (MD5 of its bytes) and lists of (begin, end) spans, packed."""
     whole = df.select(F.col(f"`{text}`").alias("text")).filter(F.octet_length("text") >= length)
     texts = stored(whole.groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("text_key", F.xxhash64("text")), "distinct-texts", compression="zstd")
-    kinds = "name long, around long, text_key long, n long"
-    common = _common_names(texts, length, gram)
-    named = texts.mapInArrow(_named(length, gram), kinds)
-    rows = _together(named.filter(~F.col("name").isin(*common)) if common else named)
-    if common:
-        rows = rows.unionByName(_apart(named.filter(F.col("name").isin(*common))))
-    asked = F.col("differ") & (F.col("least") == 1) & (F.col("text_key") == F.col("carrier"))
-    lists = rows.groupBy("text_key").agg(F.collect_set(F.when(F.col("total") > 1, F.col("around"))).alias("twice"), F.collect_set(F.when(asked, F.col("around"))).alias("asked"))
+    names, arounds = _common(texts, length, gram)
+    named = texts.mapInArrow(_named(length, gram), _SAMPLES)
+    if names:
+        named = stored(named, "samples")
+        rows = _together(named.filter(~F.col("name").isin(names))).unionByName(_apart(named.filter(F.col("name").isin(names)), arounds))
+    else:
+        rows = _together(named)
+    lists = rows.groupBy("text_key").agg(F.collect_set(F.when(F.col("twice"), F.col("around"))).alias("twice"), F.collect_set(F.when(F.col("asked"), F.col("around"))).alias("asked"))
     parts = stored(texts.join(lists, "text_key").select("text", "twice", "asked").mapInArrow(_settled(length, gram), _PARTS_SQL), "neighbourhoods")
     settled = parts.filter("spans IS NOT NULL").select("text_id", "spans")
     asked_for = parts.filter("body IS NOT NULL")
