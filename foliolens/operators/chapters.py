@@ -303,9 +303,14 @@ def ocr_pages(detected: DataFrame, measured: DataFrame, doc: str, enough: int =
     return wanted.unionByName(measured.join(scanned, doc, "left_semi").select(doc, "page")).distinct()
 
 
-def deck_findings(slides: DataFrame, deck: str = "deck_id") -> DataFrame:
-    """Per deck: untitled slides, slides with notes, and objects that have no page form."""
-    return slides.groupBy(deck).agg(F.count_if(F.trim(F.coalesce("title", F.lit(""))) == "").alias("untitled"), F.count_if(F.trim(F.coalesce("notes", F.lit(""))) != "").alias("with_notes"), F.sum(F.col("charts") + F.col("diagrams") + F.col("media")).alias("unrepresentable"))
+def deck_findings(slides: DataFrame, deck: str = "deck_id", claims: DataFrame | None = None) -> DataFrame:
+    """Per deck: untitled slides, slides with notes, objects that have no page form, titles out of order where the slides tell it, and, with what reconciliation gave (deck, status), blocks that belong to no slide."""
+    late = F.count_if(F.coalesce("title_out_of_order", F.lit(False))) if "title_out_of_order" in slides.columns else F.lit(0).cast("long")
+    found = slides.groupBy(deck).agg(F.count_if(F.trim(F.coalesce("title", F.lit(""))) == "").alias("untitled"), F.count_if(F.trim(F.coalesce("notes", F.lit(""))) != "").alias("with_notes"), F.sum(F.col("charts") + F.col("diagrams") + F.col("media")).alias("unrepresentable"), late.alias("out_of_order"))
+    if claims is None:
+        return found
+    orphans = claims.groupBy(deck).agg(F.count_if(F.col("status") == "orphan").alias("unattributed"))
+    return found.join(orphans, deck, "left").withColumn("unattributed", F.coalesce("unattributed", F.lit(0)))
 
 
 def picture_refs(slides: DataFrame, deck: str = "deck_id") -> DataFrame:
@@ -340,3 +345,12 @@ def image_inventory(images: DataFrame, words: tuple[str, ...], alt: str = "alt",
 def image_summary(inventory: DataFrame, alt: str = "alt") -> DataFrame:
     """One row over image_inventory(): images, those that mention people, declared decorative ones, and those without text."""
     return inventory.agg(F.count(F.lit(1)).alias("images"), F.count_if("mentions_people").alias("with_people"), F.count_if(F.trim(alt) == "").alias("decorative"), F.count_if(F.col(alt).isNull()).alias("no_alt"))
+
+
+def section_bodies(sections: DataFrame, images: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+    """(chapter, body): the sections (section_id, ord, title, text) of a chapter in order, each with the texts and captions of its images (section_id, pos, alt, caption)."""
+    told = F.concat(F.lit('alt="'), F.coalesce("alt", F.lit("(none)")), F.lit('" caption="'), F.coalesce("caption", F.lit("")), F.lit('"'))
+    listed = images.groupBy("section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", told.alias("t")))), lambda i: i["t"]), " | ").alias("_images"))
+    body = F.concat(F.lit("## "), "title", F.lit("\n"), "text", F.lit("\n\nImages: "), F.coalesce("_images", F.lit("(none)")))
+    rows = sections.join(listed, "section_id", "left").select(chapter, F.struct("ord", "section_id", body.alias("body")).alias("s"))
+    return rows.groupBy(chapter).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["body"]), "\n\n").alias("body"))

@@ -251,9 +251,12 @@ def scheme_of(c) -> Column:
 
 
 def url_verdict(tag="tag", name="name", value="value") -> Column:
-    """For (tag, name, value): 'ok', 'stripped' if the scheme isn't permitted there, null where the attribute holds no URL."""
+    """For (tag, name, value): 'ok', 'stripped' if the scheme isn't permitted there, null where the attribute holds no URL. Addresses of packaged files stand in pictures only, and in their exact form."""
+    v = T._col(value)
     schemes = _listed({f"{t}.{n}": ["", *s] for t, names in rules.URL_ATTRIBUTES.items() for n, s in names.items()})[F.concat(T._col(tag), F.lit("."), T._col(name))]
-    return F.when(schemes.isNotNull(), F.when(F.array_contains(schemes, scheme_of(value)), "ok").otherwise("stripped"))
+    packaged = F.regexp_replace(v, r"[\x00-\x20]", "").startswith(rules.FILEBASE)
+    exact = v.rlike(rf"^\Q{rules.FILEBASE}/{rules.PACKAGED_FOLDER}/\E[A-Za-z0-9._-]+\.(?:png|jpe?g|gif|webp)\z") & ~v.contains("..") & (T._col(tag) == "img") & (T._col(name) == "src")
+    return F.when(schemes.isNotNull(), F.when(F.when(packaged, exact).otherwise(F.array_contains(schemes, scheme_of(v))), "ok").otherwise("stripped"))
 
 
 def link_target(c) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -187,10 +189,25 @@ def dedupe_assets(assets: DataFrame, doc: str, digest: str, order: str, origin:
     return assets.withColumn("named_by", F.first_value(origin).over(Window.partitionBy(doc, digest).orderBy(order)))
 
 
+# Letters that don't decompose into a plain one and marks.
+WHOLE_LETTERS = {"ø": "o", "Ø": "o", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "đ": "d", "Đ": "d", "ł": "l", "Ł": "l", "ß": "ss"}
+
+
+def plain_letters(c) -> Column:
+    """Latin letters without their marks; the table follows from the letters' own decompositions."""
+    pairs = {chr(i): unicodedata.normalize("NFKD", chr(i)) for i in range(0xC0, 0x250)}
+    marked = {x: d[0] for x, d in pairs.items() if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(m) for m in d[1:])}
+    out = T._col(c)
+    for letter, plain in WHOLE_LETTERS.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return F.translate(F.regexp_replace(out, r"[\u0300-\u036f]", ""), "".join(marked), "".join(marked.values()))
+
+
 def asset_name(origin, digest, extension) -> Column:
-    """A safe name: the base name's slug, eight digits of the digest, the extension."""
+    """A safe name: the base name in plain letters as a slug, eight digits of the digest, the extension."""
     base = F.regexp_replace(F.regexp_extract(T._col(origin), r"([^/\\]*)$", 1), r"\.[^.]*$", "")
-    return F.concat(T.slug(base, 40), F.lit("-"), F.substring(T._col(digest), 1, 8), F.lit("."), T._col(extension))
+    slug = F.regexp_replace(F.regexp_replace(F.lower(plain_letters(base)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.concat(F.coalesce(F.nullif(slug, F.lit("")), F.lit("image")), F.lit("-"), F.substring(T._col(digest), 1, 8), F.lit("."), T._col(extension))
 
 
 def asset_integrity(references: DataFrame, assets: DataFrame, key: str = "name") -> tuple[DataFrame, DataFrame]:

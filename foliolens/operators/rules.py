@@ -1,6 +1,6 @@
 """Rule values of the page policy, as plain data.
 
-Fixed values: tag, attribute, scheme and style lists of the publishing policy.
+Fixed values: tag, attribute, scheme and style lists of the publishing policy, its entities, and the rule names and impacts that audits map.
 """
 
 from __future__ import annotations
@@ -67,6 +67,8 @@ URL_ATTRIBUTES = {
     "blockquote": {"cite": WEB_SCHEMES},
     "q": {"cite": WEB_SCHEMES},
 }
+#: What the addresses of files in a cartridge begin with (a fixed value of that format), and the folder that holds ours.
+FILEBASE, PACKAGED_FOLDER = "$IMS-CC-FILEBASE$", "packaged"
 STYLE_PROPERTIES = (
     "background border border-radius clear color cursor direction display flex float font grid height line-height list-style margin max-height max-width min-height min-width overflow "
     "overflow-x overflow-y padding text-align table-layout text-decoration text-indent vertical-align visibility white-space width zoom"

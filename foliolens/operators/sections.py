@@ -161,6 +161,16 @@ def metadata_inventory(tokens: DataFrame, key: str) -> DataFrame:
     return row(of("head"), "heading").unionByName(row(terms, "glossary", F.col("detail"))).unionByName(row(bold, "defined-term")).unionByName(row(keyed, "key-block"))
 
 
+def table_facts(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, el, role, nested, has_th, rows) of a page's outermost tables: their role, whether they hold another table, header cells, and their rows, those of inner tables among them."""
+    marked = P.enclosing(tokens, key, table=("table",)).filter("kind = 'open' AND table IS NOT NULL")
+    own = F.col("el") == F.col("table.el")
+    role = F.get(F.filter("attrs", lambda a: a["name"] == "role"), 0)["value"]
+    return marked.groupBy(key, F.col("table.el").alias("el")).agg(
+        F.max(F.when(own, role)).alias("role"), F.bool_or(~own & (F.col("tag") == "table")).alias("nested"), F.bool_or(F.col("tag") == "th").alias("has_th"), F.count_if(F.col("tag") == "tr").alias("rows")
+    )
+
+
 def assemble_page(html, title, footer: str = "Continue to the next page.") -> Column:
     """A page as published: its first second-level heading, or the section's title, as banner, the body in a frame, and a footer. An assembled page stays as it is."""
     h, t = T._col(html), F.coalesce(F.trim(T._col(title)), F.lit(""))

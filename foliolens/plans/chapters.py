@@ -171,11 +171,13 @@ def deck_picture_refs(spark, sf_dir):
     return H.picture_refs(slides)
 
 
-@query("SELECT l_orderkey AS deck_id, count(*) FILTER (l_linenumber % 2 = 0) AS untitled, count(*) FILTER (l_suppkey % 5 = 0) AS with_notes, sum(l_linenumber + 1)::BIGINT AS unrepresentable FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey AS deck_id, count(*) FILTER (l_linenumber % 2 = 0) AS untitled, count(*) FILTER (l_suppkey % 5 = 0) AS with_notes, sum(l_linenumber + 1)::BIGINT AS unrepresentable, count(*) FILTER (l_partkey % 4 = 0) AS out_of_order, count(*) FILTER (l_suppkey % 10 = 0) AS unattributed FROM lineitem GROUP BY 1")
 def deck_findings(spark, sf_dir):
+    from foliolens.plans.decks import decks_reconciled
+
     n = F.col("l_linenumber")
-    slides = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("deck_id"), F.when(n % 2 == 1, "t").alias("title"), F.when(F.col("l_suppkey") % 5 == 0, "n").otherwise(" ").alias("notes"), n.alias("charts"), F.lit(1).alias("diagrams"), F.lit(0).alias("media"))
-    return H.deck_findings(slides)
+    slides = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("deck_id"), F.when(n % 2 == 1, "t").alias("title"), F.when(F.col("l_suppkey") % 5 == 0, "n").otherwise(" ").alias("notes"), n.alias("charts"), F.lit(1).alias("diagrams"), F.lit(0).alias("media"), (F.col("l_partkey") % 4 == 0).alias("title_out_of_order"))
+    return H.deck_findings(slides, claims=decks_reconciled(spark, sf_dir))
 
 
 @query("SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing, 0 AS duplicate, (SELECT count(*) FROM labels WHERE quality + 5 * toxic NOT BETWEEN 1 AND 5) AS out_of_range, false AS passed")

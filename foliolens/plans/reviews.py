@@ -186,3 +186,38 @@ def sections_read(spark, sf_dir):
     from foliolens.sources import files
 
     return files.read_pages(spark, f"{sf_dir}/pages.parquet").select("section_id", "canonical_url", "content_base_url", F.md5("html").alias("digest"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS chapter_id, o_orderkey, '## ' || o_orderpriority || chr(10) || 'order ' || o_orderkey || chr(10) || chr(10) || 'Images: ' || coalesce(i, '(none)') AS body FROM orders LEFT JOIN (
+  SELECT l_orderkey, string_agg('alt="' || coalesce(CASE WHEN l_suppkey % 3 > 0 THEN 'p' || l_partkey END, '(none)') || '" caption="' || CASE WHEN l_partkey % 2 = 0 THEN l_returnflag ELSE '' END || '"', ' | ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem) GROUP BY 1) ON l_orderkey = o_orderkey)
+SELECT chapter_id, md5(string_agg(body, chr(10) || chr(10) ORDER BY o_orderkey)) AS body FROM s GROUP BY 1""")
+def prompt_bodies(spark, sf_dir):
+    sections = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chapter_id"), F.col("o_orderkey").alias("section_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("title"), name("order ", "o_orderkey").alias("text"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").distinct()
+    images = lines.select(F.col("l_orderkey").alias("section_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.when(F.col("l_suppkey") % 3 > 0, name("p", "l_partkey")).alias("alt"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_returnflag")).alias("caption"))
+    return H.section_bodies(sections, images).withColumn("body", F.md5("body"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'none' END AS role, p_size % 4 = 0 AS nested, p_size % 2 = 0 OR p_size % 4 = 0 AS has_th, (2 + p_size % 5 + CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS rows FROM part")
+def tables_described(spark, sf_dir):
+    size = F.col("p_size")
+    inner = F.when(size % 4 == 0, "<table><tr><th>i</th></tr></table>").otherwise("")
+    rows = F.concat(F.lit("<tr><td>a"), inner, F.lit("</td></tr><tr>"), F.when(size % 2 == 0, "<th>h</th>").otherwise("<td>h</td>"), F.lit("</tr>"), F.repeat(F.lit("<tr><td>r</td></tr>"), size % 5))
+    pages = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<div><table"), F.when(size % 3 == 0, ' role="none"').otherwise(""), F.lit(">"), rows, F.lit("</table></div>")).alias("html"))
+    return S.table_facts(P.tokenize(pages, "p_partkey"), "p_partkey").drop("el")
+
+
+@query("""WITH v AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '$IMS-CC-FILEBASE$/packaged/' || p_partkey || '.png' WHEN 1 THEN ' $IMS-CC-FILEBASE$/packaged/' || p_partkey || '.png' WHEN 2 THEN '$IMS-CC-FILEBASE$/other/' || p_partkey || '.png' WHEN 3 THEN '$IMS-CC-FILEBASE$/packaged/a..b.gif' ELSE 'packaged/' || p_partkey || '.png' END AS src, p_size FROM part)
+SELECT p_partkey, CASE WHEN p_size % 5 IN (0, 4) THEN '<img src="' || src || '">' ELSE '<img>' END || CASE WHEN p_size % 5 = 4 THEN '<audio src="' || src || '">' ELSE '<audio>' END AS html FROM v""")
+def packaged_addresses(spark, sf_dir):
+    k, base = name("", "p_partkey"), "$IMS-CC-FILEBASE$/"
+    n = F.col("p_size") % 5
+    src = F.when(n == 0, F.concat(F.lit(base + "packaged/"), k, F.lit(".png"))).when(n == 1, F.concat(F.lit(" " + base + "packaged/"), k, F.lit(".png"))).when(n == 2, F.concat(F.lit(base + "other/"), k, F.lit(".png"))).when(n == 3, F.lit(base + "packaged/a..b.gif")).otherwise(F.concat(F.lit("packaged/"), k, F.lit(".png")))
+    pages = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('<img src="'), src, F.lit('"><audio src="'), src, F.lit('">')).alias("html"))
+    return P.sanitize(P.tokenize(pages, "p_partkey"), "p_partkey")
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '-') || '-ueoessa-' || p_size || '-' || substr(md5(p_name), 1, 8) || '.png' AS name FROM part")
+def asset_names_folded(spark, sf_dir):
+    origin = F.concat(F.lit("word/media\\"), F.upper("p_name"), F.lit(" Üéœßà_"), F.col("p_size").cast("string"), F.lit(".x.PNG"))
+    return table(spark, sf_dir, "part").select("p_partkey", B.asset_name(F.regexp_replace(origin, r"\.x", ""), F.md5("p_name"), F.lit("png")).alias("name"))
