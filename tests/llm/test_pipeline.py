@@ -49,3 +49,17 @@ def test_stages(spark, tmp_path):
     assert suffix_dedup.LENGTH == 200
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in again.collect()) == sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in packed)
+
+
+def test_empty_tables_pass_through(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string, row int"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.collect() == []
+        if name != "best_fit_packing":
+            assert docs.columns == columns
+            docs = spark.createDataFrame([], schema)
