@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliolens.llm import bm25_search, byte_bpe, html_extract, license_scan, ngram_jaccard, packing, quality_rules, suffix_dedup, toxicity, warc
+from foliolens.llm import bm25_search, byte_bpe, html_extract, license_scan, line_dedup, ngram_jaccard, packing, quality_rules, ranked_search, suffix_dedup, token_alignment, toxicity, warc
 from foliolens.llm.common import table
 
 
@@ -49,6 +49,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op2_quality_rules alone, which SQL can express."""
     counted = quality_rules.counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -71,6 +83,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_html_extract": op9_html_extract,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_token_alignment": op13_token_alignment,
     "quality_base_counts": quality_base_counts,
     "license_base_places": license_base_places,
 }
@@ -95,4 +110,20 @@ u AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS i FROM w),
 g AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)), p(phrase, label) AS (VALUES {_PHRASES}),
 f AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM g JOIN p ON a = phrase[1] AND [a, b, c, d][:len(phrase)] = phrase GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN f USING (doc_id)""",
+    "op11_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT *, length(key) >= 10 AND doc_id <> min(doc_id) OVER (PARTITION BY key) AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM o GROUP BY doc_id""",
+    "op12_ranked_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, sum(len(w))::BIGINT AS big_l FROM d),
+t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+v AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM f, c GROUP BY term),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score FROM f JOIN v USING (term) JOIN q USING (term), c GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20""",
 }
