@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliolens.functions import selectors
 from foliolens.functions import text as T
 from foliolens.operators import rules
 
@@ -126,36 +127,61 @@ def elements(tokens: DataFrame, key: str, paths: bool = True) -> DataFrame:
     return columns.mapInArrow(run, f"`{key}` {kind}, el int, parent int, open_pos int, close_pos int, depth int, tag string, path array<string>")
 
 
-def enclosing(tokens: DataFrame, key: str, **sets: tuple[str, ...] | Column) -> DataFrame:
-    """tokens with `el`, the element that a tag opens or closes or that holds a text (numbered as in elements()), with `before`, the
-    paragraph or heading that ended last beside it or beside what holds it, and for each named set of tags, or condition on the token that
-    opens an element, the outermost element of that kind that is or holds the token's element, as (el, tag)."""
-    fields = tokens.columns
-    marks = {f"_is_{n}": F.coalesce(F.col("tag").isin(*m) if isinstance(m, tuple) else m, F.lit(False)) for n, m in sets.items()}
-    held_type = pa.struct([("el", pa.int32()), ("tag", pa.string())])
-    names, flags = list(sets), list(marks)
+def enclosing(tokens: DataFrame, key: str, keep: list[str] | None = None, **sets: tuple[str, ...] | Column) -> DataFrame:
+    """tokens (or their columns `keep`) with `el`, the element that a tag opens or closes or that holds a text (numbered as in elements()), with `before`, the
+    paragraph or heading that ended last beside it or beside what holds it, and for each named set of selectors, or condition on the token that
+    opens an element, the outermost element of that kind that is or holds the token's element, as (el, tag, rule): rule is the number of its first selector that fits.
+
+    Selectors with attributes need the column `attrs`. What a selector asks of one element is a condition on its token; descent is followed on the stack.
+    """
+    fields = keep or tokens.columns
+    bits: dict = {}  # conditions on tokens, by number
+    # By set and rule: the numbers of a selector's conditions, from the outermost element in.
+    rules_of = [[(rule, [bits.setdefault(c, len(bits)) for c in chain]) for rule, one in enumerate(m) for chain in selectors.parse(one)] if isinstance(m, tuple) else [(0, [bits.setdefault(n, len(bits))])] for n, m in sets.items()]
+    if len(bits) > 63:
+        raise ValueError("more than 63 different conditions in one pass")
+    test = lambda c: c.column() if isinstance(c, selectors.Compound) else F.coalesce(sets[c], F.lit(False))
+    marks = sum((F.when(test(c), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for c, i in bits.items()), F.lit(0).cast("long"))
+    single = [[(rule, 1 << chain[0]) for rule, chain in rules_ if len(chain) == 1] for rules_ in rules_of]
+    descents = [(i, rule, [1 << b for b in chain]) for i, rules_ in enumerate(rules_of) for rule, chain in rules_ if len(chain) > 1]
+    held_type = pa.struct([("el", pa.int32()), ("tag", pa.string()), ("rule", pa.int32())])
+    names = list(sets)
 
     def run(batches):
         page, stack = None, Stack()
         outer: list[tuple] = []  # by open element
         before: list[int | None] = [None]  # by open element, after that of the page itself
+        met: list[tuple] = [(0,) * len(descents)]  # likewise: how many conditions of each descent the elements around have met, outermost first
+        fitting: dict[int, list] = {}
         for batch in batches:
             found: list[list] = [[] for _ in range(len(names) + 2)]
-            for value, what, tag, closed, *kinds in zip(*(batch.column(c).to_pylist() for c in (key, "kind", "tag", "_closed", *flags)), strict=True):
+            for value, what, tag, closed, mark in zip(*(batch.column(c).to_pylist() for c in (key, "kind", "tag", "_closed", "_marks")), strict=True):
                 if page is None or page[0] != value:
-                    page, stack, outer, before = (value,), Stack(), [], [None]
+                    page, stack, outer, before, met = (value,), Stack(), [], [None], met[:1]
                 around, reference = (outer[-1] if outer else (None,) * len(names)), before[-1]
                 size = len(stack.open)
                 el, ended = stack.step(what, tag, closed)
                 mine = around
                 if what in ("open", "raw"):
-                    mine = tuple(a or ({"el": el, "tag": tag} if is_kind else None) for a, is_kind in zip(around, kinds, strict=True))
+                    if mark not in fitting:
+                        fitting[mark] = [next((rule for rule, bit in own if mark & bit), None) for own in single]
+                    fits, so_far = fitting[mark], met[-1]
+                    if descents:
+                        fits, so_far = fits[:], list(so_far)
+                        for d, (i, rule, chain) in enumerate(descents):
+                            if so_far[d] == len(chain) - 1:
+                                if mark & chain[-1] and (fits[i] is None or rule < fits[i]):
+                                    fits[i] = rule
+                            elif mark & chain[so_far[d]]:
+                                so_far[d] += 1
+                    mine = tuple(a or (None if rule is None else {"el": el, "tag": tag, "rule": rule}) for a, rule in zip(around, fits, strict=True))
                     if len(stack.open) > size:
                         outer.append(mine)
                         before.append(reference)
+                        met.append(tuple(so_far))
                 elif ended:
                     mine = outer[-len(ended)]
-                    del outer[-len(ended) :], before[-len(ended) :]
+                    del outer[-len(ended) :], before[-len(ended) :], met[-len(ended) :]
                     reference = before[-1]
                     if tag in REFERENCES:
                         before[-1] = el
@@ -164,8 +190,10 @@ def enclosing(tokens: DataFrame, key: str, **sets: tuple[str, ...] | Column) ->
             arrays = [pa.array(found[0], pa.int32()), pa.array(found[1], pa.int32()), *[pa.array(c, held_type) for c in found[2:]]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in fields], *arrays], [*fields, "el", "before", *names])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in tokens.dtypes) + ", el int, before int" + "".join(f", `{n}` struct<el:int,tag:string>" for n in sets)
-    return by_page(tokens.withColumns({"_closed": F.col("raw").endswith("/>"), **marks}), key).mapInArrow(run, schema)
+    kinds = dict(tokens.dtypes)
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in fields) + ", el int, before int" + "".join(f", `{n}` struct<el:int,tag:string,rule:int>" for n in sets)
+    marked = tokens.withColumns({"_closed": F.col("raw").endswith("/>"), "_marks": F.when(F.col("kind").isin("open", "raw"), marks).otherwise(F.lit(0).cast("long"))})
+    return by_page(marked.select(*dict.fromkeys([*fields, key, "pos", "kind", "tag", "_closed", "_marks"])), key).mapInArrow(run, schema)
 
 
 def joined_text(texts: DataFrame, *by) -> DataFrame:
@@ -188,13 +216,20 @@ def section_text(blocks: DataFrame, key: str) -> DataFrame:
 
 CONTAINERS = ("main", "article", "body")
 CHROME = ("nav", "header", "footer", "aside", "form", "script", "style")
+# Where books on the web hold their content (the first of any of these, else the page), and what isn't content there.
+BOOK_CONTAINERS = ("section.mt-content-container, .entry-content, .book-content, main, article", "body")
+BOOK_CHROME = (
+    "script", "style", "nav", "header", "footer", "aside", "form", ".mt-sortable-listings-container", ".mt-subpage-listings-container",
+    ".mt-topic-hierarchy-listings", ".mt-category-container", ".noinclude", ".noindex",
+)
 
 
 def main_content(tokens: DataFrame, key: str, containers: tuple[str, ...] = CONTAINERS, chrome: tuple[str, ...] = CHROME) -> DataFrame:
-    """(key, container, n_chrome, html) of each page's first container of the first kind that it has: its tokens without the chrome inside it."""
-    marked = enclosing(tokens.select(key, "pos", "kind", "tag", "raw"), key, chrome=chrome, **{f"_{c}": (c,) for c in containers})
+    """(key, container, n_chrome, html) of each page's first container of the first kind that it has: its tokens without the chrome inside it. Both are selectors."""
+    names = [f"_c{i}" for i in range(len(containers))]
+    marked = enclosing(tokens, key, [key, "pos", "kind", "tag", "raw"], chrome=chrome, **{n: (c,) for n, c in zip(names, containers, strict=True)})
     page = Window.partitionBy(key)
-    own = [F.col(f"_{c}.el") for c in containers]
+    own = [F.col(f"{n}.el") for n in names]
     marked = marked.withColumns({f"_first{i}": F.min(c).over(page) for i, c in enumerate(own)})
     container, inside = F.lit(None).cast("string"), F.lit(False)
     for i in reversed(range(len(containers))):
@@ -206,14 +241,19 @@ def main_content(tokens: DataFrame, key: str, containers: tuple[str, ...] = CONT
     return held.groupBy(key, "container").agg(F.count_distinct("chrome.el").alias("n_chrome"), html.alias("html"))
 
 
-def strip_chrome(tokens: DataFrame, key: str, tags: tuple[str, ...] = ("nav", "header", "footer", "aside", "form")) -> DataFrame:
-    """tokens without the chrome elements and all inside them."""
-    return enclosing(tokens, key, chrome=tags).filter("chrome IS NULL").select(*tokens.columns)
+FRAME = ("nav", "header", "footer", "aside", "form")
 
 
-def chrome_counts(tokens: DataFrame, key: str, tags: tuple[str, ...] = ("nav", "header", "footer", "aside", "form")) -> DataFrame:
-    """(key, n) of the outermost chrome elements that strip_chrome() removes."""
-    return enclosing(tokens.select(key, "pos", "kind", "tag", "raw"), key, chrome=tags).filter("chrome IS NOT NULL").groupBy(key).agg(F.count_distinct("chrome.el").alias("n"))
+def strip_chrome(tokens: DataFrame, key: str, chrome: tuple[str, ...] = FRAME) -> DataFrame:
+    """tokens without the elements that these selectors mean and all inside them."""
+    return enclosing(tokens, key, chrome=chrome).filter("chrome IS NULL").select(*tokens.columns)
+
+
+def chrome_counts(tokens: DataFrame, key: str, chrome: tuple[str, ...] = FRAME) -> DataFrame:
+    """(key, selector, n) of the outermost elements that strip_chrome() removes, by the first selector that fits them."""
+    held = enclosing(tokens, key, [key, "pos"], chrome=chrome).filter("chrome IS NOT NULL")
+    named = F.array(*[F.lit(c) for c in chrome])
+    return held.groupBy(key, F.get(named, F.col("chrome.rule")).alias("selector")).agg(F.count_distinct("chrome.el").alias("n"))
 
 
 def filter_tags(tokens: DataFrame) -> DataFrame:

@@ -196,3 +196,62 @@ def test_budget_of_the_frontier(spark):
 def test_trees_of_any_depth(spark):
     nodes = spark.createDataFrame([("b", str(i), None if i == 0 else str(i - 1), 0) for i in range(15)], "book string, node string, parent string, ord long")
     assert sorted(r["depth"] for r in corpora.flatten_tree(nodes).collect()) == list(range(15))
+
+
+def random_marked_html(rng):
+    """Markup with ids, classes and attributes."""
+    parts = []
+    for _ in range(rng.randrange(0, 40)):
+        tag = rng.choice(["div", "p", "nav", "span", "li"])
+        attrs = "".join(f' {n}="{rng.choice(v)}"' for n, v in (("id", ["toc", "x"]), ("class", ["a", "b", "a b", "ab"]), ("data-k", ["1", "2", "3 4"])) if rng.random() < 0.4)
+        parts.append(f"<{tag}{attrs}>" if rng.random() < 0.45 else f"</{tag}>" if rng.random() < 0.6 else "t")
+    return "".join(parts)
+
+
+SELECTORS = ("nav#toc", ".a.b", "div .a span", "[data-k='3 4'], li[id]", "p p", "div [data-k=1] *", "nav")
+
+
+def test_selectors_on_tokens(spark):
+    """Each selector against a plain reading of it: all chains of ancestors are tried."""
+    from itertools import combinations
+
+    rng = random.Random(12)
+    texts = [random_marked_html(rng) for _ in range(150)]
+    tests = {
+        "nav#toc": [lambda t, a: t == "nav" and a.get("id") == "toc"], ".a.b": [lambda t, a: {"a", "b"} <= set(a.get("class", "").split())], "p p": [lambda t, a: t == "p"] * 2, "nav": [lambda t, a: t == "nav"],
+        "div .a span": [lambda t, a: t == "div", lambda t, a: "a" in a.get("class", "").split(), lambda t, a: t == "span"], "div [data-k=1] *": [lambda t, a: t == "div", lambda t, a: a.get("data-k") == "1", lambda t, a: True],
+    }
+    fits = lambda chain, test: len(chain) >= len(test) and test[-1](*chain[-1]) and any(all(t(*chain[i]) for t, i in zip(test, at, strict=False)) for at in combinations(range(len(chain) - 1), len(test) - 1))
+    counts, kept, nested = {}, {}, 0
+    for i, html in enumerate(texts):
+        stack, out = [], []
+        for raw in re.findall(r"<[^>]+>|[^<]+", html):
+            hidden = any(h for _, _, h in stack)
+            if raw.startswith("</"):
+                tag = raw[2:-1]
+                own = [k for k, (t, _, _) in enumerate(stack) if t == tag]
+                if own:
+                    hidden = any(h for _, _, h in stack[: own[-1] + 1])
+                    del stack[own[-1] :]
+            elif raw.startswith("<"):
+                tag, attrs = re.match(r"<(\w+)", raw)[1], dict(re.findall(r' ([\w-]+)="([^"]*)"', raw))
+                chain = [(t, a) for t, a, _ in stack] + [(tag, attrs)]
+                found = [s for s in SELECTORS if (fits(chain, tests[s]) if s in tests else attrs.get("data-k") == "3 4" or tag == "li" and "id" in attrs)]
+                if found and not hidden:
+                    counts[i, found[0]] = counts.get((i, found[0]), 0) + 1
+                nested += bool(found) and hidden
+                hidden = hidden or bool(found)
+                stack.append((tag, attrs, bool(found)))
+            if not hidden:
+                out.append(raw)
+        kept[i] = "".join(out)
+    tokens = tokenized(spark, texts)
+    assert {(r["page_id"], r["selector"]): r["n"] for r in pages.chrome_counts(tokens, "page_id", SELECTORS).collect()} == counts and nested > 20 and len({s for _, s in counts}) == len(SELECTORS)
+    got = {r["page_id"]: r["html"] for r in pages.serialize(pages.strip_chrome(tokens, "page_id", SELECTORS), "page_id").collect()}
+    assert got == {i: h for i, h in kept.items() if h}
+
+
+def test_book_content(spark):
+    html = '<body><div class="entry-content x"><p>a</p><div class="noindex">b</div><nav>c</nav></div><main>d</main></body>'
+    rows = pages.main_content(tokenized(spark, [html, "<body><header>x</header>y</body>"]), "page_id", pages.BOOK_CONTAINERS, pages.BOOK_CHROME).collect()
+    assert {r["page_id"]: (r["n_chrome"], r["html"]) for r in rows} == {0: (2, '<div class="entry-content x"><p>a</p></div>'), 1: (1, "<body>y</body>")}
