@@ -197,6 +197,44 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, budget: int | None = 250
     return seen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= budget).drop("_n")
 
 
+def crawl(seeds: DataFrame, links: DataFrame, content: DataFrame | None = None, budget: int | None = 250) -> DataFrame:
+    """(chapter, n, url, error): the pages of each chapter in the order in which a walk in pre-order meets them, each address once.
+
+    seeds (chapter, url, ord) and links (src, dst, ord) give the order of a chapter's first pages and of a page's links. With `content` (url),
+    pages that are no leaves and aren't listed there are passed through, not kept. A chapter that reaches more addresses than the budget, or of
+    which nothing is kept, is one row with an error.
+
+    An address is labelled with the links' places along the way to it. The least label of all ways without a repeated page is the way of the
+    walk, so labels are lowered along links until none changes; a page whose label falls passes it on again. A chapter over its budget is not followed.
+    """
+    first = seeds.groupBy("chapter", "url").agg(F.min("ord").alias("ord"))
+    edges = cut(links.groupBy("src", "dst").agg(F.min("ord").alias("ord")))
+    state = cut(first.select("chapter", "url", F.array(F.col("ord").cast("long")).alias("label"), F.array("url").alias("path")))
+    front = state
+    while not front.isEmpty():
+        if budget is not None:
+            over = state.groupBy("chapter").count().filter(F.col("count") > budget).select("chapter")
+            front = front.join(over, "chapter", "left_anti")
+        ways = front.join(edges, front["url"] == edges["src"]).filter(~F.array_contains("path", F.col("dst")))
+        ways = ways.select("chapter", F.col("dst").alias("url"), F.concat("label", F.array(F.col("ord").cast("long"))).alias("label"), F.concat("path", F.array("dst")).alias("path"))
+        best = ways.groupBy("chapter", "url").agg(F.min(F.struct("label", "path")).alias("w"))
+        known = state.select("chapter", "url", F.col("label").alias("_label"))
+        lower = best.join(known, ["chapter", "url"], "left").filter(F.col("_label").isNull() | (F.col("w.label") < F.col("_label")))
+        front = cut(lower.select("chapter", "url", "w.label", "w.path"))
+        state = cut(state.join(front.select("chapter", "url"), ["chapter", "url"], "left_anti").unionByName(front))
+    reached = state.groupBy("chapter").agg(F.count(F.lit(1)).alias("_reached"))
+    kept = state.select("chapter", "url", "label")
+    if content is not None:
+        inner = edges.select(F.col("src").alias("url")).distinct().join(content.select("url"), "url", "left_anti")
+        kept = kept.join(inner, "url", "left_anti")
+    told = reached.join(kept, "chapter", "left").withColumn("_over", F.lit(False) if budget is None else F.col("_reached") > budget)
+    whole = told.filter(~F.col("_over") & F.col("url").isNotNull()).withColumn("n", F.row_number().over(Window.partitionBy("chapter").orderBy("label")) - 1)
+    failed = told.filter(F.col("_over") | F.col("url").isNull()).groupBy("chapter").agg(F.bool_or("_over").alias("_over"))
+    none = lambda t: F.lit(None).cast(t)
+    errors = failed.select("chapter", none("int").alias("n"), none("string").alias("url"), F.when(F.col("_over"), F.lit(f"more than {budget} pages")).otherwise("no readable pages").alias("error"))
+    return whole.select("chapter", "n", "url", none("string").alias("error")).unionByName(errors)
+
+
 # ---- lexicon and inventories ----
 
 WORD = r"[A-Za-z0-9_]+(?:['’-][A-Za-z0-9_]+)*"

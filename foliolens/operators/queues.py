@@ -130,6 +130,24 @@ def latest(events: DataFrame, key: str, order: str, kind: str = "type", undo: tu
     return last.filter(~F.col(kind).isin(*undo)) if undo else last
 
 
+def fold_answers(events: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
+    """(key, answer, text, choice, note, skipped, answered_at, skipped_at, revisited_at) after a log of events (key, seq, type, answer, text, choice).
+
+    'answer' records an answer and its note and clears a skip, unless it is refused: then nothing happens. 'skip' marks the key and keeps its answer,
+    'revisit' takes answer and note away and keeps the mark; other types say nothing about the key. Three maxima per key say it all, so events may come in any order,
+    and a stream folds by the same function as a batch ("update" or "complete" mode).
+    """
+    judged = A.validate_answers(events.withColumnRenamed("type", "_event").withColumn("type", F.col("answer"))).drop("type")
+    said = F.struct(F.col(order).alias("at"), "answer", "text", "choice", F.nullif(F.regexp_extract("verdict", "^accepted:(.*)$", 1), F.lit("")).alias("note"))
+    given = (F.col("_event") == "answer") & F.col("verdict").startswith("accepted")
+    last = judged.groupBy(key).agg(
+        F.max_by(F.when(given, said), F.when(given, F.col(order))).alias("a"), F.max(F.when(F.col("_event") == "skip", F.col(order))).alias("skipped_at"), F.max(F.when(F.col("_event") == "revisit", F.col(order))).alias("revisited_at")
+    )
+    stands = F.col("a.at").isNotNull() & (F.col("revisited_at").isNull() | (F.col("revisited_at") < F.col("a.at")))
+    skipped = F.col("skipped_at").isNotNull() & (F.col("a.at").isNull() | (F.col("a.at") < F.col("skipped_at")))
+    return last.select(key, *[F.when(stands, F.col(f"a.{c}")).alias(c) for c in ("answer", "text", "choice", "note")], skipped.alias("skipped"), F.col("a.at").alias("answered_at"), "skipped_at", "revisited_at")
+
+
 def fold_edits(events: DataFrame, key: str, order: str, kind: str = "type") -> tuple[DataFrame, DataFrame]:
     """(edits, dismissed) after a log of events: the last one of each key counts. 'replace', 'keep' and 'image' leave an edit, 'dismiss' a dismissed key, 'undo' neither."""
     last = latest(events, key, order, kind, ("undo",))

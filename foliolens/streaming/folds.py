@@ -1,11 +1,11 @@
-"""The batch folds as Structured Streaming jobs."""
+"""The batch folds as Structured Streaming jobs, and pages kept up to date as they arrive."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,3 +42,55 @@ def stream_pages(pages: DataFrame, compile_: Callable[[DataFrame], DataFrame], s
         compile_(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _has(spark: SparkSession, pattern: str) -> bool:
+    files, at = _files(spark, pattern)
+    return len(files.globStatus(at) or []) > 0
+
+
+def read_upserted(spark: SparkSession, sink: str) -> DataFrame:
+    """The pages that upsert_pages() keeps, one row a key."""
+    return spark.read.parquet(f"{sink}/pages").drop("bucket")
+
+
+def upsert_pages(pages: DataFrame, compile_: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "page_id", order: str = "version", buckets: int = 64, **trigger) -> StreamingQuery:
+    """Keeps compiled pages (key, order, digest and what compile_ adds) by key in `sink`, as pages (key, order, html) arrive.
+
+    Of a batch, the row of the highest order counts for each key. Pages whose bytes are those that the sink has, and late ones of an order not above the sink's, are not compiled.
+    The sink is cut into buckets of keys; a batch reads key, order and digest of the buckets that it touches and replaces only those that change.
+    A batch's new buckets are first written whole under its number. A batch that is repeated finds them and puts them in place again, so that
+    a failure at any point loses nothing and nothing is done twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        changes, staged, held = f"{sink}/changed/batch={number}", f"{sink}/staged/batch={number}", f"{sink}/pages"
+        for folder in (f"{sink}/changed/batch={number - 1}", f"{sink}/staged/batch={number - 1}"):  # in place since that batch ended
+            files, at = _files(spark, folder)
+            files.delete(at, True)
+        if not _has(spark, f"{staged}/_SUCCESS"):
+            bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+            rest = [c for c in batch.columns if c != key]
+            new = batch.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, F.sha2("html", 256))).alias("p")).select(key, "p.*", F.sha2("p.html", 256).alias("digest"), bucket)
+            old = spark.read.parquet(held) if _has(spark, f"{held}/bucket=*") else None
+            if old is not None:
+                known = old.select(key, "bucket", F.col(order).alias("_order"), F.col("digest").alias("_digest"))
+                newer = F.col("_order").isNull() | (F.col(order) > F.col("_order")) & (F.col("digest") != F.col("_digest"))
+                new = new.join(known, [key, "bucket"], "left").filter(newer).drop("_order", "_digest")
+            new.write.mode("overwrite").parquet(changes)
+            changed = spark.read.schema(new.schema).parquet(changes)
+            made = compile_(changed.select(key, *rest)).join(changed.select(key, order, "digest", "bucket"), key)
+            if old is not None:
+                stays = old.join(changed.select("bucket").distinct(), "bucket", "left_semi").join(changed.select(key), key, "left_anti")
+                made = made.unionByName(stays.select(*made.columns))
+            made.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
+        if _has(spark, f"{staged}/bucket=*"):
+            spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(held)
+
+    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
