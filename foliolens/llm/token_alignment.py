@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' ids over the same text, and how often two ids meet in it.
 
 A text is encoded twice: with a blank before it by a byte-level BPE (A), and as it stands by a piece BPE that adds that
-blank itself (B). Dictionaries from the byte offset where a token ends to its place are intersected; the sorted common
+blank itself (B). Dictionaries from the byte offset where a token ends to its place (tables addressed by the offset) are intersected; the sorted common
 offsets slice both lists of ids into groups, and every A token of a group is linked with every B token of it. Counts of
 linked id pairs are summed over documents in Spark. The pairs that hold more than a fixed share of all occurrences are,
 by that share, few: their counts are told to all tasks. The others are joined by pair, where none of them can be hot.
@@ -27,8 +27,8 @@ from foliolens.llm.byte_bpe import ranges
 from foliolens.llm.common import once, stored, texts_of
 from foliolens.llm.packing import LibraryIds
 
-#: A worker forgets encoded words of B beyond so many; longer ones aren't kept.
-CACHE_WORDS, CACHED_CHARS = 500_000, 64
+#: A worker forgets encoded words of B beyond so many, but for those of the texts at hand.
+CACHE_WORDS = 500_000
 #: Pairs told to all tasks: those with more than one of so many occurrences, so fewer than that.
 COMMON = 1 << 17
 #: Groups with more links than this are counted by their distinct ids instead of link by link.
@@ -37,16 +37,12 @@ _WORD = re.compile(" +[^ ]*")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
-class Words(dict):
-    """Packed ids of B by word: blanks with what follows them. No piece has a blank after another character, so merges stay within words.
-
-    None where the pieces don't spell the word.
-    """
+class Words:
+    """Packed ids of B by word: blanks with what follows them, the first blank left off. No piece has a blank after another character, so merges stay within words."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
@@ -54,20 +50,30 @@ class Words(dict):
         self.bytes_of = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.blank = self.model.piece_to_id("▁")
-
-    def __missing__(self, word: str) -> bytes | None:
-        ids = self.model.encode(word[1:]) if len(word) > 1 else [self.blank]
-        spelt = b"".join(self.bytes_of[i] for i in ids) == word.encode("utf-8", "surrogatepass")
-        packed = np.array(ids, "<u4").tobytes() if spelt else None
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
-
-    def ids(self, text: str) -> np.ndarray | None:
-        packed = [self[word] for word in _WORD.findall(text)]
-        return None if None in packed else np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        self.packed: dict[str, bytes] = {}
+        self.unspelt: set[str] = set()  # words that their pieces don't spell
+
+    def words(self, text: str) -> list[str]:
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return [w[1:] for w in _WORD.findall(" " + text)]
+        return text.split(" ")
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray | None]:
+        """The ids of each text, None where they don't spell it; new words are encoded together."""
+        cut = [self.words(t) for t in texts]
+        new = [w for w in set().union(*cut) if w not in self.packed]
+        if len(self.packed) + len(new) > CACHE_WORDS:
+            self.packed.clear()
+            self.unspelt.clear()
+            new = list(set().union(*cut))
+        for word, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
+            ids = ids if word else [self.blank]
+            if b"".join([self.bytes_of[i] for i in ids]) != (" " + word).encode("utf-8", "surrogatepass"):
+                self.unspelt.add(word)
+            self.packed[word] = np.array(ids, "<u4").tobytes()
+        for words in cut:
+            spelt = not self.unspelt or self.unspelt.isdisjoint(words)
+            yield np.frombuffer(b"".join(map(self.packed.__getitem__, words)), "<u4").astype(np.int64) if spelt else None
 
 
 class Aligner:
@@ -84,11 +90,16 @@ class Aligner:
         self.forms = np.frombuffer(b"".join(forms), np.uint8)
 
     def align(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the groups of both lists begin, and where the last ends."""
-        ends_a, ends_b = np.cumsum(self.a.lengths[ids_a]).tolist(), np.cumsum(self.b.lengths[ids_b]).tolist()
-        at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1), strict=True)), dict(zip(ends_b, range(1, len(ends_b) + 1), strict=True))
-        common = sorted(at_a.keys() & at_b.keys())
-        return np.array([0, *map(at_a.__getitem__, common)], np.int64), np.array([0, *map(at_b.__getitem__, common)], np.int64)
+        """Where the groups of both lists begin, and where the last ends.
+
+        An end-to-index dictionary is a table addressed by the end itself, 0 where no token ends; the ends of B that A's
+        table knows are the common ones, in order.
+        """
+        ends_a, ends_b = np.cumsum(self.a.lengths[ids_a]), np.cumsum(self.b.lengths[ids_b])
+        at_a, at_b = np.zeros(ends_a[-1] + 1, np.int32), np.zeros(ends_b[-1] + 1, np.int32)
+        at_a[ends_a], at_b[ends_b] = np.arange(1, len(ends_a) + 1), np.arange(1, len(ends_b) + 1)
+        common = ends_b[at_a[ends_b] > 0]
+        return np.concatenate([[0], at_a[common]]), np.concatenate([[0], at_b[common]])
 
     def pairs(self, ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct linked pairs, as numbers, and how many links each has."""
@@ -123,11 +134,10 @@ class Aligner:
     def rows(self, texts: list[str]) -> Iterator[list[tuple]]:
         """Slices of (n_a, n_b, n_groups, n_links, digest, pair numbers, links of each pair), one a text."""
         nothing = np.empty(0, np.int64)
-        spaced = [" " + t if t else "" for t in texts]
-        for ids, cuts, begin, end in self.a.table.each(spaced):
+        for ids, cuts, begin, end in self.a.table.each([" " + t if t else "" for t in texts]):
             ids, out = ids.astype(np.int64), []
-            for text, x, y in zip(spaced[begin:end], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                ids_a, ids_b = ids[x:y], self.b.ids(text)
+            for x, y, ids_b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), self.b.ids(texts[begin:end]), strict=True):
+                ids_a = ids[x:y]
                 if not len(ids_a) or ids_b is None:
                     out.append((0, 0, 0, 0, "", nothing, nothing))
                     continue

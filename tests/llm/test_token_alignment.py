@@ -97,8 +97,8 @@ def test_large_groups_are_not_written_out():
 
 def test_words_equal_the_library():
     words = T.Words(PATHS[1])
-    for text in made(9, 2000):
-        ids = words.ids(" " + text)
+    texts = made(9, 2000)
+    for text, ids in zip(texts, words.ids(texts), strict=True):
         assert ids is not None and ids.tolist() == words.model.encode(text)
 
 
@@ -107,3 +107,12 @@ def test_empty_table_and_repeated_keys(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     got = T.links(df, *PATHS).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"] and all(r.n_a for r in got)
+
+
+def test_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(T, "CACHE_WORDS", 30)
+    words = T.Words(PATHS[1])
+    for k in range(0, 200, 10):
+        texts = [f"w{k + i} ▁ x{k}" if i == 3 else f"w{k + i} common x{k}" for i in range(10)]
+        for i, (text, ids) in enumerate(zip(texts, words.ids(texts), strict=True)):
+            assert (ids is None) == (i == 3) and (ids is None or ids.tolist() == words.model.encode(text))
