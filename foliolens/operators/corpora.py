@@ -168,11 +168,11 @@ def toc_from_items(links: DataFrame, page: str) -> DataFrame:
     return out.filter(F.col("_nested") | F.col("item").isNull() | (F.col("n") == 1)).select(page, "chapter", "title", "n", "url", T.collapse("text").alias("text"))
 
 
-def child_links(links: DataFrame, root: str) -> DataFrame:
-    """Links inside a root address, each once."""
+def child_links(links: DataFrame, root: str, *by: str) -> DataFrame:
+    """(by, root, url) of links inside a root address, each once, without query and fragment."""
     url = T.normalize_url("href")
     base = T.normalize_url(root)
-    return links.filter((url == base) | url.startswith(F.concat(base, F.lit("/")))).select(root, url.alias("url")).distinct()
+    return links.filter((url == base) | url.startswith(F.concat(base, F.lit("/")))).select(*by, root, url.alias("url")).distinct()
 
 
 def expand_frontier(seeds: DataFrame, links: DataFrame, budget: int | None = 250) -> DataFrame:
@@ -371,14 +371,43 @@ def parse_replies(replies: DataFrame, text: str, schema: str = "items array<stru
 NEVER_EDIT = ("7.3", "7.7.1")
 
 
+#: Lengths of the grams by which quotes are looked up: the longest that fits a quote.
+GRAMS = (8, 3, 1)
+
+
+def _grams(c, length) -> Column:
+    """Hashes of the overlapping grams of a length, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)), lambda g: F.xxhash64(g)))
+
+
+def find_quotes(quotes: DataFrame, blocks: DataFrame, section: str, block: str, text: str) -> DataFrame:
+    """(section, quote, block): the first block of its section that holds each quote verbatim.
+
+    An inverted index of the grams that quotes hold, over each section's different texts: a quote is looked up by the gram that fewest texts of its
+    section hold, and only those texts are searched; one with a gram that no text holds is nowhere.
+    """
+    asked = quotes.select(section, "quote").filter("quote <> ''").distinct()
+    size = F.length("quote")
+    asked = asked.withColumn("q", F.when(size >= GRAMS[0], GRAMS[0]).when(size >= GRAMS[1], GRAMS[1]).otherwise(GRAMS[2]))
+    by_length = lambda c: F.when(F.col("q") == GRAMS[0], _grams(c, GRAMS[0])).when(F.col("q") == GRAMS[1], _grams(c, GRAMS[1])).otherwise(_grams(c, GRAMS[2]))
+    wanted = asked.select(section, "quote", "q", F.explode(by_length("quote")).alias("g"))
+    texts = blocks.groupBy(section, F.col(text).alias("_text")).agg(F.min(block).alias("_block"))
+    lengths = asked.select(section, "q").distinct()
+    index = texts.join(lengths, section).select(section, "q", "_block", F.explode(by_length("_text")).alias("g")).join(wanted.select(section, "q", "g").distinct(), [section, "q", "g"], "left_semi")
+    held = index.groupBy(section, "q", "g").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(held, [section, "q", "g"], "left").groupBy(section, "quote", "q").agg(F.min_by("g", "n").alias("g"), F.bool_and(F.col("n").isNotNull()).alias("all")).filter("all")
+    found = rarest.join(index, [section, "q", "g"]).join(texts, [section, "_block"]).filter(F.col("_text").contains(F.col("quote")))
+    return found.groupBy(section, "quote").agg(F.min("_block").alias(block))
+
+
 def ground_drafts(drafts: DataFrame, blocks: DataFrame, section: str, block: str = "block_idx", text: str = "text") -> DataFrame:
-    """drafts (section, draft, quote, and where known their category) with the first block that holds the quote verbatim; those without one, and those of categories that never edit, are observations."""
-    if "category" in drafts.columns:
-        never = drafts.filter(F.col("category").isin(*NEVER_EDIT)).withColumn(block, F.lit(None).cast(dict(blocks.dtypes)[block])).withColumn("kind", F.lit("observation"))
-        return ground_drafts(drafts.filter(~F.coalesce(F.col("category").isin(*NEVER_EDIT), F.lit(False))).withColumnRenamed("category", "_category"), blocks, section, block, text).withColumnRenamed("_category", "category").unionByName(never)
-    held = drafts.join(blocks.select(section, block, text), section).filter((F.col("quote") != "") & F.col(text).contains(F.col("quote")))
-    first = held.groupBy(section, "draft").agg(F.min(block).alias(block))
-    return drafts.join(first, [section, "draft"], "left").withColumn("kind", F.when(F.col(block).isNotNull(), "edit").otherwise("observation"))
+    """drafts (section, draft, quote, and where known their category) with the first block that holds the quote verbatim and the occurrence there (the first, 0);
+    those without one, and those of categories that never edit, are observations. Blocks of one number and section are one text each."""
+    edits = ~F.coalesce(F.col("category").isin(*NEVER_EDIT), F.lit(False)) if "category" in drafts.columns else F.lit(True)
+    marked = drafts.withColumn("_edits", edits)
+    first = find_quotes(marked.filter("_edits"), blocks, section, block, text).withColumn("_edits", F.lit(True))
+    joined = marked.join(first, [section, "quote", "_edits"], "left").select(*drafts.columns, block)
+    return joined.withColumn("kind", F.when(F.col(block).isNotNull(), "edit").otherwise("observation")).withColumn("occurrence", F.when(F.col(block).isNotNull(), 0))
 
 
 # ---- paged documents and evaluations ----

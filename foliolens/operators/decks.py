@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolens.functions import text as T
@@ -70,10 +72,87 @@ def restore_reviews(raw: DataFrame, json: str, rows: list[str], version: int = 1
     """(id, row, rating, benchmark) of stored reviews: of the right version, known rows and ratings only, benchmarks held between 0 and 100."""
     parsed = F.from_json(json, "version int, benchmark double, ratings map<string,string>")
     good = raw.withColumn("_p", parsed).filter(F.col("_p.version") == version)
-    each = good.select("id", F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("_p.benchmark"))).alias("benchmark"), F.explode("_p.ratings").alias("row", "rating"))
+    held = F.when(F.col("_p.benchmark").isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("_p.benchmark"))))
+    each = good.select("id", held.alias("benchmark"), F.explode("_p.ratings").alias("row", "rating"))
     return each.filter(F.col("row").isin(*rows) & F.col("rating").isin("na", "exclusive", "emerging", "inclusive"))
 
 
+@dataclass(frozen=True)
+class Restored:
+    """What is left of stored review documents once every field is checked; all tables begin with (id, chapter) but for the header's (id)."""
+
+    header: DataFrame
+    reviews: DataFrame
+    notes: DataFrame
+    ratings: DataFrame
+    answers: DataFrame
+    edits: DataFrame
+    assets: DataFrame
+
+
+# Ratings, answers, and how many parts an edit's key has (section, element, occurrence, original).
+STORED_RATINGS, STORED_ANSWERS = ("na", "exclusive", "emerging", "inclusive"), ("yes", "no", "unsure", "skip")
+KEY_PARTS = 4
+_ASSET = ("id", "mediaType", "extension", "sha256", "originPart", "name")
+
+
+def _part(v, path: str) -> Column:
+    return F.try_variant_get(v, path, "variant")
+
+
+def _string(v, path: str) -> Column:
+    """The string at a path; null where something else stands there."""
+    return F.when(F.schema_of_variant(_part(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
+
+
+def _number(v, path: str) -> Column:
+    return F.when(F.schema_of_variant(_part(v, path)).rlike("^(?:BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, path, "double"))
+
+
+def _members(v, path: str = "$") -> Column:
+    """The members of the object at a path; null where none stands there."""
+    return F.try_variant_get(v, path, "map<string,variant>")
+
+
+def restore_documents(raw: DataFrame, json: str, categories: list[str], key: str = "id", version: int = 1) -> Restored:
+    """Stored review documents (id, json), which nobody vouches for, read field by field: a part that isn't what it should be is left out alone.
+
+    Documents of another version, or that are no JSON objects, give nothing. Of edits stay replacements with a text, kept words with or without a context,
+    and pictures with all their fields and their bytes among the chapter's assets; edits whose key is none go. Assets need all their names and base64 bytes.
+    """
+    good = raw.select(key, F.try_parse_json(json).alias("v")).filter(_number("v", "$.version") == version)
+    given = _number("v", "$.header.benchmark.bipocPercent")
+    percent = F.when(given.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.floor(given + 0.5))))
+    header = good.select(key, *[F.coalesce(_string("v", f"$.header.assessor.{n}"), F.lit("")).alias(n) for n in ("name", "title", "college")], percent.alias("benchmark"), _string("v", "$.header.region").alias("region"))
+    inside = lambda df, c, path, name, *keep: df.select(key, *keep, F.explode(_members(c, path)).alias(name, "m"))
+    reviews = inside(good, "v", "$.reviews", "chapter").filter(_members("m").isNotNull())
+    said = reviews.select(key, "chapter", *[F.coalesce(_string("m", f"$.{n}"), F.lit("")).alias(n) for n in ("summary", "suggestions")])
+    by_category = inside(reviews, "m", "$.categories", "category", "chapter").filter(F.col("category").isin(*categories) & _members("m").isNotNull())
+    notes = by_category.select(key, "chapter", "category", F.coalesce(_string("m", "$.notes"), F.lit("")).alias("notes"))
+    listed = lambda path, name, known: inside(by_category, "m", path, name, "chapter", "category").select(key, "chapter", "category", name, _string("m", "$").alias("value")).filter(F.col("value").isin(*known))
+    stored = inside(good, "v", "$.assets", "chapter").select(key, "chapter", F.explode(F.try_variant_get("m", "$", "array<variant>")).alias("m"))
+    assets = stored.select(key, "chapter", *[_string("m", f"$.{n}").alias("asset_id" if n == "id" else n) for n in _ASSET], F.try_to_binary(_string("m", "$.bytes"), F.lit("base64")).alias("bytes")).dropna()
+    edits = inside(inside(good, "v", "$.edits", "chapter"), "m", "$.edits", "edit", "chapter").filter(F.size(F.split("edit", "::")) >= KEY_PARTS)
+    a, p = "$.attribution", "$.placement"
+    fields = edits.select(
+        key, "chapter", "edit", _string("m", "$.kind").alias("kind"), _string("m", "$.replacement").alias("replacement"), _string("m", "$.context").alias("context"), _part("m", "$.context").isNull().alias("_free"),
+        F.when(_string("m", "$.category").isin(*categories), _string("m", "$.category")).alias("category"), _string("m", f"{p}.kind").alias("mode"), _string("m", f"{p}.elementId").alias("target"), _string("m", "$.assetName").alias("name"),
+        _string("m", "$.alt").alias("alt"), _string("m", "$.caption").alias("caption"), _number("m", "$.width").alias("width"), _number("m", "$.height").alias("height"), _string("m", f"{a}.text").alias("credit"),
+        _string("m", f"{a}.sourcePageUrl").alias("source_url"), _string("m", f"{a}.licenseName").alias("license"), _string("m", f"{a}.licenseUrl").alias("license_url"),
+        F.when(F.schema_of_variant(_part("m", f"{a}.shareAlike")) == "BOOLEAN", F.try_variant_get("m", f"{a}.shareAlike", "boolean")).alias("share_alike"), (_part("m", f"{a}.licenseUrl").isNull() | _string("m", f"{a}.licenseUrl").isNotNull()).alias("_license"),
+    )
+    words = ("replacement", "context", "category")
+    picture = ("mode", "target", "name", "alt", "caption", "width", "height", "credit", "source_url", "license", "license_url", "share_alike")
+    whole = F.col("mode").isin("replace", "insert-after") & F.col("_license")
+    for c in picture:
+        whole &= F.col(c).isNotNull() if c not in ("license_url", "mode") else F.lit(True)
+    none = lambda names: [F.lit(None).cast(dict(fields.dtypes)[c]).alias(c) for c in names]
+    texts = fields.filter((F.col("kind") == "replace") & F.col("replacement").isNotNull() | (F.col("kind") == "keep") & (F.col("_free") | F.col("context").isNotNull()))
+    kept = texts.select(key, "chapter", "edit", "kind", F.when(F.col("kind") == "replace", F.col("replacement")).alias("replacement"), F.when(F.col("kind") == "keep", F.col("context")).alias("context"), "category", *none(picture))
+    shown = fields.filter((F.col("kind") == "image") & whole).join(assets.select(key, "chapter", "name").distinct(), [key, "chapter", "name"], "left_semi").select(key, "chapter", "edit", "kind", *none(words), *picture)
+    return Restored(header, said, notes, listed("$.ratings", "row", STORED_RATINGS), listed("$.checklist", "element", STORED_ANSWERS), kept.unionByName(shown), assets)
+
+
 def term_category(hits: DataFrame, rules: DataFrame, default: str = "7.6") -> DataFrame:
     """hits (gram) with the category that the lexicon gives their phrase."""
     listed = rules.select(F.lower(T.collapse("phrase")).alias("gram"), F.col("category").alias("_c")).dropDuplicates(["gram"])

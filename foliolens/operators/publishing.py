@@ -217,14 +217,18 @@ def asset_integrity(references: DataFrame, assets: DataFrame, key: str = "name")
 
 
 def sniff_raster(content) -> Column:
-    """(media type, width, height) of PNG, GIF and WebP headers; null for others."""
+    """(media type, width, height) of PNG, GIF and WebP headers, the latter of lossy, lossless and extended files; null for others, and where a size is 0."""
     head = F.hex(F.substring(T._col(content), 1, 30))
     number = lambda at, n: F.conv(F.substring(head, 2 * at + 1, 2 * n), 16, 10).cast("long")
     little = lambda at: number(at, 1) + 256 * number(at + 1, 1)
-    made = lambda kind, w, h: F.struct(F.lit(kind).alias("media_type"), w.alias("width"), h.alias("height"))
+    made = lambda kind, w, h: F.when((w > 0) & (h > 0), F.struct(F.lit(kind).alias("media_type"), w.alias("width"), h.alias("height")))
+    webp = lambda chunk: (F.length(head) == 60) & head.rlike("^52494646.{8}57454250" + "".join(f"{ord(c):02X}" for c in chunk))
+    bits = little(21) + 65536 * little(23)  # lossless files keep two sizes of 14 bits, less 1, one after the other
+    low = lambda n, shift=0: F.shiftright(n, shift).bitwiseAND(0x3FFF)
     return (
         F.when(head.startswith("89504E470D0A1A0A"), made("image/png", number(16, 4), number(20, 4))).when(head.rlike("^47494638(37|39)61"), made("image/gif", little(6), little(8)))
-        .when(head.rlike("^52494646.{8}5745425056503858"), made("image/webp", 1 + little(24) + 65536 * number(26, 1), 1 + little(27) + 65536 * number(29, 1)))
+        .when(webp("VP8X"), made("image/webp", 1 + little(24) + 65536 * number(26, 1), 1 + little(27) + 65536 * number(29, 1)))
+        .when(webp("VP8L"), made("image/webp", 1 + low(bits), 1 + low(bits, 14))).when(webp("VP8 "), made("image/webp", low(little(26)), low(little(28))))
     )
 
 

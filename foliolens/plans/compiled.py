@@ -95,3 +95,34 @@ def pages_through_all_steps(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "html", F.col("url").alias("base"), F.col("url").alias("canonical_url"))
     done = compiling.compile_sections(pages, "page_id", "pressbooks", once=False).sections
     return done.select("page_id", "error", (F.length("html") > 0).alias("has_html"), F.col("html").contains('class="page-frame"').alias("framed"))
+
+
+@query("SELECT l_partkey AS page_id, max(l_orderkey * 10 + l_linenumber) AS version, '<h2>' || arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) || '</h2>' AS heading FROM lineitem GROUP BY 1")
+def pages_upserted(spark, sf_dir):
+    """Line items as versions of the pages of their parts, arriving in four batches in no order; each page ends up as its last version, compiled."""
+    from foliolens.operators.lineage import folder
+    from foliolens.streaming import folds
+
+    lines, at = table(spark, sf_dir, "lineitem"), folder(spark, "versions")
+    version = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("version")
+    versions = lines.select(F.col("l_partkey").alias("page_id"), version, F.concat(F.lit("<h2>"), "l_returnflag", F.lit("</h2>")).alias("html"))
+    versions.repartition(4, "version").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    compile_ = lambda df: compiling.compile_sections(df, "page_id", order=compiling.steps.STEPS[:9], once=False).sections
+    folds.upsert_pages(stream, compile_, f"{at}/out", f"{at}/checkpoint", buckets=8).awaitTermination()
+    return folds.read_upserted(spark, f"{at}/out").select("page_id", "version", F.regexp_replace("html", ' id="[^"]*"', "").alias("heading"))
+
+
+@query("""SELECT 'c' || (p_size % 7) || '/part-' || p_partkey || '.html' AS file, md5('<html><head><title>' || p_name || ' & co' || '</title><meta name="identifier" content="part-' || p_partkey || '"></head><body><p>' || p_type || '</p></body></html>') AS digest FROM
+  (SELECT p_partkey, p_size, replace(p_name, '&', '&amp;') AS p_name, p_type FROM part)""".replace("' & co'", "' &amp; co'"))
+def pages_bundled(spark, sf_dir):
+    """Pages written as files, one each, and the files read back; a first bundle with other files is replaced."""
+    from foliolens.operators.lineage import folder
+    from foliolens.sources import bundles
+
+    part, path = table(spark, sf_dir, "part"), folder(spark, "bundle")
+    targets = part.select(F.concat(F.lit("c"), (F.col("p_size") % 7).cast("string")).alias("chapter"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug"), F.concat("p_name", F.lit(" & co")).alias("title"), F.concat(F.lit("<p>"), "p_type", F.lit("</p>")).alias("html"))
+    bundles.write_pages(targets.withColumn("slug", F.concat(F.lit("old-"), "slug")), path)
+    bundles.write_pages(targets, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(path)
+    return files.select(F.substring_index("path", "/", -2).alias("file"), F.md5("content").alias("digest"))

@@ -108,12 +108,15 @@ def replies_parsed(spark, sf_dir):
     return K.parse_replies(c.withColumn("reply", reply), "reply").select("conv_id", "turn", F.md5(first["quote"]).alias("quote"), first["priority"].alias("priority"))
 
 
-@query("SELECT conv_id, turn AS draft, CASE WHEN turn % 2 = 0 THEN 'edit' ELSE 'observation' END AS kind FROM conversations WHERE length(text) > 5")
+@query("""WITH d AS (SELECT conv_id, turn AS draft, CASE turn % 4 WHEN 0 THEN substr(text, 2, 12) WHEN 1 THEN substr(text, 3, 5) WHEN 2 THEN '' ELSE substr(text, 1, 6) || '~' END AS quote FROM conversations)
+SELECT d.conv_id, draft, min(c.turn) AS block_idx, CASE WHEN min(c.turn) IS NULL THEN 'observation' ELSE 'edit' END AS kind FROM d LEFT JOIN conversations c ON c.conv_id = d.conv_id AND quote <> '' AND contains(c.text, quote) GROUP BY d.conv_id, draft""")
 def drafts_grounded(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter(F.length("text") > 5)
+    """Turns as blocks and as drafts: some quote a passage, some a few letters, some nothing, some what stands nowhere."""
+    c = table(spark, sf_dir, "conversations")
     blocks = c.select("conv_id", F.col("turn").alias("block_idx"), "text")
-    drafts = c.select("conv_id", F.col("turn").alias("draft"), F.when(F.col("turn") % 2 == 0, F.substring("text", 2, 12)).otherwise("\u0001nowhere").alias("quote"))
-    return K.ground_drafts(drafts, blocks, "conv_id").select("conv_id", "draft", "kind")
+    quote = F.when(F.col("turn") % 4 == 0, F.substring("text", 2, 12)).when(F.col("turn") % 4 == 1, F.substring("text", 3, 5)).when(F.col("turn") % 4 == 2, "").otherwise(F.concat(F.substring("text", 1, 6), F.lit("~")))
+    drafts = c.select("conv_id", F.col("turn").alias("draft"), quote.alias("quote"))
+    return K.ground_drafts(drafts, blocks, "conv_id").select("conv_id", "draft", "block_idx", "kind")
 
 
 @query("WITH t AS (SELECT doc_id, string_split(text, chr(10) || 'The') AS s FROM documents) SELECT doc_id, unnest(range(len(s)))::INT AS part, length(unnest(s))::INT AS n FROM t")
@@ -207,6 +210,26 @@ def authors_enriched(spark, sf_dir):
     return K.enrich_authors(books, authority).select("p_partkey", "matched", F.array_join("authors", ",").alias("authors"))
 
 
+#: Regions as chapters, each beginning at its first nation; nations link to the others of their region in an order of their own, in circles, and then to their suppliers. Each third nation has nothing to show.
+_WALK = """WITH RECURSIVE e AS (SELECT 'n' || a.n_nationkey AS src, 'n' || b.n_nationkey AS dst, (a.n_nationkey * 7 + b.n_nationkey * 3) % 11 * 100 + b.n_nationkey AS ord FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey
+  UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 100000 + s_suppkey FROM supplier),
+w AS (SELECT n_regionkey AS chapter, 'n' || min(n_nationkey) AS url, [0::BIGINT] AS label, ['n' || min(n_nationkey)] AS path FROM nation GROUP BY 1 UNION ALL SELECT chapter, dst, list_append(label, ord), list_append(path, dst) FROM w JOIN e ON url = src WHERE NOT list_contains(path, dst)),
+b AS (SELECT chapter, url, min(label) AS label FROM w GROUP BY ALL), r AS (SELECT chapter, count(*) AS reached FROM b GROUP BY 1), k AS (SELECT b.*, reached > 24 AS over FROM b JOIN r USING (chapter)),
+o AS (SELECT chapter, url, row_number() OVER (PARTITION BY chapter ORDER BY label) - 1 AS n FROM k WHERE NOT over AND (url NOT IN (SELECT src FROM e) OR url[2:]::INT % 3 > 0))
+SELECT chapter, n::INTEGER AS n, url, NULL::VARCHAR AS error FROM o UNION ALL SELECT DISTINCT chapter, NULL, NULL, 'more than 24 pages' FROM k WHERE over"""
+
+
+@query(_WALK)
+def crawl_in_order(spark, sf_dir):
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    a, b = (nation.select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias(n)) for n in "ab")
+    around = a.join(b, "r").filter("a <> b").select(name("n", "a").alias("src"), name("n", "b").alias("dst"), ((F.col("a") * 7 + F.col("b") * 3) % 11 * 100 + F.col("b")).cast("long").alias("ord"))
+    links = around.unionByName(supplier.select(name("n", "s_nationkey").alias("src"), name("s", "s_suppkey").alias("dst"), (F.lit(100000) + F.col("s_suppkey")).alias("ord")))
+    seeds = nation.groupBy(F.col("n_regionkey").alias("chapter")).agg(F.min("n_nationkey").alias("first")).select("chapter", name("n", "first").alias("url"), F.lit(0).alias("ord"))
+    return K.crawl(seeds, links, nation.filter("n_nationkey % 3 > 0").select(name("n", "n_nationkey").alias("url")), 24)
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem WHERE l_linestatus = 'F'),
 r AS (SELECT n_regionkey AS chapter, 's' || s_suppkey AS url FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT r.chapter, e.dst FROM r JOIN e ON r.url = e.src) SELECT chapter, url FROM r""")
 def crawl_frontier(spark, sf_dir):

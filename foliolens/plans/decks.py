@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from foliolens.operators import decks as D
@@ -53,3 +55,26 @@ def findings_by_category(spark, sf_dir):
     hits = part.select((F.col("p_partkey") % 50).alias("section_id"), F.lower("p_type").alias("gram"))
     rules = part.filter(F.lower("p_type").startswith("p")).select(F.col("p_type").alias("phrase"), F.lit("7.1").alias("category")).distinct()
     return D.findings_by_category(D.term_category(hits, rules))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s, p_name AS name FROM part WHERE p_partkey % 5 > 0)
+SELECT k AS id, 'edit' AS kind, 's::b::0::' || name AS item, 'new ' || name AS value FROM p WHERE s % 2 = 0 UNION ALL SELECT k, 'image', 's::image::0::' || name || '.jpg', name || '.jpg' FROM p WHERE s % 3 > 0
+UNION ALL SELECT k, 'asset', name || '.jpg', '6279746573' FROM p WHERE s % 3 > 0 UNION ALL SELECT k, 'rating', 'r1', CASE WHEN k % 3 = 0 THEN 'na' ELSE 'inclusive' END FROM p UNION ALL SELECT k, 'answer', 'e', 'yes' FROM p WHERE s % 4 > 0
+UNION ALL SELECT k, 'header', name, least(100, greatest(0, s * 4 - 50))::INTEGER::VARCHAR FROM p""")
+def documents_restored(spark, sf_dir):
+    """Whole review documents: some of another version, with ratings and answers that are none, edits without text, pictures without bytes."""
+    k, size, name = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
+    text = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit("")), F.lit('"'))
+    of = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    file = F.concat(name, F.lit(".jpg"))
+    image = of('{"kind":"image","placement":{"kind":"replace","elementId":"b"},"assetName":', text(file), ',"width":3,"height":4,"alt":"","caption":"c","attribution":{"text":"t","sourcePageUrl":"u","licenseName":"l","shareAlike":false}}')
+    edits = of('{"c":{"edits":{', text(of("s::b::0::", name)), ':{"kind":"replace","replacement":', F.when(size % 2 == 0, text(of("new ", name))).otherwise("7"), "},", text(of("s::image::0::", file)), ":", image, ',"key":{"kind":"keep"}}}}')
+    assets = of('{"c":[{"id":"1","mediaType":"m","extension":"e","sha256":"s","originPart":"o","name":', text(file), ',"bytes":', F.when(size % 3 > 0, F.lit('"Ynl0ZXM="')).otherwise('"%"'), "}]}")
+    rating = F.when(k % 3 == 0, "na").otherwise("inclusive")
+    review = of('{"c":{"categories":{"7.1":{"ratings":{"r1":"', rating, '","r2":"great"},"checklist":{"e":', F.when(size % 4 > 0, F.lit('"yes"')).otherwise("true"), '}},"8":{"ratings":{"r1":"na"}}}}}')
+    json = of('{"version":', F.when(k % 5 == 0, "2").otherwise("1"), ',"header":{"assessor":{"name":', text(name), '},"benchmark":{"bipocPercent":', size * 4 - 50, '}},"reviews":', review, ',"edits":', edits, ',"assets":', assets, "}")
+    got = D.restore_documents(table(spark, sf_dir, "part").select(k.alias("id"), json.alias("json")), "json", ["7.1", "7.2"])
+    row = lambda df, kind, item, value: df.select("id", F.lit(kind).alias("kind"), F.col(item).alias("item"), value.cast("string").alias("value"))
+    rows = [row(got.edits.filter("kind = 'replace'"), "edit", "edit", F.col("replacement")), row(got.edits.filter("kind = 'image'"), "image", "edit", F.col("name")), row(got.assets, "asset", "name", F.lower(F.hex("bytes")))]
+    rows += [row(got.ratings, "rating", "row", F.col("value")), row(got.answers, "answer", "element", F.col("value")), row(got.header, "header", "name", F.col("benchmark").cast("int")), row(got.edits.filter("kind = 'keep'"), "keep", "edit", F.col("edit"))]
+    return reduce(lambda a, b: a.unionByName(b), rows)

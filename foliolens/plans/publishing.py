@@ -147,6 +147,20 @@ def raster_headers(spark, sf_dir):
     return table(spark, sf_dir, "part").withColumn("r", B.sniff_raster(content)).select("p_partkey", "r.media_type", "r.width", "r.height")
 
 
+@query("""WITH s AS (SELECT p_partkey, p_partkey % 4 AS k, p_size * 300 + 1 AS w, (p_partkey * 7) % 16383 + 1 AS h FROM part)
+SELECT p_partkey, CASE WHEN k < 3 THEN 'image/webp' END AS media_type, CASE WHEN k < 3 THEN w END::BIGINT AS width, CASE WHEN k < 3 THEN h END::BIGINT AS height FROM s""")
+def webp_headers(spark, sf_dir):
+    """Lossy, lossless and extended files, and one that is cut off, made byte by byte."""
+    k, w, h = F.col("p_partkey") % 4, (F.col("p_size") * 300 + 1).cast("long"), ((F.col("p_partkey") * 7) % 16383 + 1).cast("long")
+    little = lambda n, width: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(255)), 2, "0") for i in range(width)])
+    head = lambda chunk, rest: F.concat(F.lit("524946460000000057454250" + chunk + "00000000"), rest)
+    lossy = head("56503820", F.concat(F.lit("0000009D012A"), little(w + F.when(F.col("p_size") % 2 == 0, 0x4000).otherwise(0), 2), little(h, 2)))  # a scale stands above the size
+    lossless = head("5650384C", F.concat(F.lit("2F"), little((w - 1) + F.shiftleft(h - 1, 14), 4), F.lit("0000000000")))
+    extended = head("56503858", F.concat(F.lit("00000000"), little(w - 1, 3), little(h - 1, 3)))
+    content = F.unhex(F.when(k == 0, lossy).when(k == 1, lossless).when(k == 2, extended).otherwise(F.substring(extended, 1, 58)))
+    return table(spark, sf_dir, "part").withColumn("r", B.sniff_raster(content)).select("p_partkey", "r.media_type", "r.width", "r.height")
+
+
 @query("SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-')[1:60], ''), 'page') AS slug FROM part")
 def page_slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.slug("p_name").alias("slug"))

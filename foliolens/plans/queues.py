@@ -138,4 +138,58 @@ def answers_folded_stream(spark, sf_dir):
     return spark.read.parquet(f"{sink}/out").groupBy("user_id").agg(F.max_by("type", "event_id").alias("type"), F.max("event_id").alias("event_id"))
 
 
+#: Events as the log of a queue: clicks describe (some of them are refused), purchases confirm, errors skip, signups revisit.
+_LOG = """e AS (SELECT user_id AS key, event_id AS seq, CASE event_type WHEN 'error' THEN 'skip' WHEN 'signup' THEN 'revisit' WHEN 'view' THEN 'jump' ELSE 'answer' END AS type, CASE event_type WHEN 'click' THEN 'alt' WHEN 'purchase' THEN 'decorative' END AS answer,
+  CASE WHEN event_type = 'click' THEN CASE floor(value)::INT % 4 WHEN 0 THEN 'A wall in the ' || user_id || 'th spring' WHEN 1 THEN 'photo.jpg' WHEN 2 THEN 'ab' ELSE ' ' END END AS text FROM events),
+a AS (SELECT key, max(seq) AS given, arg_max({'answer': answer, 'text': text}, seq) AS a FROM e WHERE type = 'answer' AND (text IS NULL OR text NOT IN (' ', 'photo.jpg')) GROUP BY key),
+m AS (SELECT key, max(seq) FILTER (type = 'skip') AS skipped, max(seq) FILTER (type = 'revisit') AS revisited FROM e GROUP BY key),
+f AS (SELECT m.key AS user_id, CASE WHEN given > coalesce(revisited, -1) THEN a END AS a, coalesce(skipped > coalesce(given, -1), false) AS skipped FROM m LEFT JOIN a USING (key))
+SELECT user_id, a.answer AS answer, a.text AS text, CASE WHEN a.text = 'ab' THEN 'alt-text-too-short' END AS note, skipped FROM f"""
+
+
+def _log(events):
+    kind, value = F.col("event_type"), F.floor("value").cast("int") % 4
+    text = F.when(value == 0, F.concat(F.lit("A wall in the "), F.col("user_id").cast("string"), F.lit("th spring"))).when(value == 1, "photo.jpg").when(value == 2, "ab").otherwise(" ")
+    return events.select(
+        "user_id", "event_id", F.when(kind == "error", "skip").when(kind == "signup", "revisit").when(kind == "view", "jump").otherwise("answer").alias("type"),
+        F.when(kind == "click", "alt").when(kind == "purchase", "decorative").alias("answer"), F.when(kind == "click", text).alias("text"), F.lit(None).cast("string").alias("choice"),
+    )
+
+
+def _streamed(spark, sf_dir, name, by):
+    """A table as a stream of four files, dealt by a column so that its events arrive out of order."""
+    from foliolens.operators.lineage import folder
+
+    rows, at = table(spark, sf_dir, name), folder(spark, name)
+    rows.repartition(4, by).write.parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at), folder(spark, "streamed")
+
+
+@query("WITH " + _LOG)
+def answer_log(spark, sf_dir):
+    return Q.fold_answers(_log(table(spark, sf_dir, "events")), "user_id", "event_id").select("user_id", "answer", "text", "note", "skipped")
+
+
+@query("WITH " + _LOG)
+def answer_log_streamed(spark, sf_dir):
+    """The same fold as a stream."""
+    stream, sink = _streamed(spark, sf_dir, "events", "value")
+    folded = Q.fold_answers(_log(stream), "user_id", "event_id").writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/out"))
+    folded.option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{sink}/out").select("user_id", "answer", "text", "note", "skipped")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 60 SECOND, ts) AS begin, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1 AND time_bucket(INTERVAL 60 SECOND, ts) + INTERVAL 60 SECOND <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def requests_over_limit_streamed(spark, sf_dir):
+    """Windows that the watermark, ten minutes behind the latest event, has passed."""
+    from foliolens.operators.lineage import folder
+    from foliolens.streaming import folds
+
+    schema, sink = table(spark, sf_dir, "events").schema, folder(spark, "over-limit")
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = folds.over_limit_stream(arriving, "event_type", "ts", 1)
+    stream.writeStream.outputMode("append").format("parquet").option("path", f"{sink}/out").option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{sink}/out").withColumn("begin", F.col("begin").cast("timestamp_ntz"))
+
+
 __all__ = ["_ALT"]

@@ -172,9 +172,9 @@ def edit_categories(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", H.edit_category(F.when(F.col("p_size") % 4 == 0, "image").otherwise("replace"), own, lexicon).alias("category"))
 
 
-@query("SELECT conv_id, turn AS draft, CASE WHEN turn % 5 IN (3, 4) THEN 'observation' ELSE 'edit' END AS kind FROM conversations WHERE length(text) > 5")
+@query("SELECT conv_id, turn AS draft, CASE WHEN turn % 5 IN (3, 4) OR length(text) < 2 THEN 'observation' ELSE 'edit' END AS kind FROM conversations")
 def drafts_by_category(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter(F.length("text") > 5)
+    c = table(spark, sf_dir, "conversations")
     blocks = c.select("conv_id", F.col("turn").alias("block_idx"), "text")
     category = F.when(F.col("turn") % 5 == 3, "7.3").when(F.col("turn") % 5 == 4, "7.7.1").otherwise("7.6")
     drafts = c.select("conv_id", F.col("turn").alias("draft"), F.substring("text", 2, 12).alias("quote"), category.alias("category"))

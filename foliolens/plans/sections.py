@@ -210,12 +210,20 @@ def figures_captioned(spark, sf_dir):
     return H.figure_captions(P.tokenize(pages, "p_partkey"), "p_partkey").drop("el")
 
 
-@query(_TOKENS + "SELECT DISTINCT l.page_id, regexp_replace(regexp_replace(l.href, '[?#].*$', ''), '/+$', '') AS url FROM lnk l JOIN pages p USING (page_id) WHERE starts_with(regexp_replace(regexp_replace(l.href, '[?#].*$', ''), '/+$', '') || '/', '/' || lower(substr(p.html, position('<title>' IN p.html) + 7, 1)))")
+@query("""WITH p AS (SELECT p_partkey, 'https://h.example/b' || (p_size % 3) AS root, p_size AS s, p_type AS t FROM part), l AS (SELECT p_partkey, root, unnest([root, root || '/' || s, CASE WHEN s % 2 = 0 THEN root || '/' || t END, CASE WHEN s % 2 = 1 THEN root || '/up/' || s END]) AS url FROM p)
+SELECT DISTINCT p_partkey, root, url FROM l WHERE url IS NOT NULL""")
 def links_inside(spark, sf_dir):
-    """Links below a root, here one that the page's title gives."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/"), F.lower(F.substring(F.substring_index("html", "<title>", -1), 1, 1))).alias("root"))
-    links = P.links(_tokens(spark, sf_dir), "page_id").join(pages, "page_id")
-    return links.filter(F.concat(F.regexp_replace(F.regexp_replace("href", "[?#].*$", ""), "/+$", ""), F.lit("/")).startswith(F.col("root"))).select("page_id", F.regexp_replace(F.regexp_replace("href", "[?#].*$", ""), "/+$", "").alias("url")).distinct()
+    """Links of made pages below their book's root: relative, absolute, repeated with a query or fragment, beside the root, and elsewhere."""
+    part = table(spark, sf_dir, "part")
+    size, root = F.col("p_size").cast("string"), F.concat(F.lit("https://h.example/b"), (F.col("p_size") % 3).cast("string"))
+    link = lambda *c: F.concat(F.lit('<a href="'), *c, F.lit('">x</a>'))
+    other = F.when(F.col("p_size") % 2 == 0, F.concat(root, F.lit("/"), "p_type", F.lit("/?a"))).otherwise(F.concat(F.lit("../up/"), size))
+    html = F.concat(link(root, F.lit("/#top")), link(size, F.lit("?q=1")), link(size), link(root, F.lit("x/y")), link(F.lit("https://other.example/b0/z")), link(F.lit("mailto:a@b.c")), link(other))
+    base = F.concat(root, F.when(F.col("p_size") % 2 == 0, "/").otherwise("/in/"))
+    # Odd sizes stand one folder deeper, so a plain number there leads to that folder.
+    pages = part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, html).otherwise(F.regexp_replace(html, '"([0-9]+)', '"../$1')).alias("html"))
+    links = P.links(P.tokenize(pages, "p_partkey"), "p_partkey").join(part.select("p_partkey", root.alias("root"), base.alias("base")), "p_partkey")
+    return K.child_links(links.withColumn("href", P.absolutize("href", "base")), "root", "p_partkey")
 
 
 @query("SELECT n_nationkey, coalesce(nullif(trim(CASE WHEN n_nationkey % 3 = 0 THEN ' ' ELSE n_name END), ''), 'Untitled course') AS name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))")

@@ -62,7 +62,7 @@ def read_upserted(spark: SparkSession, sink: str) -> DataFrame:
 def upsert_pages(pages: DataFrame, compile_: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "page_id", order: str = "version", buckets: int = 64, **trigger) -> StreamingQuery:
     """Keeps compiled pages (key, order, digest and what compile_ adds) by key in `sink`, as pages (key, order, html) arrive.
 
-    Of a batch, the row of the highest order counts for each key. Pages whose bytes are those that the sink has, and late ones of an order not above the sink's, are not compiled.
+    Of a batch, the row of the highest order counts for each key. Pages of the bytes that the sink has only raise its order, late ones, of an order not above the sink's, change nothing; neither is compiled.
     The sink is cut into buckets of keys; a batch reads key, order and digest of the buckets that it touches and replaces only those that change.
     A batch's new buckets are first written whole under its number. A batch that is repeated finds them and puts them in place again, so that
     a failure at any point loses nothing and nothing is done twice.
@@ -79,16 +79,18 @@ def upsert_pages(pages: DataFrame, compile_: Callable[[DataFrame], DataFrame], s
             rest = [c for c in batch.columns if c != key]
             new = batch.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, F.sha2("html", 256))).alias("p")).select(key, "p.*", F.sha2("p.html", 256).alias("digest"), bucket)
             old = spark.read.parquet(held) if _has(spark, f"{held}/bucket=*") else None
+            new = new.withColumn("same", F.lit(False))
             if old is not None:
                 known = old.select(key, "bucket", F.col(order).alias("_order"), F.col("digest").alias("_digest"))
-                newer = F.col("_order").isNull() | (F.col(order) > F.col("_order")) & (F.col("digest") != F.col("_digest"))
-                new = new.join(known, [key, "bucket"], "left").filter(newer).drop("_order", "_digest")
+                new = new.join(known, [key, "bucket"], "left").filter(F.col("_order").isNull() | (F.col(order) > F.col("_order"))).withColumn("same", F.coalesce(F.col("digest") == F.col("_digest"), F.lit(False))).drop("_order", "_digest")
             new.write.mode("overwrite").parquet(changes)
-            changed = spark.read.schema(new.schema).parquet(changes)
+            newer = spark.read.schema(new.schema).parquet(changes)
+            changed = newer.filter("NOT same")
             made = compile_(changed.select(key, *rest)).join(changed.select(key, order, "digest", "bucket"), key)
             if old is not None:
-                stays = old.join(changed.select("bucket").distinct(), "bucket", "left_semi").join(changed.select(key), key, "left_anti")
-                made = made.unionByName(stays.select(*made.columns))
+                later = newer.filter("same").select(key, F.col(order).alias("_later"))
+                stays = old.join(newer.select("bucket").distinct(), "bucket", "left_semi").join(changed.select(key), key, "left_anti").join(later, key, "left")
+                made = made.unionByName(stays.withColumn(order, F.coalesce("_later", order)).select(*made.columns))
             made.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
         if _has(spark, f"{staged}/bucket=*"):
             spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(held)

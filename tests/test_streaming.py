@@ -99,12 +99,12 @@ def test_upserts(spark, tmp_path):
     arrive((1, 1, "a"), (2, 1, "b"), (3, 1, "c"), (1, 2, "a2"))
     run()
     assert kept() == [(1, 2, "A2"), (2, 1, "B"), (3, 1, "C")] and compiled == [[1, 2, 3]]
-    arrive((1, 3, "a3"), (1, 4, "a4"), (2, 2, "b"), (3, 0, "old"), (9, 1, "new"))
+    arrive((1, 3, "a3"), (1, 4, "a4"), (2, 5, "b"), (3, 0, "old"), (9, 1, "new"))
     run()
-    assert kept() == [(1, 4, "A4"), (2, 1, "B"), (3, 1, "C"), (9, 1, "NEW")] and compiled[1:] == [[1, 9]]
-    arrive((2, 3, "b"), (3, 1, "other bytes, no newer"))
+    assert kept() == [(1, 4, "A4"), (2, 5, "B"), (3, 1, "C"), (9, 1, "NEW")] and compiled[1:] == [[1, 9]]
+    arrive((2, 3, "late, after its bytes came back"), (3, 1, "other bytes, no newer"))
     run()
-    assert kept() == [(1, 4, "A4"), (2, 1, "B"), (3, 1, "C"), (9, 1, "NEW")] and compiled[2:] == [[]]
+    assert kept() == [(1, 4, "A4"), (2, 5, "B"), (3, 1, "C"), (9, 1, "NEW")] and compiled[2:] == [[]]
 
 
 def test_a_batch_that_fails_and_is_repeated(spark, tmp_path):
