@@ -190,6 +190,12 @@ def confirm_plan(pages: DataFrame, doc: str) -> DataFrame:
     return pages.filter("included").withColumn("section", F.row_number().over(Window.partitionBy(doc).orderBy("page")))
 
 
+def confirmed_report(findings: DataFrame, counts: DataFrame, confirmed: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
+    """(findings, counts) of documents whose plan is confirmed: findings lose the page that they named, as no page of that name is left, and `sections` counts the confirmed ones."""
+    made = confirmed.groupBy(doc).agg(F.count(F.lit(1)).alias("sections"))
+    return findings.drop("section_id"), counts.drop("sections").join(made, doc, "left").fillna(0, ["sections"])
+
+
 def publish_blockers(chapters: DataFrame) -> DataFrame:
     """(chapter, blocker) rows of chapters (chapter, pages, queued, failed, blockers, audited, destination, and where known images and via): an interface takes no images."""
     tests = {"no-destination": F.col("destination").isNull(), "nothing-to-publish": F.col("pages") == 0, "unanswered": F.col("queued") > 0, "failed-pages": F.col("failed") > 0, "accessibility": F.col("blockers") > 0, "not-audited": ~F.col("audited")}
@@ -214,6 +220,29 @@ def export_rubric(ratings: DataFrame, chapter: str = "chapter_id") -> DataFrame:
     return ratings.groupBy(chapter).agg(F.to_json(F.struct(rows.alias("rows"))).alias("json"), table.alias("markdown"))
 
 
+def export_review(rows: DataFrame, checks: DataFrame, applied: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+    """(chapter, json, markdown) of whole reviews: rows (category, row_id, rating, note), checks (category, element, answer) and applied edits (ord, category, section, kind, original, replacement, stale).
+
+    The Markdown is a table of ratings, the checklist and the list of edits in their order; the JSON holds the same, unescaped. Chapters that no table of the three names aren't there.
+    """
+    line = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(x) for x in c]), F.lit(" |"))
+    listed = lambda df, order, fields, cells, name: df.groupBy(chapter).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("j"), line(*cells).alias("l")))).alias(name))
+    rating = F.coalesce("rating", F.lit("not rated")).alias("rating")
+    state = F.when(F.col("stale"), F.concat("kind", F.lit(" (stale)"))).otherwise(F.col("kind"))
+    parts = [
+        listed(rows, ["category", "row_id"], ["category", "row_id", rating, "note"], ["category", "row_id", rating, "note"], "rows"), listed(checks, ["category", "element"], ["category", "element", "answer"], ["category", "element", "answer"], "checklist"),
+        listed(applied, ["ord"], ["category", "section", "kind", "original", "replacement", "stale"], ["category", "section", state, "original", "replacement"], "applied"),
+    ]
+    whole = parts[0].join(parts[1], chapter, "full_outer").join(parts[2], chapter, "full_outer")
+    lines = lambda n: F.coalesce(F.transform(n, lambda x: x["l"]), F.array().cast("array<string>"))
+    json = F.to_json(F.struct(*[F.transform(n, lambda x: x["j"]).alias(n) for n in ("rows", "checklist", "applied")]))
+    markdown = F.concat(
+        F.lit("## Ratings\n\n"), _table(["Category", "Row", "Rating", "Note"], lines("rows")), F.lit("\n\n## Checklist\n\n"), _table(["Category", "Element", "Answer"], lines("checklist")),
+        F.lit("\n\n## Edits\n\n"), _table(["Category", "Section", "Kind", "Original", "Replacement"], lines("applied")),
+    )
+    return whole.select(chapter, json.alias("json"), markdown.alias("markdown"))
+
+
 def _cell(c) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(T._col(c).cast("string"), F.lit("")), r"\|", r"\\|"), r"\s*\n\s*", " ")
 
@@ -336,7 +365,16 @@ def validate_ratings(ratings: DataFrame, key: DataFrame) -> DataFrame:
     return s.withColumn("passed", (F.col("missing") == 0) & (F.col("duplicate") == 0) & (F.col("out_of_range") == 0))
 
 
-def image_inventory(images: DataFrame, words: tuple[str, ...], alt: str = "alt", caption: str = "caption") -> DataFrame:
+# Words for people.
+PEOPLE = (
+    "person", "people", "man", "men", "woman", "women", "boy", "boys", "girl", "girls", "child", "children", "baby", "infant", "toddler", "teen", "teenager", "adult", "adults", "student", "students", "teacher", "teachers",
+    "instructor", "professor", "worker", "workers", "nurse", "nurses", "doctor", "doctors", "physician", "patient", "patients", "scientist", "scientists", "researcher", "researchers", "engineer", "engineers", "farmer", "farmers",
+    "family", "families", "parent", "parents", "mother", "father", "couple", "crowd", "group of", "team", "athlete", "athletes", "player", "players", "customer", "customers", "shopper", "employee", "employees", "soldier", "soldiers",
+    "officer", "officers", "portrait", "face", "faces", "hand", "hands", "someone", "anyone", "everyone",
+)
+
+
+def image_inventory(images: DataFrame, words: tuple[str, ...] = PEOPLE, alt: str = "alt", caption: str = "caption") -> DataFrame:
     """images with their alt defect and whether alt or caption mention people, by whole words."""
     people = "(?i)(?<![\\w-])(?:" + "|".join(words) + ")(?![\\w-])"
     return images.withColumn("issue", A.alt_issue(alt)).withColumn("mentions_people", F.concat_ws(" ", F.coalesce(alt, F.lit("")), F.coalesce(caption, F.lit(""))).rlike(people))

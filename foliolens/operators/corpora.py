@@ -331,13 +331,23 @@ def open_findings(findings: DataFrame, edits: DataFrame, dismissed: DataFrame, o
     return findings.join(edits.select(*on), on, "left_anti").join(dismissed.select(*on), on, "left_anti")
 
 
+# Words that open a sentence by grammar, not because they are names.
+OPENERS = (
+    "The A An In On At As By For From To With Of This These That Those Then There Here Now When While Where After Before Once Since Until If Although Because But And Or So Yet It Its He She They We You I His Her "
+    "Their Our Your Some Many Most Each Every Both All Any No Not Other Another Such However Therefore Thus Also Finally First Second Third Next Later One Two Three Four Five Which Who What How Why"
+).split()
+
+
 def proper_nouns(blocks: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, name, total, mid): runs of 1 to 3 capitalized words, sentence openers set apart; at least two in all and one inside a sentence.
-    Names contained in a longer kept name are dropped: containment is transitive, so an anti-join says so."""
+    """(key, name, total, mid): runs of 1 to 3 capitalized words; at least two in all, and one whose capitals a sentence's start doesn't explain. A run there loses an opening word ("Then Golgi bodies"),
+    and counts as inside the sentence if it has two words or more. Names contained in a longer kept name are dropped: containment is transitive, so an anti-join says so."""
     sentences = blocks.select(key, F.explode(F.split(text, r"(?<=[.!?])\s+|\n")).alias("s"))
     run = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
-    found = sentences.select(key, F.explode(F.regexp_extract_all("s", F.lit(run), F.lit(0))).alias("name"), "s")
-    counted = found.groupBy(key, "name").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("s").startswith(F.col("name"))).alias("mid")).filter("total >= 2 AND mid >= 1")
+    found = sentences.select(key, F.posexplode(F.regexp_extract_all("s", F.lit(run), F.lit(0))).alias("nth", "name"), "s")
+    first, words = (F.col("nth") == 0) & F.col("s").startswith(F.col("name")), F.split("name", " ")
+    opened = first & (F.size(words) > 1) & F.get(words, 0).isin(*OPENERS)
+    named = found.withColumn("_mid", ~first | (F.size(words) > 1)).withColumn("name", F.when(opened, F.array_join(F.slice(words, 2, 2), " ")).otherwise(F.col("name")))
+    counted = named.groupBy(key, "name").agg(F.count(F.lit(1)).alias("total"), F.count_if("_mid").alias("mid")).filter("total >= 2 AND mid >= 1")
     longer = counted.filter(F.col("name").contains(" ")).select(key, F.col("name").alias("_long"))
     words = longer.select(F.col(key).alias("_k"), F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split("_long", " ")) - n + 1)), lambda i: F.array_join(F.slice(F.split("_long", " "), i, n), " "))))).alias("_part"), "_long")
     inside = words.filter("_part <> _long").select(F.col("_k").alias(key), F.col("_part").alias("name")).distinct()

@@ -61,20 +61,27 @@ def page_summaries(slices: DataFrame, unmarked: DataFrame, doc: str) -> DataFram
     return owned.withColumn("images", F.when(F.col("added"), F.col("images")).otherwise(F.greatest(F.lit(0), F.col("images") - taken)).cast("long")).drop("_owner")
 
 
-def document_findings(pages: DataFrame, doc: str) -> DataFrame:
-    """(doc, code, n, page): empty pages, pages to be read by OCR, and lost figures; the page only if there is exactly one."""
+def document_findings(pages: DataFrame, doc: str, documents: DataFrame | None = None) -> DataFrame:
+    """(doc, code, n, page): empty pages, pages to be read by OCR, lost figures, and (where pages say `columns` or `tables`) pages whose reading order must be looked at; the page only if there is exactly one.
+
+    documents (doc, is_complex, bad_encoding, intruders) adds what is known of whole documents: a complex layout that no page explains, and spoilt encodings
+    (the parser's word for it, or characters that stand inside words, as corpora.glyph_corruption() finds them); neither names a page.
+    """
     tests = {"empty-page": (F.col("text_length") == 0) & (F.col("images") == 0), "needs-ocr": (F.col("text_length") < 40) & (F.col("images") > 0), "figures-lost": F.col("images") > F.col("packaged")}
+    if {"columns", "tables"} <= set(pages.columns):
+        tests["reading-order"] = (F.col("columns") > 1) | (F.col("tables") > 0)
     rows = pages.select(doc, "page", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests.items()]))).alias("code"))
-    return rows.groupBy(doc, "code").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) == 1, F.min("page")).alias("page"))
+    found = rows.groupBy(doc, "code").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) == 1, F.min("page")).alias("page"))
+    if documents is None:
+        return found
+    whole = lambda df, code: df.select(doc, F.lit(code).alias("code"), F.lit(1).cast("long").alias("n"), F.lit(None).cast(dict(found.dtypes)["page"]).alias("page"))
+    order = documents.filter("is_complex").join(found.filter("code = 'reading-order'").select(doc), doc, "left_anti")
+    return found.unionByName(whole(order, "reading-order")).unionByName(whole(documents.filter(F.col("bad_encoding") | (F.coalesce("intruders", F.lit(0)) > 0)), "encoding"))
 
 
-def restore_reviews(raw: DataFrame, json: str, rows: list[str], version: int = 1) -> DataFrame:
-    """(id, row, rating, benchmark) of stored reviews: of the right version, known rows and ratings only, benchmarks held between 0 and 100."""
-    parsed = F.from_json(json, "version int, benchmark double, ratings map<string,string>")
-    good = raw.withColumn("_p", parsed).filter(F.col("_p.version") == version)
-    held = F.when(F.col("_p.benchmark").isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("_p.benchmark"))))
-    each = good.select("id", held.alias("benchmark"), F.explode("_p.ratings").alias("row", "rating"))
-    return each.filter(F.col("row").isin(*rows) & F.col("rating").isin("na", "exclusive", "emerging", "inclusive"))
+def finder_categories(finders: DataFrame) -> DataFrame:
+    """(kind, category) that finders (name, kind, categories) report under."""
+    return finders.select("kind", F.explode("categories").alias("category")).distinct()
 
 
 @dataclass(frozen=True)

@@ -48,6 +48,11 @@ def serialize(tokens: DataFrame, key: str) -> DataFrame:
     return tokens.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p.raw), "").alias("html"))
 
 
+def attribute(name: str) -> Column:
+    """The first value of an attribute of a token; null where it has none."""
+    return F.get(F.filter("attrs", lambda a: a["name"] == name), 0)["value"]
+
+
 def attributes(tokens: DataFrame, key: str) -> DataFrame:
     """(key, pos, tag, ord, name, value): one row per attribute, duplicates included."""
     return tokens.filter("kind = 'open'").select(key, "pos", "tag", F.posexplode("attrs").alias("ord", "a")).select(key, "pos", "tag", "ord", "a.name", "a.value")
@@ -202,12 +207,26 @@ def joined_text(texts: DataFrame, *by) -> DataFrame:
     return texts.groupBy(*by).agg(T.collapse(T.decode_entities(joined)).alias("text"))
 
 
-def text_blocks(tokens: DataFrame, key: str, tags: tuple[str, ...] = BLOCKS) -> DataFrame:
-    """(key, el, tag, text) of the outermost text blocks."""
-    texts = enclosing(tokens.select(key, "pos", "kind", "tag", "text", "raw"), key, block=tags).filter("kind = 'text' AND block IS NOT NULL")
+#: What the compiler adds to a page; it is no text of the section.
+ADDED = (".source-and-license", ".page-footer", ".added-title")
+
+
+def text_blocks(tokens: DataFrame, key: str, tags: tuple[str, ...] = BLOCKS, without: tuple[str, ...] = ()) -> DataFrame:
+    """(key, el, tag, text) of the outermost text blocks, but for those in elements that `without` selects."""
+    sets = {"block": tags} | ({"_left_out": without} if without else {})
+    texts = enclosing(tokens, key, [key, "pos", "kind", "text", "raw"], **sets).filter("kind = 'text' AND block IS NOT NULL")
+    texts = texts.filter("_left_out IS NULL") if without else texts
     return joined_text(texts, key, F.col("block.el").alias("el"), F.col("block.tag").alias("tag"))
 
 
+def block_ids(tokens: DataFrame, key: str, tags: tuple[str, ...] = BLOCKS, without: tuple[str, ...] = ADDED) -> DataFrame:
+    """(key, el, tag, own, block_id) of the outermost text blocks in order: their own ids, or made ones by section and place, where what `without` selects doesn't count."""
+    sets = {"block": tags} | ({"_left_out": without} if without else {})
+    opened = enclosing(tokens.withColumn("own", attribute("id")), key, [key, "pos", "kind", "tag", "raw", "own"], **sets).filter("kind = 'open' AND block.el = el")
+    found = (opened.filter("_left_out IS NULL") if without else opened).select(key, "el", "tag", "own")
+    return assign_block_ids(found, key, "el", "own")
+
+
 def section_text(blocks: DataFrame, key: str) -> DataFrame:
     """(key, text): a page's non-blank block texts in order, an empty line between them."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("el", "text"))), lambda b: b.text)
@@ -344,11 +363,12 @@ def filter_style(c) -> Column:
 
 
 def content_counts(tokens: DataFrame, key: str) -> DataFrame:
-    """Per page: headings, tables, images and links."""
+    """Per page: headings, tables, images, links, equations, notes, and pictures whose bytes aren't packaged."""
     opened = lambda cond: F.count_if((F.col("kind") == "open") & cond).alias
+    packaged = F.coalesce(attribute("src"), F.lit("")).startswith(rules.FILEBASE)
     return tokens.groupBy(key).agg(
         opened(F.col("tag").rlike("^h[1-6]$"))("headings"), opened(F.col("tag") == "table")("tables"), opened(F.col("tag") == "img")("images"),
-        opened(F.col("tag") == "a")("links"), opened(F.col("tag") == "math")("equations"),
+        opened(F.col("tag") == "a")("links"), opened(F.col("tag") == "math")("equations"), opened((F.col("tag") == "aside") & (attribute("role") == "note"))("notes"), opened((F.col("tag") == "img") & ~packaged)("unavailable"),
     )
 
 
@@ -366,10 +386,13 @@ def relevel(found: DataFrame, key: str) -> DataFrame:
     return found.withColumn("wanted", wanted).withColumn("new_level", F.col("n") + F.least(F.lit(1), running)).drop("wanted")
 
 
-def text_semantics(tokens: DataFrame) -> DataFrame:
-    """tokens with b as strong, i as em, and underlines unwrapped."""
+def text_semantics(tokens: DataFrame, key: str | None = None) -> DataFrame:
+    """tokens with b as strong, i as em, and underlines unwrapped; with `key`, those inside links stay."""
     tag = F.when(F.col("tag") == "b", "strong").when(F.col("tag") == "i", "em").otherwise(F.col("tag"))
-    return tokens.filter((F.col("kind") == "text") | ~F.coalesce(F.col("tag") == "u", F.lit(False))).withColumn("tag", tag)
+    step = F.when(F.col("tag") == "a", F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1)).otherwise(0)
+    linked = F.sum(step).over(Window.partitionBy(key).orderBy("pos")) > 0 if key else F.lit(False)
+    marked = tokens.withColumn("_linked", linked)
+    return marked.filter((F.col("kind") == "text") | ~F.coalesce(F.col("tag") == "u", F.lit(False)) | F.col("_linked")).withColumn("tag", tag).drop("_linked")
 
 
 def links(tokens: DataFrame, key: str) -> DataFrame:
@@ -422,21 +445,28 @@ def flagged(tokens: DataFrame, key: str) -> DataFrame:
     return marked.withColumns({"issues": issues, "shifted": shifted}).drop("_level", "_id", "_before", "_after", "_h1", "_nth")
 
 
-def absolute_urls(tokens: DataFrame, base: str) -> DataFrame:
-    """tokens with the addresses in `attrs` made absolute against the column `base`: fragments stay; plain http becomes https for what a page loads and
-    for its own host. `rewritten` and `upgraded` count them by token."""
+#: An http address that names no host, or one that can't be.
+UNREADABLE = r"(?i)^https?:(?!//(?:[^/?#@\s]*@)?(?:\[[0-9a-f:.]+\]|[^\s\[\]<>^`{|}/?#:@]+)(?::[0-9]*)?(?:[/?#]|$))"
+
+
+def absolute_urls(tokens: DataFrame, base: str, xref: str | None = None) -> DataFrame:
+    """tokens with the addresses in `attrs` made absolute against the column `base`: fragments, packaged files and links inside the book (those that match `xref`) stay,
+    as do addresses that can't be read; plain http becomes https for what a page loads and for its own host. `rewritten`, `upgraded` and `failed` count them by token."""
     slots = [f"{t}.{n}" for t, names in rules.URL_ATTRIBUTES.items() for n in names if n != "srcset"]
     loads = F.lit(["src", "poster", "data"])
 
     def told(a):
-        held = F.concat(F.col("tag"), F.lit("."), a["name"]).isin(*slots) & (a["value"] != "") & ~a["value"].startswith("#")
+        held = F.concat(F.col("tag"), F.lit("."), a["name"]).isin(*slots) & (a["value"] != "") & ~a["value"].startswith("#") & ~a["value"].startswith(rules.FILEBASE)
+        held = held & ~a["value"].rlike(xref) if xref else held
         full = absolutize(a["value"], base)
+        bad = held & full.rlike(UNREADABLE)
         upgrade = F.lower(full).startswith("http://") & (F.array_contains(loads, a["name"]) | (T.host_of(full) == T.host_of(base)))
-        return F.struct(a["name"].alias("name"), F.when(held, F.when(upgrade, F.concat(F.lit("https"), F.substring(full, 5, 1 << 20))).otherwise(full)).otherwise(a["value"]).alias("value"), (held & upgrade).alias("up"), a["value"].alias("was"))
+        value = F.when(held & ~bad, F.when(upgrade, F.concat(F.lit("https"), F.substring(full, 5, 1 << 20))).otherwise(full)).otherwise(a["value"])
+        return F.struct(a["name"].alias("name"), value.alias("value"), (held & ~bad & upgrade).alias("up"), a["value"].alias("was"), bad.alias("bad"))
 
     made = tokens.withColumn("_made", F.when(F.size("attrs") > 0, F.transform("attrs", told)))
-    count = lambda test: F.coalesce(F.size(F.filter("_made", test)), F.lit(0))
-    counted = made.withColumns({"rewritten": F.greatest(F.lit(0), count(lambda a: a["value"] != a["was"])), "upgraded": F.greatest(F.lit(0), count(lambda a: a["up"]))})
+    count = lambda test: F.greatest(F.lit(0), F.coalesce(F.size(F.filter("_made", test)), F.lit(0)))
+    counted = made.withColumns({"rewritten": count(lambda a: a["value"] != a["was"]), "upgraded": count(lambda a: a["up"]), "failed": count(lambda a: a["bad"])})
     new = F.transform("_made", lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value")))
     return counted.withColumn("attrs", F.coalesce(new, F.col("attrs"))).drop("_made")
 
@@ -446,6 +476,15 @@ def structural_issues(tokens: DataFrame, key: str) -> DataFrame:
     return flagged(tokens, key).select(key, F.explode("issues").alias("i"), "pos").select(key, "i.id", "i.impact", "pos")
 
 
+def table_issues(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, id, impact, pos) of the outermost tables with rows but no header cell that aren't declared as layout."""
+    marked = enclosing(tokens.withColumn("role", attribute("role")), key, [key, "pos", "kind", "tag", "raw", "role"], table=("table",)).filter("table IS NOT NULL AND kind = 'open'")
+    own = F.col("table.el") == F.col("el")
+    by = marked.groupBy(key, F.col("table.el").alias("_el")).agg(F.min("pos").alias("pos"), F.max(F.when(own, F.col("role"))).alias("role"), F.bool_or(F.col("tag") == "th").alias("th"), F.bool_or(F.col("tag") == "tr").alias("tr"))
+    bare = by.filter(F.col("tr") & ~F.col("th") & ~F.coalesce(F.col("role").isin("presentation", "none"), F.lit(False)))
+    return bare.select(key, F.lit("td-has-header").alias("id"), F.lit("critical").alias("impact"), "pos")
+
+
 def audit(checks: dict[str, DataFrame], key: str) -> DataFrame:
     """(key, check_order, id, severity, category) of the results of several checks (key, id, severity, category), in the order in which they are given."""
     found = None

@@ -54,19 +54,21 @@ def refusal(choice="choice") -> Column:
     """The first reason why a band of a table can't become headers, from the facts of table_grid() and the widest span of its first column."""
     row, column = T._col(choice).isin("row", "both"), T._col(choice).isin("column", "both")
     return (
-        F.when(F.col("rows") == 0, "no-rows").when(F.col("any_rowspan"), "rowspan").when(F.col("ragged"), "ragged")
+        F.when(F.col("rows") == 0, "no-rows").when(F.col("any_nested"), "nested").when(F.col("any_rowspan"), "rowspan").when(F.col("ragged"), "ragged")
         .when(row & (F.col("first_row_colspan") > 1) | column & (F.col("first_column_colspan") > 1), "colspan-in-band")
     )
 
 
 def _grid(cells: DataFrame, key: str) -> DataFrame:
-    first_column = cells.filter("col_idx = 0").groupBy(key).agg(F.max("colspan").alias("first_column_colspan"))
+    """table_grid() with the widest span of the first column, and whether a cell holds another table (where cells say so: `nested`)."""
+    inner = F.bool_or("nested") if "nested" in cells.columns else F.bool_or(F.lit(False))
+    first_column = cells.groupBy(key).agg(F.max(F.when(F.col("col_idx") == 0, F.col("colspan"))).alias("first_column_colspan"), inner.alias("any_nested"))
     return table_grid(cells, key).withColumnRenamed("rowspan", "any_rowspan").join(first_column, key, "left")
 
 
 def queue_tables(tables: DataFrame, cells: DataFrame, answers: DataFrame, key: str = "table_id") -> DataFrame:
     """tables (key, role) with a status: presentational by their role or an answer, has-headers, promoted as answered, or queued, with the reason where an answer was refused."""
-    joined = tables.join(_grid(cells, key), key, "left").fillna(0, ["rows"]).join(answers.groupBy(key).agg(F.max("choice").alias("choice")), key, "left")
+    joined = tables.join(_grid(cells, key), key, "left").fillna(0, ["rows"]).fillna(False, ["any_nested"]).join(answers.groupBy(key).agg(F.max("choice").alias("choice")), key, "left")
     refused = F.when(F.col("choice").isin("row", "column", "both"), refusal())
     status = (
         F.when(F.col("role").isin("presentation", "none"), "presentational").when(F.col("has_th"), "has-headers").when(F.col("choice") == "presentation", "layout")

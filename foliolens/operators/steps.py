@@ -57,7 +57,7 @@ LOADED = ("src", "poster", "data")
 GENERIC_LINK, RAW_LINK = re.compile(r"(?i)^(?:click here|here|read more|more info(?:rmation)?|learn more|this link|link|more)$"), re.compile(r"(?i)^(?:https?://|www\.)\S+$")
 BLOCKS = ("p", "li", "dd", "dt", "td", "th", "h2", "h3", "h4", "h5", "h6", "blockquote", "figcaption")
 INK, WHITE = "#2d3b45", "#ffffff"
-OWN_PARTS = ("source-and-license", "page-footer", "page-title")
+OWN_PARTS = ("source-and-license", "page-footer", "added-title")
 
 
 @dataclass
@@ -664,7 +664,7 @@ def frame(page: Page, footer: str = "Continue to the next page.") -> None:
         return
     title, banner = page.root.first("h2"), []
     if not title and (page.facts["title"] or "").strip():
-        title = Node("h2", children=[text(page.facts["title"].strip())])
+        title = Node("h2", {"class": "added-title"}, children=[text(page.facts["title"].strip())])
         page.root.append(title)
     if title:
         title.attrs["class"] = " ".join(dict.fromkeys([*title.classes(), "page-title"]))

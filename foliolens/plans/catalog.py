@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliolens.plans import audits, chapters, compiled, corpora, decks, pages, publishing, queues, reviews, sections
+from foliolens.plans import audits, chapters, compiled, corpora, decks, details, pages, publishing, queues, reviews, sections
 from foliolens.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "audits", "chapters", "compiled", "corpora", "decks", "pages", "publishing", "queues", "reviews", "sections"]
+__all__ = ["ORACLES", "QUERIES", "audits", "chapters", "compiled", "corpora", "decks", "details", "pages", "publishing", "queues", "reviews", "sections"]

@@ -73,7 +73,7 @@ def page_removed_semantic(spark, sf_dir):
     return P.removed_semantic(P.shift_headings(_tokens(spark, sf_dir), "page_id"), "page_id")
 
 
-@query(_TOKENS + "SELECT page_id, count(*) FILTER (regexp_matches(tag, '^h[1-6]$')) AS headings, count(*) FILTER (tag = 'table') AS tables, count(*) FILTER (tag = 'img') AS images, count(*) FILTER (tag = 'a') AS links, count(*) FILTER (tag = 'math') AS equations FROM (SELECT page_id, CASE WHEN kind = 'open' THEN tag END AS tag FROM tok) GROUP BY page_id")
+@query(_TOKENS + "SELECT page_id, count(*) FILTER (regexp_matches(tag, '^h[1-6]$')) AS headings, count(*) FILTER (tag = 'table') AS tables, count(*) FILTER (tag = 'img') AS images, count(*) FILTER (tag = 'a') AS links, count(*) FILTER (tag = 'math') AS equations, count(*) FILTER (tag = 'aside' AND contains(raw, 'role=\"note\"')) AS notes, count(*) FILTER (tag = 'img' AND NOT contains(raw, '$IMS-CC-FILEBASE$')) AS unavailable FROM (SELECT page_id, raw, CASE WHEN kind = 'open' THEN tag END AS tag FROM tok) GROUP BY page_id")
 def page_content_counts(spark, sf_dir):
     return P.content_counts(_tokens(spark, sf_dir), "page_id")
 
