@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,14 +15,16 @@ from foliolens.operators import pages as P
 from foliolens.operators import sections as S
 
 
-@dataclass(frozen=True)
 class Compiled:
-    """The tables that a compilation yields, all keyed like its sections."""
+    """The tables that a compilation yields, all keyed like its sections; each is planned when it is asked for."""
 
-    sections: DataFrame
-    notes: DataFrame
-    issues: DataFrame
-    gate: DataFrame
+    def __init__(self, **tables: Callable[[], DataFrame]):
+        self._tables = tables
+
+    sections: DataFrame = cached_property(lambda self: self._tables["sections"]())
+    notes: DataFrame = cached_property(lambda self: self._tables["notes"]())
+    issues: DataFrame = cached_property(lambda self: self._tables["issues"]())
+    gate: DataFrame = cached_property(lambda self: self._tables["gate"]())
 
 
 def renamed_headings(tokens: DataFrame, key: str) -> DataFrame:
@@ -42,25 +46,28 @@ def compile_pages(sections: DataFrame, key: str = "page_id", html: str = "html",
 
     A section that is blank or holds no tag fails alone: its row carries the error and an empty page.
     """
-    tokens = P.tokenize(sections, key, html)
+    tokens = P.tokenize(sections, key, html, (base,) if base else ())
     if chrome:
         tokens = P.strip_chrome(tokens, key, chrome)
     if base:
-        tokens = P.absolute_urls(tokens.join(sections.select(key, base), key), base)
-    steps = P.text_semantics(renamed_headings(tokens, key))
-    made = P.sanitize(steps, key).withColumnRenamed("html", "compiled")
-    error = F.when(F.trim(F.coalesce(F.col(html), F.lit(""))) == "", "blank").when(~F.col(html).rlike("<[a-zA-Z]"), "no-markup")
-    out = sections.select(key, error.alias("error"), *([F.col(title).alias("_title")] if title else [])).join(made, key, "left")
-    body = S.assemble_page(F.coalesce("compiled", F.lit("")), "_title") if title else F.coalesce("compiled", F.lit(""))
-    out = out.select(key, F.when(F.col("error").isNull(), body).otherwise("").alias("html"), "error")
-    opened = tokens.filter("kind = 'open'")
-    told = {"text-semantics": ("presentational tags replaced", F.count_if(F.col("tag").isin("b", "i", "u")))}
-    if base:
-        told |= {"absolutize": ("addresses made absolute", F.sum("rewritten")), "upgrade": ("addresses moved to https", F.sum("upgraded"))}
-    counts = opened.groupBy(key).agg(F.array(*[F.struct(F.lit(step).alias("step"), F.lit(message).alias("message"), n.cast("long").alias("n")) for step, (message, n) in told.items()]).alias("_notes"))
-    notes = counts.select(key, F.explode("_notes").alias("_n")).select(key, "_n.step", "_n.message", "_n.n").filter("n > 0")
-    issues = P.map_issues(P.structural_issues(steps, key))
-    return Compiled(out, notes, issues, P.page_gate(sections, steps, key))
+        tokens = P.absolute_urls(tokens, base).drop(base)
+    marked = P.text_semantics(renamed_headings(tokens, key))
+
+    def assembled() -> DataFrame:
+        made = P.sanitize(marked, key).withColumnRenamed("html", "compiled")
+        error = F.when(F.trim(F.coalesce(F.col(html), F.lit(""))) == "", "blank").when(~F.col(html).rlike("<[a-zA-Z]"), "no-markup")
+        out = sections.select(key, error.alias("error"), *([F.col(title).alias("_title")] if title else [])).join(made, key, "left")
+        body = S.assemble_page(F.coalesce("compiled", F.lit("")), "_title") if title else F.coalesce("compiled", F.lit(""))
+        return out.select(key, F.when(F.col("error").isNull(), body).otherwise("").alias("html"), "error")
+
+    def notes() -> DataFrame:
+        told = {"text-semantics": ("presentational tags replaced", F.count_if(F.col("tag").isin("b", "i", "u")))}
+        if base:
+            told |= {"absolutize": ("addresses made absolute", F.sum("rewritten")), "upgrade": ("addresses moved to https", F.sum("upgraded")), "unreadable": ("addresses left that can't be read", F.sum("failed"))}
+        counts = tokens.filter("kind = 'open'").groupBy(key).agg(F.array(*[F.struct(F.lit(step).alias("step"), F.lit(message).alias("message"), n.cast("long").alias("n")) for step, (message, n) in told.items()]).alias("_notes"))
+        return counts.select(key, F.explode("_notes").alias("_n")).select(key, "_n.step", "_n.message", "_n.n").filter("n > 0")
+
+    return Compiled(sections=assembled, notes=notes, issues=lambda: P.map_issues(P.structural_issues(marked, key)), gate=lambda: P.page_gate(sections, marked, key))
 
 
 def recompile(sections: DataFrame, changed: DataFrame, key: str = "page_id") -> Compiled:

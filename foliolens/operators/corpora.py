@@ -269,8 +269,10 @@ def find_terms(blocks: DataFrame, rules: DataFrame, keys: list[str], text: str =
     firsts = [r["_first"] for r in listed.select("_first").distinct().limit(LISTED + 1).collect()]
     pieces = blocks.select(*keys, F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)).alias("_w")).filter(F.size("_w") > 0)
     key = lambda w: F.regexp_extract(F.lower(w), "^[a-z0-9_]+(?:-[a-z0-9_]+)*", 0)
-    begins = F.filter(F.transform("_w", lambda w, i: F.struct(key(w).alias("_first"), i.alias("_i"))), lambda x: x["_first"].isin(*firsts) if 0 < len(firsts) <= LISTED else x["_first"] != "")
-    at = F.transform(begins, lambda x: F.struct(x["_first"].alias("_first"), x["_i"].alias("_i"), F.slice("_w", x["_i"] + 1, most).alias("_s"), F.coalesce(F.get("_w", x["_i"] - 1), F.lit("")).alias("_b"), F.coalesce(F.get("_w", x["_i"] + most), F.lit("")).alias("_e")))
+    # Only words with an apostrophe are longer than what they begin with.
+    begins = lambda w: F.lower(w).isin(*firsts) | (w.contains("'") | w.contains("’")) & key(w).isin(*firsts) if 0 < len(firsts) <= LISTED else key(w) != ""
+    places = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: begins(F.get("_w", i)))
+    at = F.transform(places, lambda i: F.struct(key(F.get("_w", i)).alias("_first"), i.alias("_i"), F.slice("_w", i + 1, most).alias("_s"), F.coalesce(F.get("_w", i - 1), F.lit("")).alias("_b"), F.coalesce(F.get("_w", i + most), F.lit("")).alias("_e")))
     odd = F.get("_w", 0).rlike("^[A-Za-z0-9_]")
     rows = pieces.select(*keys, odd.alias("_odd"), F.explode(at).alias("_x")).select(*keys, "_odd", "_x.*")
     joined = rows.join(listed, "_first")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliolens.functions import color as C
 from foliolens.functions import selectors
 from foliolens.functions import text as T
 from foliolens.operators import rules
@@ -24,9 +25,9 @@ TOKEN = (
 ATTRIBUTE = r"""(?s)([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
-def tokenize(df: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, pos, kind, tag, attrs, text, raw): kind is open, close, text or raw; comments and declarations are dropped."""
-    found = df.select(F.col(key), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))).alias("pos", "raw")).filter(~F.col("raw").rlike("^<[!?]"))
+def tokenize(df: DataFrame, key: str, html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, pos, kind, tag, attrs, text, raw): kind is open, close, text or raw; comments and declarations are dropped. `carry` names columns of the page that its tokens keep."""
+    found = df.select(F.col(key), *carry, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))).alias("pos", "raw")).filter(~F.col("raw").rlike("^<[!?]"))
     tag = F.lower(F.regexp_extract("raw", r"^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1))
     kind = F.when(~F.col("raw").rlike("^</?[a-zA-Z]"), "text").when(tag.isin(*rules.DROPPED_SUBTREES) & F.col("raw").rlike(r"(?s)^<[a-zA-Z].*<"), "raw").when(F.col("raw").startswith("</"), "close").otherwise("open")
     body = F.regexp_replace(F.regexp_replace("raw", r"^</?[a-zA-Z][a-zA-Z0-9:-]*", ""), r"/?>$", "")
@@ -37,7 +38,7 @@ def tokenize(df: DataFrame, key: str, html: str = "html") -> DataFrame:
         return F.struct(F.lower(F.regexp_extract(p, r"^[^\s=]+", 0)).alias("name"), T.decode_entities(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")).alias("value"))
 
     return found.select(
-        key, "pos", kind.alias("kind"), F.when(kind != "text", tag).alias("tag"), F.when(kind == "open", F.transform(pieces, attribute)).alias("attrs"),
+        key, *carry, "pos", kind.alias("kind"), F.when(kind != "text", tag).alias("tag"), F.when(kind == "open", F.transform(pieces, attribute)).alias("attrs"),
         F.when(kind == "text", F.col("raw")).alias("text"), "raw",
     )
 
@@ -277,7 +278,7 @@ def chrome_counts(tokens: DataFrame, key: str, chrome: tuple[str, ...] = FRAME)
 
 def filter_tags(tokens: DataFrame) -> DataFrame:
     """tokens of allowed tags and texts; other tags are unwrapped, script and style go with their content."""
-    return tokens.filter((F.col("kind") == "text") | F.col("tag").isin(*rules.ALLOWED_TAGS) & (F.col("kind") != "raw"))
+    return tokens.filter((F.col("kind") == "text") | T.one_of("tag", rules.ALLOWED_TAGS) & (F.col("kind") != "raw"))
 
 
 def shift_headings(tokens: DataFrame, key: str) -> DataFrame:
@@ -289,12 +290,12 @@ def shift_headings(tokens: DataFrame, key: str) -> DataFrame:
 
 def removed_semantic(tokens: DataFrame, key: str) -> DataFrame:
     """(key, tag, first_pos) of tags that carry meaning and are not allowed, after the heading shift."""
-    gone = tokens.filter((F.col("kind") == "open") & F.col("tag").isin(*[t for t in rules.SEMANTIC_TAGS if t not in rules.ALLOWED_TAGS]))
+    gone = tokens.filter((F.col("kind") == "open") & T.one_of("tag", [t for t in rules.SEMANTIC_TAGS if t not in rules.ALLOWED_TAGS]))
     return gone.groupBy(key, "tag").agg(F.min("pos").alias("first_pos"))
 
 
 def _listed(values: dict[str, list[str]]) -> Column:
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(*[F.lit(e) for e in v]))])
+    return F.expr(T.literal(values))
 
 
 def allowed_attribute(tag="tag", name="name") -> Column:
@@ -404,21 +405,30 @@ def links(tokens: DataFrame, key: str) -> DataFrame:
 
 def absolutize(link, base) -> Column:
     """A link against an absolute base: other schemes and absolute links stay, // takes the scheme, / the host, others the folder; dot segments are resolved."""
-    u, b = F.trim(T._col(link)), T._col(base)
+    b = T._col(base)
     scheme, origin = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(F.substring(b, F.length(origin) + 1, F.lit(1 << 20)), "[?#].*$", ""), "[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
-    path = F.regexp_extract(u, r"^([^?#]*)", 1)
-    rest = F.substring(u, F.length(path) + 1, F.lit(1 << 20))
-    steps = F.aggregate(
-        F.split(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)), "/"), F.array().cast("array<string>"),
-        lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.lit(1), F.size(a) - 1))).when(s == ".", a).otherwise(F.concat(a, F.array(s))),
-    )
-    tail = F.when(path.rlike(r"(?:^|/)\.\.?$"), "/").otherwise("")
-    return (
-        F.when(u.isNull() | (scheme_of(u) != ""), u).when(u.startswith("//"), F.concat(scheme, u)).when(u.startswith("#") | (u == ""), F.concat(F.regexp_replace(b, "#.*$", ""), u))
-        .when(u.startswith("?"), F.concat(F.regexp_replace(b, "[?#].*$", ""), u)).otherwise(F.concat(origin, F.array_join(steps, "/"), tail, rest))
-    )
+
+    def folder() -> Column:
+        path = F.regexp_replace(F.regexp_replace(F.substring(b, F.length(origin) + 1, F.lit(1 << 20)), "[?#].*$", ""), "[^/]*$", "")
+        return F.when(path == "", "/").otherwise(path)
+
+    def resolved(u: Column, path: Column) -> Column:
+        whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder(), path))
+        steps = lambda w: F.aggregate(
+            F.split(w, "/"), F.array().cast("array<string>"),
+            lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.lit(1), F.size(a) - 1))).when(s == ".", a).otherwise(F.concat(a, F.array(s))),
+        )
+        plain = C.let(whole, lambda w: F.when(w.contains("/."), F.array_join(steps(w), "/")).otherwise(w))
+        tail = F.when(path.rlike(r"(?:^|/)\.\.?$"), "/").otherwise("")
+        return F.concat(origin, plain, tail, F.substring(u, F.length(path) + 1, F.lit(1 << 20)))
+
+    def made(u: Column) -> Column:
+        return (
+            F.when(u.isNull() | (scheme_of(u) != ""), u).when(u.startswith("//"), F.concat(scheme, u)).when(u.startswith("#") | (u == ""), F.concat(F.regexp_replace(b, "#.*$", ""), u))
+            .when(u.startswith("?"), F.concat(F.regexp_replace(b, "[?#].*$", ""), u)).otherwise(C.let(F.regexp_extract(u, r"^([^?#]*)", 1), lambda path: resolved(u, path)))
+        )
+
+    return C.let(F.trim(T._col(link)), made)
 
 
 def flagged(tokens: DataFrame, key: str) -> DataFrame:
@@ -458,11 +468,15 @@ def absolute_urls(tokens: DataFrame, base: str, xref: str | None = None) -> Data
     def told(a):
         held = F.concat(F.col("tag"), F.lit("."), a["name"]).isin(*slots) & (a["value"] != "") & ~a["value"].startswith("#") & ~a["value"].startswith(rules.FILEBASE)
         held = held & ~a["value"].rlike(xref) if xref else held
-        full = absolutize(a["value"], base)
-        bad = held & full.rlike(UNREADABLE)
-        upgrade = F.lower(full).startswith("http://") & (F.array_contains(loads, a["name"]) | (T.host_of(full) == T.host_of(base)))
-        value = F.when(held & ~bad, F.when(upgrade, F.concat(F.lit("https"), F.substring(full, 5, 1 << 20))).otherwise(full)).otherwise(a["value"])
-        return F.struct(a["name"].alias("name"), value.alias("value"), (held & ~bad & upgrade).alias("up"), a["value"].alias("was"), bad.alias("bad"))
+
+        def judged(full):
+            bad = full.rlike(UNREADABLE)
+            upgrade = ~bad & F.lower(full).startswith("http://") & (F.array_contains(loads, a["name"]) | (T.host_of(full) == T.host_of(base)))
+            value = F.when(bad, a["value"]).when(upgrade, F.concat(F.lit("https"), F.substring(full, 5, 1 << 20))).otherwise(full)
+            return F.struct(a["name"].alias("name"), value.alias("value"), upgrade.alias("up"), a["value"].alias("was"), bad.alias("bad"))
+
+        same = F.struct(a["name"].alias("name"), a["value"].alias("value"), F.lit(False).alias("up"), a["value"].alias("was"), F.lit(False).alias("bad"))
+        return F.when(held, C.let(absolutize(a["value"], base), judged)).otherwise(same)
 
     made = tokens.withColumn("_made", F.when(F.size("attrs") > 0, F.transform("attrs", told)))
     count = lambda test: F.greatest(F.lit(0), F.coalesce(F.size(F.filter("_made", test)), F.lit(0)))
@@ -502,7 +516,7 @@ def severity_of(impact) -> Column:
 def map_issues(found: DataFrame) -> DataFrame:
     """(…, severity, category) from a rule's id and impact: null impact is an error, incomplete results only alert."""
     severity = F.coalesce(severity_of("impact"), F.lit("error"))
-    category = F.when(F.col("id").contains("color-contrast"), "contrast").when(F.col("id").startswith("aria-"), "aria").when(F.col("id").isin(*rules.STRUCTURE_RULES), "structure")
+    category = F.when(F.col("id").contains("color-contrast"), "contrast").when(F.col("id").startswith("aria-"), "aria").when(T.one_of("id", rules.STRUCTURE_RULES), "structure")
     incomplete = F.coalesce(F.col("incomplete"), F.lit(False)) if "incomplete" in found.columns else F.lit(False)
     return found.withColumn("severity", F.when(incomplete, "alert").otherwise(severity)).withColumn("category", F.coalesce(category, F.when(incomplete, "alert").otherwise("error")))
 
@@ -524,7 +538,7 @@ def page_gate(keys: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
     marked = flagged(tokens, key)
     severities = F.transform("issues", lambda i: severity_of(i["impact"]))
     many = lambda *names: F.coalesce(F.sum(F.size(F.filter(severities, lambda x: x.isin(*names)))), F.lit(0))
-    removed = F.when((F.col("kind") == "open") & F.col("shifted").isin(*[t for t in rules.SEMANTIC_TAGS if t not in rules.ALLOWED_TAGS]), F.col("shifted"))
+    removed = F.when((F.col("kind") == "open") & T.one_of("shifted", [t for t in rules.SEMANTIC_TAGS if t not in rules.ALLOWED_TAGS]), F.col("shifted"))
     stripped = F.transform(F.filter("attrs", lambda a: url_verdict("shifted", a["name"], a["value"]) == "stripped"), lambda a: F.concat("shifted", F.lit("."), a["name"]))
     counted = marked.groupBy(key).agg(
         (many("blocker", "error") + F.size(F.collect_set(removed)) + F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.size(stripped) > 0, stripped)))))).alias("blockers"),

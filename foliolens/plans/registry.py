@@ -20,5 +20,11 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables of long texts: where they lie in fewer splits than there are cores, their rows are dealt out before the work.
+LONG = ("pages", "documents")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in LONG and df.rdd.getNumPartitions() < cores else df
