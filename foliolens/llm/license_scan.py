@@ -69,12 +69,27 @@ SPDX = {
     "gpl-2": "GPL-2.0", "gpl-3": "GPL-3.0", "lgpl": "LGPL-2.1 LGPL-3.0", "agpl-3": "AGPL-3.0", "cc-by": "CC-BY-4.0", "cc-by-sa": "CC-BY-SA-4.0", "cc-by-nc": "CC-BY-NC-4.0", "cc-by-nd": "CC-BY-ND-4.0",
     "cc-by-nc-sa": "CC-BY-NC-SA-4.0", "cc-by-nc-nd": "CC-BY-NC-ND-4.0",
 }
+#: Licences by name: label, names, and versions that must follow (none: the name alone). A name stands word for word.
+NAMES = (
+    ("mit", ("mit license", "mit licence", "expat license"), ()), ("isc", ("isc license",), ()), ("zlib", ("zlib license",), ()), ("unlicense", ("the unlicense",), ()), ("boost", ("boost software license",), ("1 0",)),
+    ("bsd", ("bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "2 clause bsd", "3 clause bsd", "4 clause bsd", "simplified bsd license", "new bsd license", "modified bsd license"), ()),
+    ("apache-2", ("apache license", "apache software license", "apache"), ("2 0",)), ("apache-2", ("you may not use this file except in compliance with the license",), ()),
+    ("mpl-2", ("mozilla public license", "mpl"), ("2 0",)), ("epl-2", ("eclipse public license", "epl"), ("2 0",)), ("odbl", ("open database license", "odbl v1 0", "odbl 1 0"), ()), ("ofl", ("sil open font license", "ofl 1 1"), ()),
+    ("eupl", ("european union public license", "european union public licence"), ()), ("artistic", ("artistic license",), ()), ("gfdl", ("gnu free documentation license", "gnu fdl"), ()),
+    ("gpl-2", ("gnu general public license", "gnu gpl", "gpl"), ("2", "2 0")), ("gpl-3", ("gnu general public license", "gnu gpl", "gpl"), ("3", "3 0")), ("lgpl", ("gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl"), ("2", "2 0", "2 1", "3", "3 0")),
+    ("agpl-3", ("gnu affero general public license", "gnu agpl", "agpl"), ("3", "3 0")),
+)
+#: Versions of the Creative Commons, and how the parts of their names are spelt besides.
+CC_VERSIONS, CC_SPELT = ("1 0", "2 0", "2 5", "3 0", "4 0"), (("sharealike", "share alike"), ("noncommercial", "non commercial"), ("noderivatives", "no derivatives"), ("noderivatives", "noderivs"))
 #: Key-phrase words of a template whose postings are intersected.
 RAREST = 3
 
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 
 
+_SPDX = (b"spdx", b"license", b"identifier")
+
+
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
@@ -111,6 +126,18 @@ def templates() -> list[Template]:
         made.append(_made(label, f"licensed under a creative commons {name} 4 0 international license", (f"creative commons {name} 4 0",)))
         made.append(_made(label, f"licensed under a creative commons {name} 3 0 unported license", (f"creative commons {name} 3 0",)))
         made.append(_made(label, f"licensed under the creative commons {name} license", (f"creative commons {name} license",)))
+    for label, names, versions in NAMES:
+        for name in names:
+            forms = [name] if not versions else [f"{name} {told}{v}" for v in versions for told in ("version ", "v ", "v", "")] + [f"version {v} of the {name}" for v in versions]
+            if name in ("gpl", "lgpl", "agpl", "mpl", "epl"):
+                forms += [f"{name}v{v}" for v in versions]
+            made += [_made(label, form, (form,)) for form in dict.fromkeys(forms)]
+    for label, short, name in CREATIVE_COMMONS:
+        spelt = {name}
+        for plain, other in CC_SPELT:
+            spelt |= {n.replace(plain, other) for n in spelt}
+        forms = [f"cc {short} {v}" for v in CC_VERSIONS] + [f"creative commons {n} {v}" for n in sorted(spelt) for v in CC_VERSIONS] + [f"creative commons {n} license" for n in sorted(spelt)]
+        made += [_made(label, form, (form,)) for form in forms]
     for label, names in SPDX.items():
         for name in names.split():
             text = "spdx license identifier " + " ".join(x.decode() for x in words_of(name))
@@ -132,6 +159,7 @@ class Scanner:
             for word in chosen:
                 self.postings[word].append((number, inside[word]))
         self.base = [(b" " + p.encode() + b" ", label) for p, label in BASE_PHRASES]
+        self.identifiers = sorted(((tuple(words_of(n)), label) for label, names in SPDX.items() for n in names.split()), key=lambda x: (-len(x[0]), x[0]))
 
     def begins(self, words: list[bytes], have: set[bytes]) -> dict[int, set[int]]:
         """By candidate template, the places where it may begin: all its rarest key-phrase words stand at their places from there."""
@@ -151,6 +179,23 @@ class Scanner:
                 out[n] = out[n] & found if n in out else found
         return out
 
+    def expression(self, words: list[bytes], at: int) -> set[str]:
+        """Labels of the identifiers that an SPDX expression joins to its first one, of which `at` is the place."""
+        found: set[str] = set()
+        while True:
+            known = next(((name, label) for name, label in self.identifiers if tuple(words[at : at + len(name)]) == name), None)
+            if not known:
+                return found
+            found.add(known[1])
+            at += len(known[0])
+            while words[at : at + 1] in ([b"only"], [b"later"]) or words[at : at + 2] == [b"or", b"later"]:
+                at += 1 + (words[at] == b"or")
+            if words[at : at + 1] == [b"with"]:  # an exception to the licence, up to the next joining word
+                at = next((i for i in range(at, min(at + 8, len(words))) if words[i] in (b"and", b"or")), len(words))
+            if words[at : at + 1] not in ([b"and"], [b"or"]):
+                return found
+            at += 1
+
     def labels(self, words: list[bytes]) -> dict[str, float]:
         """Labels of verified templates with the best share of words that match."""
         found: dict[str, float] = {}
@@ -162,6 +207,8 @@ class Scanner:
                 share = sum(0 <= begin + i < len(words) and words[begin + i] == w for i, w in enumerate(template.words)) / len(template.words)
                 if share >= LEAST_MATCH:
                     found[template.label] = max(share, found.get(template.label, 0))
+                    if template.words[:3] == _SPDX:
+                        found |= dict.fromkeys(self.expression(words, begin + 3), 1.0)
         return found
 
     def scan(self, text: str) -> tuple:

@@ -100,3 +100,21 @@ def test_many_places_take_linear_time():
     began = time.process_time()
     found = license_scan.Scanner({}).scan("under the mit license " * 40_000)
     assert found[1:4] == (40_000, 0, 159_996) and time.process_time() - began < 3
+
+
+NAMED = {
+    "Licensed under the BSD 3-Clause License": "bsd", "The MIT License (MIT)": "mit", "MIT License": "mit", "licensed under GPLv3": "gpl-3", "GNU GPL version 2 or later": "gpl-2", "GNU General Public License v3.0": "gpl-3",
+    "GNU Lesser General Public License version 2.1": "lgpl", "Licensed under the Apache 2.0 License": "apache-2", "Apache-2.0": "apache-2", "CC BY-SA 2.0": "cc-by-sa", "Creative Commons Attribution 2.5": "cc-by", "Open Database License (ODbL)": "odbl",
+    "you may not use this file except in compliance with the License.": "apache-2", "under the SIL Open Font License, Version 1.1": "ofl", "Licensed under the European Union Public Licence": "eupl", "the Artistic License 2.0": "artistic",
+    "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation": "gpl-2", "Creative Commons Attribution-Non-Commercial-Share Alike 3.0": "cc-by-nc-sa", "GNU Affero General Public License v3": "agpl-3",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2,mit", "SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause": "bsd,gpl-2", "SPDX-License-Identifier: GPL-2.0-or-later AND MIT": "gpl-2,mit", "version 3 of the GNU General Public License": "gpl-3",
+}
+
+
+def test_names_and_expressions(spark):
+    rows = [(i, f"Some words before. {text}\nand after.") for i, text in enumerate(NAMED)]
+    clean = ["He met with the MIT team about a driver's license.", "Apache helicopters, 2 of them", "a version 3 of the novel", "general public, license plates", "The BSD conference has 3 tracks", "mit dem Zug, MIT Press", "attribution 2 of 5"]
+    rows += [(100 + i, text) for i, text in enumerate(clean)]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {text: got[i] for i, text in enumerate(NAMED)} == NAMED
+    assert [got[100 + i] for i in range(len(clean))] == [""] * len(clean)
