@@ -1,7 +1,23 @@
+import math
+import os
 import random
+import re
+import sys
+import zlib
+from collections import Counter
 
 import corpus_pipeline
-from foliolens.llm import suffix_dedup
+import numpy as np
+import public_tokenizers
+import regex
+from tokenizers import Tokenizer
+
+from foliolens.llm import packing, quality_rules, suffix_dedup, toxicity
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+import test_ngram_jaccard  # noqa: E402
+import test_quality_rules  # noqa: E402
+import test_toxicity  # noqa: E402
 
 
 def build(spark, folder):
@@ -63,3 +79,64 @@ def test_empty_tables_pass_through(spark, tmp_path):
         if name != "best_fit_packing":
             assert docs.columns == columns
             docs = spark.createDataFrame([], schema)
+
+
+def plain_votes(text):
+    """The rules' votes on a text, counted word by word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    (n, chars, symbols, dup, repeats, failed) = test_quality_rules.brute(text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+    letters, upper = len(regex.findall(r"\p{L}", text or "")), len(regex.findall(r"\p{Lu}", text or ""))
+    plain = sum(bool(regex.fullmatch(r"""[("'«„“]?[\p{L}\p{M}\p{N}'’.-]+[.,;:!?)"'»“”…]?""", w)) for w in words)
+    shouts = (text or "").count("!!")
+    share = lambda a, b: a / b if b else None
+    votes = {
+        "long_enough": (n >= 50, n < 20), "word_length": (n and 3 <= chars / n <= 10, not n or not 2 <= chars / n <= 14), "few_symbols": (n and symbols / n <= 0.02, n and symbols / n > 0.1),
+        "few_repeats": (n and repeats / n <= 0.15, n and repeats / n > 0.4), "new_lines": (lines > 1 and dup / lines <= 0.1, lines and dup / lines > 0.5), "few_shouts": (n and shouts / n <= 0.01, n and shouts / n > 0.1),
+        "lower_case": (letters and upper / letters <= 0.2, letters and upper / letters > 0.5), "letters": (chars and letters / chars >= 0.93, share(letters, chars) is not None and letters / chars < 0.8), "plain_words": (n and plain / n >= 0.8, n and plain / n < 0.6),
+    }
+    return failed, {k: 1 if good else 0 if bad else None for k, (good, bad) in votes.items()}
+
+
+def plain_pipeline(rows, model):
+    """The five stages one text at a time; (id, piece, start, length, crc) of the packed pieces."""
+    rows = [(i, t) for i, t in rows if 1 / (1 + math.exp(-(model.intercept + sum(float(model.weights[b]) * math.log1p(n) for b, n in test_toxicity.buckets(t or "").items())))) < 0.5]
+    judged = [(i, t, votes) for i, t in rows for failed, votes in [plain_votes(t)] if not failed]
+    names = list(judged[0][2])
+    on, good = test_quality_rules.plain_em([v for *_, v in judged], names, quality_rules.STEPS)
+    kept = []
+    for i, t, votes in judged:
+        is_good, is_bad = good, 1 - good
+        for k, vote in votes.items():
+            if vote is not None:
+                is_good *= on[k][0] if vote else 1 - on[k][0]
+                is_bad *= 1 - on[k][1] if vote else on[k][1]
+        if is_good >= is_bad:
+            kept.append((i, t))
+    classes = test_ngram_jaccard.brute(kept)
+    kept = [(i, t) for (i, t), (_, class_id, _) in zip(kept, classes, strict=True) if class_id in (i, None)]
+    datas = [t.encode() for _, t in kept]
+    seen = Counter(d[a : a + 200] for d in datas for a in range(len(d) - 199))
+    library, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    for (i, _), d in zip(kept, datas, strict=True):
+        gone = {b for a in range(len(d) - 199) if seen[d[a : a + 200]] > 1 for b in range(a, a + 200)}
+        text = bytes(x for a, x in enumerate(d) if a not in gone).decode()
+        ids = library.encode(text, add_special_tokens=False).ids + [0]
+        for k, (start, length) in enumerate(packing.cut(len(ids), 2048)):
+            out.append((i, k, start, length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())))
+    return out
+
+
+def test_equals_a_plain_version(spark, tmp_path):
+    rows, _ = build(spark, tmp_path)
+    documents, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    expected = plain_pipeline(rows, toxicity.train(documents, labels))
+    assert sorted((tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in got), key=str) == sorted(expected, key=str) and len(expected) > 100
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in sequences.values():
+        ends = [0, *[o + n for o, n in sorted(held)]]
+        assert [o for o, _ in sorted(held)] == ends[:-1] and ends[-1] <= 2048
+    assert len(sequences) <= -(-sum(n for *_, n, _ in expected) // 2048) + 1
