@@ -422,6 +422,36 @@ def ground_drafts(drafts: DataFrame, blocks: DataFrame, section: str, block: str
     return joined.withColumn("kind", F.when(F.col(block).isNotNull(), "edit").otherwise("observation")).withColumn("occurrence", F.when(F.col(block).isNotNull(), 0))
 
 
+def draft_findings(replies: DataFrame, items: DataFrame, blocks: DataFrame, section: str = "section_id") -> DataFrame:
+    """(section, category, key, kind, block, original, replacement, text): what drafts come to.
+
+    replies (section, category, raw, summary): one that couldn't be read is shown as it is, alone; a summary is an observation. items (section, category, n, original, replacement,
+    suggestion): one with a replacement whose original stands verbatim in a block (section, block, text) is an edit of that place, unless its category never
+    edits; all others are observations, whose text is the suggestion or else the replacement.
+    """
+    none = F.lit(None).cast("string")
+    key = lambda end: F.concat(F.col(section).cast("string"), F.lit("::llm::"), "category", F.lit("::"), end)
+    made = lambda df, name, kind, block, original, new, text: df.select(section, "category", name.alias("key"), F.lit(kind).alias("kind"), block.alias("block"), original.alias("original"), new.alias("replacement"), text.alias("text"))
+    unread = made(replies.filter("raw IS NOT NULL"), key(F.lit("raw")), "observation", none, none, none, F.col("raw"))
+    readable = replies.filter("raw IS NULL")
+    told = made(readable.filter(F.coalesce("summary", F.lit("")) != ""), key(F.lit("summary")), "observation", none, none, none, F.col("summary"))
+    drafts = items.join(readable.select(section, "category").distinct(), [section, "category"], "left_semi").withColumn("quote", F.when(F.col("replacement").isNotNull(), F.coalesce("original", F.lit(""))).otherwise(""))
+    drafts = drafts.withColumn("draft", F.struct("category", "n"))
+    placed = ground_drafts(drafts, blocks, section, "block", "text").withColumn("block", F.col("block").cast("string"))
+    where = F.concat_ws("::", F.col(section).cast("string"), "block", F.col("occurrence").cast("string"), "original")
+    edits = made(placed.filter("kind = 'edit'"), where, "edit", F.col("block"), F.col("original"), F.col("replacement"), F.coalesce("suggestion", F.lit("")))
+    seen = made(placed.filter("kind <> 'edit'"), key(F.col("n").cast("string")), "observation", none, none, none, F.coalesce(F.nullif("suggestion", F.lit("")), "replacement", F.lit("")))
+    return unread.unionByName(told).unionByName(edits).unionByName(seen)
+
+
+def text_edges(c, n: int = 2) -> Column:
+    """(head, tail) of a section's text: its first n blocks, and, where there are more than n, its last n."""
+    parts = F.filter(F.split(T._col(c), "\n\n+"), lambda b: b != "")
+    joined = lambda a: F.array_join(a, "\n\n")
+    tail = F.when(F.size(parts) > n, joined(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n))).otherwise("")
+    return F.struct(joined(F.slice(parts, 1, n)).alias("head"), tail.alias("tail"))
+
+
 # ---- paged documents and evaluations ----
 
 

@@ -579,13 +579,24 @@ def element_ids(tokens: DataFrame, key: str, tags: tuple[str, ...], kind: str) -
     return found.select(key, "pos", F.when(F.col("own").isNotNull() & (F.col("k") == 1), F.col("own")).otherwise(F.concat(F.lit(f"{kind}-"), F.col("n").cast("string"))).alias("element_id"))
 
 
-def extract_tex(tokens: DataFrame, key: str) -> DataFrame:
-    """(key, pos, tex, display): delimited TeX in texts."""
+def extract_tex(tokens: DataFrame, key: str, without: tuple[str, ...] = ("pre", "code", "math")) -> DataFrame:
+    """(key, pos, tex, display): delimited TeX in texts, those of pages outside code and what is mathematics already."""
+    outside = enclosing(tokens, key, [key, "pos", "kind", "text", "raw"], _left_out=without).filter("_left_out IS NULL") if without and "raw" in tokens.columns else tokens
     found = F.explode(F.regexp_extract_all("text", F.lit(r"(?s)\\\(.*?\\\)|\\\[.*?\\\]|\$\$.*?\$\$"), F.lit(0))).alias("m")
-    rows = tokens.filter("kind = 'text'").select(key, "pos", found)
+    rows = outside.filter("kind = 'text'").select(key, "pos", found)
     return rows.select(key, "pos", F.trim(F.regexp_replace("m", r"(?s)^(?:\\\(|\\\[|\$\$)|(?:\\\)|\\\]|\$\$)$", "")).alias("tex"), ~F.col("m").startswith("\\(")).toDF(key, "pos", "tex", "display")
 
 
+def equation_images(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, pos, tex, display): pictures that stand for an equation (by class or address) and carry its TeX as alternative text."""
+    raw, classes = F.trim(attribute("alt")), F.split(F.coalesce(attribute("class"), F.lit("")), r"\s+")
+    made = F.exists(classes, lambda c: c.startswith("ql-img-")) | F.coalesce(attribute("src").contains("quicklatex.com"), F.lit(False))
+    told = tokens.filter((F.col("kind") == "open") & (F.col("tag") == "img")).filter(made & (F.coalesce(raw, F.lit("")) != "") & (F.lower(raw) != "rendered by quicklatex.com"))
+    tex = F.trim(F.regexp_replace(raw, r"(?s)^(?:\\\[|\\\(|\$\$|\$)\s*|\s*(?:\\\]|\\\)|\$\$|\$)$", ""))
+    display = raw.startswith("\\[") | raw.startswith("$$") | F.exists(classes, lambda c: c.contains("displayed"))
+    return told.select(key, "pos", tex.alias("tex"), display.alias("display")).filter("tex <> ''")
+
+
 def anchor_ids(titles: DataFrame, group: str, title: str, order: list[str]) -> DataFrame:
     """titles with anchors of letters, digits and _.:-, unique in their group."""
     from foliolens.operators.publishing import unique_names

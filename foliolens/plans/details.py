@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliolens.operators import chapters as H
 from foliolens.operators import compiling, imports
+from foliolens.operators import corpora as K
 from foliolens.operators import decks as D
 from foliolens.operators import pages as P
 from foliolens.operators import queues as Q
@@ -185,3 +186,46 @@ def people_in_pictures(spark, sf_dir):
     return H.image_inventory(images).select("p_partkey", "issue", "mentions_people")
 
 
+@query("""WITH i AS (SELECT p_partkey, p_size AS s, p_partkey % 3 = 0 AS unread, CASE p_size % 4 WHEN 0 THEN '7.3' ELSE '7.6' END AS category FROM part), t AS (SELECT i.*, p_name AS name, p_type AS type FROM i JOIN part USING (p_partkey))
+SELECT p_partkey AS section_id, p_partkey || '::llm::' || category || '::raw' AS key, 'observation' AS kind, NULL AS block, NULL AS replacement, 'no json ' || name AS text FROM t WHERE unread
+UNION ALL SELECT p_partkey, p_partkey || '::llm::' || category || '::summary', 'observation', NULL, NULL, type FROM t WHERE NOT unread AND s % 2 = 0
+UNION ALL SELECT p_partkey, CASE WHEN category = '7.6' AND s % 5 > 0 THEN p_partkey || '::b2::0::' || name ELSE p_partkey || '::llm::' || category || '::1' END, CASE WHEN category = '7.6' AND s % 5 > 0 THEN 'edit' ELSE 'observation' END, CASE WHEN category = '7.6' AND s % 5 > 0 THEN 'b2' END,
+  CASE WHEN category = '7.6' AND s % 5 > 0 THEN 'new' END, CASE WHEN category = '7.6' AND s % 5 > 0 THEN '' ELSE 'new' END FROM t WHERE NOT unread""")
+def findings_of_drafts(spark, sf_dir):
+    """Replies of a model on parts: some can't be read, some quote what stands nowhere, some belong to a category that never edits."""
+    part = table(spark, sf_dir, "part")
+    category, unread = F.when(_P.size % 4 == 0, "7.3").otherwise("7.6").alias("category"), _P.key % 3 == 0
+    replies = part.select(_P.key.alias("section_id"), category, F.when(unread, _text("no json ", _P.name)).alias("raw"), F.when(_P.size % 2 == 0, _P.type).alias("summary"))
+    items = part.select(_P.key.alias("section_id"), category, F.lit(1).alias("n"), F.when(_P.size % 5 > 0, _P.name).otherwise("nowhere at all").alias("original"), F.lit("new").alias("replacement"), F.lit("").alias("suggestion"))
+    blocks = part.select(_P.key.alias("section_id"), F.explode(F.array(F.struct(F.lit("b1").alias("block"), F.lit("nothing").alias("text")), F.struct(F.lit("b2").alias("block"), _text("a ", _P.name, " is ", _P.name).alias("text")), F.struct(F.lit("b3").alias("block"), _P.name.alias("text")))).alias("b")).select("section_id", "b.*")
+    return K.draft_findings(replies, items, blocks).select("section_id", "key", "kind", "block", "replacement", "text")
+
+
+@query("""WITH b AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\n+'), lambda x: x <> '') AS b FROM documents)
+SELECT doc_id, md5(array_to_string(b[1:2], chr(10) || chr(10))) AS head, CASE WHEN len(b) > 2 THEN md5(array_to_string(b[-2:], chr(10) || chr(10))) ELSE md5('') END AS tail FROM b""")
+def texts_edged(spark, sf_dir):
+    """The first and last blocks of whole documents, a line a block."""
+    edges = K.text_edges(F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return table(spark, sf_dir, "documents").withColumn("e", edges).select("doc_id", F.md5("e.head").alias("head"), F.md5("e.tail").alias("tail"))
+
+
+@query(r"""WITH p AS (SELECT p_partkey, p_size % 5 AS k, p_name AS name FROM part) SELECT p_partkey, 'image' AS source, name AS tex, k = 1 AS display FROM p WHERE k < 3 UNION ALL SELECT p_partkey, 'text', name || '^2', true FROM p UNION ALL SELECT p_partkey, 'text', 'y', false FROM p""")
+def equations_found(spark, sf_dir):
+    """TeX of pictures and of texts, not that of code."""
+    k = _P.size % 5
+    image = F.when(k == 0, _text('<img class="ql-img-inline" alt="\\(', _P.name, '\\)">')).when(k == 1, _text('<img src="https://quicklatex.com/1.png" alt="$$', _P.name, '$$">')).when(k == 2, _text('<img class="a ql-img-x" alt="$', _P.name, '$">'))
+    image = image.when(k == 3, '<img class="ql-img-x" alt="Rendered by QuickLaTeX.com">').otherwise(_text('<img alt="\\(', _P.name, '\\)">'))
+    tokens = P.tokenize(_made(spark, sf_dir, image, "<p>a \\[", _P.name, "^2\\] b \\(y\\)</p><pre>\\(z\\)</pre><p><code>$$w$$</code></p>"), "p_partkey")
+    both = P.equation_images(tokens, "p_partkey").withColumn("source", F.lit("image")).unionByName(P.extract_tex(tokens, "p_partkey").withColumn("source", F.lit("text")))
+    return both.select("p_partkey", "source", "tex", "display")
+
+
+@query("""SELECT p_partkey, 'duplicate-id' AS id, 'minor' AS impact, 6 AS pos FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'image-alt', 'critical', 9 FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 'heading-order', 'moderate', 6 FROM part WHERE p_size % 4 = 0
+UNION ALL SELECT p_partkey, 'link-name', 'serious', 10 FROM part WHERE p_size % 5 = 0""")
+def markup_issues(spark, sf_dir):
+    """Each rule on markup, met by some pages."""
+    again = F.when(_P.size % 2 == 0, ' id="a"').otherwise(' id="b"')
+    level = F.when(_P.size % 4 == 0, "h4").otherwise("h3")
+    image, link = F.when(_P.size % 3 == 0, '<img src="x">').otherwise('<img src="x" alt="">'), F.when(_P.size % 5 == 0, '<a href="/x"> </a>').otherwise('<a href="/x">y</a>')
+    pages = _made(spark, sf_dir, '<h2 id="a">', _P.name, "</h2><p>", _P.type, "</p><", level, again, ">x</", level, ">", image, link)
+    return P.structural_issues(P.tokenize(pages, "p_partkey"), "p_partkey")
