@@ -230,13 +230,13 @@ def crawl_in_order(spark, sf_dir):
     return K.crawl(seeds, links, nation.filter("n_nationkey % 3 > 0").select(name("n", "n_nationkey").alias("url")), 24)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem WHERE l_linestatus = 'F'),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem),
 r AS (SELECT n_regionkey AS chapter, 's' || s_suppkey AS url FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT r.chapter, e.dst FROM r JOIN e ON r.url = e.src) SELECT chapter, url FROM r""")
 def crawl_frontier(spark, sf_dir):
     """Regions as chapters, their suppliers as first pages: from suppliers to parts, from parts to orders."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     lines = table(spark, sf_dir, "lineitem")
-    links = lines.select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst")).unionByName(lines.filter("l_linestatus = 'F'").select(name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst")))
+    links = lines.select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst")).unionByName(lines.select(name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst")))
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("chapter"))
     seeds = table(spark, sf_dir, "supplier").join(nation, "s_nationkey").select("chapter", name("s", "s_suppkey").alias("url"))
     return K.expand_frontier(seeds, links, budget=None).select("chapter", "url")

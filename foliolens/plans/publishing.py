@@ -36,12 +36,12 @@ def plan_pages(spark, sf_dir):
 
 
 @query(
-    _BLOCKS + """, g AS (SELECT doc_id, page, min(block_idx) AS first, count(*)::INT AS blocks, md5(string_agg(html, '' ORDER BY block_idx)) AS digest, arg_min(substr(html, 1, 12), block_idx) FILTER (level = split AND NOT over_budget) AS own FROM planned GROUP BY doc_id, page),
+    _BLOCKS + """, g AS (SELECT doc_id, page, min(block_idx) AS first, count(*)::INT AS blocks, md5(string_agg(html, '' ORDER BY block_idx)) AS digest, arg_min(html, block_idx) FILTER (level = split AND NOT over_budget) AS own FROM planned GROUP BY doc_id, page),
 b AS (SELECT *, coalesce(nullif(trim(own), ''), 'Document ' || doc_id) AS base FROM g), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(trim(base)) ORDER BY page) AS k FROM b)
 SELECT doc_id, page, doc_id || '-page-' || (first + 1) AS page_id, blocks, digest, CASE WHEN k = 1 THEN base ELSE base || ' (' || k || ')' END AS title FROM n"""
 )
 def plan_page_rows(spark, sf_dir):
-    planned = B.propose_pages(blocks(spark, sf_dir), "doc_id").withColumn("head", F.substring("html", 1, 12))
+    planned = B.propose_pages(blocks(spark, sf_dir), "doc_id").withColumn("head", F.col("html"))
     return B.page_rows(planned, "doc_id", "head", "html").withColumn("digest", F.md5("html")).drop("html")
 
 
@@ -66,14 +66,14 @@ def plan_edits_replayed(spark, sf_dir):
     return B.replay_plan_edits(pages, log, "doc_id")
 
 
-_SECTIONS = "WITH s AS (SELECT p_brand AS export, 'Chapter ' || p_size || ': x' AS chapter_title, CASE WHEN p_partkey % 4 = 0 THEN p_size || '.1 Start' ELSE substr(p_name, 1, 10) END AS section_title, p_partkey, p_size FROM part WHERE p_partkey % 13 > 0), b AS (SELECT *, trim(regexp_replace(lower(chapter_title), '[^a-z0-9]+', '-', 'g'), '-') || '-' || trim(regexp_replace(lower(section_title), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM s), t AS (SELECT export, p_partkey, p_size, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug, CASE WHEN regexp_matches(section_title, '^' || p_size || '\\.') THEN section_title ELSE 'Chapter ' || p_size || ' ' || section_title END AS title FROM (SELECT *, row_number() OVER (PARTITION BY export, base ORDER BY p_size, p_partkey) AS n FROM b)) "
+_SECTIONS = "WITH s AS (SELECT p_brand AS export, 'Chapter ' || p_size || ': x' AS chapter_title, CASE WHEN p_partkey % 4 = 0 THEN p_size || '.1 Start' ELSE p_name END AS section_title, p_partkey, p_size FROM part WHERE p_partkey % 13 > 0), b AS (SELECT *, trim(regexp_replace(lower(chapter_title), '[^a-z0-9]+', '-', 'g'), '-') || '-' || trim(regexp_replace(lower(section_title), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM s), t AS (SELECT export, p_partkey, p_size, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug, CASE WHEN regexp_matches(section_title, '^' || p_size || '\\.') THEN section_title ELSE 'Chapter ' || p_size || ' ' || section_title END AS title FROM (SELECT *, row_number() OVER (PARTITION BY export, base ORDER BY p_size, p_partkey) AS n FROM b)) "
 
 
 def targets(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     sections = part.select(
         F.col("p_brand").alias("export"), F.concat(F.lit("Chapter "), F.col("p_size").cast("string"), F.lit(": x")).alias("chapter_title"),
-        F.when(F.col("p_partkey") % 4 == 0, F.concat(F.col("p_size").cast("string"), F.lit(".1 Start"))).otherwise(F.substring("p_name", 1, 10)).alias("section_title"),
+        F.when(F.col("p_partkey") % 4 == 0, F.concat(F.col("p_size").cast("string"), F.lit(".1 Start"))).otherwise(F.col("p_name")).alias("section_title"),
         F.when(F.col("p_partkey") % 13 == 0, "failed").alias("error"), F.lit("<p>").alias("html"), "p_partkey", "p_size",
     )
     return B.page_targets(sections, "export", ["p_size", "p_partkey"]).select("export", "p_partkey", "p_size", "slug", "title")
