@@ -84,6 +84,15 @@ def finder_categories(finders: DataFrame) -> DataFrame:
     return finders.select("kind", F.explode("categories").alias("category")).distinct()
 
 
+def restore_reviews(raw: DataFrame, json: str, rows: list[str], version: int = 1) -> DataFrame:
+    """(id, row, rating, benchmark) of stored reviews: of the right version, known rows and ratings only, benchmarks held between 0 and 100. Whole documents are read by restore_documents()."""
+    parsed = F.from_json(json, "version int, benchmark double, ratings map<string,string>")
+    good = raw.withColumn("_p", parsed).filter(F.col("_p.version") == version)
+    held = F.when(F.col("_p.benchmark").isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("_p.benchmark"))))
+    each = good.select("id", held.alias("benchmark"), F.explode("_p.ratings").alias("row", "rating"))
+    return each.filter(F.col("row").isin(*rows) & F.col("rating").isin(*STORED_RATINGS))
+
+
 @dataclass(frozen=True)
 class Restored:
     """What is left of stored review documents once every field is checked; all tables begin with (id, chapter) but for the header's (id)."""

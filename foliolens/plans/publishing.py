@@ -136,8 +136,9 @@ def asset_references(spark, sf_dir):
     return ship.withColumn("missing", F.lit(False)).unionByName(unresolved.withColumn("missing", F.lit(True)))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' END AS media_type, CASE WHEN p_partkey % 3 < 2 THEN p_size END::BIGINT AS width, CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 200 END::BIGINT AS height FROM part")
+@query("WITH s AS (SELECT p_partkey, p_size, p_partkey % 3 < 2 AND p_size > 0 AND p_partkey % 200 > 0 AS sized FROM part) SELECT p_partkey, CASE WHEN sized THEN CASE p_partkey % 3 WHEN 0 THEN 'image/png' ELSE 'image/gif' END END AS media_type, CASE WHEN sized THEN p_size END::BIGINT AS width, CASE WHEN sized THEN p_partkey % 200 END::BIGINT AS height FROM s")
 def raster_headers(spark, sf_dir):
+    """Headers of pictures, some of height 0, which are none."""
     big = lambda c: F.lpad(F.hex(c), 8, "0")
     small = lambda c: F.concat(F.lpad(F.hex(c % 256), 2, "0"), F.lpad(F.hex(F.floor(c / 256)), 2, "0"))
     size, key = F.col("p_size").cast("long"), (F.col("p_partkey") % 200).cast("long")
