@@ -14,18 +14,18 @@ MOST_PAGES = 100
 
 
 def unique_names(df: DataFrame, group: str, base: str, order: list[str], into: str, suffix: str = "-{}", fold: bool = False) -> DataFrame:
-    """df with `base` made unique within `group` in reading order: later ones get a number from 2 on.
+    """df with `base` made unique within `group` in reading order: later ones get a number from 2 on. With `fold`, case doesn't tell names apart; they carry no blanks at their ends.
 
-    Counting repeats is exact unless a natural name equals a generated one. Groups where that happens,
-    found by an anti-check, are renamed one by one in a grouped job; the others never leave Spark SQL.
+    Counting repeats is exact unless a natural name equals a generated one. Names that differ without the numbers at their ends never
+    meet; those of one stem among which that happens, found by an anti-check, are renamed one by one in a grouped job, the others never leave Spark SQL.
     """
     norm = (lambda c: F.lower(F.trim(c))) if fold else (lambda c: c)
     before, after = suffix.split("{}")
     n = F.row_number().over(Window.partitionBy(group, norm(F.col(base))).orderBy(*order))
     named = df.withColumn("_n", n).withColumn(into, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit(before), F.col("_n").cast("string"), F.lit(after))))
-    twice = named.withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(group, norm(F.col(into))))).filter("_t > 1").select(group).distinct()
-    clean = named.join(twice, group, "left_anti").drop("_n")
-    kind = named.drop("_n").schema
+    named = named.withColumn("_stem", F.trim(F.regexp_replace(norm(F.col(base)), rf"(?:\s*\Q{before}\E[0-9]+\Q{after}\E)+\s*$", "")))
+    twice = named.withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(group, norm(F.col(into))))).filter("_t > 1").select(group, "_stem").distinct()
+    clean = named.join(twice, [group, "_stem"], "left_anti").drop("_n", "_stem").select(*df.columns, into)
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([(c, "ascending") for c in order]).to_pylist()
@@ -39,8 +39,8 @@ def unique_names(df: DataFrame, group: str, base: str, order: list[str], into: s
             r[into] = name
         return pa.Table.from_pylist(rows, table.schema)
 
-    mended = named.drop("_n").join(twice, group, "left_semi").groupBy(group).applyInArrow(run, kind)
-    return clean.unionByName(mended)
+    mended = named.drop("_n").join(twice, [group, "_stem"], "left_semi").select(*df.columns, into, "_stem")
+    return clean.unionByName(mended.groupBy(group, "_stem").applyInArrow(run, mended.schema).drop("_stem"))
 
 
 def split_level(blocks: DataFrame, doc: str) -> DataFrame:

@@ -196,3 +196,25 @@ def test_plan_edits_equal_a_loop(spark):
     made = publishing.replay_plan_edits(spark.createDataFrame(pages, "doc int, page int, page_id string, title string, included boolean, blocks array<int>"), spark.createDataFrame(log, "doc int, seq long, op string, page_id string, value string"), "doc")
     assert sorted((tuple(r) for r in made.collect()), key=str) == sorted([(d, n, i, t, k, list(b)) for d, n, i, t, k, b in expected], key=str)
     assert {op for _, _, op, _, _ in log} == {"rename", "include", "merge-next", "move", "split"} and sum(t.startswith("impossible") for _, _, _, t, _, _ in expected) > 5
+
+
+def test_unique_names_equal_a_loop(spark):
+    """Names that meet generated ones, among many that don't, in one large group and in small ones."""
+    import random
+
+    from foliolens.operators import publishing
+
+    rng = random.Random(8)
+    for fold, suffix in ((False, "-{}"), (True, " ({})")):
+        names = ["a", "a-2", "a-2-2", "A", "b", "b (2)", "B (2)", "c", "c-3", "a (2) (2)", "", "-2"] + [f"n{i}" for i in range(30)]
+        rows = [(rng.choice(["g", "g", "h", "k"]), rng.choice(names), n) for n in range(300)]
+        got = publishing.unique_names(spark.createDataFrame(rows, "g string, name string, n int"), "g", "name", ["n"], "made", suffix, fold).collect()
+        taken, expected = {}, {}
+        key = (lambda s: s.strip(" ").lower()) if fold else (lambda s: s)
+        for group, name, n in rows:
+            made, k = name, 2
+            while key(made) in taken.setdefault(group, set()):
+                made, k = name + suffix.format(k), k + 1
+            taken[group].add(key(made))
+            expected[n] = made
+        assert {r["n"]: r["made"] for r in got} == expected and got[0].asDict().keys() == {"g", "name", "n", "made"}
