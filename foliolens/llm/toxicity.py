@@ -10,7 +10,7 @@ gives the weights; its intercept is corrected from the sample's class shares to
 Scores use whole texts and nothing else. A null or empty text has no n-grams and scores by the
 intercept. Rows are scored one by one, so repeated rows, null keys and ties need no rule; labels
 that are null or other than 0 and 1 are skipped, repeated ones count once per key (toxic if any
-says so). With labels of one class only, or none, every score is that class's share (0 without labels).
+says so); of the rows that share a key, the text of the smallest hash teaches. With labels of one class only, or none, every score is that class's share (0 without labels).
 """
 
 from __future__ import annotations
@@ -77,7 +77,9 @@ def _sample(documents: DataFrame, labels: DataFrame, key: str, text: str) -> tup
     order = F.xxhash64(key), F.col(key)
     parts = [fit.filter(F.col("toxic") == c).orderBy(*order).limit(SAMPLE_PER_CLASS) for c in (0, 1)]
     # At most 2 * SAMPLE_PER_CLASS rows of two numbers: safe to send to every executor.
-    return documents.select(key, text).join(F.broadcast(parts[0].unionByName(parts[1])), key).dropDuplicates([key]), sizes
+    found = documents.select(key, text).join(F.broadcast(parts[0].unionByName(parts[1])), key)
+    # Of the rows of one id the text of the smallest hash teaches, whatever their order.
+    return found.groupBy(key, "toxic").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias(text)).select(key, text, "toxic"), sizes
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

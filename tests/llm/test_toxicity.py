@@ -92,3 +92,13 @@ def test_keep_clean(spark):
     assert kept.columns == rows.columns and {r["_toxicity"] for r in kept.collect()} == {1}
     assert {r["doc_id"] for r in kept.collect()} <= {i for i in range(200) if i % 4}
     assert toxicity.keep_clean(rows.limit(0), toxicity.train(documents, labels)).collect() == []
+
+
+def test_repeated_ids_teach_the_same_whatever_their_order(spark):
+    documents, labels = corpus(spark, 60)
+    rows = [tuple(r) for r in documents.collect()] + [(i, f"another text of row {i} grumblefoot", "x") for i in range(0, 60, 3)] + [(1, None, "x")]
+    texts = []
+    for order in (rows, rows[::-1]):
+        sample, _ = toxicity._sample(spark.createDataFrame(order, SCHEMA).repartition(5), labels, "doc_id", "text")
+        texts.append({r["doc_id"]: r["text"] for r in sample.collect()})
+    assert texts[0] == texts[1] and len(texts[0]) > 30
