@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliolens.functions.text import _col
+from foliolens.functions.text import _col, literal
 
 # The 148 named colours of CSS.
 _NAMED = """
@@ -42,7 +42,7 @@ def let(value: Column, use) -> Column:
 
 
 def _parsed(c: Column) -> Column:
-    named = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    named = F.expr(literal(NAMES))
     return let(F.coalesce(named[F.lower(F.trim(c))], F.lower(F.trim(c))), _read)
 
 

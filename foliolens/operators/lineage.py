@@ -9,16 +9,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_KNOWN: set[str] = set()
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared one; where none is set, in one of this process, if executors are part of it."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+    """A new folder in the session's shared one; where none is set, in one of this process, if executors are part of it. All of an application's go when it ends."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named and not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="foliolens-"))
-    return f"{(named or _OWN[0]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = f"{(named or _OWN[0]).rstrip('/')}/{context.applicationId}-steps"
+    if base not in _KNOWN:
+        _KNOWN.add(base)
+        path = context._jvm.org.apache.hadoop.fs.Path(base)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
