@@ -36,7 +36,7 @@ def over_limit_stream(events: DataFrame, client: str, ts: str, limit: int = 60,
 
 
 def stream_pages(pages: DataFrame, compile_: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
-    """Compiles new pages as they arrive; each batch is written under its number, so a repeated batch overwrites itself."""
+    """Compiles new pages as they arrive; each batch is written under its number, so a repeated batch overwrites itself. Pages that come again, changed, go through upsert_pages()."""
 
     def write(batch: DataFrame, number: int) -> None:
         compile_(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
