@@ -16,38 +16,69 @@ def reconcile(slides: DataFrame, blocks: DataFrame, deck: str = "deck_id") -> Da
 
     A block belongs to the slide whose remaining text, without white space, begins with the block's; notes are
     dropped; pictures are claimed by their origin. Blocks that fit nowhere are orphans, and what a slide still
-    expects is missing. Claims depend on what came before, so a deck is one group.
+    expects is missing. Claims depend on what came before, so decks are read whole and in order, many to a batch.
     """
     kind = dict(slides.dtypes)[deck]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    pictures = lambda: F.coalesce("picture_origins", F.array().cast("array<string>")).alias("pictures")
+    wanted_rows = slides.select(deck, F.lit(0).alias("side"), F.col("number").cast("int").alias("at"), F.concat_ws("", "text_runs").alias("text"), F.col("notes").alias("notes"), pictures())
+    given_rows = blocks.select(deck, F.lit(1).alias("side"), F.col("block_idx").cast("int").alias("at"), F.col("text").alias("text"), F.lit(None).cast("string").alias("notes"), pictures())
+    rows = wanted_rows.unionByName(given_rows).repartition(deck).sortWithinPartitions(deck, "side", F.col("at").asc_nulls_last())
+
+    def claim(b: dict, wanted: list[dict], at: int) -> tuple[int | None, str, int]:
+        text, pictures = b["text"], b["pictures"]
+        for ahead in range(at, len(wanted)):
+            w = wanted[ahead]
+            if pictures and any(p in w["pictures"] for p in pictures):
+                w["pictures"] = [p for p in w["pictures"] if p not in pictures]
+                return w["n"], "picture", at
+            if text and w["text"].startswith(text):
+                w["text"] = w["text"][len(text) :]
+                return w["n"], "text", ahead
+            if text and w["notes"].startswith(text):
+                w["notes"] = w["notes"][len(text) :]
+                return w["n"], "notes", at
+        return None, "orphan", at
+
+    def run(batches):
         squeeze = lambda s: "".join((s or "").split())
-        wanted = [{"n": s["number"], "text": squeeze("".join(s["text_runs"] or [])), "notes": squeeze(s["notes"]), "pictures": list(s["picture_origins"] or [])} for s in left.sort_by("number").to_pylist()]
-        given = right.sort_by("block_idx").to_pylist()
-        key = (left if left.num_rows else right).column(deck)[0].as_py()
-        rows, at = [], 0
-        for b in given:
-            text, pictures = squeeze(b["text"]), b["picture_origins"] or []
-            slide, status = None, "orphan"
-            for ahead in range(at, len(wanted)):
-                w = wanted[ahead]
-                if pictures and any(p in w["pictures"] for p in pictures):
-                    w["pictures"] = [p for p in w["pictures"] if p not in pictures]
-                    slide, status = w["n"], "picture"
-                elif text and w["text"].startswith(text):
-                    w["text"] = w["text"][len(text) :]
-                    slide, status, at = w["n"], "text", ahead
-                elif text and w["notes"].startswith(text):
-                    w["notes"] = w["notes"][len(text) :]
-                    slide, status = w["n"], "notes"
-                if slide is not None:
-                    break
-            rows.append((b["block_idx"], slide, status))
-        rows += [(None, w["n"], "missing-text") for w in wanted if w["text"]] + [(None, w["n"], "missing-pictures") for w in wanted if w["pictures"]]
-        columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
-        return pa.table([pa.array([key] * len(rows), (left if left.num_rows else right).schema.field(deck).type), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=[deck, "block_idx", "slide", "status"])
-
-    return slides.groupBy(deck).cogroup(blocks.groupBy(deck)).applyInArrow(run, f"`{deck}` {kind}, block_idx int, slide int, status string")
+        current, wanted, at, key_type = None, [], 0, None
+        found: list[list] = [[], [], [], []]
+
+        def put(*row):
+            for column, x in zip(found, row, strict=True):
+                column.append(x)
+
+        def missing():
+            for column, status in (("text", "missing-text"), ("pictures", "missing-pictures")):
+                for w in wanted:
+                    if w[column]:
+                        put(current[0], None, w["n"], status)
+
+        def made():
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (key_type, pa.int32(), pa.int32(), pa.string()), strict=True)], [deck, "block_idx", "slide", "status"])
+            for column in found:
+                column.clear()
+            return out
+
+        for batch in batches:
+            key_type, lists = batch.schema.field(0).type, batch.column(5)
+            ends, origins = lists.offsets.to_pylist(), lists.values.to_pylist()
+            for i, (value, side, n, text, notes) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
+                if current is None or current[0] != value:
+                    missing()
+                    current, wanted, at = (value,), [], 0
+                shown = {"n": n, "text": squeeze(text), "pictures": origins[ends[i] : ends[i + 1]]}
+                if side:
+                    slide, status, at = claim(shown, wanted, at)
+                    put(value, n, slide, status)
+                else:
+                    wanted.append({**shown, "notes": squeeze(notes)})
+            yield made()
+        if current is not None:
+            missing()
+            yield made()
+
+    return rows.mapInArrow(run, f"`{deck}` {kind}, block_idx int, slide int, status string")
 
 
 def page_summaries(slices: DataFrame, unmarked: DataFrame, doc: str) -> DataFrame:

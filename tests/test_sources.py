@@ -65,3 +65,17 @@ def test_reconcile(spark):
     rows = [(r["block_idx"], r["slide"], r["status"]) for r in decks.reconcile(slides, blocks).collect()]
     assert rows == [(0, 1, "text"), (1, 1, "notes"), (2, 1, "picture"), (3, None, "orphan"), (None, 2, "missing-text"), (None, 2, "missing-pictures")]
     assert F is not None
+
+
+def test_reconcile_many_decks_in_batches(spark):
+    """Decks in numbers, some of blocks only, some of slides only, one without a name; each is told alone, and no deck is a Python group of its own."""
+    slides = [(d, n, [f"s{n}", f" of {d}"], None, None) for d in [*range(500), None] for n in (2, 1)]
+    blocks = [(d, n - 1, f"s {n} of{d}" if n < 2 else "stray", None) for d in [*range(250, 750), None] for n in (2, 1)]
+    made = decks.reconcile(spark.createDataFrame(slides, "deck_id int, number int, text_runs array<string>, notes string, picture_origins array<string>"), spark.createDataFrame(blocks, "deck_id int, block_idx int, text string, picture_origins array<string>"))
+    both, alone = [(0, 1, "text"), (1, None, "orphan"), (None, 2, "missing-text")], [(0, None, "orphan"), (1, None, "orphan")]
+    expected = {d: [(None, 1, "missing-text"), (None, 2, "missing-text")] for d in range(250)} | {d: both for d in [*range(250, 500), None]} | {d: alone for d in range(500, 750)}
+    got: dict = {}
+    for r in made.collect():
+        got.setdefault(r["deck_id"], []).append((r["block_idx"], r["slide"], r["status"]))
+    assert got == expected
+    assert "CoGroups" not in made._jdf.queryExecution().executedPlan().toString()
