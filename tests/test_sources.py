@@ -79,3 +79,20 @@ def test_reconcile_many_decks_in_batches(spark):
         got.setdefault(r["deck_id"], []).append((r["block_idx"], r["slide"], r["status"]))
     assert got == expected
     assert "CoGroups" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ingest_makes_content_once(spark):
+    """Reasons of long, spoilt and blank texts, blank by any white space; content that is made by an expression stands once in the plan, not once for each use."""
+    rows = [(1, 3, " "), (2, 70, "\u2003\ufeff "), (3, 300_000, "ab cdefgh"), (4, 70, " "), (5, 1, "x"), (6, 0, "x"), (7, 1, None)]
+    made = spark.createDataFrame(rows, "id int, n int, s string").select("id", F.concat(F.repeat("s", F.col("n")), F.when(F.col("id") == 4, "\U0001f600").otherwise("")).cast("binary").alias("content"))
+    works, rejects = corpora.ingest_text(made.unionByName(spark.createDataFrame([(8, bytearray(b"\xffx"))], "id int, content binary")))
+    assert {r["id"]: r["reason"] for r in rejects.collect()} == {1: "blank", 2: "blank", 3: "too-large", 6: "blank", 8: "not-utf8"}
+    assert {r["id"]: r["section_id"] is None for r in works.collect()} == {4: False, 5: False, 7: True}
+    plan = corpora.ingest_text(made)[1].select("id", "reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repeat(") == 1
+
+
+def test_parts_are_dealt_out(spark):
+    from foliolens.plans.registry import table
+
+    assert table(spark, "/root/testdata/sf0.001", "part").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
