@@ -52,12 +52,13 @@ def contrast(df: DataFrame, fg: str = "fg", bg: str = "bg", size: str = "size")
 def gradient_contrast(runs: DataFrame, key: str, fg: str, stops: str, size: str = "size", samples: int = 9) -> DataFrame:
     """Per run the worst contrast over a gradient: colours between neighbouring stops, sampled evenly, flattened over white."""
     pairs = runs.select(key, fg, size, F.posexplode(F.arrays_zip(F.slice(stops, 1, F.size(stops) - 1).alias("a"), F.slice(stops, 2, F.size(stops) - 1).alias("b"))).alias("pair", "s"))
-    step = F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("i")
-    parsed = pairs.select(key, fg, size, C.parse_color(F.col("s.a")).alias("x"), C.parse_color(F.col("s.b")).alias("y"), step)
+    # Colours are read before the samples are made of them, once a pair.
+    read = pairs.select(key, size, C.parse_color(fg).alias("front"), C.parse_color(F.col("s.a")).alias("x"), C.parse_color(F.col("s.b")).alias("y"))
+    parsed = read.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("i"))
     t = F.col("i") / samples
     between = C.rgba(*[F.col("x")[k] + (F.col("y")[k] - F.col("x")[k]) * t for k in ("r", "g", "b", "a")])
     flat = C.over(between, C.rgba(F.lit(255), F.lit(255), F.lit(255), F.lit(1)))
-    front = C.over(C.parse_color(fg), flat)
+    front = C.over(F.col("front"), flat)
     worst = parsed.withColumn("raw", C.contrast_ratio(front, flat)).groupBy(key, size).agg(F.min("raw").alias("raw"))
     return worst.select(key, F.round("raw", 2).alias("ratio"), (F.col("raw") >= F.when(F.col(size) == "large", C.AA_LARGE).otherwise(C.AA_NORMAL)).alias("passes"))
 

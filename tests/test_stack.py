@@ -258,3 +258,23 @@ def test_book_content(spark):
     html = '<body><div class="entry-content x"><p>a</p><div class="noindex">b</div><nav>c</nav></div><main>d</main></body>'
     rows = pages.main_content(tokenized(spark, [html, "<body><header>x</header>y</body>"]), "page_id", pages.BOOK_CONTAINERS, pages.BOOK_CHROME).collect()
     assert {r["page_id"]: (r["n_chrome"], r["html"]) for r in rows} == {0: (2, '<div class="entry-content x"><p>a</p></div>'), 1: (1, "<body>y</body>")}
+
+
+def test_metadata_in_one_pass(spark):
+    """All kinds of metadata come of one pass over the tokens: one Python node, where there was one a kind."""
+    html = '<h2>A</h2><dl><dt>t</dt><dd>d</dd><dt>u</dt><dt>v</dt><dd> </dd></dl><p><b>x</b> y</p><div class="summary"><p>k &amp; <b>l</b></p><li><b></b>m</li></div>'
+    made = sections.metadata_inventory(pages.tokenize(spark.createDataFrame([(1, html)], "id int, html string"), "id"), "id")
+    rows = sorted((r["kind"], r["text"], r["detail"]) for r in made.collect())
+    assert [r[:2] for r in rows] == [("defined-term", "x"), ("glossary", "t"), ("glossary", "u"), ("glossary", "v"), ("heading", "A"), ("key-block", "k & l"), ("key-block", "m")]
+    assert [r[2] for r in rows if r[0] == "glossary"] == ["d", None, None]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_gradient_reads_colours_once_a_pair(spark):
+    from foliolens.operators import audits
+
+    runs = spark.createDataFrame([(1, "#777777", "normal", ["#000000", "#ffffff"]), (2, "white", "large", ["#000", "#000"])], "id int, fg string, size string, stops array<string>")
+    made = audits.gradient_contrast(runs, "id", "fg", "stops")
+    assert sorted(tuple(r) for r in made.collect()) == [(1, 1.09, False), (2, 21.0, True)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "fg" not in plan[: plan.index("explode(")]
