@@ -150,15 +150,16 @@ def metadata_inventory(tokens: DataFrame, key: str) -> DataFrame:
     marked = P.enclosing(
         tokens.withColumn("_lead", lead), key, head=("h2", "h3", "h4"), term=("dt",), definition=("dd",), item=("p", "li"), lead=F.col("_lead"), block=is_key & (F.col("kind") == "open")
     )
-    texts = marked.filter("kind = 'text'")
-    of = lambda mark: P.joined_text(texts.filter(F.col(mark).isNotNull()), key, F.col(f"{mark}.el").alias("el"))
-    row = lambda df, kind, detail=None: df.select(key, "el", F.lit(kind).alias("kind"), "text", (detail if detail is not None else F.lit(None).cast("string")).alias("detail"))
-    both = of("term").withColumn("is_term", F.lit(True)).unionByName(of("definition").withColumn("is_term", F.lit(False)))
-    after = Window.partitionBy(key).orderBy("el")
-    terms = both.withColumn("detail", F.when(~F.lead("is_term").over(after), F.nullif(F.lead("text").over(after), F.lit("")))).filter("is_term")
-    bold = of("lead").filter((F.col("text") != "") & (F.length("text") <= 60))
-    keyed = P.joined_text(texts.filter("item IS NOT NULL AND block IS NOT NULL"), key, F.col("item.el").alias("el"))
-    return row(of("head"), "heading").unionByName(row(terms, "glossary", F.col("detail"))).unionByName(row(bold, "defined-term")).unionByName(row(keyed, "key-block"))
+    # One pass: a text goes once to each of its kinds.
+    kinds = {m: F.when(F.col(m).isNotNull(), F.struct(F.lit(m).alias("mark"), F.col(f"{m}.el").alias("el"))) for m in ("head", "term", "definition", "lead")}
+    keyed = F.when(F.col("item").isNotNull() & F.col("block").isNotNull(), F.struct(F.lit("key").alias("mark"), F.col("item.el").alias("el")))
+    texts = marked.filter("kind = 'text'").select(key, "pos", "text", F.explode(F.array_compact(F.array(*kinds.values(), keyed))).alias("_m"))
+    joined = P.joined_text(texts, key, F.col("_m.mark").alias("mark"), F.col("_m.el").alias("el"))
+    after = Window.partitionBy(key, F.when(F.col("mark").isin("term", "definition"), "term").otherwise(F.col("mark"))).orderBy("el")
+    detail = F.when((F.col("mark") == "term") & (F.lead("mark").over(after) == "definition"), F.nullif(F.lead("text").over(after), F.lit("")))
+    named = F.expr(T.literal({"head": "heading", "term": "glossary", "lead": "defined-term", "key": "key-block"}))[F.col("mark")]
+    told = joined.withColumn("detail", detail).filter("mark <> 'definition' AND (mark <> 'lead' OR text <> '' AND length(text) <= 60)")
+    return told.select(key, "el", named.alias("kind"), "text", "detail")
 
 
 def table_facts(tokens: DataFrame, key: str) -> DataFrame:
