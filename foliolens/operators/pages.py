@@ -27,20 +27,25 @@ ATTRIBUTE = r"""(?s)([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 def tokenize(df: DataFrame, key: str, html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, carry, pos, kind, tag, attrs, text, raw): kind is open, close, text or raw; comments and declarations are dropped. `carry` names columns of the page that its tokens keep."""
-    found = df.select(F.col(key), *carry, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))).alias("pos", "raw")).filter(~F.col("raw").rlike("^<[!?]"))
+    raw = F.col("raw")
+    found = df.select(F.col(key), *carry, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))).alias("pos", "raw")).filter(~(raw.startswith("<!") | raw.startswith("<?")))
+    # What TOKEN finds begins with "<" only where it is a tag, or a stray "<" alone.
+    text = ~raw.startswith("<") | (raw == "<")
     tag = F.lower(F.regexp_extract("raw", r"^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1))
-    kind = F.when(~F.col("raw").rlike("^</?[a-zA-Z]"), "text").when(tag.isin(*rules.DROPPED_SUBTREES) & F.col("raw").rlike(r"(?s)^<[a-zA-Z].*<"), "raw").when(F.col("raw").startswith("</"), "close").otherwise("open")
-    body = F.regexp_replace(F.regexp_replace("raw", r"^</?[a-zA-Z][a-zA-Z0-9:-]*", ""), r"/?>$", "")
+    found = found.withColumn("tag", F.when(~text, tag))
+    tag = F.col("tag")
+    kind = F.when(tag.isNull(), "text").when(raw.startswith("</"), "close").when(tag.isin(*rules.DROPPED_SUBTREES) & raw.rlike(r"(?s)^<[a-zA-Z].*<"), "raw").otherwise("open")
+    body = F.regexp_replace(F.substring(raw, F.length(tag) + 2, F.length(raw)), r"/?>$", "")
     pieces = F.regexp_extract_all(body, F.lit(ATTRIBUTE), F.lit(0))
 
     def attribute(p: Column) -> Column:
         value = F.regexp_extract(p, r"(?s)=\s*(.*)$", 1)
         return F.struct(F.lower(F.regexp_extract(p, r"^[^\s=]+", 0)).alias("name"), T.decode_entities(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")).alias("value"))
 
-    return found.select(
-        key, *carry, "pos", kind.alias("kind"), F.when(kind != "text", tag).alias("tag"), F.when(kind == "open", F.transform(pieces, attribute)).alias("attrs"),
-        F.when(kind == "text", F.col("raw")).alias("text"), "raw",
-    )
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    listed = F.when(F.length(raw) > F.length(tag) + 2, F.transform(pieces, attribute)).otherwise(none)
+    told = found.select(key, *carry, "pos", kind.alias("kind"), "tag", "raw")
+    return told.select(key, *carry, "pos", "kind", "tag", F.when(F.col("kind") == "open", listed).alias("attrs"), F.when(F.col("kind") == "text", raw).alias("text"), "raw")
 
 
 def serialize(tokens: DataFrame, key: str) -> DataFrame:
@@ -63,9 +68,10 @@ BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th",
 REFERENCES = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
 
 
-def by_page(tokens: DataFrame, key: str) -> DataFrame:
-    """tokens with the pages whole in partitions, in order."""
-    return tokens.repartition(key).sortWithinPartitions(key, "pos")
+def by_page(tokens: DataFrame, key: str, whole: bool = False) -> DataFrame:
+    """tokens with the pages whole in partitions, in order. `whole`: they are so already, as rows that tokenize() cut from a table of one row
+    a page and that were only filtered and given columns since; they aren't shuffled and sorted then."""
+    return tokens if whole else tokens.repartition(key).sortWithinPartitions(key, "pos")
 
 
 class Stack:
@@ -97,7 +103,7 @@ class Stack:
         return el, [el]
 
 
-def elements(tokens: DataFrame, key: str, paths: bool = True) -> DataFrame:
+def elements(tokens: DataFrame, key: str, paths: bool = True, whole: bool = False) -> DataFrame:
     """(key, el, parent, open_pos, close_pos, depth, tag, path): the element tree. Paths take room in proportion to the depth; without them `path` is null."""
     kind = dict(tokens.dtypes)[key]
     fields = ["el", "parent", "open_pos", "close_pos", "depth", "tag", "path"]
@@ -129,18 +135,12 @@ def elements(tokens: DataFrame, key: str, paths: bool = True) -> DataFrame:
         if rows:
             yield made(batch.schema.field(0).type)
 
-    columns = by_page(tokens.select(key, "pos", "kind", "tag", F.col("raw").endswith("/>").alias("closed")), key)
+    columns = by_page(tokens.select(key, "pos", "kind", "tag", F.col("raw").endswith("/>").alias("closed")), key, whole)
     return columns.mapInArrow(run, f"`{key}` {kind}, el int, parent int, open_pos int, close_pos int, depth int, tag string, path array<string>")
 
 
-def enclosing(tokens: DataFrame, key: str, keep: list[str] | None = None, **sets: tuple[str, ...] | Column) -> DataFrame:
-    """tokens (or their columns `keep`) with `el`, the element that a tag opens or closes or that holds a text (numbered as in elements()), with `before`, the
-    paragraph or heading that ended last beside it or beside what holds it, and for each named set of selectors, or condition on the token that
-    opens an element, the outermost element of that kind that is or holds the token's element, as (el, tag, rule): rule is the number of its first selector that fits.
-
-    Selectors with attributes need the column `attrs`. What a selector asks of one element is a condition on its token; descent is followed on the stack.
-    """
-    fields = keep or tokens.columns
+def _placed(tokens: DataFrame, key: str, fields: list[str], whole: bool, sets: dict):
+    """tokens with what their place among the elements is found from, and the function that finds it: by batch the columns of enclosing() as lists, the outermost elements as (el, tag, rule)."""
     bits: dict = {}  # conditions on tokens, by number
     # By set and rule: the numbers of a selector's conditions, from the outermost element in.
     rules_of = [[(rule, [bits.setdefault(c, len(bits)) for c in chain]) for rule, one in enumerate(m) for chain in selectors.parse(one)] if isinstance(m, tuple) else [(0, [bits.setdefault(n, len(bits))])] for n, m in sets.items()]
@@ -150,24 +150,23 @@ def enclosing(tokens: DataFrame, key: str, keep: list[str] | None = None, **sets
     marks = sum((F.when(test(c), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for c, i in bits.items()), F.lit(0).cast("long"))
     single = [[(rule, 1 << chain[0]) for rule, chain in rules_ if len(chain) == 1] for rules_ in rules_of]
     descents = [(i, rule, [1 << b for b in chain]) for i, rules_ in enumerate(rules_of) for rule, chain in rules_ if len(chain) > 1]
-    held_type = pa.struct([("el", pa.int32()), ("tag", pa.string()), ("rule", pa.int32())])
-    names = list(sets)
+    n_sets = len(sets)
 
-    def run(batches):
+    def place(batches):
         page, stack = None, Stack()
         outer: list[tuple] = []  # by open element
         before: list[int | None] = [None]  # by open element, after that of the page itself
         met: list[tuple] = [(0,) * len(descents)]  # likewise: how many conditions of each descent the elements around have met, outermost first
         fitting: dict[int, list] = {}
+        nowhere = (None,) * n_sets
         for batch in batches:
-            found: list[list] = [[] for _ in range(len(names) + 2)]
+            els, refs, held = [], [], []
             for value, what, tag, closed, mark in zip(*(batch.column(c).to_pylist() for c in (key, "kind", "tag", "_closed", "_marks")), strict=True):
                 if page is None or page[0] != value:
                     page, stack, outer, before, met = (value,), Stack(), [], [None], met[:1]
-                around, reference = (outer[-1] if outer else (None,) * len(names)), before[-1]
+                mine, reference = (outer[-1] if outer else nowhere), before[-1]
                 size = len(stack.open)
                 el, ended = stack.step(what, tag, closed)
-                mine = around
                 if what in ("open", "raw"):
                     if mark not in fitting:
                         fitting[mark] = [next((rule for rule, bit in own if mark & bit), None) for own in single]
@@ -180,7 +179,7 @@ def enclosing(tokens: DataFrame, key: str, keep: list[str] | None = None, **sets
                                     fits[i] = rule
                             elif mark & chain[so_far[d]]:
                                 so_far[d] += 1
-                    mine = tuple(a or (None if rule is None else {"el": el, "tag": tag, "rule": rule}) for a, rule in zip(around, fits, strict=True))
+                    mine = tuple([a or (None if rule is None else (el, tag, rule)) for a, rule in zip(mine, fits, strict=True)])
                     if len(stack.open) > size:
                         outer.append(mine)
                         before.append(reference)
@@ -191,15 +190,87 @@ def enclosing(tokens: DataFrame, key: str, keep: list[str] | None = None, **sets
                     reference = before[-1]
                     if tag in REFERENCES:
                         before[-1] = el
-                for column, x in zip(found, (el, reference, *mine), strict=True):
-                    column.append(x)
-            arrays = [pa.array(found[0], pa.int32()), pa.array(found[1], pa.int32()), *[pa.array(c, held_type) for c in found[2:]]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in fields], *arrays], [*fields, "el", "before", *names])
+                els.append(el)
+                refs.append(reference)
+                held.append(mine)
+            yield batch, els, refs, list(zip(*held, strict=True)) if held else [()] * n_sets
+
+    marked = tokens.withColumns({"_closed": F.col("raw").endswith("/>"), "_marks": F.when(F.col("kind").isin("open", "raw"), marks).otherwise(F.lit(0).cast("long"))})
+    return by_page(marked.select(*dict.fromkeys([*fields, key, "pos", "kind", "tag", "_closed", "_marks"])), key, whole), place
+
+
+def enclosing(tokens: DataFrame, key: str, keep: list[str] | None = None, whole: bool = False, **sets: tuple[str, ...] | Column) -> DataFrame:
+    """tokens (or their columns `keep`) with `el`, the element that a tag opens or closes or that holds a text (numbered as in elements()), with `before`, the
+    paragraph or heading that ended last beside it or beside what holds it, and for each named set of selectors, or condition on the token that
+    opens an element, the outermost element of that kind that is or holds the token's element, as (el, tag, rule): rule is the number of its first selector that fits.
+
+    Selectors with attributes need the column `attrs`. What a selector asks of one element is a condition on its token; descent is followed on the stack.
+    `whole` is as by_page() says.
+    """
+    fields, names = keep or tokens.columns, list(sets)
+    rows, place = _placed(tokens, key, fields, whole, sets)
+
+    def run(batches):
+        for batch, els, refs, held in place(batches):
+            structs = []
+            for column in held:
+                parts = [pa.array([h and h[i] for h in column], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int32()))]
+                structs.append(pa.StructArray.from_arrays(parts, ["el", "tag", "rule"], mask=parts[0].is_null()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in fields], pa.array(els, pa.int32()), pa.array(refs, pa.int32()), *structs], [*fields, "el", "before", *names])
 
     kinds = dict(tokens.dtypes)
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in fields) + ", el int, before int" + "".join(f", `{n}` struct<el:int,tag:string,rule:int>" for n in sets)
-    marked = tokens.withColumns({"_closed": F.col("raw").endswith("/>"), "_marks": F.when(F.col("kind").isin("open", "raw"), marks).otherwise(F.lit(0).cast("long"))})
-    return by_page(marked.select(*dict.fromkeys([*fields, key, "pos", "kind", "tag", "_closed", "_marks"])), key).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def joined_blocks(
+    tokens: DataFrame, key: str, block: tuple[str, ...] | Column, join: tuple[str, ...], first: tuple[str, ...] = (), without: tuple[str, ...] = (), but: tuple[str, ...] = (), take: Column | None = None, loose: Column | None = None, whole: bool = False
+) -> DataFrame:
+    """(key, n, el, tag, join, first): one row for each outermost element that `block` means, numbered in order from 0 by page, in one pass over the page: the strings `join` of its tokens
+    joined in order, and the strings `first` of the first of them, named first_*. Only tokens that meet `take` count, none in elements that `without` selects or whose outermost element has a tag
+    in `but`. Tokens outside that meet `loose` are rows of their own, with a negative el and no tag."""
+    flags = {"_take": F.lit(True) if take is None else F.coalesce(take, F.lit(False)), "_loose": F.lit(False) if loose is None else F.coalesce(loose, F.lit(False))}
+    sets = {"block": block} | ({"_left_out": without} if without else {})
+    columns, asked = list(dict.fromkeys([*join, *first])), [key, "pos", *flags]
+    rows, place = _placed(tokens.withColumns(flags), key, [key, "pos", *flags, *columns], whole, sets)
+    names = [key, "n", "el", "tag", *join, *[f"first_{c}" for c in first]]
+
+    def run(batches):
+        now, n, keys, made = None, 0, [], []
+
+        def batch_of(key_type):
+            by = list(zip(*made, strict=True)) if made else [()] * (len(names) - 1)
+            texts = [["".join(parts) for parts in c] for c in by[3 : 3 + len(join)]]
+            arrays = [pa.array(keys, key_type), pa.array(by[0], pa.int32()), pa.array(by[1], pa.int32()), *[pa.array(c, pa.string()) for c in (by[2], *texts, *by[3 + len(join) :])]]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        for batch, _, _, held in place(batches):
+            values = {c: batch.column(c).to_pylist() for c in columns}
+            joins, firsts = [values[c] for c in join], [values[c] for c in first]
+            out = held[1] if without else [None] * len(held[0])
+            for i, (value, pos, taken, single, around, left_out) in enumerate(zip(*(batch.column(c).to_pylist() for c in asked), held[0], out, strict=True)):
+                if not taken or left_out is not None or around is None and not single:
+                    continue
+                el, tag = around[:2] if around else (-pos - 1, None)
+                if tag in but:
+                    continue
+                if now != (el, value):
+                    n = n + 1 if now is not None and now[1] == value else 0
+                    now = (el, value)
+                    keys.append(value)
+                    made.append((n, el, tag, *[[] for _ in join], *[c[i] for c in firsts]))
+                for parts, c in zip(made[-1][3:], joins, strict=False):
+                    if c[i] is not None:
+                        parts.append(c[i])
+            if len(keys) > 1:  # the last may go on in the next batch
+                last = keys.pop(), made.pop()
+                yield batch_of(batch.schema.field(0).type)
+                keys, made = [last[0]], [last[1]]
+            kind = batch.schema.field(0).type
+        if keys:
+            yield batch_of(kind)
+
+    return rows.mapInArrow(run, f"`{key}` {dict(tokens.dtypes)[key]}, n int, el int, tag string" + "".join(f", `{n}` string" for n in names[4:]))
 
 
 def joined_text(texts: DataFrame, *by) -> DataFrame:
@@ -212,20 +283,16 @@ def joined_text(texts: DataFrame, *by) -> DataFrame:
 ADDED = (".source-and-license", ".page-footer", ".added-title")
 
 
-def text_blocks(tokens: DataFrame, key: str, tags: tuple[str, ...] = BLOCKS, without: tuple[str, ...] = ()) -> DataFrame:
+def text_blocks(tokens: DataFrame, key: str, tags: tuple[str, ...] = BLOCKS, without: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """(key, el, tag, text) of the outermost text blocks, but for those in elements that `without` selects."""
-    sets = {"block": tags} | ({"_left_out": without} if without else {})
-    texts = enclosing(tokens, key, [key, "pos", "kind", "text", "raw"], **sets).filter("kind = 'text' AND block IS NOT NULL")
-    texts = texts.filter("_left_out IS NULL") if without else texts
-    return joined_text(texts, key, F.col("block.el").alias("el"), F.col("block.tag").alias("tag"))
+    made = joined_blocks(tokens, key, tags, ("text",), without=without, take=F.col("kind") == "text", whole=whole)
+    return made.select(key, "el", "tag", T.collapse(T.decode_entities("text")).alias("text"))
 
 
-def block_ids(tokens: DataFrame, key: str, tags: tuple[str, ...] = BLOCKS, without: tuple[str, ...] = ADDED) -> DataFrame:
+def block_ids(tokens: DataFrame, key: str, tags: tuple[str, ...] = BLOCKS, without: tuple[str, ...] = ADDED, whole: bool = False) -> DataFrame:
     """(key, el, tag, own, block_id) of the outermost text blocks in order: their own ids, or made ones by section and place, where what `without` selects doesn't count."""
-    sets = {"block": tags} | ({"_left_out": without} if without else {})
-    opened = enclosing(tokens.withColumn("own", attribute("id")), key, [key, "pos", "kind", "tag", "raw", "own"], **sets).filter("kind = 'open' AND block.el = el")
-    found = (opened.filter("_left_out IS NULL") if without else opened).select(key, "el", "tag", "own")
-    return assign_block_ids(found, key, "el", "own")
+    opened = joined_blocks(tokens.withColumn("own", attribute("id")), key, tags, (), ("own",), without, take=F.col("kind") == "open", whole=whole)
+    return opened.select(key, "el", "tag", F.col("first_own").alias("own"), _block_id(key, F.col("n"), "first_own").alias("block_id"))
 
 
 def section_text(blocks: DataFrame, key: str) -> DataFrame:
@@ -269,9 +336,9 @@ def strip_chrome(tokens: DataFrame, key: str, chrome: tuple[str, ...] = FRAME) -
     return enclosing(tokens, key, chrome=chrome).filter("chrome IS NULL").select(*tokens.columns)
 
 
-def chrome_counts(tokens: DataFrame, key: str, chrome: tuple[str, ...] = FRAME) -> DataFrame:
+def chrome_counts(tokens: DataFrame, key: str, chrome: tuple[str, ...] = FRAME, whole: bool = False) -> DataFrame:
     """(key, selector, n) of the outermost elements that strip_chrome() removes, by the first selector that fits them."""
-    held = enclosing(tokens, key, [key, "pos"], chrome=chrome).filter("chrome IS NOT NULL")
+    held = enclosing(tokens, key, [key, "pos"], whole, chrome=chrome).filter("chrome IS NOT NULL")
     named = F.array(*[F.lit(c) for c in chrome])
     return held.groupBy(key, F.get(named, F.col("chrome.rule")).alias("selector")).agg(F.count_distinct("chrome.el").alias("n"))
 
@@ -558,9 +625,12 @@ def sanitize(tokens: DataFrame, key: str) -> DataFrame:
 
 def assign_block_ids(blocks: DataFrame, key: str, order: str, own: str | None = None, prefix: str = "blk-") -> DataFrame:
     """blocks with stable ids: `prefix`, a hash of the section's id in base 36 and the block's ordinal, where they have none of their own."""
-    ordinal = (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("string")
-    made = F.concat(F.lit(prefix), F.lower(F.conv(T.fnv1a(F.col(key).cast("string")).cast("string"), 10, 36)), F.lit("-"), ordinal)
-    return blocks.withColumn("block_id", F.coalesce(F.nullif(F.col(own), F.lit("")), made) if own else made)
+    return blocks.withColumn("block_id", _block_id(key, F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1, own, prefix))
+
+
+def _block_id(key: str, ordinal: Column, own: str | None = None, prefix: str = "blk-") -> Column:
+    made = F.concat(F.lit(prefix), F.lower(F.conv(T.fnv1a(F.col(key).cast("string")).cast("string"), 10, 36)), F.lit("-"), ordinal.cast("string"))
+    return F.coalesce(F.nullif(F.col(own), F.lit("")), made) if own else made
 
 
 def preceding_reference(tokens: DataFrame, key: str, tags: tuple[str, ...]) -> DataFrame:

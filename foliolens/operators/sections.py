@@ -24,31 +24,36 @@ def _style() -> Column:
 
 def _declared(style: Column, names: str) -> Column:
     """The last declaration of a property in a style."""
-    found = F.regexp_extract_all(style, F.lit(rf"(?i)(?:^|;)\s*(?:{names})\s*:\s*((?:[^;(]|\([^)]*\))+)"), F.lit(1))
-    return F.trim(F.get(found, F.size(found) - 1))
+    return F.trim(F.try_element_at(F.regexp_extract_all(style, F.lit(rf"(?i)(?:^|;)\s*(?:{names})\s*:\s*((?:[^;(]|\([^)]*\))+)"), F.lit(1)), F.lit(-1)))
 
 
-def text_runs(tokens: DataFrame, key: str) -> DataFrame:
+def text_runs(tokens: DataFrame, key: str, whole: bool = False) -> DataFrame:
     """(key, el, fg, bg_kind, layers, gradient_css, reason, size): one row per visible element with own text.
 
     Colours, sizes and visibility are those declared inline, inherited from the nearest element that declares them. A background is
     the colour layers down to an opaque one or white, or the nearest gradient, image or filter above that stops them.
     """
-    style = F.lower(_style())
-    back = _declared(style, "background|background-color")
-    color = F.regexp_extract(back, r"(#[0-9a-f]{3,8}|rgba?\([^)]*\)|^[a-z]+$)", 1)
-    parsed = C.parse_color(color)
-    image = F.regexp_extract(F.coalesce(_declared(style, "background-image|background"), F.lit("")), r"((?:repeating-)?(?:linear|radial|conic)-gradient\(.*\)|url\(.*\))", 1)
-    px = _declared(style, "font-size")
-    number = F.regexp_extract(px, r"^([0-9.]+)(?:px|pt|em|rem|%)$", 1).try_cast("double")
-    hidden = style.rlike(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)") | F.exists("attrs", lambda a: a["name"] == "hidden")
     opened = F.col("kind") == "open"
-    own = F.when(opened & (F.size("attrs") > 0), F.struct(
-        _declared(style, "color").alias("fg"), F.when(parsed["a"] > 0, color).alias("bg"), F.coalesce(parsed["a"] >= 1, F.lit(False)).alias("opaque"), F.nullif(image, F.lit("")).alias("image"),
-        F.coalesce(F.nullif(_declared(style, "filter"), F.lit("none")), F.lit("")).alias("filter"), number.alias("n"), F.regexp_extract(px, "(px|pt|em|rem|%)$", 1).alias("unit"),
-        F.when(_declared(style, "font-weight").isin("bold", "bolder"), 700).otherwise(_declared(style, "font-weight").try_cast("int")).alias("weight"), F.coalesce(hidden, F.lit(False)).alias("hidden"),
-    ))
-    rows = P.by_page(tokens.select(key, "pos", "kind", "tag", F.col("raw").endswith("/>").alias("closed"), own.alias("own"), (F.trim(F.coalesce("text", F.lit(""))) != "").alias("said")), key)
+
+    def told(style: Column) -> Column:
+        """What a style declares; each part is found once."""
+        named = {"back": "background|background-color", "image": "background-image|background", "px": "font-size", "fg": "color", "filter": "filter", "weight": "font-weight"}
+        hidden = style.rlike(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)") | F.exists("attrs", lambda a: a["name"] == "hidden")
+        return C.let(F.struct(*[_declared(style, names).alias(n) for n, names in named.items()], F.coalesce(hidden, F.lit(False)).alias("hidden")), coloured)
+
+    def coloured(d: Column) -> Column:
+        return C.let(F.regexp_extract(d["back"], r"(#[0-9a-f]{3,8}|rgba?\([^)]*\)|^[a-z]+$)", 1), lambda color: C.let(C.parse_color(color)["a"], lambda a: made_of(d, color, a)))
+
+    def made_of(d: Column, color: Column, a: Column) -> Column:
+        image = F.regexp_extract(F.coalesce(d["image"], F.lit("")), r"((?:repeating-)?(?:linear|radial|conic)-gradient\(.*\)|url\(.*\))", 1)
+        return F.struct(
+            d["fg"].alias("fg"), F.when(a > 0, color).alias("bg"), F.coalesce(a >= 1, F.lit(False)).alias("opaque"), F.nullif(image, F.lit("")).alias("image"), F.coalesce(F.nullif(d["filter"], F.lit("none")), F.lit("")).alias("filter"),
+            F.regexp_extract(d["px"], r"^([0-9.]+)(?:px|pt|em|rem|%)$", 1).try_cast("double").alias("n"), F.regexp_extract(d["px"], "(px|pt|em|rem|%)$", 1).alias("unit"),
+            F.when(d["weight"].isin("bold", "bolder"), 700).otherwise(d["weight"].try_cast("int")).alias("weight"), d["hidden"].alias("hidden"),
+        )
+
+    own = F.when(opened & (F.size("attrs") > 0), C.let(F.lower(_style()), told))
+    rows = P.by_page(tokens.select(key, "pos", "kind", "tag", F.col("raw").endswith("/>").alias("closed"), own.alias("own"), (F.trim(F.coalesce("text", F.lit(""))) != "").alias("said")), key, whole)
     fields = ["el", "fg", "bg_kind", "layers", "gradient_css", "reason", "px", "weight"]
     types = [pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.float64(), pa.int32()]
     scale = {"px": lambda n, above: n, "pt": lambda n, above: n * 4 / 3, "em": lambda n, above: n * above, "rem": lambda n, above: n * 16, "%": lambda n, above: n * above / 100}
@@ -96,10 +101,10 @@ def text_runs(tokens: DataFrame, key: str) -> DataFrame:
     return made.select(key, "el", "fg", "bg_kind", "layers", "gradient_css", "reason", C.size_class("px", "weight").alias("size"))
 
 
-def recolored(tokens: DataFrame, key: str) -> DataFrame:
+def recolored(tokens: DataFrame, key: str, whole: bool = False) -> DataFrame:
     """tokens whose inline colours, where text fails against its background, give way to the better of two inks."""
-    changed = A.normalize_contrast(text_runs(tokens, key)).filter("ink IS NOT NULL").select(key, "el", "ink")
-    joined = P.enclosing(tokens, key).join(changed, [key, "el"], "left")
+    changed = A.normalize_contrast(text_runs(tokens, key, whole)).filter("ink IS NOT NULL").select(key, "el", "ink")
+    joined = P.enclosing(tokens, key, whole=whole).join(changed, [key, "el"], "left")
     style = F.concat(F.regexp_replace(F.coalesce(_style(), F.lit("")), r"(?i)(^|;)\s*color\s*:[^;]*;?", "$1"), F.lit("; color: "), F.col("ink"))
     new = F.concat(F.filter("attrs", lambda a: a["name"] != "style"), F.array(F.struct(F.lit("style").alias("name"), F.regexp_replace(style, r"^[;\s]+", "").alias("value"))))
     return joined.withColumn("attrs", F.when((F.col("kind") == "open") & F.col("ink").isNotNull(), new).otherwise(F.col("attrs"))).select(*tokens.columns)
@@ -113,23 +118,24 @@ def _excerpt(c: Column) -> Column:
     return F.when(F.length(c) > 60, F.concat(F.rtrim(F.substring(c, 1, 59)), F.lit("…"))).otherwise(c)
 
 
-def plan_blocks(tokens: DataFrame, key: str) -> DataFrame:
+def plan_blocks(tokens: DataFrame, key: str, whole: bool = False) -> DataFrame:
     """(key, block_idx, tag, level, text, summary, html): the blocks at a page's top level in order; loose texts are blocks (tag null), and a declared label overrides the summary."""
-    top = P.enclosing(tokens, key, top=~F.col("tag").isin(*_FRAME)).filter(F.coalesce(~F.col("tag").isin(*_FRAME), F.lit(True)))
-    top = top.filter(F.when(F.col("top").isNotNull(), ~F.col("top.tag").isin(*_HEAD)).otherwise((F.col("kind") == "text") & (T.collapse("text") != "")))
-    own = (F.col("kind") == "open") & (F.col("el") == F.col("top.el"))
-    label = F.when(own, F.trim(F.get(F.filter("attrs", lambda a: a["name"] == "data-plan-label"), 0)["value"]))
-    raw = F.when(own, F.regexp_replace("raw", r"""(?i)\s+data-plan-label\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", "")).otherwise(F.col("raw"))
-    rows = top.select(key, "pos", F.coalesce(F.col("top.el"), -F.col("pos") - 1).alias("block"), F.col("top.tag").alias("tag"), raw.alias("raw"), F.coalesce("text", F.lit("")).alias("text"), label.alias("label"))
-    parts = F.array_sort(F.collect_list(F.struct("pos", "raw", "text")))
-    made = rows.groupBy(key, "block").agg(F.min("pos").alias("pos"), F.first("tag").alias("tag"), F.max("label").alias("label"), F.array_join(F.transform(parts, lambda p: p.raw), "").alias("html"), F.array_join(F.transform(parts, lambda p: p.text), "").alias("text"))
+    label = F.trim(F.get(F.filter("attrs", lambda a: a["name"] == "data-plan-label"), 0)["value"])
+    loose = (F.col("kind") == "text") & (T.collapse("text") != "")
+    rows = P.joined_blocks(
+        tokens.withColumn("label", label), key, ~F.col("tag").isin(*_FRAME), ("raw", "text"), ("raw", "label", "kind"), but=_HEAD, take=F.coalesce(~F.col("tag").isin(*_FRAME), F.lit(True)), loose=loose, whole=whole
+    )
+    # The declaration itself goes from the tag that opens the block.
+    bare = F.regexp_replace("first_raw", r"""(?i)\s+data-plan-label\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", "")
+    html = F.when((F.col("first_kind") == "open") , F.concat(bare, F.substring("raw", F.length("first_raw") + 1, F.length("raw")))).otherwise(F.col("raw"))
+    made = rows.select(key, F.col("n").alias("block_idx"), "tag", "text", F.col("first_label").alias("label"), html.alias("html"))
     text, level = T.collapse(T.decode_entities("text")), F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))
     named = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     made = made.withColumns({"text": text, "level": level})
     kind = F.when(F.col("tag").isNull(), "Text").when(F.col("level").isNotNull(), "Heading").otherwise(F.coalesce(named[F.col("tag")], F.concat(F.lit("<"), "tag", F.lit(">"))))
     told = F.when((F.col("text") != "") | F.col("level").isNotNull(), F.concat(kind, F.lit(": "), _excerpt(F.col("text")))).otherwise(kind)
     summary = F.when(F.coalesce("label", F.lit("")) != "", _excerpt(F.col("label"))).otherwise(told)
-    return made.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).alias("block_idx"), "tag", "level", "text", summary.alias("summary"), "html")
+    return made.select(key, "block_idx", "tag", "level", "text", summary.alias("summary"), "html")
 
 
 # Classes and data types of blocks that tell what matters.

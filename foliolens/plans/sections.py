@@ -20,7 +20,8 @@ _LINES = "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_retu
 
 
 def _order_pages(spark, sf_dir, block):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").distinct()
+    # One shuffle by order serves the distinct lines and the pages.
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").repartition("l_orderkey").distinct()
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     made = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), block.alias("b")))).alias("all"))
     return P.tokenize(made.select("l_orderkey", F.array_join(F.transform("all", lambda x: x["b"]), "").alias("html")), "l_orderkey")
@@ -36,12 +37,12 @@ SELECT l_orderkey, block_idx, CASE l_linenumber % 4 WHEN 0 THEN 3 END::INT AS le
   ELSE CASE WHEN length(text) > 60 THEN rtrim(substr(text, 1, 59)) || '…' ELSE text END END AS summary FROM t""")
 def plan_blocks(spark, sf_dir):
     block = F.expr(_BLOCK.replace("::INT", "").replace("l_suppkey % 80", "int(l_suppkey % 80)").replace("</ul>", "</li></ul>").replace("<li>a<li>", "<li>a</li><li>"))
-    return S.plan_blocks(_order_pages(spark, sf_dir, block), "l_orderkey").select("l_orderkey", "block_idx", "level", "text", "summary")
+    return S.plan_blocks(_order_pages(spark, sf_dir, block), "l_orderkey", whole=True).select("l_orderkey", "block_idx", "level", "text", "summary")
 
 
 @query()
 def page_section_texts(spark, sf_dir):
-    return P.section_text(P.text_blocks(_tokens(spark, sf_dir), "page_id"), "page_id").withColumn("text", F.md5("text"))
+    return P.section_text(P.text_blocks(_tokens(spark, sf_dir), "page_id", whole=True), "page_id").withColumn("text", F.md5("text"))
 
 
 @query(f"""WITH t AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'Line ' || l_partkey ELSE 'a ' || l_suppkey || ' b' END AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS n FROM ({_LINES}))
@@ -49,7 +50,7 @@ SELECT l_orderkey, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text FROM
 def section_texts(spark, sf_dir):
     n = F.col("l_linenumber") % 3
     block = F.when(n == 0, F.lit("<p> </p>")).when(n == 1, F.concat(F.lit("<h2>Line\n "), F.col("l_partkey").cast("string"), F.lit("</h2>"))).otherwise(F.concat(F.lit("<blockquote><p>a <i>"), F.col("l_suppkey").cast("string"), F.lit("</i> b</p></blockquote>")))
-    return P.section_text(P.text_blocks(_order_pages(spark, sf_dir, block), "l_orderkey"), "l_orderkey")
+    return P.section_text(P.text_blocks(_order_pages(spark, sf_dir, block), "l_orderkey", whole=True), "l_orderkey")
 
 
 @query(_TOKENS + "SELECT page_id, pos, 'link-' || row_number() OVER (PARTITION BY page_id ORDER BY pos) AS element_id FROM tok WHERE kind = 'open' AND tag = 'a'")
@@ -64,7 +65,7 @@ _RUN = f"""'<div style="background:' || CASE {_K} % 5 WHEN 0 THEN 'linear-gradie
 
 def _runs(spark, sf_dir):
     pages = table(spark, sf_dir, "part").select(_K, F.expr(_RUN).alias("html"))
-    return S.text_runs(P.tokenize(pages, _K), _K)
+    return S.text_runs(P.tokenize(pages, _K), _K, whole=True)
 
 
 _RUNS = f"""WITH run AS (SELECT {_K}, 1 AS el, 'rgb(' || ({_K} * 59 % 256) || ', ' || ({_K} * 83 % 256) || ', 0)' AS fg, CASE WHEN {_K} % 5 = 0 THEN 'gradient' WHEN {_K} % 5 = 1 THEN 'image' WHEN {_K} % 11 = 0 THEN 'unresolvable' ELSE 'layers' END AS bg_kind,
