@@ -250,7 +250,7 @@ def heading_anchors(spark, sf_dir):
 @query()
 def block_ids(spark, sf_dir):
     tokens = P.tokenize(table(spark, sf_dir, "pages"), "page_id")
-    return P.assign_block_ids(P.text_blocks(tokens, "page_id"), "page_id", "el")
+    return P.assign_block_ids(P.text_blocks(tokens, "page_id", whole=True), "page_id", "el")
 
 
 @query()

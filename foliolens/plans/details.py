@@ -104,7 +104,7 @@ def blocks_numbered(spark, sf_dir):
     """Ids of blocks by their section's hash and their place: own ids stay, inner blocks and what the compiler adds don't count."""
     top, item = F.when(_P.size % 2 == 0, ' id="top"').otherwise(""), F.when(_P.size % 3 == 0, ' id="item"').otherwise(' id=""')
     pages = _made(spark, sf_dir, '<div class="page-footer x"><p>no</p></div><h2', top, ">", _P.name, "</h2><p>a</p><ul><li", item, '><p id="inner">b</p></li></ul><table><tr><td>', _P.type, '</td></tr></table><div class="source-and-license"><p>no</p></div>')
-    return P.block_ids(P.tokenize(pages, "p_partkey"), "p_partkey").select("p_partkey", "tag", "block_id")
+    return P.block_ids(P.tokenize(pages, "p_partkey"), "p_partkey", whole=True).select("p_partkey", "tag", "block_id")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '<p>' || p_name || '</p><img src="$IMS-CC-FILEBASE$/packaged/a.png" alt="x">' WHEN p_size % 3 = 1 THEN '<p>' || p_name || '</p><span>[Embedded image: ' || p_type || ' &lt;1]</span>' ELSE '<p>' || p_name || '</p><span>[Embedded image]</span>' END AS html,
@@ -140,7 +140,7 @@ def chrome_by_selector(spark, sf_dir):
     toc = F.repeat(F.lit('<nav id="toc"><p class="mt-footer">inner</p></nav>'), 1 + _P.size % 2)
     paragraphs = F.repeat(F.lit("<p>x</p>"), _P.size % 3)
     pages = _made(spark, sf_dir, toc, '<nav>kept</nav><div class="b mt-footer">y</div><p data-k="x">kept</p><div><ul data-k="x"><li>', paragraphs, "</li></ul></div>")
-    return P.chrome_counts(P.tokenize(pages, "p_partkey"), "p_partkey", ("nav#toc", ".mt-footer", "div [data-k=x] p"))
+    return P.chrome_counts(P.tokenize(pages, "p_partkey"), "p_partkey", ("nav#toc", ".mt-footer", "div [data-k=x] p"), whole=True)
 
 
 @query("SELECT p_brand AS doc, 'empty' AS code, count(*) AS findings, count(*) FILTER (p_size % 3 > 0) AS sections FROM part GROUP BY p_brand")

@@ -160,12 +160,12 @@ def page_style_policy(spark, sf_dir):
 
 @query()
 def page_elements(spark, sf_dir):
-    return P.elements(_tokens(spark, sf_dir), "page_id")
+    return P.elements(_tokens(spark, sf_dir), "page_id", whole=True)
 
 
 @query()
 def page_text_blocks(spark, sf_dir):
-    return P.text_blocks(_tokens(spark, sf_dir), "page_id")
+    return P.text_blocks(_tokens(spark, sf_dir), "page_id", whole=True)
 
 
 @query()
