@@ -136,6 +136,12 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """What joins yield lies in partitions sized by bytes, where the work on it goes by pages: dealt out to all cores."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def compile_sections(
     sections: DataFrame, key: str = "section_id", publisher: str | steps.Publisher = "document", xrefs: DataFrame | None = None, answers: DataFrame | None = None, edits: DataFrame | None = None, images: DataFrame | None = None,
     order: tuple = steps.STEPS, once: bool = True,
@@ -149,7 +155,7 @@ def compile_sections(
     """
     by = steps.PUBLISHERS[publisher] if isinstance(publisher, str) else publisher
     known = xrefs is not None or answers is not None or edits is not None or images is not None
-    rows = _told(sections, key, xrefs, answers, edits, images) if known else _dealt(sections)
+    rows = _spread(_told(sections, key, xrefs, answers, edits, images)) if known else _dealt(sections)
     facts = [(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in _FACTS.items()]
     extra = [F.col(c) for c in ("_xrefs", "_answers", "_edits", "_images") if c in rows.columns]
 
