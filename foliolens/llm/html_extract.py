@@ -2,22 +2,20 @@
 
 Template text is counted over all different pages of a host: a text is template if it stands at the same
 path in LEAST_PAGES pages or more, and in SHARE or more of the pages that have text at that path, among all
-pages of the host or among those of one layout (the same blocks on the upper levels). A bounded sample of
-pages (SAMPLE, those with the smallest hashes) is aligned by simple tree matching as well: two trees match if
-their roots carry the same tag, and the children are aligned in order for the most matches; nodes that hold
-the same text in all sampled pages are template too. The smallest node that holds the varying prose of most
-sampled pages is the host's content node. Every page is then read through its host's wrapper: the blocks of
+pages of the host or among those of one layout (the same blocks on the upper levels). What simple tree matching
+of all pages would add, nodes that hold the same text in all of them, is among these: matched nodes have the same path.
+Every different page of a host then votes for the smallest node that holds its varying prose; the one with most votes is the
+host's content node. No page is left out of the counts or of the vote. Every page is then read through its host's wrapper: the blocks of
 the nodes at the content node's path, or of their common parent, without template text and without what its
 tag, class or role marks as menu, header, footer, sidebar, notice, advert, form or reader comment. Headings that the articles of a host
 share stay where varying text follows them. A class marks by its whole name, and a list of links only where links are most of it. Classes mark
 nothing that holds the article, nor a header inside the article that holds a heading, and nothing at all on a
 page that would have no prose left. A page with prose elsewhere, or without the content node, chooses its own; one whose text is all linked gives that of its article, or else all of it.
-Wrappers are small and joined by host; hot hosts shuffle no more than others, since each task keeps SAMPLE pages
-a host and counts before they are gathered.
+Wrappers are small and joined by host. Pages vote by the paths and lengths of their texts, kept from the pass that counts, so they
+are not parsed again for it; votes and counts are added up before they are shuffled.
 
 Rows: a null or empty page has empty text; so has a page without prose. A null url counts as one
-host of its own. Repeated rows and null ids are extracted one by one; equal hashes in the sample are
-broken by id, equal votes for the content node by the smaller path hash. Pages of any depth and length are read in
+host of its own. Repeated rows and null ids are extracted one by one; equal votes for the content node are broken by the smaller path hash. Pages of any depth and length are read in
 time linear in their length. Two trees are aligned exactly where their unequal parts take up to CELLS cells, and to DEPTH levels; what is left is
 paired by equal tags in order. Further columns are ignored; an empty table gives an empty result. Character
 references are decoded, white space inside a block becomes one blank, blocks are joined by an empty line.
@@ -33,13 +31,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolens.llm.common import stored, texts_of
 
-#: Pages of a host from which its wrapper is learned, and how many of them make constant text template.
-SAMPLE, LEAST_PAGES = 6, 4
+#: Pages of a host that make constant text template.
+LEAST_PAGES = 4
 #: Share of the pages with text at a path that make one text there template, and levels that make the layout.
 SHARE, LAYOUT = 0.8, 3
 #: Cells that the alignment of two trees fills; what is left then, or lies below so many levels, is paired in order.
@@ -87,6 +85,25 @@ class Node:
     def own_text(self) -> str:
         return " ".join(" ".join(c for c in self.children if isinstance(c, str)).split())
 
+    def told(self, hashed: bool) -> tuple[int, int]:
+        """Characters of the own text, and its hash with its path if that is asked for."""
+        text = self.own_text()
+        return len(text), _hash(text, self.key) if text and hashed else 0
+
+
+class Outline(Node):
+    """A node of which only its tag, its path and what its own text is told by are known."""
+
+    __slots__ = ("own",)
+
+    def __init__(self, tag: str, key: int, own: tuple[int, int], parent: Node | None):
+        self.tag, self.key, self.own, self.parent, self.children, self.dropped, self.marked = tag, key, own, parent, [], False, False
+        if parent is not None:
+            parent.children.append(self)
+
+    def told(self, hashed: bool) -> tuple[int, int]:
+        return self.own
+
 
 def _hash(text: str, seed: int = 0) -> int:
     h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed & (1 << 64) - 1)
@@ -371,8 +388,8 @@ def _prose(node: Node, constant: set[int], links: bool = False) -> dict[int, int
     """Characters of varying text outside links (or of all varying text), by node, over the subtree of each."""
     mass: dict[int, int] = {}
     for at in reversed(list(_walk(node))):
-        text = at.own_text() if links or at.tag != "a" else ""
-        total = mass.get(id(at), 0) + (len(text) if text and not (constant and _hash(text, at.key) in constant) else 0)
+        chars, text = at.told(bool(constant)) if links or at.tag != "a" else (0, 0)
+        total = mass.get(id(at), 0) + (chars if chars and not (constant and text in constant) else 0)
         if total:
             mass[id(at)] = total
             if at is not node:
@@ -404,7 +421,7 @@ def _around(node: Node) -> Iterator[Node]:
 
 
 def induce(pages: list[str], counted: list[int] = ()) -> dict:
-    """A wrapper from pages of one host: hashes of constant texts with their paths, with those counted before, and the path of the content node."""
+    """A wrapper from all pages of a host that are at hand, by simple tree matching: hashes of constant texts with their paths, with those counted before, and the path of the content node. wrappers() finds the same from tables."""
     trees = {tuple(n.own_text() for n in _walk(t)): t for t in map(parse, pages)}  # copies teach nothing
     trees = list(trees.values())
     constant: set[int] = set(counted)
@@ -489,43 +506,88 @@ def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def template_counts(rows: DataFrame) -> DataFrame:
-    """(host, counted) from rows (host, page): hashes of the template texts, counted over all different pages of the host."""
+OUTLINE = ("parents", "tags", "keys", "texts", "chars")
+
+
+def outlined(walked: list[Node], texts: dict[int, str]) -> tuple[list, ...]:
+    """Parents (by number), tags, paths, hashes of own texts and their characters, of a page's nodes in order, without those that hold no text; `texts` by node."""
+    holds: set[int] = set()
+    for node in reversed(walked):
+        if id(node) in texts or id(node) in holds:
+            holds.add(id(node))
+            holds.add(id(node.parent))
+    number: dict[int, int] = {}
+    rows = []
+    for node in walked:
+        if id(node) in holds or node is walked[0]:
+            number[id(node)] = len(rows)
+            text = texts.get(id(node), "")
+            rows.append((number.get(id(node.parent), -1), node.tag, node.key, _hash(text, node.key) if text else 0, len(text)))
+    return tuple(zip(*rows, strict=True))
+
+
+def outline(parents: list[int], tags: list[str], keys: list[int], texts: list[int], chars: list[int]) -> Node:
+    nodes: list[Node] = []
+    for parent, tag, key, text, n in zip(parents, tags, keys, texts, chars, strict=True):
+        nodes.append(Outline(tag, key, (n, text), nodes[parent] if parent >= 0 else None))
+    return nodes[0]
+
+
+def outlines(rows: DataFrame) -> DataFrame:
+    """(host, layout, copy, OUTLINE), one row for all pages of a host with the same texts, from rows (host, page)."""
 
     def run(batches):
         for batch in batches:
-            layouts, copies, paths, nodes = [], [], [], []
+            layouts, copies, made = [], [], []
             for page in texts_of(batch.column(1)):
                 walked = list(_walk(parse(page)))
-                texts = [(n.key, t) for n in walked if (t := n.own_text())]
+                texts = {id(n): t for n in walked if (t := n.own_text())}
                 layouts.append(_hash(",".join(map(str, sorted({n.key for n in walked if n.level <= LAYOUT and n.tag not in INLINE})))))
-                copies.append(_hash("\0".join(t for _, t in texts)))
-                paths.append(sorted({k for k, _ in texts}))
-                nodes.append([{"path": k, "text": h} for k, h in sorted({(k, _hash(t, k)) for k, t in texts})])
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("path", pa.int64()), ("text", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip((layouts, copies, paths, nodes), kinds, strict=True)]], ["host", "layout", "copy", "paths", "nodes"])
-
-    parsed = rows.select("host", "page").mapInArrow(run, "host string, layout long, copy long, paths array<long>, nodes array<struct<path: long, text: long>>")
-    seen = stored(parsed.dropDuplicates(["host", "copy"]), "parsed").withColumn("layout", F.explode(F.array(F.lit(None).cast("long"), "layout")))  # copies teach nothing
-    key = ["host", F.coalesce("layout", F.lit(0)).alias("layout")]
-    pages = seen.select(*key, F.explode("paths").alias("path")).groupBy("host", "layout", "path").agg(F.count(F.lit(1)).alias("pages"))
-    texts = seen.select(*key, F.explode("nodes").alias("n")).select("host", "layout", "n.*").groupBy("host", "layout", "path", "text").agg(F.count(F.lit(1)).alias("n"))
+                copies.append(_hash("\0".join(texts.values())))
+                made.append(outlined(walked, texts))
+            kinds = [pa.int64(), pa.int64(), *(pa.list_(t) for t in (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()))]
+            columns = [layouts, copies, *([list(o[i]) for o in made] for i in range(len(OUTLINE)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["host", "layout", "copy", *OUTLINE])
+
+    schema = "host string, layout long, copy long, parents array<int>, tags array<string>, keys array<long>, texts array<long>, chars array<int>"
+    return rows.select("host", "page").mapInArrow(run, schema).dropDuplicates(["host", "copy"])  # copies teach nothing
+
+
+def template_counts(seen: DataFrame) -> DataFrame:
+    """(host, counted) from the outlines of pages: hashes of the template texts, counted over all different pages of the host."""
+    told = F.array_distinct(F.filter(F.arrays_zip(F.col("keys").alias("path"), F.col("texts").alias("text"), F.col("chars").alias("chars")), lambda n: n["chars"] > 0))
+    told = F.array_distinct(F.transform(told, lambda n: F.struct(n["path"].alias("path"), n["text"].alias("text"))))
+    both = seen.select("host", F.explode(F.array(F.lit(None).cast("long"), "layout")).alias("layout"), told.alias("nodes")).withColumn("layout", F.coalesce("layout", F.lit(0)))
+    paths = F.array_distinct(F.transform("nodes", lambda n: n["path"]))
+    pages = both.select("host", "layout", F.explode(paths).alias("path")).groupBy("host", "layout", "path").agg(F.count(F.lit(1)).alias("pages"))
+    texts = both.select("host", "layout", F.explode("nodes").alias("n")).select("host", "layout", "n.*").groupBy("host", "layout", "path", "text").agg(F.count(F.lit(1)).alias("n"))
     constant = texts.filter(F.col("n") >= LEAST_PAGES).join(pages, ["host", "layout", "path"]).filter(F.col("n") >= SHARE * F.col("pages"))
     return constant.groupBy("host").agg(F.array_sort(F.collect_set("text")).alias("counted"))
 
 
 def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(host, wrapper) for every host of pages."""
-    rows = pages.select(host_of(url).alias("host"), F.col(key).alias("id"), F.col(page).alias("page")).filter(F.octet_length("page") > 0)
-    order = Window.partitionBy("host").orderBy(F.xxhash64("id"), "id", F.xxhash64("page"))
-    sample = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE).select("host", "page")
-    sample = sample.join(template_counts(rows), "host", "left")
-
-    def run(group: pa.Table) -> pa.Table:
-        wrapper = induce(texts_of(group.column("page")), group.column("counted")[0].as_py() or [])
-        return pa.table({"host": pa.array([group.column("host")[0].as_py()]), "wrapper": pa.array([json.dumps(wrapper)])})
+    rows = pages.select(host_of(url).alias("host"), F.col(page).alias("page")).filter(F.octet_length("page") > 0)
+    seen = stored(outlines(rows), "outlines")
+    counted = stored(template_counts(seen), "counted")
 
-    return stored(sample.groupBy("host").applyInArrow(run, "host string, wrapper string"), "wrappers")
+    def vote(batches):
+        for batch in batches:
+            votes = []
+            last, constant = None, set()
+            for now, *columns in zip(batch.column(1), *(batch.column(i).to_pylist() for i in range(2, 2 + len(OUTLINE))), strict=True):
+                if last is None or now != last:
+                    last, constant = now, set(now.as_py() or [])
+                node = content_node(outline(*columns), constant)
+                votes.append(None if node is None else node.key)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.int64())], ["host", "content"])
+
+    votes = seen.join(counted, "host", "left").select("host", "counted", *OUTLINE).mapInArrow(vote, "host string, content long")
+    votes = votes.groupBy("host", "content").agg(F.count(F.lit(1)).alias("n"))
+    order = F.when(F.col("content").isNotNull(), F.struct(-F.col("n"), "content"))
+    chosen = votes.groupBy("host").agg(F.min_by("content", order).alias("content")).join(counted, "host", "left")
+    wrapper = F.struct(F.coalesce("counted", F.array().cast("array<long>")).alias("constant"), "content")
+    return stored(chosen.select("host", F.to_json(wrapper, {"ignoreNullFields": "false"}).alias("wrapper")), "wrappers")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

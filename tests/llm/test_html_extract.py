@@ -1,3 +1,4 @@
+import json
 import random
 import time
 
@@ -176,3 +177,21 @@ def test_time_of_large_tables():
         began = time.process_time()
         n, pairs = H.tree_match(a, b)
         assert time.process_time() - began < 4 and n == len(pairs) >= rows * cells * 0.8
+
+
+def test_wrappers_are_learned_from_all_pages(spark):
+    """What only some pages of a host share, and where most of its pages keep their prose, is counted over all of them, whichever six would be drawn."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    made = [f"<div class='{'new' if i >= 100 else 'old'}'><h1>{prose(3)}</h1><p>{'On sale now' if i < 100 else prose(3)}</p><p>{prose(20)}</p></div><div class='end'>The same end</div>" for i in range(260)]
+    hashed = spark.range(100_000).selectExpr("id", "xxhash64(id) AS h").orderBy("h").limit(260).collect()
+    # The hundred pages with the smallest hashes are those of the old kind.
+    rows = [(r["id"], "http://one.example/a", made[i]) for i, r in enumerate(hashed)]
+    wrapper = json.loads(H.wrappers(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["wrapper"])
+    plain = H.induce(made)
+    assert wrapper["content"] == plain["content"] == next(n.key for n in H._walk(H.parse(made[-1])) if n.name == "div.new")
+    assert set(plain["constant"]) <= set(wrapper["constant"])
+    odd = next(n for n in H._walk(H.parse(made[0])) if n.own_text() == "On sale now")
+    sampled = H.induce(made[:6])
+    assert H._hash("On sale now", odd.key) in sampled["constant"] and sampled["content"] != plain["content"]
