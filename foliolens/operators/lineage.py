@@ -30,6 +30,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again. Unlike a checkpoint it is computed once."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed to the shared folder."""
     context = df.sparkSession.sparkContext

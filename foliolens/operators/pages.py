@@ -463,11 +463,11 @@ def text_semantics(tokens: DataFrame, key: str | None = None) -> DataFrame:
     return marked.filter((F.col("kind") == "text") | ~F.coalesce(F.col("tag") == "u", F.lit(False)) | F.col("_linked")).withColumn("tag", tag).drop("_linked")
 
 
-def links(tokens: DataFrame, key: str) -> DataFrame:
-    """(key, pos, href, text): links with the text up to the next tag."""
+def links(tokens: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, pos, href, text): links with the text up to the next tag; `carry` names columns of the page that its tokens keep."""
     after = F.lead(F.when(F.col("kind") == "text", F.col("text"))).over(Window.partitionBy(key).orderBy("pos"))
     href = F.get(F.filter("attrs", lambda a: a["name"] == "href"), 0)["value"]
-    return tokens.withColumn("after", after).filter("kind = 'open' AND tag = 'a'").select(key, "pos", href.alias("href"), T.collapse(T.decode_entities(F.coalesce("after", F.lit("")))).alias("text"))
+    return tokens.withColumn("after", after).filter("kind = 'open' AND tag = 'a'").select(key, *carry, "pos", href.alias("href"), T.collapse(T.decode_entities(F.coalesce("after", F.lit("")))).alias("text"))
 
 
 def absolutize(link, base) -> Column:

@@ -222,8 +222,9 @@ def links_inside(spark, sf_dir):
     html = F.concat(link(root, F.lit("/#top")), link(size, F.lit("?q=1")), link(size), link(root, F.lit("x/y")), link(F.lit("https://other.example/b0/z")), link(F.lit("mailto:a@b.c")), link(other))
     base = F.concat(root, F.when(F.col("p_size") % 2 == 0, "/").otherwise("/in/"))
     # Odd sizes stand one folder deeper, so a plain number there leads to that folder.
-    pages = part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, html).otherwise(F.regexp_replace(html, '"([0-9]+)', '"../$1')).alias("html"))
-    links = P.links(P.tokenize(pages, "p_partkey"), "p_partkey").join(part.select("p_partkey", root.alias("root"), base.alias("base")), "p_partkey")
+    made = F.when(F.col("p_size") % 2 == 0, html).otherwise(F.regexp_replace(html, '"([0-9]+)', '"../$1'))
+    pages = part.select("p_partkey", root.alias("root"), base.alias("base"), made.alias("html"))
+    links = P.links(P.tokenize(pages, "p_partkey", carry=("root", "base")), "p_partkey", ("root", "base"))
     return K.child_links(links.withColumn("href", P.absolutize("href", "base")), "root", "p_partkey")
 
 
