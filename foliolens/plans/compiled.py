@@ -124,5 +124,4 @@ def pages_bundled(spark, sf_dir):
     targets = part.select(F.concat(F.lit("c"), (F.col("p_size") % 7).cast("string")).alias("chapter"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug"), F.concat("p_name", F.lit(" & co")).alias("title"), F.concat(F.lit("<p>"), "p_type", F.lit("</p>")).alias("html"))
     bundles.write_pages(targets.withColumn("slug", F.concat(F.lit("old-"), "slug")), path)
     bundles.write_pages(targets, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(path)
-    return files.select(F.substring_index("path", "/", -2).alias("file"), F.md5("content").alias("digest"))
+    return bundles.read_pages(spark, path).select(F.concat_ws("/", "chapter", "name").alias("file"), F.md5("content").alias("digest"))

@@ -1,5 +1,8 @@
 """A sink of page files: one file a page, at chapter/slug.html below the bundle's path.
 
+read_pages() reads a bundle back: chapters are listed by tasks and their files dealt out by number, so neither the driver nor a
+task holds the names of a whole bundle, as a listing by Spark's file index would.
+
 Executors write straight to the store, any that Arrow's file systems reach (local or mounted folders, hdfs, s3, gs). A job writes
 into a folder of its own beside the bundle; each file is written under a task's own name and then moved to its place, so that an attempt that is repeated, or runs
 twice at a time, leaves the same file. When all tasks are done, that folder takes the bundle's place. A job that ends
@@ -12,14 +15,18 @@ import html
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 COLUMNS = ("chapter", "slug", "title", "html")
+#: Files that one task reads, about, bytes of files that go on together, and folders that are removed at a time.
+FILES, BYTES, REMOVED = 20_000, 8 << 20, 16
 
 
 @dataclass
@@ -42,17 +49,22 @@ def _safe(name: str) -> str:
     return name
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
 class PageWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
 
     def _at(self, suffix: str = "") -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.path + suffix) if ":" in self.path.split("/")[0] else (fs.LocalFileSystem(), self.path + suffix)
+        return _store(self.path + suffix)
 
     def write(self, iterator: Iterator[Row]) -> Written:
         store, folder = self._at(f".new-{self.job}")
         _, scratch = self._at(f".tmp-{self.job}")
-        own, made, pages = f"{scratch}/{TaskContext.get().taskAttemptId()}", set(), 0
+        scratch = f"{scratch}/{TaskContext.get().taskAttemptId()}"  # a folder of its own: in a shared one tasks wait for each other
+        own, made, pages = f"{scratch}/page", set(), 0
         store.create_dir(scratch)
         for row in iterator:
             chapter, slug = _safe(str(row["chapter"])), _safe(str(row["slug"]))
@@ -83,6 +95,9 @@ class PageWriter(DataSourceWriter):
     def _clear(self, store: fs.FileSystem, path: str, suffixes: tuple[str, ...]) -> None:
         for info in store.get_file_info(fs.FileSelector(posixpath.dirname(path))):
             if info.type == fs.FileType.Directory and info.path.startswith(tuple(path + s for s in suffixes)):
+                inner = [i.path for i in store.get_file_info(fs.FileSelector(info.path)) if i.type == fs.FileType.Directory]
+                with ThreadPoolExecutor(REMOVED) as threads:
+                    list(threads.map(store.delete_dir, inner))
                 store.delete_dir(info.path)
 
 
@@ -105,3 +120,36 @@ def write_pages(targets: DataFrame, path: str) -> None:
     """One file for each row of targets (chapter, slug, title, html); slugs are unique in their chapter. Exactly these files are in the bundle afterwards."""
     targets.sparkSession.dataSource.register(PageBundle)
     targets.select(*COLUMNS).write.format("page_bundle").mode("overwrite").save(path)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(chapter, name, content) of all page files of a bundle."""
+    store, at = _store(path)
+    with store.open_input_stream(f"{at}/_SUCCESS") as told:
+        pages = int(told.read())
+    chapters = [(posixpath.basename(i.path),) for i in store.get_file_info(fs.FileSelector(at)) if i.type == fs.FileType.Directory]
+
+    def listed(batches):
+        for batch in batches:
+            for chapter in batch.column(0).to_pylist():
+                store, at = _store(path)
+                names = [n for i in store.get_file_info(fs.FileSelector(f"{at}/{chapter}")) if i.type == fs.FileType.File and (n := posixpath.basename(i.path)).endswith(".html")]
+                for i in range(0, len(names), FILES):
+                    part = names[i : i + FILES]
+                    yield pa.RecordBatch.from_arrays([pa.array([chapter] * len(part)), pa.array(part)], ["chapter", "name"])
+
+    def read(batches):
+        store, at = _store(path)
+        for batch in batches:
+            begin, held, size = 0, [], 0
+            for i, (chapter, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                with store.open_input_stream(f"{at}/{chapter}/{name}") as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(begin, len(held)) for c in batch.columns), pa.array(held, pa.binary())], ["chapter", "name", "content"])
+                    begin, held, size = i + 1, [], 0
+
+    parts = max(spark.sparkContext.defaultParallelism, -(-pages // FILES))
+    found = spark.createDataFrame(chapters, "chapter string").repartition(max(1, len(chapters)), "chapter") if chapters else spark.createDataFrame([], "chapter string")
+    return found.mapInArrow(listed, "chapter string, name string").repartition(parts, "name").mapInArrow(read, "chapter string, name string, content binary")

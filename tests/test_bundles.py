@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from foliolens.plans import catalog
 from foliolens.sources import bundles
 
 SCHEMA = "chapter string, slug string, title string, html string"
@@ -63,3 +64,13 @@ def test_only_whole_bundles(spark, tmp_path, mode):
     spark.dataSource.register(bundles.PageBundle)
     with pytest.raises(Exception, match="written whole|page_bundle|mode"):
         spark.createDataFrame(rows(1), SCHEMA).write.format("page_bundle").mode(mode).save(str(tmp_path / "b"))
+
+
+def test_a_bundle_is_read_in_few_tasks(spark, tmp_path):
+    """As many as its files ask for by their number, where Spark's file index makes one of some 30 files each; with no file left out."""
+    path = str(tmp_path / "bundle")
+    for made in (rows(500), []):
+        bundles.write_pages(spark.createDataFrame(made, SCHEMA).repartition(4), path)
+        found = bundles.read_pages(spark, path)
+        assert {f"{r['chapter']}/{r['name']}": bytes(r["content"]).decode() for r in found.collect()} == planned(made)
+    assert catalog.QUERIES["pages_bundled"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
