@@ -37,3 +37,12 @@ def test_a_frontier_reads_its_links_once(spark):
     got = sorted((r["chapter"], r["url"], r["depth"]) for r in K.expand_frontier(seeds, links, None).collect())
     assert got == [("x", "a", 0), ("x", "b", 1), ("x", "c", 2), ("x", "d", 3), ("y", "b", 2), ("y", "c", 0), ("y", "d", 1)]
     assert read.value == 5
+
+
+def test_hits_are_not_gathered(spark):
+    """Texts that are the same in two rows give the hits of both, as the SQL says; rules that repeat count once; hits are not held to be compared."""
+    texts = spark.createDataFrame([(1, "By the sea, by the way"), (1, "By the sea, by the way"), (2, "in a sea")], "doc_id long, text string")
+    rules = spark.createDataFrame([(7, "by the", "near"), (7, "By the", "near"), (8, "in a", None)], "rule_id int, phrase string, replacement string")
+    found = K.find_terms(texts, rules, ["doc_id"])
+    assert sorted((r["doc_id"], r["word"], r["rule_id"], r["original"]) for r in found.collect()) == [(1, 1, 7, "By the"), (1, 1, 7, "By the"), (1, 4, 7, "by the"), (1, 4, 7, "by the"), (2, 1, 8, "in a")]
+    assert "Exchange hashpartitioning(doc_id" not in plan(found) and "SortMergeJoin" not in plan(catalog.QUERIES["idioms_found"](spark, DATA))
