@@ -59,6 +59,10 @@ def read_upserted(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(f"{sink}/pages").drop("bucket")
 
 
+#: Partitions by key that a batch's input partition is dealt out to: each is sorted, so a split of millions of rows would be sorted at once.
+DEALT = 16
+
+
 def upsert_pages(pages: DataFrame, compile_: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "page_id", order: str = "version", buckets: int = 64, **trigger) -> StreamingQuery:
     """Keeps compiled pages (key, order, digest and what compile_ adds) by key in `sink`, as pages (key, order, html) arrive.
 
@@ -77,7 +81,8 @@ def upsert_pages(pages: DataFrame, compile_: Callable[[DataFrame], DataFrame], s
         if not _has(spark, f"{staged}/_SUCCESS"):
             bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
             rest = [c for c in batch.columns if c != key]
-            new = batch.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, F.sha2("html", 256))).alias("p")).select(key, "p.*", F.sha2("p.html", 256).alias("digest"), bucket)
+            rows = batch.repartition(DEALT * batch.rdd.getNumPartitions(), key)
+            new = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, F.sha2("html", 256))).alias("p")).select(key, "p.*", F.sha2("p.html", 256).alias("digest"), bucket)
             old = spark.read.parquet(held) if _has(spark, f"{held}/bucket=*") else None
             new = new.withColumn("same", F.lit(False))
             if old is not None:

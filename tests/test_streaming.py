@@ -174,3 +174,16 @@ def test_crawl_equals_a_walk_in_pre_order(spark):
             got.setdefault(r["chapter"], []).append(r["url"])
     assert errors == {c: "more than 8 pages" if k is None else "no readable pages" for c, k in expected.items() if not k}
     assert got == {c: k for c, k in expected.items() if k} and "more than 8 pages" in errors.values()
+
+
+def test_upserts_sort_small_partitions(spark, tmp_path, monkeypatch):
+    """A batch is dealt out by key before it is sorted, in more partitions than it arrives in; each page still ends up as its last version."""
+    import glob
+
+    rows = spark.range(400).selectExpr("id % 100 AS page_id", "id AS version", "concat('<p>', id) AS html")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    folds.upsert_pages(stream, lambda df: df.select("page_id", "html"), out, str(tmp_path / "checkpoint")).awaitTermination()
+    assert {r["page_id"]: r["version"] for r in folds.read_upserted(spark, out).collect()} == {i: 300 + i for i in range(100)}
+    assert len(glob.glob(f"{out}/changed/batch=0/part-*")) > 4
