@@ -29,9 +29,10 @@ def text_rejects(spark, sf_dir):
 @query("""WITH p AS (SELECT doc_id, i, trim(x, ' ') AS x FROM (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS i FROM (SELECT doc_id, regexp_split_to_array(replace(text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || ' ' || chr(10) || source ELSE '' END, chr(13) || chr(10), chr(10)), '\\n[ \\t]*\\n+') AS s FROM documents)) WHERE trim(x, ' ') <> '')
 SELECT doc_id, md5(string_agg('<p>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') || '</p>', '' ORDER BY i)) AS digest FROM p GROUP BY doc_id""")
 def text_paragraphs(spark, sf_dir):
-    """Whole documents, every third with its source as a paragraph of its own."""
+    """Whole documents, every third with its source as a paragraph of its own. What the SQL's order leaves open follows the table's rows, as it does there."""
     whole = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n \n"), "source")).otherwise(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.paragraphize(whole)).alias("digest"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", whole.alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return K.paragraphs_by(texts, "doc_id", order=("file", "row")).select("doc_id", F.md5("html").alias("digest"))
 
 
 _RULES = [(1, "of the", "Of a"), (2, "in the", None), (3, "the MIT License", "an open license"), (4, "CC BY", None), (5, "die der", "die"), (6, "que", None)]

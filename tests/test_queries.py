@@ -40,3 +40,19 @@ def test_query(spark, duck, name):
     expected = duck.sql(catalog.ORACLES[name])
     assert sorted(expected.columns) == sorted(df.columns)
     assert rows_of(df.columns, rows) == rows_of(expected.columns, expected.fetchall())
+
+
+def test_paragraphs_of_odd_documents(spark, duck, tmp_path):
+    """Blank and missing texts have no paragraphs, rows of one id are one text, a lone carriage return is no line's end."""
+    made = [
+        (1, "a\r\n\r\nb < c\n d ", "s"), (2, " \n\n ", "s"), (3, "", "s"), (4, None, "s"), (6, "x", None), (7, "a\r\rb\n\t\nc", "s"), (8, "", "s"), (9, " ", " "),
+        (11, "p\n\nq", "s"), (11, "p\n\nq", "s"), (12, "one\n \n\ntwo", "s"), (12, "one\n \n\ntwo", "s"), (13, None, "s"), (13, "z", "s"), (14, "\n\nlate", "s"), (14, "early", "s"), (16, "z\n\ny", "s"), (16, "b\n\na", "s"), (None, "u", "s"),
+    ]
+    for n, rows in (("odd", made), ("single", made[:8])):
+        spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / n / "documents.parquet"))
+        duck.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/{n}/documents.parquet/*.parquet'")
+        expected = duck.sql(catalog.ORACLES["text_paragraphs"]).fetchall()
+        duck.sql("DROP VIEW temp.documents")
+        df = catalog.QUERIES["text_paragraphs"](spark, str(tmp_path / n))
+        assert sorted(map(tuple, df.select("doc_id", "digest").collect()), key=str) == sorted(expected, key=str)
+    assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
