@@ -46,3 +46,18 @@ def test_hits_are_not_gathered(spark):
     found = K.find_terms(texts, rules, ["doc_id"])
     assert sorted((r["doc_id"], r["word"], r["rule_id"], r["original"]) for r in found.collect()) == [(1, 1, 7, "By the"), (1, 1, 7, "By the"), (1, 4, 7, "by the"), (1, 4, 7, "by the"), (2, 1, 8, "in a")]
     assert "Exchange hashpartitioning(doc_id" not in plan(found) and "SortMergeJoin" not in plan(catalog.QUERIES["idioms_found"](spark, DATA))
+
+
+def test_drafts_are_looked_up_without_broadcasts(spark):
+    """Sides that grow with the input are not gathered by the driver, and quotes are looked up once, not for edits and observations apart."""
+    found = catalog.QUERIES["findings_of_drafts"](spark, DATA)
+    assert found.count() and "Broadcast" not in plan(found) and plan(found).count("min_by") <= 2
+    found.collect()
+    assert "BroadcastHashJoin" not in plan(found)
+
+
+def test_quotes_of_sections_that_ask_for_many_grams(spark):
+    quotes = spark.createDataFrame([(1, "abcdefghij"), (1, "nowhere at all"), (2, "xyz"), (2, "bc")], "s int, quote string")
+    blocks = spark.createDataFrame([(1, 3, "..abcdefghij.."), (1, 5, "abcdefghij"), (2, 4, "wxyz"), (2, 1, "abc bc xyz")], "s int, b int, t string")
+    for most in (0, 2, 4096):
+        assert sorted(map(tuple, K.find_quotes(quotes, blocks, "s", "b", "t", most).select("s", "quote", "b").collect())) == [(1, "abcdefghij", 3), (2, "bc", 1), (2, "xyz", 1)]
