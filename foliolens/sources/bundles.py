@@ -4,19 +4,22 @@ read_pages() reads a bundle back: chapters are listed by tasks and their files d
 task holds the names of a whole bundle, as a listing by Spark's file index would.
 
 Executors write straight to the store, any that Arrow's file systems reach (local or mounted folders, hdfs, s3, gs). A job writes
-into a folder of its own beside the bundle; each file is written under a task's own name and then moved to its place, so that an attempt that is repeated, or runs
-twice at a time, leaves the same file. When all tasks are done, that folder takes the bundle's place. A job that ends
+into a folder of its own beside the bundle; each file is put in its place so that an attempt that is repeated, or runs twice at a time, leaves the same file.
+Moves between folders, of which a local file system does one at a time, are needed only where a file is there already, or in other stores. When all tasks are done, that folder takes the bundle's place. A job that ends
 before leaves the bundle as it was; what it wrote is removed by the next one that succeeds.
 """
 
 from __future__ import annotations
 
 import html
+import io
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -53,6 +56,48 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
 
+def _put(store: fs.FileSystem, own: str, at: str, content: bytes) -> None:
+    """The content as a file at its place; `own` is a name that no other attempt uses.
+
+    On a local folder the file is made at its place, if none is there: one entry instead of two and a move. One that is there may be another
+    attempt's, whole or not: then a whole one is moved over it. So the attempt that succeeds has left a whole file, whatever others did before, beside or after it.
+    """
+    if not isinstance(store, fs.LocalFileSystem):
+        with store.open_output_stream(own) as out:
+            out.write(content)
+        return store.move(own, at)
+    try:
+        with open(at, "xb", buffering=0) as out:
+            _all(out, content)
+    except FileExistsError:
+        with open(own, "wb", buffering=0) as out:
+            _all(out, content)
+        os.replace(own, at)
+
+
+def _all(out: io.RawIOBase, content: bytes) -> None:
+    rest = memoryview(content)
+    while rest:
+        rest = rest[out.write(rest) :]
+
+
+def _names(store: fs.FileSystem, folder: str) -> Iterator[str]:
+    """Names of the files of a folder."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            yield from (e.name for e in entries if e.is_file())
+    else:
+        yield from (posixpath.basename(i.path) for i in store.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.File)
+
+
+def _content(store: fs.FileSystem, path: str) -> bytes:
+    if isinstance(store, fs.LocalFileSystem):
+        with open(path, "rb", buffering=0) as file:
+            return file.read()
+    with store.open_input_stream(path) as file:
+        return file.read()
+
+
 class PageWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
@@ -68,12 +113,10 @@ class PageWriter(DataSourceWriter):
         store.create_dir(scratch)
         for row in iterator:
             chapter, slug = _safe(str(row["chapter"])), _safe(str(row["slug"]))
-            with store.open_output_stream(own) as out:
-                out.write(page_file(slug, row["title"] or "", row["html"] or ""))
             if chapter not in made:
                 store.create_dir(f"{folder}/{chapter}")
                 made.add(chapter)
-            store.move(own, f"{folder}/{chapter}/{slug}.html")
+            _put(store, own, f"{folder}/{chapter}/{slug}.html", page_file(slug, row["title"] or "", row["html"] or ""))
             pages += 1
         return Written(pages)
 
@@ -133,9 +176,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for chapter in batch.column(0).to_pylist():
                 store, at = _store(path)
-                names = [n for i in store.get_file_info(fs.FileSelector(f"{at}/{chapter}")) if i.type == fs.FileType.File and (n := posixpath.basename(i.path)).endswith(".html")]
-                for i in range(0, len(names), FILES):
-                    part = names[i : i + FILES]
+                names = (n for n in _names(store, f"{at}/{chapter}") if n.endswith(".html"))
+                while part := list(islice(names, FILES)):
                     yield pa.RecordBatch.from_arrays([pa.array([chapter] * len(part)), pa.array(part)], ["chapter", "name"])
 
     def read(batches):
@@ -143,8 +185,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             begin, held, size = 0, [], 0
             for i, (chapter, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                with store.open_input_stream(f"{at}/{chapter}/{name}") as file:
-                    held.append(file.read())
+                held.append(_content(store, f"{at}/{chapter}/{name}"))
                 size += len(held[-1])
                 if size >= BYTES or i + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([*(c.slice(begin, len(held)) for c in batch.columns), pa.array(held, pa.binary())], ["chapter", "name", "content"])

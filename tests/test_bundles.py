@@ -74,3 +74,17 @@ def test_a_bundle_is_read_in_few_tasks(spark, tmp_path):
         found = bundles.read_pages(spark, path)
         assert {f"{r['chapter']}/{r['name']}": bytes(r["content"]).decode() for r in found.collect()} == planned(made)
     assert catalog.QUERIES["pages_bundled"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_files_are_made_where_they_stay(tmp_path, monkeypatch):
+    """No file of a first attempt is moved; what a broken or slower attempt left at a place is replaced whole."""
+    moved = []
+    monkeypatch.setattr(bundles.os, "replace", lambda a, b, replace=os.replace: (moved.append(os.path.basename(b)), replace(a, b)))
+    monkeypatch.setattr(bundles, "TaskContext", type("C", (), {"get": staticmethod(lambda: type("T", (), {"taskAttemptId": lambda self: len(moved)})())}))
+    writer, made = bundles.PageWriter(str(tmp_path / "b")), [dict(zip(bundles.COLUMNS, r, strict=True)) for r in rows(9)]
+    os.makedirs(f"{writer.path}.new-{writer.job}/c1")
+    open(f"{writer.path}.new-{writer.job}/c1/p-4.html", "wb").write(b"<html><he")
+    told = writer.write(iter(made))
+    assert moved == ["p-4.html"] and told.pages == 9
+    writer.commit([told])
+    assert files(tmp_path / "b") == planned(rows(9)) and os.listdir(tmp_path) == ["b"]
